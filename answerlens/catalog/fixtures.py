@@ -9,11 +9,16 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from answerlens.operators.scale import spread
+
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 ]
 
+# Tables whose per-row work is heavy.
+_TEXT_TABLES = {"documents", "pages"}
+
 _HOST = "split_part(split_part(url,'/',3),':',1)"
 
 # name -> (views it builds on, SQL)
@@ -54,7 +59,7 @@ select case when l_orderkey % 3 = 0 then 'p0' else 'p1' end as project,
        concat('q', l_orderkey % 3) as question_id,
        CAST(date_trunc('month', l_shipdate) AS DATE) as date, l_returnflag as section,
        p_brand as entity, concat('m', l_suppkey % 5) as model_id,
-       CAST(count(*) AS BIGINT) as mentions, CAST(min(l_orderkey) AS BIGINT) as pos,
+       CAST(count(*) AS BIGINT) as mentions, CAST(min(l_orderkey) + 1 AS BIGINT) as pos,
        CAST(1 AS BIGINT) as ord
 from lineitem join part on l_partkey = p_partkey
 where not (p_size % 7 = extract(month from l_shipdate) % 7)
@@ -159,11 +164,16 @@ def with_views(names: list[str], body: str) -> str:
     return f"with {ctes}\n{body}" if ctes else body
 
 
+def _scan(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(df) if table in _TEXT_TABLES else df
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A base table or derived view as a DataFrame over the given folder."""
     if name in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return _scan(spark, sf_dir, name)
     for table in TABLES:
         if any(re.search(rf"\b{table}\b", VIEWS[v][1]) for v in _closure([name])):
-            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+            _scan(spark, sf_dir, table).createOrReplaceTempView(table)
     return spark.sql(with_views([name], f"select * from {name}"))

@@ -104,3 +104,212 @@ from sov""")
 def _sov_answers(i):
     hits = M.mention_hits(i.answers, i.entities)
     return M.share_of_voice(M.prominences(hits, M.model_weights(i.models)))
+
+
+_POS = ["answers", "entities"]
+_SPLIT_HITS = f"""
+with {_MATCHED},
+parts as (
+  select p.*, regexp_split_to_array(p.low, p.pattern) as gaps, regexp_extract_all(p.low, p.pattern) as found
+  from pairs p where regexp_matches(p.low, p.pattern)
+),
+each_hit as (
+  select *, unnest(range(1, len(found) + 1)) as hit_no from parts
+),
+placed as (
+  select *, CAST(1 + list_sum(list_transform(gaps[1:hit_no], lambda g: length(g)))
+         + coalesce(list_sum(list_transform(found[1:hit_no - 1], lambda f: length(f))), 0) AS BIGINT) as pos,
+         CAST(length(found[hit_no]) AS BIGINT) as hit_len
+  from each_hit
+)"""
+
+
+@query("hit_positions", _POS, _SPLIT_HITS + """
+select project, question_id, date, model_id, answer_id, term, CAST(hit_no AS BIGINT) as hit_no, pos, hit_len
+from placed""")
+def _positions(i):
+    pairs = MA._verified(i.answers, i.entities, False)
+    found = TX.hits(F.col("searched"), F.col("pattern"))
+    return pairs.select(
+        "project", "question_id", "date", "model_id", "answer_id", "term", F.posexplode(found).alias("n", "h")
+    ).select(
+        "project", "question_id", "date", "model_id", "answer_id", "term",
+        (F.col("n") + 1).cast("long").alias("hit_no"),
+        F.col("h.pos").cast("long").alias("pos"), F.col("h.len").cast("long").alias("hit_len"),
+    )
+
+
+@query("excerpts", _POS, _SPLIT_HITS + """
+select p.project, p.question_id, p.date, p.model_id, p.answer_id, p.term, CAST(hit_no AS BIGINT) as hit_no, pos,
+       trim(substr(a.text, CAST(greatest(1, pos - 100) AS BIGINT),
+            CAST(least(length(a.text) + 1, pos + hit_len + 100) - greatest(1, pos - 100) AS BIGINT)), ' ') as excerpt,
+       CAST(1 + length(substr(a.text, 1, pos - 1)) - length(replace(substr(a.text, 1, pos - 1), chr(10), '')) AS BIGINT) as line,
+       CAST(1 + length(list_extract(string_split(substr(a.text, 1, pos - 1), chr(10)), -1)) AS BIGINT) as col
+from placed p join answers a on a.answer_id = p.answer_id where hit_no <= 5""")
+def _excerpts(i):
+    return MA.excerpts(i.answers, i.entities)
+
+
+@query("mask_link_urls", ["linked_answers"], r"""
+with pieces as (
+  select answer_id, text, regexp_extract_all(text, '\[[^\]]+\]\([^)]+\)') as links,
+         regexp_split_to_array(text, '\[[^\]]+\]\([^)]+\)') as gaps
+  from linked_answers
+)
+select answer_id, array_to_string(list_transform(range(1, len(gaps) + 1), lambda k:
+         gaps[k] || case when k <= len(links) then
+           regexp_extract(links[k], '^(\[[^\]]+\]\()', 1)
+           || repeat('#', CAST(length(links[k]) - length(regexp_extract(links[k], '^(\[[^\]]+\]\()', 1)) - 1 AS BIGINT)) || ')'
+         else '' end), '') as masked
+from pieces""")
+def _mask(i):
+    return i.linked_answers.select("answer_id", TX.mask_link_urls(F.col("text")).alias("masked"))
+
+
+@query("match_domains", ["linked_answers", "link_entities"], r"""
+with terms as (select distinct regexp_replace(entity, '^www\.', '') as term from link_entities),
+-- a name can only be found where its host occurs
+pairs as (
+  select a.*, t.term, lower(a.text) as low from linked_answers a join terms t on contains(lower(a.text), t.term)
+),
+urls as (
+  select *, regexp_extract_all(low, '(?:\[([^\]]+)\]\()?((?:https?://)?(?:www\.)?[a-z0-9][-a-z0-9._]*\.[a-z]{2,}(?:/[^\s)]*)?)') as raw,
+         '\b' || replace(replace(term, '.', '\.'), '-', '\-') || '\b' as plain
+  from pairs
+),
+matched as (
+  select *, list_filter(raw, lambda u:
+      split_part(split_part(regexp_replace(regexp_replace(regexp_replace(
+        regexp_replace(u, '^\[[^\]]*\]\(', ''), '^https?://', ''), '^www\.', ''), '/$', ''), '?', 1), '#', 1) = term
+      or starts_with(split_part(split_part(regexp_replace(regexp_replace(regexp_replace(
+        regexp_replace(u, '^\[[^\]]*\]\(', ''), '^https?://', ''), '^www\.', ''), '/$', ''), '?', 1), '#', 1), term || '/')) as hits
+  from urls
+)
+select project, question_id, date, model_id, answer_id, term,
+       CAST(len(hits) + len(regexp_extract_all(low, plain))
+         - coalesce(list_sum(list_transform(hits, lambda u: len(regexp_extract_all(u, plain)))), 0) AS BIGINT) as mentions
+from matched
+where len(hits) + len(regexp_extract_all(low, plain)) > 0""")
+def _domains(i):
+    return MA.match_entities(i.linked_answers, i.link_entities).drop("pos")
+
+
+@query("coverage", ["facts"], """
+select project, question_id, date, section, entity, CAST(sum(mentions) AS BIGINT) as mentions,
+       count(distinct model_id) as model_count, string_agg(distinct model_id, ',' order by model_id) as bots
+from facts where mentions > 0 group by all""")
+def _coverage(i):
+    return M.coverage(i.facts).drop("models")
+
+
+@query("mention_share", ["facts"], """
+select project, question_id, date, section, entity, model_id, mentions,
+       round(mentions / sum(mentions) over (partition by project, question_id, date, section, model_id), 5) as model_share,
+       round(sum(mentions) over (partition by project, question_id, date, section, entity)
+             / sum(mentions) over (partition by project, question_id, date, section), 5) as share
+from facts""")
+def _share(i):
+    return M.mention_share(i.facts)
+
+
+_RANKS = """
+with ranked as (
+  select *, row_number() over (partition by project, question_id, date, section, model_id order by pos, ord, entity) as model_rank
+  from facts where mentions > 0
+)"""
+
+
+@query("appearance_rank_by_model", ["facts"], _RANKS + """
+select project, question_id, date, section, entity, model_id, model_rank from ranked""")
+def _model_rank(i):
+    return M.model_ranks(i.facts).select(
+        "project", "question_id", "date", "section", "entity", "model_id", "model_rank"
+    )
+
+
+@query("appearance_rank", ["facts"], _RANKS + """
+select project, question_id, date, section, entity, CAST(sum(mentions) AS BIGINT) as mentions, min(model_rank) as rank
+from ranked group by all""")
+def _rank(i):
+    return M.appearance_rank(i.facts)
+
+
+@query("appearance_rank_avg", ["facts"], _RANKS + """
+select project, question_id, date, section, entity, CAST(sum(mentions) AS BIGINT) as mentions, round(avg(model_rank), 2) as rank
+from ranked group by all""")
+def _rank_avg(i):
+    return M.appearance_rank(i.facts, agg="avg")
+
+
+_FM = ["facts", "fact_models"]
+_FACT_SOV = f"with {_SOV.format(models='fact_models', hits='facts')}"
+_PER = "project, question_id, date, section, entity"
+
+
+@query("model_weights", _FM, _FACT_SOV + """
+select project, model_id, estimated_mau, round(weight, 8) as weight from weights""")
+def _weights(i):
+    return M.model_weights(i.fact_models).withColumn("weight", F.round("weight", 8))
+
+
+def _prom(i):
+    return M.prominences(i.facts, M.model_weights(i.fact_models))
+
+
+@query("prominence", _FM, _FACT_SOV + f"""
+select {_PER}, model_id, mentions, model_rank, round(prominence, 6) as prominence from prom""")
+def _prominence(i):
+    return _prom(i).drop("weight").withColumn("prominence", F.round("prominence", 6))
+
+
+@query("share_of_voice", _FM, _FACT_SOV + f"""
+select {_PER}, mentions, round(model_coverage, 5) as model_coverage, round(prominence, 5) as prominence,
+       round(model_coverage * prominence / top, 5) as share_of_voice from sov""")
+def _sov(i):
+    return M.share_of_voice(_prom(i))
+
+
+@query("sov_by_model", _FM, _FACT_SOV + f"""
+select p.project, p.question_id, p.date, p.section, p.entity, p.model_id,
+       round(p.weight * p.prominence / s.top, 5) as share_of_voice
+from prom p join sov s using (project, question_id, date, section, entity)""")
+def _sov_model(i):
+    return M.sov_by_model(_prom(i))
+
+
+@query("weighted_influence", _FM, _FACT_SOV + f"select {_PER}, round(weighted, 5) as influence from sov")
+def _influence(i):
+    return M.weighted_influence(_prom(i))
+
+
+@query("normalize_to_max", _FM, _FACT_SOV + f"""
+, base as (select {_PER}, round(weighted, 5) as influence from sov)
+select {_PER}, round(influence / max(influence) over (partition by project, question_id, date, section), 5) as influence
+from base""")
+def _norm_max(i):
+    return M.normalize_to_max(M.weighted_influence(_prom(i)), "influence")
+
+
+@query("normalize_to_max_by_model", _FM, _FACT_SOV + f"""
+, base as (select {_PER}, model_id, round(prominence * weight, 5) as influence from prom)
+select {_PER}, model_id, round(influence / max(influence) over (partition by {_PER}), 5) as influence
+from base""")
+def _norm_max_model(i):
+    per_model = _prom(i).select(
+        "project", "question_id", "date", "section", "entity", "model_id",
+        F.round(F.col("prominence") * F.col("weight"), 5).alias("influence"),
+    )
+    return M.normalize_to_max(
+        per_model, "influence", ["project", "question_id", "date", "section", "entity"]
+    )
+
+
+@query("normalize_to_sum", ["metrics"], """
+select project, question_id, date, section, entity,
+       round(mentions / sum(mentions) over (partition by project, question_id, date, section), 5) as market_share
+from metrics""")
+def _norm_sum(i):
+    m = i.metrics.select(
+        "project", "question_id", "date", "section", "entity", F.col("mentions").alias("market_share")
+    )
+    return M.normalize_to_sum(m, "market_share")

@@ -7,9 +7,15 @@ from pyspark.sql import Column, functions as F
 from answerlens import schemas as S
 
 
+def rounded(x: Column, digits: int = 5) -> Column:
+    """Round halves up at ``digits`` on the scaled value."""
+    scale = float(10**digits)
+    return F.round(x * F.lit(scale)) / F.lit(scale)
+
+
 def ratio(num: Column, den: Column, digits: int = 5) -> Column:
     """num / den rounded, 0 where the denominator is null or not positive."""
-    return F.when(den > 0, F.round(num.cast("double") / den.cast("double"), digits)).otherwise(F.lit(0.0))
+    return F.when(den > 0, rounded(num.cast("double") / den.cast("double"), digits)).otherwise(F.lit(0.0))
 
 
 def prominence(mentions: Column, rank: Column) -> Column:
@@ -40,7 +46,7 @@ def change_percent(current: Column, previous: Column) -> Column:
     """Percent change to one digit; 100 where there was nothing before, 0 where there is nothing."""
     prev = F.coalesce(previous, F.lit(0))
     return (
-        F.when(prev > 0, F.round((current - prev) / prev * 100, 1))
+        F.when(prev > 0, rounded((current - prev) / prev * 100, 1))
         .when(current > 0, F.lit(100.0))
         .otherwise(F.lit(0.0))
     )

@@ -112,7 +112,7 @@ def appearance_rank(facts: DataFrame, agg: str = "min") -> DataFrame:
     999 where mentioned without position, -1 where not mentioned.
     """
     ranks = model_ranks(facts).groupBy(*S.ENTITY).agg(
-        (F.min("model_rank") if agg == "min" else F.round(F.avg("model_rank"), 2)).alias("placed")
+        (F.min("model_rank") if agg == "min" else SC.rounded(F.avg("model_rank"), 2)).alias("placed")
     )
     totals = facts.groupBy(*S.ENTITY).agg(F.sum("mentions").alias("mentions"))
     unplaced = F.when(F.col("mentions") > 0, S.UNKNOWN_RANK).otherwise(S.NOT_MENTIONED)
@@ -164,9 +164,9 @@ def share_of_voice(prom: DataFrame) -> DataFrame:
     quality = F.when(F.col("top") > 0, F.col("prominence") / F.col("top")).otherwise(F.lit(0.0))
     return _with_section_max(prom).select(
         *S.ENTITY, "mentions",
-        F.round("model_coverage", 5).alias("model_coverage"),
-        F.round("prominence", 5).alias("prominence"),
-        F.round(F.col("model_coverage") * quality, 5).alias("share_of_voice"),
+        SC.rounded(F.col("model_coverage"), 5).alias("model_coverage"),
+        SC.rounded(F.col("prominence"), 5).alias("prominence"),
+        SC.rounded(F.col("model_coverage") * quality, 5).alias("share_of_voice"),
     )
 
 
@@ -177,7 +177,7 @@ def sov_by_model(prom: DataFrame) -> DataFrame:
         *S.ENTITY, "model_id",
         F.when(
             F.col("top") > 0,
-            F.round(F.col("weight") * F.col("prominence") / F.col("top"), 5),
+            SC.rounded(F.col("weight") * F.col("prominence") / F.col("top"), 5),
         ).otherwise(F.lit(0.0)).alias("share_of_voice"),
     )
 
@@ -185,7 +185,7 @@ def sov_by_model(prom: DataFrame) -> DataFrame:
 def weighted_influence(prom: DataFrame) -> DataFrame:
     """Older formula: weighted sum of prominence, without the coverage factor."""
     return prom.groupBy(*S.ENTITY).agg(
-        F.round(F.sum(F.col("prominence") * F.col("weight")), 5).alias("influence")
+        SC.rounded(F.sum(F.col("prominence") * F.col("weight")), 5).alias("influence")
     )
 
 
@@ -193,7 +193,7 @@ def normalize_to_max(df: DataFrame, value: str, keys: list[str] = S.SECTION) ->
     """Divide by the maximum of the group; unchanged where that is 0."""
     top = with_group_total(df, keys, __top=F.max(value))
     return top.withColumn(
-        value, F.when(F.col("__top") > 0, F.round(F.col(value) / F.col("__top"), 5)).otherwise(F.col(value))
+        value, F.when(F.col("__top") > 0, SC.rounded(F.col(value) / F.col("__top"), 5)).otherwise(F.col(value))
     ).drop("__top")
 
 
@@ -201,7 +201,7 @@ def normalize_to_sum(df: DataFrame, value: str, keys: list[str] = S.SECTION) ->
     """Divide by the group total; unchanged where that is 0."""
     total = with_group_total(df, keys, __total=F.sum(value))
     return total.withColumn(
-        value, F.when(F.col("__total") > 0, F.round(F.col(value) / F.col("__total"), 5)).otherwise(F.col(value))
+        value, F.when(F.col("__total") > 0, SC.rounded(F.col(value) / F.col("__total"), 5)).otherwise(F.col(value))
     ).drop("__total")
 
 

@@ -22,6 +22,16 @@ def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Data
     return F.broadcast(df) if small else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a plain scan over the cores when its files give fewer tasks than there are.
+
+    A few large files with one row group each would otherwise keep text work on a few cores; a
+    table of many files is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write a frame that several consumers read to the shared folder and read it back.
 

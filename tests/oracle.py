@@ -45,8 +45,8 @@ def compare(spark, sf_dir, query, sql):
     want_cols, want = normal(*duck_rows(sql, sf_dir))
     assert got_cols == want_cols, (got_cols, want_cols)
     if got != want:
-        extra = [r for r in got if r not in set(want)][:3] if len(got) < 20000 else got[:2]
-        lacking = [r for r in want if r not in set(got)][:3] if len(want) < 20000 else want[:2]
+        g, w = set(got), set(want)
+        extra, lacking = [r for r in got if r not in w][:3], [r for r in want if r not in g][:3]
         raise AssertionError(f"{len(got)} rows against {len(want)}; extra {extra}; lacking {lacking}")
     return len(got)
 
