@@ -1,6 +1,6 @@
 """Registered queries with the SQL that checks them."""
 
-from answerlens.catalog import measure  # noqa: F401
+from answerlens.catalog import history, linking, measure  # noqa: F401
 from answerlens.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -157,11 +157,13 @@ def with_views(names: list[str], body: str) -> str:
     """``WITH`` the views a statement uses in front of it."""
     ctes = ",\n".join(f"{n} as ({VIEWS[n][1].strip()})" for n in _closure(names))
     body = body.strip()
+    if not ctes:
+        return body
     if body.lower().startswith("with recursive "):
         raise ValueError("recursive statements cannot be prefixed")
     if body.lower().startswith("with "):
         return f"with {ctes},\n{body[5:]}"
-    return f"with {ctes}\n{body}" if ctes else body
+    return f"with {ctes}\n{body}"
 
 
 def _scan(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

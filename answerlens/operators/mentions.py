@@ -7,13 +7,14 @@ asks for them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from answerlens import schemas as S
 from answerlens.functions import scores as SC
 from answerlens.functions import urls as U
 from answerlens.operators import matching
-from answerlens.operators.scale import broadcast_checked, ranked, top_k, with_group_total
+from answerlens.operators.scale import broadcast_checked, ranked, with_group_total
+from answerlens.operators.trends import earlier_values
 
 # Reach at which a model has full weight, and the weight without known reach.
 FULL_REACH = 1_000_000_000
@@ -219,19 +220,10 @@ def entity_metrics(hits: DataFrame, weights: DataFrame) -> DataFrame:
     )
 
 
-def drop_unmentioned(metrics: DataFrame, lookback: int | None = None) -> DataFrame:
-    """Keep an entity if it has mentions now or on an earlier looked-at snapshot.
-
-    ``lookback`` limits how many snapshots of the question are looked at (all when None).
-    """
-    from answerlens.operators.trends import earlier_values
-
-    past = earlier_values(metrics, ["section", "entity"], lookback)
-    had = past.groupBy(*S.ENTITY).agg(F.max("mentions").alias("__before"))
-    return (
-        metrics.join(had, S.ENTITY, "left")
-        .filter((F.col("mentions") > 0) | (F.col("__before") > 0))
-        .drop("__before")
-    )
-
-
+def drop_unmentioned(metrics: DataFrame, lookback: int = 3) -> DataFrame:
+    """Keep an entity with mentions now or on one of the ``lookback`` earlier snapshots."""
+    past = earlier_values(metrics.select(*S.ENTITY, "mentions"), ["section", "entity"], lookback)
+    seen = past.filter(F.col("mentions") > 0).select(*S.ENTITY).distinct()
+    now = F.col("mentions") > 0
+    gone = metrics.filter(~now).join(seen, S.ENTITY, "left_semi")
+    return metrics.filter(now).unionByName(gone)
