@@ -108,13 +108,51 @@ select code, name, CAST(ord AS BIGINT) as ord, kind, pattern from (values
   ('com','Commercial',7,'regex','[.]com$')
 ) as v(code, name, ord, kind, pattern)"""),
     "captures": ([], f"""
-select {_HOST} as site, url, v.variant as variant,
-       CAST(case when page_id % 11 = 0 and v.variant = 'mobile' then 503 else 200 end AS INT) as status,
+select site, url, page_id, variant, robots_tag, content_type,
+       CAST(case when page_id % 11 = 0 and variant = 'mobile' then 503 else 200 end AS INT) as status,
        CAST(length(html) % 4000 AS INT) as ms,
-       case when v.variant = 'mobile' and page_id % 3 = 0 then replace(replace(html, '<p>', ''), 'e', '')
-            when v.variant = 'mobile' and page_id % 4 = 0 then replace(html, '</head>', '<meta name="viewport" content="width=device-width"></head>')
+       case when variant = 'mobile' and page_id % 3 = 0 then replace(replace(html, '<p>', ''), 'e', '')
+            when variant = 'mobile' and page_id % 4 = 0 then replace(html, '</head>', '<meta name="viewport" content="width=device-width"></head>')
             else html end as html
-from pages cross join (values ('desktop'),('mobile')) as v(variant)"""),
+from (
+  select {_HOST} as site, concat(url, '~', page_id) as url, page_id, v.variant,
+         case page_id % 7 when 0 then 'noindex, nofollow' when 1 then 'max-snippet:5' end as robots_tag,
+         case page_id % 13 when 0 then 'application/pdf' else 'text/html; charset=utf-8' end as content_type,
+         case page_id % 6
+           when 1 then replace(html, '</head>', '<meta name="description" content="d"><meta property="og:title" content="t"><meta property="og:image" content="https://x.org/i.png"><link rel="canonical" href="u"></head>')
+           when 2 then replace(html, '</head>', '<script type="application/ld+json">{{"@type": "Article", "name": "n"}}</script><script type="application/ld+json">{{broken</script></head>')
+           when 3 then replace(html, '</head>', '<script type="application/ld+json">{{"@type": ["FAQPage", "Thing"]}}</script><script type="application/ld+json"> {{"@type":"WebPage"}} </script></head>')
+           when 4 then replace(html, '</head>', case when page_id % 4 = 0 then '<meta name="robots" content="noindex"></head>' else '<meta name="GPTBot" content="noai"><meta name="ccbot" content="x, nosnippet"></head>' end)
+           when 5 then replace(html, '</article>', '<div id="root"></div><h2>a</h2><h3>b</h3><table><tr></tr></table><img src="a" alt="x" loading="lazy"><img src="b"><img src="c" alt="y" loading="lazy"></article>')
+           else html end as html
+  from pages cross join (values ('desktop'),('mobile')) as v(variant)
+) as c"""),
+    "bot_captures": (["captures", "bots"], """
+select c.site, c.url, b.bot, CAST(case when c.page_id % 5 = length(b.bot) % 5 then 403 else 200 end AS INT) as status,
+       case when c.page_id % 9 = length(b.bot) % 9 then replace(c.html, 'a', '') else c.html end as html
+from captures c cross join bots b where c.variant = 'desktop'"""),
+    "sitemaps": ([], f"""
+select {_HOST} as site,
+       case length({_HOST}) % 5 when 0 then null
+         when 1 then concat('<?xml version="1.0"?><urlset>', string_agg(concat('<url><loc>', url, '</loc></url>'), ''), '</urlset>')
+         when 2 then '<?xml version="1.0"?><sitemapindex></sitemapindex>'
+         when 3 then '<html>no map</html>' else 'plain text <urlset>' end as sitemap
+from pages group by {_HOST}"""),
+    "guide_files": ([], f"""
+select distinct {_HOST} as site, CAST(case length({_HOST}) % 4 when 0 then 404 when 1 then 500 else 200 end AS INT) as status,
+       case length({_HOST}) % 4 when 2 then concat('# ', {_HOST}) else ' ' end as content
+from pages"""),
+    "crawl_index": ([], f"""
+select distinct concat('crawl-', 10 + page_id % 6) as crawl_id, regexp_replace({_HOST}, '^www[.]', '') as domain
+from pages"""),
+    "result_pages": ([], f"""
+select {_HOST} as site, case page_id % 2 when 0 then 'alpha' else 'beta' end as engine,
+       CAST(case when page_id % 10 = 9 then 429 else 200 end AS INT) as status, page_id,
+       case page_id % 3 when 0 then concat(html, '<div class="result">', url, '</div>')
+         when 1 then concat(html, '<p>No results found for this</p>') else html end as html
+from pages"""),
+    "markers": ([], """
+select engine, pattern from (values ('alpha','class="result"'), ('beta','<li class="hit"'), ('beta','class="res[a-z]+"')) as v(engine, pattern)"""),
     "robots": ([], f"""
 select distinct {_HOST} as site, concat('# file', chr(10), 'User-agent: *', chr(10), 'Disallow: /private', chr(10),
   case when length({_HOST}) % 3 = 0 then concat('User-agent: GPTBot', chr(10), 'Disallow: /', chr(10)) else '' end,

@@ -17,7 +17,15 @@ def duck_rows(sql: str, sf_dir: str):
     for t in TABLES:
         con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     cur = con.execute(sql)
-    return [d[0] for d in cur.description], cur.fetchall()
+    types = {d[0]: str(d[1]) for d in cur.description}
+    return [d[0] for d in cur.description], cur.fetchall(), types
+
+
+# Result types that must agree.
+TYPES = {
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+    "boolean": "BOOLEAN",
+}
 
 
 def _cell(v):
@@ -42,8 +50,11 @@ def normal(columns, rows):
 def compare(spark, sf_dir, query, sql):
     df = query(spark, sf_dir)
     got_cols, got = normal(df.columns, [tuple(r) for r in df.collect()])
-    want_cols, want = normal(*duck_rows(sql, sf_dir))
+    cols, rows, types = duck_rows(sql, sf_dir)
+    want_cols, want = normal(cols, rows)
     assert got_cols == want_cols, (got_cols, want_cols)
+    wrong = {c: (t, types[c]) for c, t in df.dtypes if TYPES.get(t) != types[c]}
+    assert not wrong, f"types differ: {wrong}"
     if got != want:
         g, w = set(got), set(want)
         extra, lacking = [r for r in got if r not in w][:3], [r for r in want if r not in g][:3]
