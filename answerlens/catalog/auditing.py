@@ -64,9 +64,9 @@ ssr_measures as (
   from measured
 ),
 ssr_scored as (
-  select site, url, round(greatest(0.0, 1.0 - case when empty_root then 0.5 else 0.0 end
+  select site, url, CAST(round(greatest(0.0, 1.0 - case when empty_root then 0.5 else 0.0 end
       - case when text_length < 500 then 0.3 when text_length < 2000 then 0.1 else 0.0 end
-      - case when not semantic then 0.2 else 0.0 end - case when script_size > content_size then 0.1 else 0.0 end) * 8.0, 1) as score
+      - case when not semantic then 0.2 else 0.0 end - case when script_size > content_size then 0.1 else 0.0 end) * 8.0, 1) AS DOUBLE) as score
   from ssr_measures
 )"""
 _JSONLD = f"""
@@ -94,14 +94,14 @@ meta_tags_scored as (
 )"""
 _MOBILE = r"""
 mobile_scored as (
-  select d.site, d.url, (case when m.status = 200 then 0.3 else 0 end + case when length(m.html) >= 500 then 0.3 else 0 end
+  select d.site, d.url, CAST((case when m.status = 200 then 0.3 else 0 end + case when length(m.html) >= 500 then 0.3 else 0 end
     + case when regexp_matches(m.html, '(?i)<meta\s+name=["'']viewport["'']') then 0.2 else 0 end
-    + case when abs(length(d.html) - length(m.html)) <= (length(d.html) + length(m.html)) / 2.0 * 0.2 then 0.2 else 0 end) as share
+    + case when abs(length(d.html) - length(m.html)) <= (length(d.html) + length(m.html)) / 2.0 * 0.2 then 0.2 else 0 end) AS DOUBLE) as share
   from captures d join captures m on m.url = d.url and m.site = d.site and m.variant = 'mobile' where d.variant = 'desktop'
 )"""
 _HEADERS = r"""
 headers_scored as (
-  select site, url, case when regexp_matches(coalesce(robots_tag, ''), '(?i)\b(noindex|noai|noimageai|nosnippet)\b') then 0.0 else 15.0 end as score
+  select site, url, case when regexp_matches(coalesce(robots_tag, ''), '(?i)\b(noindex|noai|noimageai|nosnippet)\b') then 0.0 else CAST(15.0 AS DOUBLE) end as score
   from captures where variant = 'desktop'
 )"""
 _SPEED = """
@@ -149,13 +149,13 @@ sitemap_scored as (
 )"""
 _GUIDE = """
 guide_scored as (
-  select site, case when status = 200 and trim(content) <> '' then 1.0 else 0.0 end as score, status not in (200, 404) as error from guide_files
+  select site, case when status = 200 and trim(content) <> '' then CAST(1.0 AS DOUBLE) else 0.0 end as score, status not in (200, 404) as error from guide_files
 )"""
 _CRAWL = r"""
 crawl_scored as (
   select distinct site, case when regexp_replace(lower(site), '^www\.', '') in (
     select domain from crawl_index where crawl_id in (select crawl_id from (select distinct crawl_id from crawl_index) order by crawl_id desc limit 3))
-    then 3.0 else 0.0 end as score
+    then CAST(3.0 AS DOUBLE) else 0.0 end as score
   from captures
 )"""
 _ACCESS = """
@@ -286,7 +286,7 @@ _ERR = " ".join(f"when regexp_matches(html, {_lit('(?i)' + t)}) then {_lit('erro
 
 
 @query("check_search_presence", ["result_pages", "markers"], f"""
-select site, engine, page_ok as passed, case when page_ok then 1.0 else 0.0 end as score from (
+select site, engine, page_ok as passed, case when page_ok then CAST(1.0 AS DOUBLE) else 0.0 end as score from (
   select site, engine, status = 200 and length(html) >= 500 and (case {_ERR} end) is null
      and not regexp_matches(html, {_lit('(?i)' + '|'.join(A.NO_RESULTS))})
      and exists (select 1 from markers m where m.engine = r.engine and regexp_matches(r.html, m.pattern)) as page_ok

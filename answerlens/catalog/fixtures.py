@@ -76,6 +76,33 @@ select project, question_id, date, section, entity, CAST(sum(mentions) AS BIGINT
        CAST(sum(mentions) * 10 + count(*) AS BIGINT) as influence,
        CAST(count(*) AS BIGINT) as model_count
 from facts group by 1, 2, 3, 4, 5"""),
+    "view_metrics": (["facts"], """
+select project, question_id, date, section, entity, CAST(sum(mentions) AS BIGINT) as mentions,
+       CAST(sum(mentions) * 10 + count(*) AS BIGINT) as influence, CAST(sum(mentions) - 2 AS BIGINT) as mentions_change,
+       CAST(case when sum(mentions) % 4 = 0 then 10 when sum(mentions) % 4 = 1 then -1 when sum(mentions) % 4 = 2 then 1 else 0 end AS INT) as rank_trend,
+       substr(concat(case when max(case when model_id = 'm0' then 1 else 0 end) = 1 then ',m0' else '' end, case when max(case when model_id = 'm1' then 1 else 0 end) = 1 then ',m1' else '' end, case when max(case when model_id = 'm2' then 1 else 0 end) = 1 then ',m2' else '' end, case when max(case when model_id = 'm3' then 1 else 0 end) = 1 then ',m3' else '' end, case when max(case when model_id = 'm4' then 1 else 0 end) = 1 then ',m4' else '' end), 2) as bots
+from facts group by 1, 2, 3, 4, 5"""),
+    "question_texts": (["facts"], """
+select distinct project, question_id, concat(CAST(length(question_id) AS STRING), '-', question_id) as long_id,
+       concat('What about ', upper(question_id), '?') as text
+from facts"""),
+    "named_answers": ([], """
+select project, concat(CAST(no AS STRING), '-', lang) as question_id, date, model_id, answer_id, lang, no, text from (
+  select case when lang in ('en','de') then 'p1' else 'p2' end as project, lang,
+         case lang when 'en' then 1 when 'de' then 2 when 'fr' then 3 else 4 end as no,
+         make_date(2024, 1, 1 + CAST(doc_id % 4 AS INT) * 7) as date, source as model_id, doc_id as answer_id, text
+  from documents
+) as d"""),
+    "question_lines": ([], """
+select case when turn % 2 = 0 then 'p1' else 'p2' end as project, conv_id * 1000 + turn as line_no,
+       case when turn % 5 = 0 then concat('# ', text) when turn % 7 = 0 then '  ' else text end as line
+from conversations"""),
+    "extracted": ([], """
+select case when lang in ('en','de') then 'p1' else 'p2' end as project, lang as question_id,
+       make_date(2024, 1, 1 + CAST(doc_id % 4 AS INT) * 7) as date, doc_id,
+       split_part(text, ' ', 1) as products, split_part(text, ' ', 2) as organizations, split_part(text, ' ', 3) as persons,
+       split_part(text, ' ', 4) as colours
+from documents"""),
     "linked_answers": ([], f"""
 select 'p' as project, concat('q', page_id % 3) as question_id,
        make_date(2024, 2, 1 + CAST(page_id % 2 AS INT)) as date,

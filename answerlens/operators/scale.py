@@ -81,6 +81,22 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], bucket: Column,
     )
 
 
+def running_max(df: DataFrame, keys: list[str], order: list, bucket: Column, value: str) -> DataFrame:
+    """Replace ``value`` by its maximum over the group up to the row, split like ``ranked``.
+
+    ``bucket`` must be monotone in the leading order column.
+    """
+    b, m = "__bucket", "__before"
+    df = df.withColumn(b, bucket)
+    earlier = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    tops = df.groupBy(*keys, b).agg(F.max(value).alias(m)).select(
+        *keys, b, F.max(m).over(earlier).alias(m)
+    )
+    inside = Window.partitionBy(*keys, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = df.withColumn(value, F.max(value).over(inside))
+    return local.join(tops, keys + [b]).withColumn(value, F.greatest(value, m)).drop(b, m)
+
+
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, out: str = "rank") -> DataFrame:
     """First ``k`` rows per group; Spark prunes to k per map task before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
