@@ -198,14 +198,38 @@ select bot, product from (values
   ('CCBot','chat'), ('CCBot','finder'), ('CCBot','open'), ('GPTBot','trainer')
 ) as v(bot, product)"""),
     "responses": ([], """
-select 'p' as project, d.lang as question_id, make_date(2024, 3, 1) as date, d.source as model_id,
-       d.doc_id as answer_id,
-       concat(replace(d.text, '. ', ' [1]. '), ' Seen at [2] and [9]. See ', p2.url, ' now.') as content,
-       p1.url as cite1, p2.url as cite2,
-       concat('Page ', p1.page_id) as title1, p2.url as title2
+select case when d.lang in ('en','de') then 'p1' else 'p2' end as project, d.lang as question_id,
+       make_date(2024, 1, 1 + CAST(d.doc_id % 4 AS INT) * 7) as date, d.source as model_id, d.doc_id as answer_id,
+       concat(replace(d.text, '. ', ' [1]. '), ' Seen at [2] and [9]. See ', p2.url, ' now. Www.',
+              split_part(split_part(p1.url,'/',3),':',1), ' covers this. A [The page](', p1.url, ') too. Fine end.') as content,
+       p1.url as cite1, p2.url as cite2, concat('Page ', p1.page_id) as title1, p2.url as title2,
+       case when d.doc_id % 3 = 0 then 'A &lt;b&gt; &amp; c' end as note
 from documents d
-join pages p1 on p1.page_id = d.doc_id % (select count(*) from pages)
-join pages p2 on p2.page_id = (d.doc_id + 7) % (select count(*) from pages)"""),
+cross join (select count(*) as n from pages) c
+join pages p1 on p1.page_id = d.doc_id % c.n
+join pages p2 on p2.page_id = (d.doc_id + 7) % c.n"""),
+    "link_items": ([], f"""
+select distinct 'p' as project, concat('q', page_id % 3) as question_id, make_date(2024, 2, 1 + CAST(page_id % 2 AS INT)) as date,
+       case length({_HOST}) % 2 when 0 then 'products' else 'organizations' end as section,
+       split_part(replace({_HOST}, '.example', ''), '.', -2) as entity, CAST(length({_HOST}) AS BIGINT) as ord
+from pages"""),
+    "short_links": ([], f"""
+select 'p' as project, concat('q', page_id % 3) as question_id, make_date(2024, 2, 1 + CAST(page_id % 2 AS INT)) as date,
+       concat('https://www.', replace(replace({_HOST}, '.example', ''), 'www.', ''), '/x?ref=1') as link
+from pages"""),
+    "titled_answers": ([], f"""
+select 'p' as project, concat('q', page_id % 3) as question_id, make_date(2024, 2, 1 + CAST(page_id % 2 AS INT)) as date,
+       concat('m', page_id % 5) as model_id, page_id as answer_id,
+       concat('See [About ', upper({_HOST}), '](', url, ') or [', {_HOST}, '](/local) and [other](', url, '?z)') as text
+from pages"""),
+    "outputs": ([], """
+select conv_id, turn, concat('```csv', chr(10), turn, ',"a, ', role, '",x', conv_id, ',y, z', chr(10), 'bad,b,c', chr(10), chr(10),
+       turn + 1, ', plain ,last', chr(10), '```') as csv_text,
+       concat('```json', chr(10), '[{"id": ', turn, ', "name": "', role, '", "similar": "a, b"}, {"name": "no id"}]', chr(10), '```') as json_text
+from conversations"""),
+    "requests": ([], """
+select concat('m', conv_id % 3) as model_id, conv_id * 1000 + turn as request_id, role, text, CAST(conv_id % 4 AS BIGINT) as age
+from conversations"""),
 }
 
 

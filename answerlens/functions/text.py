@@ -16,6 +16,19 @@ ASCII_BOUNDARY = (
     r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 )
 
+
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.transform(F.array(value), lambda v: body(v))[0]
+
+
+def word_bounded(term: Column) -> Column:
+    """Quoted pattern of a term between ASCII word boundaries."""
+    before = F.when(term.rlike("^[A-Za-z0-9_]"), F.lit("(?<![A-Za-z0-9_])")).otherwise(F.lit("(?<=[A-Za-z0-9_])"))
+    after = F.when(term.rlike("[A-Za-z0-9_]$"), F.lit("(?![A-Za-z0-9_])")).otherwise(F.lit("(?=[A-Za-z0-9_])"))
+    return F.concat(before, regex_quote(term), after)
+
+
 # Excerpt size.
 EXCERPTS_PER_ANSWER = 5
 EXCERPT_CONTEXT = 100
@@ -81,9 +94,11 @@ def mask_link_urls(text: Column) -> Column:
 
 def hits(text: Column, pattern: Column) -> Column:
     """array<struct(pos, len)> of all non-overlapping matches in order."""
-    gaps = F.transform(F.split(text, pattern, -1), lambda s: F.length(s))
-    lens = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda s: F.length(s))
-    steps = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(lens)).alias("gap"), lens.alias("len"))
+    gaps = F.split(text, pattern, -1)
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
+    steps = bind(gaps, lambda g: F.transform(found, lambda m, i: F.struct(
+        F.length(F.get(g, i)).alias("gap"), F.length(m).alias("len")
+    )))
     start = F.struct(
         F.lit(1).alias("at"),
         F.expr("cast(array() as array<struct<pos:int,len:int>>)").alias("out"),

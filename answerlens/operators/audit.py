@@ -236,7 +236,7 @@ def check_headers(captures: DataFrame) -> DataFrame:
         F.transform(F.map_entries("headers"), lambda e: F.when(F.lower(e["key"]) == "x-robots-tag", e["value"])),
         lambda v: v.isNotNull(),
     ))
-    directives = F.flatten(F.transform(values, lambda v: F.transform(F.split(v, ","), F.trim)))
+    directives = F.flatten(F.transform(values, lambda v: F.transform(F.split(v, ","), lambda d: F.trim(d))))
     blocking = F.filter(directives, lambda d: d.rlike(BLOCKING))
     found = _desktop(captures).select(*PAGE, F.coalesce(blocking, F.array().cast("array<string>")).alias("blocking"))
     open_ = F.size("blocking") == 0

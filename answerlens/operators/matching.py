@@ -76,9 +76,7 @@ def search_terms(entities: DataFrame, keys: list[str], whole_word: bool = False)
         *keys,
         "term",
         is_url.alias("is_url"),
-        F.when(is_url, F.concat(
-            F.lit(TX.ASCII_BOUNDARY), TX.regex_quote(F.col("term")), F.lit(TX.ASCII_BOUNDARY)
-        )).otherwise(TX.term_pattern(F.col("term"), whole_word)).alias("pattern"),
+        F.when(is_url, TX.word_bounded(F.col("term"))).otherwise(TX.term_pattern(F.col("term"), whole_word)).alias("pattern"),
         F.explode(_anchors(F.col("term"), is_url)).alias("anchor"),
     )
 
@@ -114,32 +112,31 @@ def domain_hits(text: Column, term: Column, pattern: Column) -> Column:
     found = lambda h: U.normalized_url(
         F.regexp_extract(F.substring(text, h["pos"], h["len"]), _URL_IN_TEXT, 2)
     )
-    matched = F.filter(spans, lambda h: (
-        (found(h) == target)
-        | F.startswith(found(h), F.concat(target, F.lit("/")))
-        | F.startswith(target, F.concat(found(h), F.lit("/")))
+    same = lambda u: TX.bind(target, lambda t: (
+        (u == t) | F.startswith(u, F.concat(t, F.lit("/"))) | F.startswith(t, F.concat(u, F.lit("/")))
     ))
-    plain = F.filter(TX.hits(text, pattern), lambda p: ~F.exists(
-        matched,
-        lambda m: (m["pos"] <= p["pos"]) & (m["pos"] + m["len"] >= p["pos"] + p["len"]),
-    ))
-    return F.array_sort(F.concat(matched, plain))
+    matched = F.filter(spans, lambda h: TX.bind(found(h), same))
+
+    def with_plain(urls: Column) -> Column:
+        plain = F.filter(TX.hits(text, pattern), lambda p: ~F.exists(
+            urls, lambda m: (m["pos"] <= p["pos"]) & (m["pos"] + m["len"] >= p["pos"] + p["len"])
+        ))
+        return F.array_sort(F.concat(urls, plain))
+
+    return TX.bind(matched, with_plain)
 
 
 def name_hits(text: Column, term: Column, pattern: Column) -> Column:
     """array<struct(pos, len)> for a plain name, including possessive forms not yet counted."""
     main = TX.hits(text, pattern)
-    possessive = F.concat(
-        F.lit(TX.ASCII_BOUNDARY), TX.regex_quote(term), F.lit("'s" + TX.ASCII_BOUNDARY)
-    )
-    extra = F.filter(
-        TX.hits(text, possessive),
-        lambda p: ~F.exists(main, lambda m: F.abs(m["pos"] - p["pos"]) < 2),
-    )
+    possessive = TX.word_bounded(F.concat(term, F.lit("'s")))
+    with_extra = lambda hits: F.array_sort(F.concat(hits, F.filter(
+        TX.hits(text, possessive), lambda p: ~F.exists(hits, lambda m: F.abs(m["pos"] - p["pos"]) < 2)
+    )))
     has_possessive = (F.length(term) > 3) & ~term.contains(".") & text.contains(
         F.concat(term, F.lit("'s"))
     )
-    return F.when(has_possessive, F.array_sort(F.concat(main, extra))).otherwise(main)
+    return F.when(has_possessive, TX.bind(main, with_extra)).otherwise(main)
 
 
 def _verified(answers: DataFrame, entities: DataFrame, whole_word: bool) -> DataFrame:

@@ -160,7 +160,7 @@ def parse_link_patterns(files: DataFrame) -> DataFrame:
     """
     line = lambda n: F.coalesce(F.trim(F.try_element_at("lines", F.lit(n))), F.lit(""))
     rest = F.filter(
-        F.transform(F.slice("lines", F.lit(4), F.greatest(F.lit(0), F.size("lines") - 3)), F.trim),
+        F.transform(F.slice("lines", F.lit(4), F.greatest(F.lit(0), F.size("lines") - 3)), lambda s: F.trim(s)),
         lambda s: (s != "") & ~F.startswith(s, F.lit("#")),
     )
     order = F.regexp_extract(line(2), r"order:\s*(\d+)", 1)
