@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from answerlens.functions import urls as U
+from answerlens.functions.text import bind
 
 # The form of the citation list.
 HEADER = "# CITATIONS"
@@ -77,7 +78,7 @@ def citations(responses: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _linked(text: Column, numbered: Column) -> Column:
-    """Replace each unlinked ``[n]`` by its citation.
+    """Replace each unlinked ``[n]`` by its citation, titled unless the title only repeats the URL.
 
     The text is cut at its references and put together again, so inserted titles are never
     searched themselves.
@@ -87,16 +88,15 @@ def _linked(text: Column, numbered: Column) -> Column:
 
     def link(n: Column) -> Column:
         same = F.filter(numbered, lambda c: c["pos"] == n.try_cast("int"))
-        hit = F.try_element_at(same, F.lit(1))
-        bare = F.concat(F.lit("[["), n, F.lit("]]("), hit["url"], F.lit(")"))
-        titled = F.concat(F.lit("["), hit["title"], F.lit("]("), hit["url"], F.lit(")"))
-        return F.when(hit.isNull(), F.concat(F.lit("["), n, F.lit("]"))).when(
-            U.is_url_like_title(hit["url"], hit["title"]), bare
-        ).otherwise(titled)
-
-    return F.array_join(F.transform(parts, lambda p, i: F.concat(
-        p, F.when(i < F.size(numbers), link(F.try_element_at(numbers, i + 1))).otherwise(F.lit(""))
+        return F.coalesce(F.get(F.transform(same, lambda c: F.concat(
+            F.lit("["), F.when(c["bare"], F.concat(F.lit("["), n, F.lit("]"))).otherwise(c["title"]),
+            F.lit("]("), c["url"], F.lit(")"),
+        )), F.lit(0)), F.concat(F.lit("["), n, F.lit("]")))
+
+    joined = lambda ns: F.array_join(F.transform(parts, lambda p, i: F.concat(
+        p, F.coalesce(bind(F.get(ns, i), link), F.lit(""))
     )), "")
+    return bind(numbers, joined)
 
 
 def _footer(items: Column, indent: str) -> Column:
@@ -117,7 +117,13 @@ def answers_with_citations(responses: DataFrame, keys: list[str]) -> DataFrame:
     """
     lists = _with_lists(responses).withColumn("content", F.coalesce("message.content", F.lit("")))
     has_numbers = F.size("numbered") > 0
-    body = F.when(has_numbers & F.col("content").rlike(_REFERENCE), _linked(F.col("content"), F.col("numbered"))).otherwise(
+    # Whether a title only repeats its URL is found once per citation, not once per reference.
+    targets = F.transform("numbered", lambda c: F.struct(
+        c["pos"].alias("pos"), c["url"].alias("url"), c["title"].alias("title"),
+        U.is_url_like_title(c["url"], c["title"]).alias("bare"),
+    ))
+    linked = bind(targets, lambda t: _linked(F.col("content"), t))
+    body = F.when(has_numbers & F.col("content").rlike(_REFERENCE), linked).otherwise(
         F.col("content")
     )
     unused = F.filter("unnumbered", lambda c: ~F.col("content").contains(c["url"]))

@@ -167,14 +167,31 @@ def merge_similar(existing: Column, new: Column, most: int = MAX_SIMILAR) -> Col
     return F.array_join(F.slice(F.array_distinct(F.concat(old, new)), 1, most), ",")
 
 
+def _edge(term: str) -> str:
+    """Quoted id between ASCII word boundaries."""
+    word = lambda ch: ch.isascii() and (ch.isalnum() or ch == "_")
+    quoted = "".join(ch if word(ch) else "\\" + ch for ch in term)
+    before = "(?<![A-Za-z0-9_])" if word(term[0]) else "(?<=[A-Za-z0-9_])"
+    after = "(?![A-Za-z0-9_])" if word(term[-1]) else "(?=[A-Za-z0-9_])"
+    return before + quoted + after
+
+
 def clean_summary(text: Column, models: list) -> Column:
-    """Strip broken HTML attributes, show model names for ids (longest first), squeeze blanks."""
+    """Strip broken HTML attributes, show model names for ids (longest first), squeeze blanks.
+
+    All ids are found in one pass and looked up in a map.
+    """
     c = F.regexp_replace(text, r'\s*(title|alt|data-[a-z-]+)="[^"]*">', ">")
     c = F.regexp_replace(c, r'"\s*>', "")
-    for m in sorted(models, key=lambda r: (-len(r["model_id"]), r["model_id"])):
-        quoted = "".join(ch if ch.isalnum() or ch == "_" else "\\" + ch for ch in m["model_id"])
-        name = m["display_name"].replace("\\", "\\\\").replace("$", "\\$")
-        c = F.regexp_replace(c, TX.ASCII_BOUNDARY + quoted + TX.ASCII_BOUNDARY, name)
+    if models:
+        rows = sorted(models, key=lambda r: (-len(r["model_id"]), r["model_id"]))
+        names = F.create_map(*[F.lit(v) for r in rows for v in (r["model_id"], r["display_name"])])
+        ids = "|".join(_edge(r["model_id"]) for r in rows)
+        c = TX.bind(c, lambda t: TX.bind(F.regexp_extract_all(t, F.lit(f"({ids})"), F.lit(1)), lambda found: F.array_join(
+            F.transform(F.split(t, ids, -1), lambda p, i: F.concat(
+                p, F.coalesce(F.try_element_at(names, F.get(found, i)), F.lit(""))
+            )), "",
+        )))
     c = F.regexp_replace(c, r"[ \t]+", " ")
     c = F.regexp_replace(c, r"\n\s*\n\s*\n", "\n\n")
     return F.regexp_replace(c, r"^\s+|\s+$", "")

@@ -4,8 +4,8 @@
 ``entities``: project, question_id[, date], section, entity, ord.
 
 Names are found through an inverted index instead of testing every name against every answer:
-each name has an anchor, its longest run of letters and digits.  Since a pattern never breaks
-inside such a run, the run must lie inside one word of the text.  The index is built over the
+a pattern never breaks inside a run of letters and digits, so each run of a name must lie inside one
+word of the text; the rarest run is the name's anchor.  The index is built over the
 distinct words of all answers (far fewer than the words of the texts): words meet anchors on a
 shared gram of up to three characters, answers meet words on equality, and only the pairs that
 pass are checked with the full pattern.  Each join is an equi-join.
@@ -31,31 +31,29 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.array_append(F.split(F.lower(text), _WORD_BREAK), F.lit("")))
 
 
-def _anchors(term: Column, is_url: Column) -> Column:
-    """Text pieces of which at least one occurs inside a word of every matching answer."""
+def _runs(term: Column, is_url: Column) -> Column:
+    """Runs of letters and digits that every matching answer holds inside some word.
+
+    Null for a name without any.
+    """
     searched = F.when(is_url, U.hostname(term)).otherwise(term)
-    runs = F.transform(
-        F.regexp_extract_all(searched, F.lit(r"[a-z0-9]+"), F.lit(0)),
-        lambda r: F.struct(F.length(r).alias("n"), r.alias("run")),
-    )
+    runs = F.array_distinct(F.regexp_extract_all(searched, F.lit(r"[a-z0-9]+"), F.lit(0)))
+    return F.when(F.size(runs) > 0, runs)
+
+
+def _either(term: Column) -> Column:
+    """For names without letters and digits: pieces of which one is in every matching answer."""
     other = F.regexp_extract(term, r"[^\x00-\x7f]", 0)
-    return (
-        F.when(F.size(runs) > 0, F.array(F.array_max(runs)["run"]))
-        # No ASCII letter or digit: the first other character, or the first byte of its encoding.
-        .when(other != "", F.array(other, F.lower(F.substring(F.url_encode(other), 2, 2))))
-        .otherwise(F.array(F.lit("")))
+    # The first other character, or the first byte of its encoding; else any text.
+    return F.when(other != "", F.array(other, F.lower(F.substring(F.url_encode(other), 2, 2)))).otherwise(
+        F.array(F.lit(""))
     )
 
 
 def _grams(word: Column) -> Column:
     """All 1-, 2- and 3-grams of a word; the empty word has the empty gram."""
-    chars = F.filter(F.split(word, ""), lambda c: c != "")
-    grams = lambda n: F.transform(
-        chars, lambda c, i: F.array_join(F.slice(chars, i + 1, F.lit(n)), "")
-    )
-    return F.array_distinct(F.when(word == "", F.array(F.lit(""))).otherwise(
-        F.concat(grams(1), grams(2), grams(3))
-    ))
+    grams = [F.regexp_extract_all(word, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in (1, 2, 3)]
+    return F.array_distinct(F.when(word == "", F.array(F.lit(""))).otherwise(F.concat(*grams)))
 
 
 def _group_keys(answers: DataFrame, entities: DataFrame) -> list[str]:
@@ -63,7 +61,7 @@ def _group_keys(answers: DataFrame, entities: DataFrame) -> list[str]:
 
 
 def search_terms(entities: DataFrame, keys: list[str], whole_word: bool = False) -> DataFrame:
-    """Distinct searched names per group: term, is_url, pattern, anchor.
+    """Distinct searched names per group: term, is_url, pattern and the runs to find it by.
 
     Links are searched by their host.
     """
@@ -72,30 +70,48 @@ def search_terms(entities: DataFrame, keys: list[str], whole_word: bool = False)
     )).otherwise(F.lower("entity"))
     terms = entities.select(*keys, term.alias("term")).filter(F.trim("term") != "").distinct()
     is_url = TX.is_url_term(F.col("term"))
+    runs = _runs(F.col("term"), is_url)
     return terms.select(
         *keys,
         "term",
         is_url.alias("is_url"),
-        F.when(is_url, TX.word_bounded(F.col("term"))).otherwise(TX.term_pattern(F.col("term"), whole_word)).alias("pattern"),
-        F.explode(_anchors(F.col("term"), is_url)).alias("anchor"),
+        F.when(is_url, TX.word_bounded(F.col("term"))).otherwise(
+            TX.term_pattern(F.col("term"), whole_word)
+        ).alias("pattern"),
+        runs.isNotNull().alias("choose"),
+        F.coalesce(runs, _either(F.col("term"))).alias("runs"),
     )
 
 
 def candidate_pairs(answers: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
-    """(answer_id, matches): per answer the terms whose anchor occurs inside one of its words."""
+    """(answer_id, terms): per answer the terms whose anchor occurs inside one of its words.
+
+    A term's anchor is the run held by the fewest texts, so a frequent part of many names
+    (``example`` in host names) does not pair them with everything.
+    """
     words = answers.select("answer_id", *keys, F.explode(_words(F.col("text"))).alias("word"))
-    vocabulary = words.select("word").distinct()
-    anchors = terms.select("anchor").distinct().withColumn("gram", F.substring("anchor", 1, 3))
+    # Every use keeps ``texts``, so the plan has one vocabulary stage that is reused.
+    vocabulary = words.groupBy("word").agg(F.count(F.lit(1)).alias("texts"))
+    pieces = terms.select(*keys, "term", "is_url", "pattern", "choose", F.explode("runs").alias("run"))
+    runs = pieces.select("run").distinct().withColumn("gram", F.substring("run", 1, 3))
     indexed = (
-        vocabulary.withColumn("gram", F.explode(_grams(F.col("word"))))
-        .join(anchors, "gram")
-        .filter(F.col("word").contains(F.col("anchor")))
-        .select("word", "anchor")
+        vocabulary.filter(F.col("texts") > 0).withColumn("gram", F.explode(_grams(F.col("word"))))
+        .join(runs, "gram")
+        .filter(F.col("word").contains(F.col("run")))
+        .select("word", "run", "texts")
+    )
+    spread = indexed.groupBy("run").agg(F.sum("texts").alias("texts"))
+    known = F.coalesce("texts", F.lit(0))
+    anchored = (
+        pieces.join(spread, "run", "left")
+        .groupBy(*keys, "term", "is_url", "pattern", F.when(~F.col("choose"), F.col("run")).alias("alternative"))
+        .agg(F.min_by("run", F.struct(known, -F.length("run"), F.col("run"))).alias("run"))
+        .drop("alternative")
     )
     # Each entry is at most one per (answer, term): bounded by the names one text holds.
     return (
-        words.join(indexed, "word")
-        .join(terms, keys + ["anchor"])
+        words.join(indexed.filter(F.col("texts") > 0).select("word", "run"), "word")
+        .join(anchored, keys + ["run"])
         .groupBy("answer_id")
         .agg(F.collect_set(F.struct("term", "is_url", "pattern")).alias("terms"))
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-_FENCE = r"(?i)```(?:javascript|js|json|csv|typescript|ts)?\s*"
+_FENCE = r"(?i)```(?:javascript|json|js|csv|typescript|ts)?\s*"
 _COMMA_OUTSIDE_QUOTES = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
 
