@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from answerlens.functions import scores as SC
 from answerlens.functions import urls as U
+from answerlens.functions.text import bind
 from answerlens.operators.scale import broadcast_checked
 
 # Checks and the most points each can give.
@@ -56,6 +57,7 @@ SEMANTIC = r"(?i)<(main|article|section|p|h[1-6])[^>]*>[\s\S]*?</\1>"
 # Structured data.
 JSONLD_BLOCK = r"(?i)<script[^>]*type=[\"']application/ld\+json[\"'][^>]*>([\s\S]*?)</script>"
 HIGH_VALUE_TYPES = ["FAQPage", "QAPage", "Article", "NewsArticle", "BlogPosting", "HowTo", "Recipe"]
+VIEWPORT = r"(?i)<meta\s+name=[\"']viewport[\"']"
 # Directives that keep a page out of AI answers.
 BLOCKING = r"(?i)\b(noindex|noai|noimageai|nosnippet)\b"
 # Sizes, tolerances and times.
@@ -88,14 +90,18 @@ def config_rows(df: DataFrame, max_rows: int = MAX_CONFIG_ROWS) -> list:
     return rows
 
 
-def _result(df: DataFrame, keys: list[str], check: str, score: Column, passed: Column,
-            details: Column | None = None, error: Column | None = None) -> DataFrame:
-    return df.select(
-        *keys, F.lit(check).alias("check"), score.cast("double").alias("score"),
+def _result_columns(check: str, score: Column, passed: Column, details: Column | None, error: Column | None) -> list[Column]:
+    return [
+        F.lit(check).alias("check"), score.cast("double").alias("score"),
         F.lit(float(MAX_SCORES[check])).alias("max_score"), passed.alias("passed"),
         (F.lit(False) if error is None else error).alias("error"),
         (F.lit(None).cast("string") if details is None else details).alias("details"),
-    )
+    ]
+
+
+def _result(df: DataFrame, keys: list[str], check: str, score: Column, passed: Column,
+            details: Column | None = None, error: Column | None = None) -> DataFrame:
+    return df.select(*keys, *_result_columns(check, score, passed, details, error))
 
 
 def _desktop(captures: DataFrame) -> DataFrame:
@@ -106,23 +112,34 @@ def _points(share: Column, check: str) -> Column:
     return SC.rounded(share * F.lit(float(MAX_SCORES[check])), 1)
 
 
-def check_structure(captures: DataFrame) -> DataFrame:
-    """Twelve equal parts: headings, descriptions, canonical, language, lists, tables, images."""
-    html = F.col("html")
+def structure_score(html: Column) -> Column:
+    """struct(score, missing) of the twelve equal parts."""
     count = lambda patterns: reduce(lambda a, b: a + b, [F.regexp_count(html, F.lit(p)) for p in patterns])
     parts = [F.least(count(p) / F.lit(float(n)), F.lit(1.0)) for _, p, n in STRUCTURE]
-    parts.append(F.greatest(F.lit(0.0), F.lit(1.0) - F.least(count([LAZY_IMAGE]) / F.lit(5.0), F.lit(1.0))))
-    images = F.regexp_extract_all(html, F.lit(IMAGE), F.lit(0))
-    with_alt = F.filter(images, lambda i: i.rlike(IMAGE_ALT))
-    parts.append(F.when(F.size(images) == 0, F.lit(1.0)).otherwise(F.try_divide(F.size(with_alt), F.size(images))))
-    labels = [label for label, _, _ in STRUCTURE]
-    missing = F.array_compact(F.array(*[
-        F.when(p < 1, F.lit(label)) for label, p in zip(labels, parts)
-    ]))
-    top = MAX_SCORES["structure"]
-    scored = _desktop(captures).withColumn("score", _points(reduce(lambda a, b: a + b, parts) / 12, "structure"))
-    return _result(scored, PAGE, "structure", F.col("score"), F.col("score") >= top * 0.7,
-                   F.concat(F.lit("Missing: "), F.array_join(missing, ", ")))
+    counted = F.array(*parts)
+    lazy = F.greatest(F.lit(0.0), F.lit(1.0) - F.least(count([LAZY_IMAGE]) / F.lit(5.0), F.lit(1.0)))
+    with_alt = bind(F.regexp_extract_all(html, F.lit(IMAGE), F.lit(0)), lambda images: F.when(
+        F.size(images) == 0, F.lit(1.0)
+    ).otherwise(F.try_divide(F.size(F.filter(images, lambda i: i.rlike(IMAGE_ALT))), F.size(images))))
+
+    def scored(p: Column) -> Column:
+        total = reduce(lambda a, b: a + b, [p[k] for k in range(len(STRUCTURE))])
+        missing = F.array_compact(F.array(*[F.when(p[k] < 1, F.lit(d[0])) for k, d in enumerate(STRUCTURE)]))
+        return F.struct(_points((total + lazy + with_alt) / 12, "structure").alias("score"), missing.alias("missing"))
+
+    return bind(counted, scored)
+
+
+def structure_result(measured: Column) -> tuple:
+    score = measured["score"]
+    return ("structure", score, score >= MAX_SCORES["structure"] * 0.7,
+            F.concat(F.lit("Missing: "), F.array_join(measured["missing"], ", ")))
+
+
+def check_structure(captures: DataFrame) -> DataFrame:
+    """Twelve equal parts: headings, descriptions, canonical, language, lists, tables, images."""
+    measured = _desktop(captures).select(*PAGE, structure_score(F.col("html")).alias("structure"))
+    return _result(measured, PAGE, *structure_result(F.col("structure")))
 
 
 def script_measures(html: Column) -> dict[str, Column]:
@@ -141,9 +158,7 @@ def script_measures(html: Column) -> dict[str, Column]:
     }
 
 
-def check_ssr(captures: DataFrame) -> DataFrame:
-    """Readable without scripts: full points less penalties for empty roots, little text, …"""
-    m = _desktop(captures).select(*PAGE, *[c.alias(n) for n, c in script_measures(F.col("html")).items()])
+def ssr_result() -> tuple:
     share = (
         F.lit(1.0)
         - F.when(F.col("empty_root"), 0.5).otherwise(0.0)
@@ -151,9 +166,15 @@ def check_ssr(captures: DataFrame) -> DataFrame:
         - F.when(~F.col("semantic"), 0.2).otherwise(0.0)
         - F.when(F.col("script_size") > F.col("content_size"), 0.1).otherwise(0.0)
     )
-    scored = m.withColumn("score", _points(F.greatest(F.lit(0.0), share), "ssr"))
-    return _result(scored, PAGE, "ssr", F.col("score"), F.col("score") >= MAX_SCORES["ssr"] * 0.8,
-                   F.concat(F.col("text_length"), F.lit(" chars; frameworks: "), F.array_join("frameworks", ", ")))
+    score = _points(F.greatest(F.lit(0.0), share), "ssr")
+    return ("ssr", score, score >= MAX_SCORES["ssr"] * 0.8,
+            F.concat(F.col("text_length"), F.lit(" chars; frameworks: "), F.array_join("frameworks", ", ")))
+
+
+def check_ssr(captures: DataFrame) -> DataFrame:
+    """Readable without scripts: full points less penalties for empty roots, little text, …"""
+    m = _desktop(captures).select(*PAGE, *[c.alias(n) for n, c in script_measures(F.col("html")).items()])
+    return _result(m, PAGE, *ssr_result())
 
 
 def jsonld_types(html: Column) -> Column:
@@ -167,32 +188,44 @@ def jsonld_types(html: Column) -> Column:
     return F.flatten(listed)
 
 
-def check_jsonld(captures: DataFrame) -> DataFrame:
-    """Up to three structured-data types; a tenth more with one that AI systems favour."""
+def jsonld_result() -> tuple:
     top = float(MAX_SCORES["jsonld"])
-    typed = _desktop(captures).select(*PAGE, jsonld_types(F.col("html")).alias("types"))
     base = F.least(F.size("types"), F.lit(3)) / F.lit(3.0) * top
     valued = F.arrays_overlap("types", F.array(*[F.lit(t) for t in HIGH_VALUE_TYPES]))
     score = F.when(valued, F.least(base * 1.1, F.lit(top))).otherwise(base)
-    return _result(typed, PAGE, "jsonld", score, score == top, F.array_join("types", ", "))
+    return "jsonld", score, score == top, F.array_join("types", ", ")
 
 
-def check_meta_tags(captures: DataFrame, bots: DataFrame) -> DataFrame:
-    """A blocking ``robots`` tag costs all points, each blocking bot tag its part."""
-    names = [r["bot"] for r in config_rows(bots.select("bot").distinct())]
+def check_jsonld(captures: DataFrame) -> DataFrame:
+    """Up to three structured-data types; a tenth more with one that AI systems favour."""
+    typed = _desktop(captures).select(*PAGE, jsonld_types(F.col("html")).alias("types"))
+    return _result(typed, PAGE, *jsonld_result())
+
+
+def blocking_tags(html: Column, names: list[str]) -> tuple[Column, Column]:
+    """(whether a ``robots`` tag blocks, array of the blocking bot tags)."""
     tag = r"(?i)<meta\s+name=[\"'](NAMES)[\"']\s+content=[\"'][^\"']*\b(?:noindex|noai|noimageai|nosnippet)\b[^\"']*[\"']"
     quoted = "|".join(sorted(_quote(n) for n in names)) or "(?!)"
-    top = float(MAX_SCORES["meta_tags"])
     found = F.array_distinct(F.transform(
-        F.regexp_extract_all(F.col("html"), F.lit(tag.replace("NAMES", quoted)), F.lit(1)), F.lower
+        F.regexp_extract_all(html, F.lit(tag.replace("NAMES", quoted)), F.lit(1)), lambda n: F.lower(n)
     ))
-    tagged = _desktop(captures).select(
-        *PAGE, F.col("html").rlike(tag.replace("NAMES", "robots")).alias("all_bots"), found.alias("named")
-    )
+    return html.rlike(tag.replace("NAMES", "robots")), found
+
+
+def meta_result(n_bots: int) -> tuple:
+    top = float(MAX_SCORES["meta_tags"])
     score = F.when(F.col("all_bots"), F.lit(0.0)).otherwise(
-        F.greatest(F.lit(0.0), F.lit(top) - F.size("named") * F.lit(top / max(1, len(names))))
+        F.greatest(F.lit(0.0), F.lit(top) - F.size("named") * F.lit(top / max(1, n_bots)))
     )
-    return _result(tagged, PAGE, "meta_tags", score, score == top, F.array_join("named", ", "))
+    return "meta_tags", score, score == top, F.array_join("named", ", ")
+
+
+def check_meta_tags(captures: DataFrame, bots: DataFrame) -> DataFrame:
+    """A blocking ``robots`` tag costs all points, each blocking bot tag its part."""
+    names = [r["bot"] for r in config_rows(bots.select("bot").distinct())]
+    all_bots, named = blocking_tags(F.col("html"), names)
+    tagged = _desktop(captures).select(*PAGE, all_bots.alias("all_bots"), named.alias("named"))
+    return _result(tagged, PAGE, *meta_result(len(names)))
 
 
 def _quote(text: str) -> str:
@@ -204,56 +237,72 @@ def _similar(a: Column, b: Column, tolerance: float) -> Column:
     return F.when(mean == 0, a == b).otherwise(F.abs(a - b) <= mean * tolerance)
 
 
+def mobile_result() -> tuple:
+    size, status = F.col("mobile_size"), F.col("mobile_status")
+    present = F.coalesce(size > 0, F.lit(False)) & status.isNotNull()
+    flag = lambda c, w: F.when(c, F.lit(w)).otherwise(F.lit(0.0))
+    share = (
+        flag(status == 200, 0.3) + flag(size >= MIN_PAGE_SIZE, 0.3) + flag(F.col("mobile_viewport"), 0.2)
+        + flag(_similar(F.col("desktop_size"), size, MOBILE_TOLERANCE), 0.2)
+    )
+    lacking = F.coalesce(F.col("desktop_size"), F.lit(0)) == 0
+    share = F.when(present & ~lacking, share).otherwise(F.lit(0.0))
+    return ("mobile", share * MAX_SCORES["mobile"], share >= 0.8 - 1e-9,
+            F.when(~present, F.lit("Mobile version not accessible")), lacking)
+
+
 def check_mobile(captures: DataFrame) -> DataFrame:
     """Mobile answers with 200, has content and a viewport tag, and is about as large as desktop."""
     # Both variants of a page meet as two small summaries; the HTML itself is not shuffled.
     of = lambda v, c: F.max(F.when(F.col("variant") == v, c))
     sized = captures.select(
-        *PAGE, "variant", "status", F.length("html").alias("size"),
-        F.col("html").rlike(r"(?i)<meta\s+name=[\"']viewport[\"']").alias("viewport"),
+        *PAGE, "variant", "status", F.length("html").alias("size"), F.col("html").rlike(VIEWPORT).alias("viewport"),
     )
     both = sized.groupBy(*PAGE).agg(
         of("desktop", F.col("size")).alias("desktop_size"), of("mobile", F.col("size")).alias("mobile_size"),
-        of("mobile", F.col("status")).alias("mobile_status"), of("mobile", F.col("viewport")).alias("viewport"),
+        of("mobile", F.col("status")).alias("mobile_status"), of("mobile", F.col("viewport")).alias("mobile_viewport"),
     )
-    present = F.coalesce(F.col("mobile_size") > 0, F.lit(False)) & F.col("mobile_status").isNotNull()
-    flag = lambda c, w: F.when(c, F.lit(w)).otherwise(F.lit(0.0))
-    share = (
-        flag(F.col("mobile_status") == 200, 0.3) + flag(F.col("mobile_size") >= MIN_PAGE_SIZE, 0.3)
-        + flag(F.col("viewport"), 0.2)
-        + flag(_similar(F.col("desktop_size"), F.col("mobile_size"), MOBILE_TOLERANCE), 0.2)
-    )
-    top = MAX_SCORES["mobile"]
-    lacking = F.coalesce(F.col("desktop_size"), F.lit(0)) == 0
-    scored = both.withColumn("share", F.when(present & ~lacking, share).otherwise(F.lit(0.0)))
-    return _result(scored, PAGE, "mobile", F.col("share") * top, F.col("share") >= 0.8 - 1e-9,
-                   F.when(~present, F.lit("Mobile version not accessible")), lacking)
+    return _result(both, PAGE, *mobile_result())
 
 
-def check_headers(captures: DataFrame) -> DataFrame:
-    """No blocking X-Robots-Tag directive; unknown headers count as open."""
+def blocking_headers() -> Column:
+    """array<string>: directives of X-Robots-Tag headers that block; empty if headers are unknown."""
     values = F.flatten(F.filter(
         F.transform(F.map_entries("headers"), lambda e: F.when(F.lower(e["key"]) == "x-robots-tag", e["value"])),
         lambda v: v.isNotNull(),
     ))
     directives = F.flatten(F.transform(values, lambda v: F.transform(F.split(v, ","), lambda d: F.trim(d))))
-    blocking = F.filter(directives, lambda d: d.rlike(BLOCKING))
-    found = _desktop(captures).select(*PAGE, F.coalesce(blocking, F.array().cast("array<string>")).alias("blocking"))
+    return F.coalesce(F.filter(directives, lambda d: d.rlike(BLOCKING)), F.array().cast("array<string>"))
+
+
+def headers_result() -> tuple:
     open_ = F.size("blocking") == 0
-    return _result(found, PAGE, "headers", F.when(open_, MAX_SCORES["headers"]).otherwise(0), open_,
-                   F.array_join("blocking", ", "))
+    return ("headers", F.when(open_, MAX_SCORES["headers"]).otherwise(0), open_, F.array_join("blocking", ", "))
+
+
+def check_headers(captures: DataFrame) -> DataFrame:
+    """No blocking X-Robots-Tag directive; unknown headers count as open."""
+    found = _desktop(captures).select(*PAGE, blocking_headers().alias("blocking"))
+    return _result(found, PAGE, *headers_result())
+
+
+def _speed_step(ms: Column) -> Column:
+    """5 (fast) to 1 (slow); null without a time."""
+    first = F.when(ms < SPEED_STEPS[0][0], SPEED_STEPS[0][1])
+    return F.when(ms > 0, reduce(lambda c, s: c.when(ms < s[0], s[1]), SPEED_STEPS[1:], first).otherwise(1))
+
+
+def speed_result(steps: Column) -> tuple:
+    score = F.coalesce(steps, F.lit(0)) / F.lit(10.0) * MAX_SCORES["speed"]
+    return "speed", score, score >= 6, None, steps.isNull()
 
 
 def check_speed(captures: DataFrame) -> DataFrame:
     """Response time of desktop and mobile, half of the points each."""
-    ms = F.col("ms")
-    step = reduce(lambda c, s: c.when(ms < s[0], s[1]), SPEED_STEPS[1:], F.when(ms < SPEED_STEPS[0][0], SPEED_STEPS[0][1])).otherwise(1)
-    known = F.when(ms > 0, step)
     per_page = captures.filter(F.col("variant").isin("desktop", "mobile")).groupBy(*PAGE, "variant").agg(
-        F.max(known).alias("step")
+        F.max(_speed_step(F.col("ms"))).alias("step")
     ).groupBy(*PAGE).agg(F.sum("step").alias("steps"))
-    score = F.coalesce(F.col("steps"), F.lit(0)) / F.lit(10.0) * MAX_SCORES["speed"]
-    return _result(per_page, PAGE, "speed", score, score >= 6, None, F.col("steps").isNull())
+    return _result(per_page, PAGE, *speed_result(F.col("steps")))
 
 
 def robots_rules(robots: Column, strict: bool = False) -> Column:
@@ -436,6 +485,43 @@ def check_search_presence(result_pages: DataFrame, markers: DataFrame) -> DataFr
                    F.when(F.col("ok"), MAX_SCORES["search_presence"]).otherwise(0), F.col("ok"))
 
 
+def page_checks(captures: DataFrame, bots: DataFrame) -> DataFrame:
+    """All checks of single pages in one scan: the HTML is measured where it is read, and only
+    the measured values of a page's two variants are shuffled together."""
+    html = F.col("html")
+    desktop = F.col("variant") == "desktop"
+    names = [r["bot"] for r in config_rows(bots.select("bot").distinct())]
+    all_bots, named = blocking_tags(html, names)
+    measures = {
+        "structure": structure_score(html), "types": jsonld_types(html), "all_bots": all_bots, "named": named,
+        "blocking": blocking_headers(), **script_measures(html),
+    }
+    measured = captures.filter(F.col("variant").isin("desktop", "mobile")).select(
+        *PAGE, "variant", "status", "ms", F.length(html).alias("size"),
+        html.rlike(VIEWPORT).alias("viewport"),
+        *[F.when(desktop, c).alias(n) for n, c in measures.items()],
+    )
+    page = measured.groupBy(*PAGE).agg(
+        *[F.max(F.when(F.col("variant") == v, F.col(c))).alias(f"{v}_{c}")
+          for v in ("desktop", "mobile") for c in ("status", "ms", "size", "viewport")],
+        F.first(F.when(desktop, F.struct(*measures)), ignorenulls=True).alias("m"),
+    ).select("*", "m.*")
+    known = [_speed_step(F.col(f"{v}_ms")) for v in ("desktop", "mobile")]
+    results = [
+        _as_row(*structure_result(F.col("structure"))),
+        _as_row(*ssr_result()), _as_row(*jsonld_result()), _as_row(*meta_result(len(names))),
+        _as_row(*mobile_result()), _as_row(*headers_result()),
+        _as_row(*speed_result(F.when(known[0].isNotNull() | known[1].isNotNull(),
+                                     F.coalesce(known[0], F.lit(0)) + F.coalesce(known[1], F.lit(0))))),
+    ]
+    listed = page.filter(F.col("m").isNotNull()).select(*PAGE, F.explode(F.array(*results)).alias("r"))
+    return listed.select(*PAGE, "r.*")
+
+
+def _as_row(check: str, score: Column, passed: Column, details: Column | None = None, error: Column | None = None) -> Column:
+    return F.struct(*_result_columns(check, score, passed, details, error))
+
+
 def audit_score(results: DataFrame, keys: list[str] = PAGE) -> DataFrame:
     """Points, percentage and grade over all checks without error."""
     ok = ~F.col("error")

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from answerlens import schemas as S
 from answerlens.functions import text as TX
 from answerlens.functions import urls as U
+from answerlens.operators.scale import materialize
 
 _WORD_BREAK = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 # URL shapes searched when the name itself is a domain or URL.
@@ -90,12 +91,13 @@ def candidate_pairs(answers: DataFrame, terms: DataFrame, keys: list[str]) -> Da
     (``example`` in host names) does not pair them with everything.
     """
     words = answers.select("answer_id", *keys, F.explode(_words(F.col("text"))).alias("word"))
-    # Every use keeps ``texts``, so the plan has one vocabulary stage that is reused.
     vocabulary = words.groupBy("word").agg(F.count(F.lit(1)).alias("texts"))
     pieces = terms.select(*keys, "term", "is_url", "pattern", "choose", F.explode("runs").alias("run"))
     runs = pieces.select("run").distinct().withColumn("gram", F.substring("run", 1, 3))
-    indexed = (
-        vocabulary.filter(F.col("texts") > 0).withColumn("gram", F.explode(_grams(F.col("word"))))
+    # Written once: it is read twice below, and with its size known Spark broadcasts it to the
+    # words while it is small and shuffles otherwise.
+    indexed = materialize(
+        vocabulary.withColumn("gram", F.explode(_grams(F.col("word"))))
         .join(runs, "gram")
         .filter(F.col("word").contains(F.col("run")))
         .select("word", "run", "texts")
@@ -110,7 +112,7 @@ def candidate_pairs(answers: DataFrame, terms: DataFrame, keys: list[str]) -> Da
     )
     # Each entry is at most one per (answer, term): bounded by the names one text holds.
     return (
-        words.join(indexed.filter(F.col("texts") > 0).select("word", "run"), "word")
+        words.join(indexed.select("word", "run"), "word")
         .join(anchored, keys + ["run"])
         .groupBy("answer_id")
         .agg(F.collect_set(F.struct("term", "is_url", "pattern")).alias("terms"))

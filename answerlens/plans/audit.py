@@ -14,11 +14,7 @@ def audit(
 ) -> tuple[DataFrame, DataFrame]:
     """(check results per page, scores per page).  Site-level checks count for each page of the site."""
     pages = captures.filter(F.col("variant") == "desktop").select(*A.PAGE)
-    page_checks = [
-        A.check_structure(captures), A.check_ssr(captures), A.check_jsonld(captures),
-        A.check_meta_tags(captures, bots), A.check_mobile(captures), A.check_headers(captures),
-        A.check_speed(captures),
-    ]
+    page_checks = [A.page_checks(captures, bots)]
     if bot_captures is not None:
         page_checks += [
             A.check_bot_access(captures, bot_captures, bots, bot_products, check) for check in A.BOT_TAGS
