@@ -37,9 +37,9 @@ def _runs(term: Column, is_url: Column) -> Column:
 
     Null for a name without any.
     """
-    searched = F.when(is_url, U.hostname(term)).otherwise(term)
-    runs = F.array_distinct(F.regexp_extract_all(searched, F.lit(r"[a-z0-9]+"), F.lit(0)))
-    return F.when(F.size(runs) > 0, runs)
+    place = F.when(is_url, U.hostname(term)).otherwise(term)
+    found = F.array_distinct(F.regexp_extract_all(place, F.lit(r"[a-z0-9]+"), F.lit(0)))
+    return TX.bind(found, lambda runs: F.when(F.size(runs) > 0, runs))
 
 
 def _either(term: Column) -> Column:
@@ -70,18 +70,17 @@ def search_terms(entities: DataFrame, keys: list[str], whole_word: bool = False)
         F.nullif(U.hostname(F.col("entity")), F.lit("")), F.lower("entity")
     )).otherwise(F.lower("entity"))
     terms = entities.select(*keys, term.alias("term")).filter(F.trim("term") != "").distinct()
-    is_url = TX.is_url_term(F.col("term"))
-    runs = _runs(F.col("term"), is_url)
-    return terms.select(
-        *keys,
-        "term",
-        is_url.alias("is_url"),
-        F.when(is_url, TX.word_bounded(F.col("term"))).otherwise(
-            TX.term_pattern(F.col("term"), whole_word)
-        ).alias("pattern"),
-        runs.isNotNull().alias("choose"),
-        F.coalesce(runs, _either(F.col("term"))).alias("runs"),
-    )
+
+    def searched(t: Column) -> Column:
+        is_url = TX.is_url_term(t)
+        pattern = F.when(is_url, TX.word_bounded(t)).otherwise(TX.term_pattern(t, whole_word))
+        return TX.bind(_runs(t, is_url), lambda runs: F.struct(
+            is_url.alias("is_url"), pattern.alias("pattern"), runs.isNotNull().alias("choose"),
+            F.coalesce(runs, _either(t)).alias("runs"),
+        ))
+
+    # One nested value per name keeps the generated code of this small table short.
+    return terms.select(*keys, "term", TX.bind(F.col("term"), searched).alias("s")).select(*keys, "term", "s.*")
 
 
 def candidate_pairs(answers: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
