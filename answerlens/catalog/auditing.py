@@ -194,11 +194,10 @@ def _structure(i):
 
 @query("script_measures", _PAGE, f"with {_SSR} select * from ssr_measures")
 def _measures(i):
-    m = A.script_measures(F.col("html"))
-    m.pop("frameworks")
-    return i.captures.filter(F.col("variant") == "desktop").select(
-        "site", "url", *[(c.cast("long") if n.endswith(("length", "size")) else c).alias(n) for n, c in m.items()]
-    )
+    m = i.captures.filter(F.col("variant") == "desktop").select(
+        "site", "url", A.script_measures(F.col("html")).alias("s")
+    ).select("site", "url", "s.*").drop("frameworks")
+    return m.select(*[F.col(n).cast("long").alias(n) if t == "int" else F.col(n) for n, t in m.dtypes])
 
 
 @query("check_ssr", _PAGE, f"with {_SSR} select site, url, score, score >= 6.4 as passed, false as error from ssr_scored")

@@ -260,11 +260,24 @@ def _scan(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spread(df) if table in _TEXT_TABLES else df
 
 
+_LOADED: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A base table or derived view as a DataFrame over the given folder."""
+    """A base table or derived view as a DataFrame over the given folder.
+
+    The unevaluated frame is kept per application, so files are listed and footers read once.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _LOADED:
+        _LOADED[key] = _load(spark, sf_dir, name)
+    return _LOADED[key]
+
+
+def _load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in TABLES:
         return _scan(spark, sf_dir, name)
     for table in TABLES:
         if any(re.search(rf"\b{table}\b", VIEWS[v][1]) for v in _closure([name])):
-            _scan(spark, sf_dir, table).createOrReplaceTempView(table)
+            load(spark, sf_dir, table).createOrReplaceTempView(table)
     return spark.sql(with_views([name], f"select * from {name}"))

@@ -142,20 +142,25 @@ def check_structure(captures: DataFrame) -> DataFrame:
     return _result(measured, PAGE, *structure_result(F.col("structure")))
 
 
-def script_measures(html: Column) -> dict[str, Column]:
-    """Text, script and body sizes and signs of client-side rendering."""
-    inner = F.regexp_extract(html, r"(?i)<body[^>]*>([\s\S]*)</body>", 1)
-    body = F.when(html.rlike(r"(?i)<body[^>]*>[\s\S]*</body>"), inner).otherwise(html)
-    no_scripts = F.regexp_replace(body, r"(?i)<script[\s\S]*?</script>", "")
-    text = F.regexp_replace(F.regexp_replace(no_scripts, r"(?i)<style[\s\S]*?</style>", ""), r"<[^>]+>", "")
-    return {
-        "text_length": F.length(F.regexp_replace(text, r"^\s+|\s+$", "")),
-        "content_size": F.length(no_scripts),
-        "script_size": F.length(body) - F.length(no_scripts),
-        "empty_root": reduce(lambda a, b: a | b, [html.rlike(p) for p in EMPTY_ROOT]),
-        "semantic": body.rlike(SEMANTIC),
-        "frameworks": F.array_compact(F.array(*[F.when(html.rlike(p), F.lit(n)) for n, p in FRAMEWORKS])),
-    }
+def script_measures(html: Column) -> Column:
+    """struct of text, script and body sizes and signs of client-side rendering."""
+    body = F.when(
+        html.rlike(r"(?i)<body[^>]*>[\s\S]*</body>"), F.regexp_extract(html, r"(?i)<body[^>]*>([\s\S]*)</body>", 1)
+    ).otherwise(html)
+
+    def measured(b: Column, plain: Column) -> Column:
+        text = F.regexp_replace(F.regexp_replace(plain, r"(?i)<style[\s\S]*?</style>", ""), r"<[^>]+>", "")
+        return F.struct(
+            F.length(F.regexp_replace(text, r"^\s+|\s+$", "")).alias("text_length"),
+            F.length(plain).alias("content_size"),
+            (F.length(b) - F.length(plain)).alias("script_size"),
+            reduce(lambda x, y: x | y, [html.rlike(p) for p in EMPTY_ROOT]).alias("empty_root"),
+            b.rlike(SEMANTIC).alias("semantic"),
+            F.array_compact(F.array(*[F.when(html.rlike(p), F.lit(n)) for n, p in FRAMEWORKS])).alias("frameworks"),
+        )
+
+    without_scripts = lambda b: F.regexp_replace(b, r"(?i)<script[\s\S]*?</script>", "")
+    return bind(body, lambda b: bind(without_scripts(b), lambda plain: measured(b, plain)))
 
 
 def ssr_result() -> tuple:
@@ -173,7 +178,7 @@ def ssr_result() -> tuple:
 
 def check_ssr(captures: DataFrame) -> DataFrame:
     """Readable without scripts: full points less penalties for empty roots, little text, …"""
-    m = _desktop(captures).select(*PAGE, *[c.alias(n) for n, c in script_measures(F.col("html")).items()])
+    m = _desktop(captures).select(*PAGE, script_measures(F.col("html")).alias("s")).select(*PAGE, "s.*")
     return _result(m, PAGE, *ssr_result())
 
 
@@ -494,7 +499,7 @@ def page_checks(captures: DataFrame, bots: DataFrame) -> DataFrame:
     all_bots, named = blocking_tags(html, names)
     measures = {
         "structure": structure_score(html), "types": jsonld_types(html), "all_bots": all_bots, "named": named,
-        "blocking": blocking_headers(), **script_measures(html),
+        "blocking": blocking_headers(), "scripts": script_measures(html),
     }
     measured = captures.filter(F.col("variant").isin("desktop", "mobile")).select(
         *PAGE, "variant", "status", "ms", F.length(html).alias("size"),
@@ -505,7 +510,7 @@ def page_checks(captures: DataFrame, bots: DataFrame) -> DataFrame:
         *[F.max(F.when(F.col("variant") == v, F.col(c))).alias(f"{v}_{c}")
           for v in ("desktop", "mobile") for c in ("status", "ms", "size", "viewport")],
         F.first(F.when(desktop, F.struct(*measures)), ignorenulls=True).alias("m"),
-    ).select("*", "m.*")
+    ).select("*", "m.*").select("*", "scripts.*")
     known = [_speed_step(F.col(f"{v}_ms")) for v in ("desktop", "mobile")]
     results = [
         _as_row(*structure_result(F.col("structure"))),
