@@ -6,10 +6,8 @@ from pyspark.sql import functions as F
 
 from answerlens.catalog.registry import query
 from answerlens.functions import text as TX
-from answerlens.operators import entities as E
 from answerlens.operators import matching as MA
 from answerlens.operators import mentions as M
-from answerlens.operators.scale import materialize
 
 _SEP = r"[\s\-_.,;:!?''\"()\[\]{}]"
 # The pattern of a name, for the shapes that occur in the entity view.

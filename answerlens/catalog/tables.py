@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from answerlens.catalog.registry import query
 from answerlens.operators import entities as E
-from answerlens.operators import matching as MA
 from answerlens.operators import mentions as M
+from answerlens.operators.scale import broadcast_checked
 from answerlens.sources import ingest as I
 
 
@@ -216,7 +216,7 @@ ov as (select code, name, ord, kind, 'new' as pattern from patterns where code i
 select * from patterns where code not in (select code from ov) union all select * from ov""")
 def _merge_patterns(i):
     used = i.page_links.join(
-        F.broadcast(i.patterns.select("code", "pattern")), F.col("link").contains(F.col("pattern"))
+        broadcast_checked(i.patterns.select("code", "pattern")), F.col("link").contains(F.col("pattern"))
     ).select("code").distinct()
     changed = i.patterns.join(used, "code", "left_semi").filter(F.col("kind") == "contains").withColumn("pattern", F.lit("new"))
     extra = i.spark.createDataFrame([("xtr", "Extra", 99, "contains", "extra.")], "code string, name string, ord long, kind string, pattern string")

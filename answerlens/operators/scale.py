@@ -53,12 +53,7 @@ def with_group_total(df: DataFrame, keys: list[str], **totals: Column) -> DataFr
     Used in place of an unordered window, which would pull a whole group into one task.
     """
     sums = df.groupBy(*keys).agg(*[c.alias(n) for n, c in totals.items()])
-    return join_null_safe(df, sums, keys, "left")
-
-
-def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """Equi-join on ``keys``; keys are not null by the table contract."""
-    return left.join(right, keys, how)
+    return df.join(sums, keys, "left")
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[Column], bucket: Column, out: str) -> DataFrame:
