@@ -4,17 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from answerlens.llm.chat import conversation_digests, with_probe
 from answerlens.llm.forest import near_duplicates
+from answerlens.llm.layout import page_texts
 from answerlens.llm.mixing import mix_sources
 from answerlens.llm.packing import pack
+from answerlens.llm.ppm import score_documents
 from answerlens.llm.quality import repetition_rules
+from answerlens.llm.rotation import near_vectors
 from answerlens.llm.substrings import remove_repeats
+from answerlens.llm.warc import page_captures
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_digests(with_probe(_table(spark, sf_dir, "conversations")))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -23,6 +36,14 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op5_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op6_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_texts(_table(spark, sf_dir, "pages"))
+
+
 def op7_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rules(_table(spark, sf_dir, "documents"))
 
@@ -35,6 +56,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_captures(_table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -42,11 +67,16 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ppm": op1_ppm,
+    "op2_chat": op2_chat,
     "op3_mixing": op3_mixing,
     "op4_substrings": op4_substrings,
+    "op5_rotation": op5_rotation,
+    "op6_layout": op6_layout,
     "op7_repetition": op7_repetition,
     "op8_forest": op8_forest,
     "op9_packing": op9_packing,
+    "op10_warc": op10_warc,
     "pipeline": pipeline,
 }
 
