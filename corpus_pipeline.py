@@ -41,13 +41,14 @@ def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A text that lost words is its kept words joined by one space; ``n_chars`` follows.  Documents left empty go.
     """
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    out = remove_repeats(docs, keep=others, with_text=True).filter("n_removed < n_words")
-    out = out.withColumnRenamed("kept_text", "text")
-    if "n_chars" in others:
-        length = F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars"))
-        out = out.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    others = {f"__k{k}": c for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    plain = docs.select("doc_id", "text", *[F.col(c).alias(a) for a, c in others.items()])
+    out = remove_repeats(plain, keep=list(others), with_text=True).filter("n_removed < n_words")
+    columns = {"doc_id": F.col("doc_id"), "text": F.col("kept_text")} | {c: F.col(a) for a, c in others.items()}
+    if "n_chars" in columns:
+        length = F.when(F.col("n_removed") > 0, F.char_length("kept_text")).otherwise(columns["n_chars"])
+        columns["n_chars"] = length.cast(docs.schema["n_chars"].dataType)
+    return out.select(*[columns[c].alias(c) for c in docs.columns])
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
