@@ -9,7 +9,6 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from answerlens.operators.scale import spread
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -17,7 +16,6 @@ TABLES = [
 ]
 
 # Tables whose per-row work is heavy.
-_TEXT_TABLES = {"documents", "pages"}
 
 _HOST = "split_part(split_part(url,'/',3),':',1)"
 
@@ -256,8 +254,7 @@ def with_views(names: list[str], body: str) -> str:
 
 
 def _scan(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    return spread(df) if table in _TEXT_TABLES else df
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 _LOADED: dict[tuple[str, str, str], DataFrame] = {}

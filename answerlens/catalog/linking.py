@@ -83,18 +83,26 @@ def _clean_q(i):
     return i.pages.select("page_id", U.clean_url(F.col("url")).alias("cleaned"))
 
 
+_QUERIED = """case when contains(url, '?') or contains(url, '#') then url
+    when page_id % 4 = 0 then concat(url, '?b=1&&c=2') when page_id % 4 = 1 then concat(url, '?a=1&&utm_source=x&d')
+    when page_id % 4 = 2 then concat(url, '?&&#top') else url end"""
+
+
 @query("strip_tracking", [], f"""
 with q as (
-  select page_id, url, regexp_replace(url, '#.*$', '') as bare, regexp_extract(url, '(#.*)$', 1) as frag from pages
+  select page_id, u as url, regexp_replace(u, '#.*$', '') as bare, regexp_extract(u, '(#.*)$', 1) as frag
+  from (select page_id, {_QUERIED} as u from pages)
 ),
+p as (select *, string_split(substr(bare, length(split_part(bare, '?', 1)) + 2), '&') as parts from q),
 k as (
-  select *, list_filter(string_split(substr(bare, length(split_part(bare, '?', 1)) + 2), '&'),
-            lambda p: p <> '' and split_part(p, '=', 1) not in {_TRACK}) as kept from q
+  select *, case when len(list_filter(parts, lambda p: split_part(p, '=', 1) in {_TRACK})) = 0
+                  and len(list_filter(parts, lambda p: p <> '')) > 0 then parts
+            else list_filter(parts, lambda p: p <> '' and split_part(p, '=', 1) not in {_TRACK}) end as kept from p
 )
 select page_id, split_part(bare, '?', 1) || case when len(kept) > 0 then '?' || array_to_string(kept, '&') else '' end || frag as url
 from k""")
 def _strip(i):
-    return i.pages.select("page_id", U.strip_tracking(F.col("url")).alias("url"))
+    return i.pages.select("page_id", U.strip_tracking(F.expr(_QUERIED)).alias("url"))
 
 
 @query("hostname", [], f"select page_id, {_H.replace('link', 'url')} as host from pages")

@@ -311,19 +311,26 @@ def _similar(i):
     return i.page_links.select("ord", X.merge_similar(existing, new).alias("similar"))
 
 
-@query("clean_summaries", ["answers", "models"], r"""
-with s as (select answer_id, 'By ' || model_id || ' and x' || model_id || ' <b title="see ' || model_id || '">' || '  two' || chr(9) || 'tabs ' || text || '  ' as t, text, model_id from answers)
-select answer_id, md5(regexp_replace(regexp_replace(regexp_replace(
-   'By Model ' || substr(model_id, 4) || ' and x' || model_id || ' <b>  two' || chr(9) || 'tabs ' || text || '  ', '[ \t]+', ' ', 'g'),
-   '\n\s*\n\s*\n', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) as summary
+# Two projects that give the same ids different names.
+_PARITY = "case when length(text) % 2 = 0 then 'Even' else 'Odd' end"
+
+
+@query("clean_summaries", ["answers", "models"], rf"""
+with s as (select answer_id, text, model_id, {_PARITY} as word from answers)
+select answer_id, regexp_replace(regexp_replace(regexp_replace(
+   'By ' || word || ' ' || substr(model_id, 4) || ' and x' || model_id || ' <b>  two' || chr(9) || 'tabs ' || text || '  ', '[ \t]+', ' ', 'g'),
+   '\n\s*\n\s*\n', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') as summary
 from s""")
 def _clean(i):
-    names = i.models.select("model_id", F.concat(F.lit("Model "), F.substring("model_id", 4, 9)).alias("display_name")).distinct()
-    df = i.answers.select("answer_id", F.concat(
+    ids = i.models.select("model_id").distinct()
+    names = ids.select(F.explode(F.array(F.lit("Even"), F.lit("Odd"))).alias("project"), "model_id").withColumn(
+        "display_name", F.concat("project", F.lit(" "), F.substring("model_id", 4, 9))
+    )
+    df = i.answers.select(F.expr(_PARITY).alias("project"), "answer_id", F.concat(
         F.lit("By "), "model_id", F.lit(" and x"), "model_id", F.lit(' <b title="see '), "model_id", F.lit('">'),
         F.lit("  two\ttabs "), "text", F.lit("  "),
     ).alias("summary"))
-    return X.clean_summaries(df, names).withColumn("summary", F.md5("summary"))
+    return X.clean_summaries(df, names).drop("project")
 
 
 @query("entity_index", ["entities"], """

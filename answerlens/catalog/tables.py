@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from answerlens.catalog.registry import query
 from answerlens.operators import entities as E
 from answerlens.operators import mentions as M
-from answerlens.operators.scale import broadcast_checked
+
 from answerlens.sources import ingest as I
 
 
@@ -209,15 +209,16 @@ def _models(i):
     return I.resolve_models(m, ["display_name"]).select("project", "model_id", "estimated_mau", "display_name")
 
 
-@query("merge_patterns", ["patterns", "page_links"], """
-with used as (select distinct p.code from page_links l join patterns p on contains(l.link, p.pattern)),
-ov as (select code, name, ord, kind, 'new' as pattern from patterns where code in (select code from used) and kind = 'contains'
+@query("merge_patterns", ["page_links"], """
+with hosts as (select distinct split_part(split_part(link, '/', 1), '?', 1) as host from page_links),
+base as (select concat('c', length(host) % 9) as code, host, length(host) as ord, 'endswith' as kind from hosts),
+ov as (select code, concat('Type ', code) as name, ord, kind, concat('.', host) as pattern from base where code in ('c1', 'c4', 'c7')
        union all select 'xtr', 'Extra', 99, 'contains', 'extra.')
-select * from patterns where code not in (select code from ov) union all select * from ov""")
+select code, concat('Type ', code) as name, ord, kind, host as pattern from base where code not in (select code from ov) union all select * from ov""")
 def _merge_patterns(i):
-    used = i.page_links.join(
-        broadcast_checked(i.patterns.select("code", "pattern")), F.col("link").contains(F.col("pattern"))
-    ).select("code").distinct()
-    changed = i.patterns.join(used, "code", "left_semi").filter(F.col("kind") == "contains").withColumn("pattern", F.lit("new"))
+    base = i.page_links.select(F.regexp_extract("link", r"^([^/?]*)", 1).alias("host")).distinct().select(
+        F.concat(F.lit("c"), (F.length("host") % 9).cast("string")).alias("code"), "host", F.length("host").cast("long").alias("ord"),
+    ).select("code", F.concat(F.lit("Type "), "code").alias("name"), "ord", F.lit("endswith").alias("kind"), F.col("host").alias("pattern"))
+    changed = base.filter(F.col("code").isin("c1", "c4", "c7")).withColumn("pattern", F.concat(F.lit("."), "pattern"))
     extra = i.spark.createDataFrame([("xtr", "Extra", 99, "contains", "extra.")], "code string, name string, ord long, kind string, pattern string")
-    return I.merge_patterns(i.patterns, changed.select(*extra.columns).unionByName(extra))
+    return I.merge_patterns(base, changed.unionByName(extra))

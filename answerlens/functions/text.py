@@ -92,28 +92,43 @@ def mask_link_urls(text: Column) -> Column:
     return F.regexp_replace(text, r"(?:(\[[^\]]+\]\((?=[^)]+\)))|\G(?!^))[^)]", "$1#")
 
 
+_SPANS = "cast(array() as array<struct<pos:int,len:int>>)"
+
+
 def hits(text: Column, pattern: Column) -> Column:
-    """array<struct(pos, len)> of all non-overlapping matches in order."""
+    """array<struct(pos, len)> of all non-overlapping matches in order.
+
+    Offsets are running sums.  They are formed in blocks of about the root of their number, first inside each block
+    and then over the blocks, since every append copies its array.
+    """
     gaps = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     steps = bind(gaps, lambda g: F.transform(found, lambda m, i: F.struct(
         F.length(F.get(g, i)).alias("gap"), F.length(m).alias("len")
     )))
-    start = F.struct(
-        F.lit(1).alias("at"),
-        F.expr("cast(array() as array<struct<pos:int,len:int>>)").alias("out"),
-    )
-    return F.aggregate(
-        steps,
-        start,
-        lambda acc, s: F.struct(
+
+    def run(block: Column) -> Column:
+        start = F.struct(F.lit(1).alias("at"), F.expr(_SPANS).alias("out"))
+        return F.aggregate(block, start, lambda acc, s: F.struct(
             (acc["at"] + s["gap"] + s["len"]).alias("at"),
-            F.array_append(
-                acc["out"], F.struct((acc["at"] + s["gap"]).alias("pos"), s["len"].alias("len"))
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+            F.array_append(acc["out"], F.struct((acc["at"] + s["gap"]).alias("pos"), s["len"].alias("len"))).alias("out"),
+        ))
+
+    def joined(blocks: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+        shifts = F.aggregate(blocks, start, lambda acc, b: F.struct(
+            (acc["at"] + b["at"] - 1).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")
+        ), lambda acc: acc["out"])
+        return bind(shifts, lambda by: F.flatten(F.transform(blocks, lambda b, k: F.transform(b["out"], lambda h: F.struct(
+            (h["pos"] + F.get(by, k)).alias("pos"), h["len"].alias("len")
+        )))))
+
+    def in_blocks(all_: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(all_))).cast("int")
+        firsts = F.sequence(F.lit(1), F.size(all_), size)
+        return bind(F.transform(firsts, lambda k: run(F.slice(all_, k, size))), joined)
+
+    return bind(steps, lambda s: F.when(F.size(s) == 0, F.expr(_SPANS)).when(F.size(s) <= 64, run(s)["out"]).otherwise(in_blocks(s)))
 
 
 def hit_positions(text: Column, pattern: Column) -> Column:

@@ -31,10 +31,11 @@ def strip_tracking(url: Column) -> Column:
     bare = F.regexp_replace(url, r"#.*$", "")
     base = F.substring_index(bare, "?", 1)
     query = F.when(bare.contains("?"), F.substring(bare, F.length(base) + 2, F.length(bare)))
-    kept = F.filter(
-        F.split(query, "&"),
-        lambda p: (p != "") & ~F.substring_index(p, "=", 1).isin(TRACKING_PARAMS),
-    )
+    tracking = lambda p: F.substring_index(p, "=", 1).isin(TRACKING_PARAMS)
+    parts = F.split(query, "&")
+    # Empty parts go along with tracking parameters; a query without any stays as it is.
+    filled = F.exists(parts, lambda p: p != "")
+    kept = F.when(F.exists(parts, tracking) | ~filled, F.filter(parts, lambda p: (p != "") & ~tracking(p))).otherwise(parts)
     authority = F.regexp_extract(base, r"^((?:[A-Za-z]+://)?[^/]*)", 1)
     rest = F.substring(base, F.length(authority) + 1, F.length(base))
     # A URL with an empty path reads as its root.

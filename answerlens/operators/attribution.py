@@ -16,7 +16,7 @@ from answerlens.functions import text as TX
 from answerlens.functions import urls as U
 from answerlens.operators.links import links_in
 from answerlens.operators.scale import materialize
-from answerlens.operators.matching import _group_keys, candidate_pairs, search_terms
+from answerlens.operators.matching import _group_keys, search_terms, with_candidates
 
 # How far a link may be from the name it is a source for.
 MAX_SENTENCE_MARKS, MAX_WORDS = 2, 250
@@ -118,37 +118,34 @@ def _leading_lists(sents: Column) -> Column:
     return F.transform(sents, lambda x: F.when(x["text"].rlike(_STARTS_WITH_LINK), links_in(x["text"])))
 
 
-def _forward(leads: Column) -> Column:
-    """Per sentence: the first link of the first leading sentence among it and the next two."""
-    ahead = lambda i: F.filter(
-        F.slice(leads, i + 1, F.lit(FORWARD_SENTENCES + 1)), lambda l: F.coalesce(F.size(l) > 0, F.lit(False))
-    )
-    return F.transform(leads, lambda l, i: F.try_element_at(F.try_element_at(ahead(i), F.lit(1)), F.lit(1)))
+def _ahead(leads: Column, i: Column, filled: bool) -> Column:
+    """Links of the first leading sentence among a sentence and the next two, or of the first that has any."""
+    good = lambda l: F.coalesce(F.size(l) > 0, F.lit(False)) if filled else l.isNotNull()
+    return F.try_element_at(F.filter(F.slice(leads, i + 1, F.lit(FORWARD_SENTENCES + 1)), good), F.lit(1))
 
 
-def _backward(sents: Column, leads: Column) -> Column:
-    """Per sentence: the links of the nearest leading sentence before it in its paragraph."""
-    none = F.expr("cast(array() as array<string>)")
-    start = F.struct(none.alias("now"), F.expr("cast(array() as array<array<string>>)").alias("out"))
-    both = F.arrays_zip(F.transform(sents, lambda x: F.length(x["text"]) < MIN_SENTENCE).alias("short"), leads.alias("leads"))
-    return F.aggregate(both, start, lambda acc, x: F.struct(
-        F.when(x["short"], none).otherwise(F.coalesce(x["leads"], acc["now"])).alias("now"),
-        F.array_append(acc["out"], acc["now"]).alias("out"),
-    ), lambda acc: acc["out"])
-
-
-def links_at_sentence_start(sents: Column, term: Column, forward: Column, backward: Column) -> Column:
-    """Leading links: of the name's sentence or the next two, the first link of the first sentence
-    that begins with one; if no name has any yet, all links of the nearest such sentence before it
-    in the paragraph.  ``forward`` and ``backward`` hold these per sentence of the answer."""
+def _behind(sents: Column, leads: Column, i: Column) -> Column:
+    """Links of the nearest leading sentence before a sentence in its paragraph."""
+    last = lambda array, good: F.coalesce(F.array_max(F.transform(array, lambda x, k: F.when(good(x) & (k < i), k))), F.lit(-1))
+    lead, short = last(leads, lambda l: l.isNotNull()), last(sents, lambda x: F.length(x["text"]) < MIN_SENTENCE)
+    return TX.bind(lead, lambda k: F.when(k > short, F.get(leads, k)))
+
+
+def links_at_sentence_start(sents: Column, term: Column, leads: Column) -> Column:
+    """Leading links.  Each sentence with the name gives the next link not yet given of the first sentence, among it
+    and the next two, that begins with a link; while there is none, all links of the nearest such
+    sentence before it in the paragraph.  ``leads`` holds the links of each leading sentence, null for others."""
     none = F.expr("cast(array() as array<string>)")
     places = F.filter(
         F.transform(sents, lambda x, i: F.when(x["low"].contains(term), i)), lambda i: i.isNotNull()
     )
+    fresh = lambda acc, links: F.slice(F.filter(links, lambda u: ~F.array_contains(acc, u)), 1, 1)
     return F.aggregate(
         places, none,
-        lambda acc, i: F.when(F.get(forward, i).isNotNull(), F.array_union(acc, F.array(F.get(forward, i))))
-        .when(F.size(acc) == 0, F.get(backward, i)).otherwise(acc),
+        lambda acc, i: F.when(
+            F.size(acc) == 0,
+            F.coalesce(F.slice(_ahead(leads, i, True), 1, 1), F.array_distinct(_behind(sents, leads, i)), none),
+        ).otherwise(F.concat(acc, F.coalesce(fresh(acc, _ahead(leads, i, False)), none))),
     )
 
 
@@ -177,63 +174,63 @@ def links_in_citations(citations: Column, term: Column) -> Column:
     return F.coalesce(F.slice(_cleaned(named), 1, 1), F.expr("cast(array() as array<string>)"))
 
 
-def _indexed_text(responses: DataFrame) -> DataFrame:
-    """The words an entity may be found by: content, citation URLs, annotation texts."""
+def _searched_text() -> Column:
+    """All an entity may be found in: content, citation URLs, annotation texts."""
     decoded = lambda u: F.coalesce(U.percent_decode(u), u)
     notes = F.transform("annotations", lambda a: F.concat_ws(
         " ", a["url_citation"]["title"], a["url_citation"]["content"], decoded(a["url_citation"]["url"])
     ))
-    return responses.select(*S.SNAPSHOT, "answer_id", F.concat_ws(
+    return F.concat_ws(
         " ", F.col("content"), F.array_join(F.transform("citations", decoded), " "), F.array_join(notes, " ")
-    ).alias("text"))
+    )
 
 
 def _pairs(responses: DataFrame, entities: DataFrame) -> DataFrame:
-    """One row per (answer, candidate name) with what the strategies need, prepared per answer."""
+    """One row per answer and list of names with what the strategies need; ``terms`` are the names it may hold."""
     keys = _group_keys(responses, entities)
     named = entities.withColumn("section", F.lit("name"))  # links are matched by their full text here
-    candidates = candidate_pairs(_indexed_text(responses), search_terms(named, keys), keys)
     sents = F.transform(TX.split_sentences(F.coalesce("content", F.lit(""))), lambda s: F.struct(
         s.alias("text"), F.lower(s).alias("low"), s.rlike(r"\[\d+\]|\]\(|https?://").alias("linked")
     ))
     return (
-        responses.join(candidates, "answer_id")
+        with_candidates(responses, search_terms(named, keys), keys, _searched_text())
         .withColumn("sents", sents)
         .withColumn("leads", _leading_lists(F.col("sents")))
-        .withColumn("forward", _forward(F.col("leads")))
-        .withColumn("backward", _backward(F.col("sents"), F.col("leads")))
-        .select(*S.SNAPSHOT, "model_id", "answer_id", "sents", "forward", "backward", "citations", "annotations",
-                F.explode(F.array_distinct(F.transform("terms", lambda t: t["term"]))).alias("term"))
+        .select(*S.SNAPSHOT, "model_id", "answer_id", "sents", "leads", "citations", "annotations",
+                F.array_distinct(F.transform("terms", lambda t: t["term"])).alias("terms"))
     )
 
 
 def links_by_strategy(responses: DataFrame, entities: DataFrame) -> DataFrame:
     """(answer, term) with the links of each strategy: annotated, near, leading, cited."""
     term = F.col("term")
-    return _pairs(responses, entities).select(
+    return _pairs(responses, entities).withColumn("term", F.explode("terms")).select(
         *S.SNAPSHOT, "model_id", "answer_id", "term",
         links_in_annotations(F.col("annotations"), F.trim(term)).alias("annotated"),
         links_near(F.col("sents"), term, F.col("citations")).alias("near"),
-        links_at_sentence_start(F.col("sents"), term, F.col("forward"), F.col("backward")).alias("leading"),
+        links_at_sentence_start(F.col("sents"), term, F.col("leads")).alias("leading"),
         links_in_citations(F.col("citations"), F.trim(term)).alias("cited"),
     )
 
 
 def answer_sources(responses: DataFrame, entities: DataFrame) -> DataFrame:
     """(answer, term, url): annotations and near links; if none leading links; if none citations."""
-    term = F.col("term")
-    first = F.concat(
-        links_in_annotations(F.col("annotations"), F.trim(term)),
-        links_near(F.col("sents"), term, F.col("citations")),
-    )
-    leading = links_at_sentence_start(F.col("sents"), term, F.col("forward"), F.col("backward"))
-    cited = links_in_citations(F.col("citations"), F.trim(term))
     # Later strategies only run where the earlier ones found nothing.
     or_else = lambda found, other: F.when(F.size(found) > 0, found).otherwise(other)
-    chosen = TX.bind(first, lambda a: or_else(a, TX.bind(leading, lambda b: or_else(b, cited))))
+
+    def chosen(term: Column) -> Column:
+        first = F.concat(
+            links_in_annotations(F.col("annotations"), F.trim(term)),
+            links_near(F.col("sents"), term, F.col("citations")),
+        )
+        leading = links_at_sentence_start(F.col("sents"), term, F.col("leads"))
+        cited = links_in_citations(F.col("citations"), F.trim(term))
+        return TX.bind(first, lambda a: or_else(a, TX.bind(leading, lambda b: or_else(b, cited))))
+
+    given = F.transform("terms", lambda t: F.struct(t.alias("term"), F.array_distinct(chosen(t)).alias("urls")))
     return _pairs(responses, entities).select(
-        *S.SNAPSHOT, "model_id", "answer_id", "term", F.explode(F.array_distinct(chosen)).alias("url")
-    )
+        *S.SNAPSHOT, "model_id", "answer_id", F.explode(F.filter(given, lambda g: F.size(g["urls"]) > 0)).alias("g")
+    ).select(*S.SNAPSHOT, "model_id", "answer_id", "g.term", F.explode("g.urls").alias("url"))
 
 
 def dedupe_sources(sources: DataFrame, keys: list[str]) -> DataFrame:
@@ -289,7 +286,7 @@ def context_windows(responses: DataFrame, entities: DataFrame, radius: int = 2)
         F.filter(index, lambda i: F.element_at("sents", i)["low"].contains(term)),
         lambda i: F.struct(F.greatest(F.lit(1), i - radius).alias("first"), F.least(n, i + radius).alias("last")),
     ))
-    return _pairs(responses, entities).select(
+    return _pairs(responses, entities).withColumn("term", F.explode("terms")).select(
         *S.SNAPSHOT, "model_id", "answer_id", "term", "sents", F.explode(ranges).alias("r")
     ).select(
         *S.SNAPSHOT, "model_id", "answer_id", "term",

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from answerlens.functions import scores as SC
 from answerlens.functions import urls as U
 from answerlens.functions.text import bind
-from answerlens.operators.scale import broadcast_checked
+
 
 # Checks and the most points each can give.
 MAX_SCORES = {
@@ -77,17 +77,16 @@ NO_RESULTS = [
     "Too few matches were found", "No results found for", "There are no results for",
 ]
 BOT_TAGS = {"bots_training": "training", "bots_search": "search", "bots_user": "user"}
-MAX_CONFIG_ROWS = 10_000
 
 PAGE = ["site", "url"]
 
 
-def config_rows(df: DataFrame, max_rows: int = MAX_CONFIG_ROWS) -> list:
-    """Rows of a configuration table, refused above ``max_rows``."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"configuration table has more than {max_rows} rows")
-    return rows
+def config_list(df: DataFrame, value: Column) -> Column:
+    """The distinct values of a configuration table as one sorted array, by a scalar subquery.
+
+    These tables (bots, their products, markers) hold what an audit is set up with, never data.
+    """
+    return df.agg(F.sort_array(F.collect_set(value)).alias("v")).scalar()
 
 
 def _result_columns(check: str, score: Column, passed: Column, details: Column | None, error: Column | None) -> list[Column]:
@@ -207,34 +206,29 @@ def check_jsonld(captures: DataFrame) -> DataFrame:
     return _result(typed, PAGE, *jsonld_result())
 
 
-def blocking_tags(html: Column, names: list[str]) -> tuple[Column, Column]:
-    """(whether a ``robots`` tag blocks, array of the blocking bot tags)."""
+def blocking_tags(html: Column, bots: Column) -> tuple[Column, Column]:
+    """(whether a ``robots`` tag blocks, array of the blocking tags named after one of the lower-cased bots)."""
     tag = r"(?i)<meta\s+name=[\"'](NAMES)[\"']\s+content=[\"'][^\"']*\b(?:noindex|noai|noimageai|nosnippet)\b[^\"']*[\"']"
-    quoted = "|".join(sorted(_quote(n) for n in names)) or "(?!)"
-    found = F.array_distinct(F.transform(
-        F.regexp_extract_all(html, F.lit(tag.replace("NAMES", quoted)), F.lit(1)), lambda n: F.lower(n)
-    ))
-    return html.rlike(tag.replace("NAMES", "robots")), found
+    named = F.transform(F.regexp_extract_all(html, F.lit(tag.replace("NAMES", "[^\"']+")), F.lit(1)), F.lower)
+    return html.rlike(tag.replace("NAMES", "robots")), F.array_intersect(named, bots)
 
 
-def meta_result(n_bots: int) -> tuple:
+def meta_result(n_bots: Column) -> tuple:
     top = float(MAX_SCORES["meta_tags"])
     score = F.when(F.col("all_bots"), F.lit(0.0)).otherwise(
-        F.greatest(F.lit(0.0), F.lit(top) - F.size("named") * F.lit(top / max(1, n_bots)))
+        F.greatest(F.lit(0.0), F.lit(top) - F.size("named") * (F.lit(top) / F.greatest(F.lit(1), n_bots)))
     )
     return "meta_tags", score, score == top, F.array_join("named", ", ")
 
 
 def check_meta_tags(captures: DataFrame, bots: DataFrame) -> DataFrame:
     """A blocking ``robots`` tag costs all points, each blocking bot tag its part."""
-    names = [r["bot"] for r in config_rows(bots.select("bot").distinct())]
-    all_bots, named = blocking_tags(F.col("html"), names)
-    tagged = _desktop(captures).select(*PAGE, all_bots.alias("all_bots"), named.alias("named"))
-    return _result(tagged, PAGE, *meta_result(len(names)))
-
-
-def _quote(text: str) -> str:
-    return "".join(c if c.isalnum() else "\\" + c for c in text)
+    names = config_list(bots, F.col("bot"))
+    all_bots, named = blocking_tags(F.col("html"), config_list(bots, F.lower("bot")))
+    tagged = _desktop(captures).select(
+        *PAGE, all_bots.alias("all_bots"), named.alias("named"), F.size(names).alias("n_bots")
+    )
+    return _result(tagged, PAGE, *meta_result(F.col("n_bots")))
 
 
 def _similar(a: Column, b: Column, tolerance: float) -> Column:
@@ -341,9 +335,10 @@ def robots_rules(robots: Column, strict: bool = False) -> Column:
 
 def robots_blocked(robots: DataFrame, bots: DataFrame, strict: bool = False) -> DataFrame:
     """(site, bot, blocked): the last root rule for the bot or for ``*`` decides."""
-    names = [r["bot"] for r in config_rows(bots.select("bot").distinct().orderBy("bot"))]
-    ruled = robots.select("site", robots_rules(F.col("robots"), strict).alias("rules"))
-    each = ruled.select("site", "rules", F.explode(F.array(*[F.lit(n) for n in names])).alias("bot"))
+    ruled = robots.select(
+        "site", robots_rules(F.col("robots"), strict).alias("rules"), config_list(bots, F.col("bot")).alias("bots")
+    )
+    each = ruled.select("site", "rules", F.explode("bots").alias("bot"))
     mine = F.filter("rules", lambda r: (r["agent"] == "*") | (r["agent"] == F.lower(F.col("bot"))))
     return each.select(
         "site", "bot", F.coalesce(F.try_element_at(mine, F.lit(-1))["blocked"], F.lit(False)).alias("blocked")
@@ -355,17 +350,11 @@ def product_visibility(blocked: DataFrame, bot_products: DataFrame, keys: list[s
 
     Bots of a product that ``blocked`` does not mention count as open.
     """
-    products = config_rows(bot_products.select("product", "bot").distinct().orderBy("product", "bot"))
-    by_product: dict[str, list[str]] = {}
-    for r in products:
-        by_product.setdefault(r["product"], []).append(r["bot"])
     closed = blocked.groupBy(*keys).agg(
         F.collect_set(F.when(F.col("blocked"), F.col("bot"))).alias("closed")
     )
-    rows = F.array(*[
-        F.struct(F.lit(p).alias("product"), F.array(*[F.lit(b) for b in bots]).alias("bots"))
-        for p, bots in by_product.items()
-    ])
+    products = bot_products.groupBy("product").agg(F.sort_array(F.collect_set("bot")).alias("bots"))
+    rows = config_list(products, F.struct("product", "bots"))
     return closed.select(*keys, "closed", F.explode(rows).alias("p")).select(
         *keys, F.col("p.product").alias("product"),
         (F.size(F.array_except("p.bots", "closed")) > 0).alias("visible"),
@@ -429,7 +418,7 @@ def bot_access(captures: DataFrame, bot_captures: DataFrame) -> DataFrame:
 def check_bot_access(captures: DataFrame, bot_captures: DataFrame, bots: DataFrame,
                      bot_products: DataFrame, check: str) -> DataFrame:
     """One check per kind of bot; products keep their untested bots as open."""
-    tested = broadcast_checked(bots.filter(F.col("tag") == BOT_TAGS[check]).select("bot").distinct())
+    tested = bots.filter(F.col("tag") == BOT_TAGS[check]).select("bot").distinct()
     access = bot_access(captures, bot_captures.join(tested, "bot", "left_semi"))
     shares = _visible_share(access, bot_products, PAGE)
     top = MAX_SCORES[check]
@@ -441,7 +430,7 @@ def check_bot_access(captures: DataFrame, bot_captures: DataFrame, bots: DataFra
 def check_crawl_presence(sites: DataFrame, crawl_index: DataFrame, newest: int = 3) -> DataFrame:
     """Site domain present in one of the newest crawl indexes (``crawl_id``, ``domain``)."""
     ids = crawl_index.select("crawl_id").distinct().orderBy(F.desc("crawl_id")).limit(newest)
-    domains = crawl_index.join(broadcast_checked(ids), "crawl_id", "left_semi").select("domain").distinct()
+    domains = crawl_index.join(ids, "crawl_id", "left_semi").select("domain").distinct()
     found = sites.select("site", U.hostname(F.col("site")).alias("domain")).distinct().join(
         domains.withColumn("found", F.lit(True)), "domain", "left"
     )
@@ -474,18 +463,16 @@ def check_search_presence(result_pages: DataFrame, markers: DataFrame) -> DataFr
     ``markers`` (engine, pattern) are configuration.  Informational: not part of ``audit_score``
     unless its rows are added.
     """
-    by_engine: dict[str, list[str]] = {}
-    for r in config_rows(markers.select("engine", "pattern").distinct().orderBy("engine", "pattern")):
-        by_engine.setdefault(r["engine"], []).append(r["pattern"])
+    patterns = markers.groupBy("engine").agg(F.array_join(F.sort_array(F.collect_set(
+        F.concat(F.lit("(?:"), "pattern", F.lit(")"))
+    )), "|").alias("listed"))
     html = F.col("html")
-    marked = reduce(lambda a, b: a | b, [
-        (F.col("engine") == e) & html.rlike("|".join(f"(?:{p})" for p in ps)) for e, ps in by_engine.items()
-    ], F.lit(False))
+    marked = F.coalesce(F.regexp_like(html, F.col("listed")), F.lit(False))
     ok = (
         (F.col("status") == 200) & invalid_reason(html).isNull()
         & ~html.rlike("(?i)" + "|".join(NO_RESULTS)) & marked
     )
-    found = result_pages.select("site", "engine", F.coalesce(ok, F.lit(False)).alias("ok"))
+    found = result_pages.join(patterns, "engine", "left").select("site", "engine", F.coalesce(ok, F.lit(False)).alias("ok"))
     return _result(found, ["site", "engine"], "search_presence",
                    F.when(F.col("ok"), MAX_SCORES["search_presence"]).otherwise(0), F.col("ok"))
 
@@ -495,8 +482,8 @@ def page_checks(captures: DataFrame, bots: DataFrame) -> DataFrame:
     the measured values of a page's two variants are shuffled together."""
     html = F.col("html")
     desktop = F.col("variant") == "desktop"
-    names = [r["bot"] for r in config_rows(bots.select("bot").distinct())]
-    all_bots, named = blocking_tags(html, names)
+    names = config_list(bots, F.col("bot"))
+    all_bots, named = blocking_tags(html, config_list(bots, F.lower("bot")))
     measures = {
         "structure": structure_score(html), "types": jsonld_types(html), "all_bots": all_bots, "named": named,
         "blocking": blocking_headers(), "scripts": script_measures(html),
@@ -510,11 +497,11 @@ def page_checks(captures: DataFrame, bots: DataFrame) -> DataFrame:
         *[F.max(F.when(F.col("variant") == v, F.col(c))).alias(f"{v}_{c}")
           for v in ("desktop", "mobile") for c in ("status", "ms", "size", "viewport")],
         F.first(F.when(desktop, F.struct(*measures)), ignorenulls=True).alias("m"),
-    ).select("*", "m.*").select("*", "scripts.*")
+    ).select("*", "m.*").select("*", "scripts.*", F.size(names).alias("n_bots"))
     known = [_speed_step(F.col(f"{v}_ms")) for v in ("desktop", "mobile")]
     results = [
         _as_row(*structure_result(F.col("structure"))),
-        _as_row(*ssr_result()), _as_row(*jsonld_result()), _as_row(*meta_result(len(names))),
+        _as_row(*ssr_result()), _as_row(*jsonld_result()), _as_row(*meta_result(F.col("n_bots"))),
         _as_row(*mobile_result()), _as_row(*headers_result()),
         _as_row(*speed_result(F.when(known[0].isNotNull() | known[1].isNotNull(),
                                      F.coalesce(known[0], F.lit(0)) + F.coalesce(known[1], F.lit(0))))),

@@ -7,9 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from answerlens import schemas as S
 from answerlens.functions import text as TX
 from answerlens.functions import urls as U
-from answerlens.operators.audit import config_rows
-from answerlens.operators.matching import _group_keys, candidate_pairs, search_terms
-from answerlens.operators.scale import broadcast_checked, ranked
+from answerlens.operators.matching import _group_keys, candidate_pairs, search_terms, with_candidates
+from answerlens.operators.scale import ranked
 
 # Domain endings tried for a name, in this order.
 ENDINGS = [".com", ".org", ".ai", ".io"]
@@ -28,7 +27,7 @@ ANSWERS_PER_PART = 64
 def entity_links_from_answers(entities: DataFrame, answers: DataFrame) -> DataFrame:
     """(entity keys, link): target of the first markdown link whose text contains the name.
 
-    Only entities without a link.  Link texts are found through the inverted index, answers are
+    Only entities without a link.  Names meet link texts, answers are
     taken in ``answer_id`` order.
     """
     todo = entities.filter(F.trim(F.coalesce("link", F.lit(""))) == "") if "link" in entities.columns else entities
@@ -46,7 +45,7 @@ def entity_links_from_answers(entities: DataFrame, answers: DataFrame) -> DataFr
     )
     named = todo.withColumn("section_", F.col("section")).withColumn("section", F.lit("name"))
     terms = search_terms(named, keys)
-    pairs = links.join(candidate_pairs(links, terms, keys), "answer_id").withColumn(
+    pairs = with_candidates(links, terms, keys, F.col("text")).withColumn(
         "term", F.explode(F.array_distinct(F.transform("terms", lambda t: t["term"])))
     ).filter(F.lower("text").contains(F.col("term")))
     best = pairs.groupBy(*S.SNAPSHOT, "term").agg(F.min_by("url", "answer_id").alias("link"))
@@ -167,40 +166,44 @@ def merge_similar(existing: Column, new: Column, most: int = MAX_SIMILAR) -> Col
     return F.array_join(F.slice(F.array_distinct(F.concat(old, new)), 1, most), ",")
 
 
-def _edge(term: str) -> str:
-    """Quoted id between ASCII word boundaries."""
-    word = lambda ch: ch.isascii() and (ch.isalnum() or ch == "_")
-    quoted = "".join(ch if word(ch) else "\\" + ch for ch in term)
-    before = "(?<![A-Za-z0-9_])" if word(term[0]) else "(?<=[A-Za-z0-9_])"
-    after = "(?![A-Za-z0-9_])" if word(term[-1]) else "(?=[A-Za-z0-9_])"
-    return before + quoted + after
-
-
-def clean_summary(text: Column, models: list) -> Column:
+def clean_summary(text: Column, names: Column) -> Column:
     """Strip broken HTML attributes, show model names for ids (longest first), squeeze blanks.
 
-    All ids are found in one pass and looked up in a map.
+    ``names`` is array<struct(model_id, display_name)> or null.  All ids are found in one pass and looked up in a map.
     """
     c = F.regexp_replace(text, r'\s*(title|alt|data-[a-z-]+)="[^"]*">', ">")
     c = F.regexp_replace(c, r'"\s*>', "")
-    if models:
-        rows = sorted(models, key=lambda r: (-len(r["model_id"]), r["model_id"]))
-        names = F.create_map(*[F.lit(v) for r in rows for v in (r["model_id"], r["display_name"])])
-        ids = "|".join(_edge(r["model_id"]) for r in rows)
-        c = TX.bind(c, lambda t: TX.bind(F.regexp_extract_all(t, F.lit(f"({ids})"), F.lit(1)), lambda found: F.array_join(
-            F.transform(F.split(t, ids, -1), lambda p, i: F.concat(
-                p, F.coalesce(F.try_element_at(names, F.get(found, i)), F.lit(""))
-            )), "",
-        )))
+    by_size = F.sort_array(F.transform(names, lambda n: F.struct(
+        (-F.length(n["model_id"])).alias("size"), n["model_id"].alias("model_id"), n["display_name"].alias("display_name")
+    )))
+
+    def named(args: Column) -> Column:
+        t, rows = args["text"], args["rows"]
+        ids = F.array_join(F.transform(rows, lambda r: TX.word_bounded(r["model_id"])), "|")
+        shown = F.map_from_entries(F.transform(rows, lambda r: F.struct(r["model_id"], r["display_name"])))
+        return TX.bind(F.struct(ids.alias("ids"), shown.alias("shown")), lambda x: TX.bind(
+            F.regexp_extract_all(t, F.concat(F.lit("("), x["ids"], F.lit(")")), F.lit(1)),
+            lambda found: F.array_join(F.transform(F.split(t, x["ids"], -1), lambda p, i: F.concat(
+                p, F.coalesce(F.try_element_at(x["shown"], F.get(found, i)), F.lit(""))
+            )), ""),
+        ))
+
+    c = TX.bind(F.struct(c.alias("text"), by_size.alias("rows")), lambda a: F.when(
+        F.coalesce(F.size(a["rows"]), F.lit(0)) > 0, named(a)
+    ).otherwise(a["text"]))
     c = F.regexp_replace(c, r"[ \t]+", " ")
     c = F.regexp_replace(c, r"\n\s*\n\s*\n", "\n\n")
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
 def clean_summaries(df: DataFrame, models: DataFrame, column: str = "summary") -> DataFrame:
-    """Clean a summary column; the model list is configuration of bounded size."""
-    rows = config_rows(models.select("model_id", "display_name").distinct())
-    return df.withColumn(column, clean_summary(F.col(column), rows))
+    """Clean a summary column with the model names of each row's project.
+
+    Of several names for an id the last by code point is shown; empty ids are never replaced.
+    """
+    known = models.filter("model_id <> ''").groupBy("project", "model_id").agg(F.max("display_name").alias("display_name"))
+    names = known.groupBy("project").agg(F.collect_list(F.struct("model_id", "display_name")).alias("__names"))
+    return df.join(names, "project", "left").withColumn(column, clean_summary(F.col(column), F.col("__names"))).select(*df.columns)
 
 
 def entity_index(entities: DataFrame, keys: list[str]) -> DataFrame:
@@ -221,8 +224,8 @@ _SKIP_CLOSE = r"(?i)^</(code|pre|script|style|a)\s*>"
 def annotate_text(texts: DataFrame, entities: DataFrame) -> DataFrame:
     """Wrap names in HTML text, outside code, pre, script, style and a elements.
 
-    In each text segment only the longest name that occurs is wrapped, everywhere in it.  Names
-    meet texts through the inverted index, so a text is tested only for names it can hold.
+    In each text segment only the longest name that occurs is wrapped, everywhere in it.  A
+    text is tested only for names it can hold.
     """
     keys = _group_keys(texts, entities)
     index = entity_index(entities, keys)

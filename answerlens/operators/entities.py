@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from answerlens import schemas as S
-from answerlens.operators.scale import broadcast_checked, ranked
+from answerlens.operators.scale import ranked
 from answerlens.operators.trends import earlier_values
 
 HISTORY_DATES = 10  # fixed value: earlier complete dates searched
@@ -105,10 +105,10 @@ def complete_dates(answers: DataFrame, questions: DataFrame, models: DataFrame)
         .select("project", (F.col("q") * F.col("m")).alias("wanted"))
     )
     listed = answers.select("project", "question_id", "model_id", "date").join(
-        broadcast_checked(questions.select("project", "question_id").distinct()),
+        questions.select("project", "question_id").distinct(),
         ["project", "question_id"], "left_semi",
     ).join(
-        broadcast_checked(models.select("project", "model_id").distinct()), ["project", "model_id"], "left_semi"
+        models.select("project", "model_id").distinct(), ["project", "model_id"], "left_semi"
     )
     # Distinct cells first, so a date with many answers is spread over (question, model).
     got = listed.distinct().groupBy("project", "date").agg(F.count(F.lit(1)).alias("got"))

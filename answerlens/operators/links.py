@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from answerlens import schemas as S
 from answerlens.functions import scores as SC
+from answerlens.functions import text as TX
 from answerlens.functions import urls as U
-from answerlens.operators.scale import broadcast_checked, with_group_total
+from answerlens.operators.scale import with_group_total
 
 OTHER_CODE, OTHER_NAME = "oth", "Other"  # fixed values
-MAX_PATTERNS = 10_000
+PIECE = 4
 
 
 def links_in(text: Column) -> Column:
@@ -55,75 +56,85 @@ def answer_links(answers: DataFrame) -> DataFrame:
 def extract_links(answers: DataFrame) -> DataFrame:
     """Distinct links of a snapshot's answers, unclassified.
 
-    A bare domain is left out if another answer of the snapshot gives it as part of a URL.
+    A bare domain is left out if another answer of the snapshot gives it as part of a URL; one given by its root URL is
+    the same link as the bare domain and stays.  Each text is scanned once: a link comes with a mark whether the text
+    gives it as a root URL.
     """
-    found = answer_links(answers).select(*S.SNAPSHOT, "link").distinct()
+    text = F.col("text")
+    marked = TX.bind(_root_urls(text), lambda roots: F.transform(links_in(text), lambda u: F.struct(
+        u.alias("link"), F.array_contains(roots, u).alias("root")
+    )))
+    found = answers.select(*S.SNAPSHOT, F.explode(marked).alias("l")).groupBy(*S.SNAPSHOT, "l.link").agg(
+        F.bool_or("l.root").alias("root")
+    )
     bare = ~F.col("link").contains("/") & ~F.col("link").contains("?")
-    domains = found.filter(~bare).select(*S.SNAPSHOT, U.domain_of(F.col("link")).alias("link")).distinct()
-    plain = found.filter(bare).join(domains, S.SNAPSHOT + ["link"], "left_anti")
-    linked = found.filter(~bare).unionByName(plain)
-    # A domain given by its root URL is the same link as the bare domain and stays.
-    roots = found.filter(bare).join(domains, S.SNAPSHOT + ["link"], "left_semi").join(
-        _rooted(answers), S.SNAPSHOT + ["link"], "left_semi"
+    # Bare domains and URLs of a snapshot meet on their domain; only the domain's flag is needed.
+    urls = found.filter(~bare).select(*S.SNAPSHOT, U.domain_of(F.col("link")).alias("link")).distinct()
+    kept = found.join(urls.withColumn("covered", F.lit(True)), S.SNAPSHOT + ["link"], "left").filter(
+        ~bare | F.col("covered").isNull() | F.col("root")
     )
-    return linked.unionByName(roots).withColumn("link_type", F.lit(OTHER_CODE))
+    return kept.select(*S.SNAPSHOT, "link", F.lit(OTHER_CODE).alias("link_type"))
 
 
-def _rooted(answers: DataFrame) -> DataFrame:
-    """Domains some answer gives as a full URL without a path."""
-    text = F.col("text")
+def _root_urls(text: Column) -> Column:
+    """Links that a text gives as a full URL without a path."""
     without = F.regexp_replace(text, U.MARKDOWN_LINK, " ")
     urls = F.concat(
         F.transform(F.regexp_extract_all(text, F.lit(U.MARKDOWN_LINK), F.lit(2)), U.clean_url),
         F.transform(F.regexp_extract_all(without, F.lit(U.ANY_URL), F.lit(0)), U.clean_url),
     )
-    roots = F.filter(urls, lambda u: ~u.contains("/") & ~u.contains("?"))
-    return answers.select(*S.SNAPSHOT, F.explode(roots).alias("link")).distinct()
+    return F.filter(urls, lambda u: ~u.contains("/") & ~u.contains("?"))
 
 
-def _first_type(items: DataFrame, keys: list[str], host: Column, full: Column, patterns: DataFrame) -> DataFrame:
-    """Best (ord, code) per item.
+def _pieces(text: Column) -> Column:
+    """Distinct runs of up to PIECE characters of a text."""
+    runs = lambda n: F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    return F.array_distinct(F.concat(*[runs(n) for n in range(1, PIECE + 1)]))
 
-    Patterns are configuration of at most ``MAX_PATTERNS`` rows (checked); as literals they run
-    inside one projection, compiled once, and no item is paired with a pattern row.
-    """
-    rules = patterns.select("ord", "code", "kind", "pattern").limit(MAX_PATTERNS + 1).collect()
-    if len(rules) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} link patterns")
-    hits = [
-        F.when(_literal_hit(r, host, full), F.struct(F.lit(r["ord"]).alias("ord"), F.lit(r["code"]).alias("code")))
-        for r in rules
-    ]
-    if not hits:
-        return items.select(*keys, F.lit(None).cast("struct<ord:bigint,code:string>").alias("best"))
-    return items.select(*keys, F.array_min(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("best"))
-
-
-def _literal_hit(rule, host: Column, full: Column) -> Column:
-    pattern = rule["pattern"]
-    if rule["kind"] == "contains":
-        if any(c in pattern for c in "/?#="):
-            return full.contains(pattern.lower())
-        return host.contains(pattern.lower())
-    if rule["kind"] == "endswith":
-        return host.endswith(pattern)
-    return host.rlike("(?i)" + pattern)
+
+def _containing(items: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(item, ord, code) where the item contains the pattern: both meet on the pattern's first characters."""
+    rules = patterns.select("ord", "code", F.lower("pattern").alias("pattern")).withColumn(
+        "piece", F.substring("pattern", 1, PIECE)
+    ).filter("piece <> ''")
+    met = items.select("item", F.explode(_pieces(F.col("item"))).alias("piece")).join(rules, "piece")
+    return met.filter(F.col("item").contains(F.col("pattern"))).select("item", "ord", "code")
+
+
+def _ending(items: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(item, ord, code) where the item ends with the pattern: its endings equal it."""
+    ends = F.transform(F.sequence(F.lit(1), F.length("item")), lambda k: F.expr("item").substr(k, F.length("item")))
+    met = items.filter("item <> ''").select("item", F.explode(ends).alias("pattern"))
+    return met.join(patterns.select("ord", "code", "pattern"), "pattern").select("item", "ord", "code")
+
+
+def _matching(items: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(item, ord, code) where a regular expression is found; these run one by one over the distinct items."""
+    rules = patterns.agg(F.sort_array(F.collect_list(F.struct("ord", "code", "pattern"))).alias("rules"))
+    first = F.filter(F.col("rules"), lambda r: F.regexp_like(F.col("item"), F.concat(F.lit("(?i)"), r["pattern"])))
+    return items.withColumn("rules", rules.scalar()).select(
+        "item", F.try_element_at(first, F.lit(1)).alias("r")
+    ).filter("r is not null").select("item", "r.ord", "r.code")
 
 
 def classify_links(links: DataFrame, patterns: DataFrame) -> DataFrame:
     """Type of each link still unclassified: the first type by order with a matching pattern.
 
-    Host patterns run once per distinct host; patterns with a path run once per distinct link.
+    Host patterns meet distinct hosts, patterns with a path distinct links, by equality on endings and pieces; so
+    the work follows the matches, not patterns times links.
     """
     keyed = links.withColumn("host", U.hostname(F.col("link"))).withColumn("full", F.lower("link"))
     todo = keyed.filter(F.coalesce("link_type", F.lit(OTHER_CODE)) == OTHER_CODE)
-    on_path = (F.col("kind") == "contains") & F.col("pattern").rlike(r"[/?#=]")
-    hosts = todo.select("host").distinct()
-    by_host = _first_type(hosts, ["host"], F.col("host"), F.lit(""), patterns.filter(~on_path))
-    urls = todo.select("full").distinct()
-    by_url = _first_type(urls, ["full"], F.lit(""), F.col("full"), patterns.filter(on_path)).filter(
-        F.col("best").isNotNull()
-    ).withColumnRenamed("best", "url_best")
+    of = lambda kind: patterns.filter(F.col("kind") == kind)
+    on_path = F.col("pattern").rlike(r"[/?#=]")
+    best = lambda found: found.groupBy("item").agg(F.min(F.struct("ord", "code")).alias("best"))
+    hosts = todo.select(F.col("host").alias("item")).distinct()
+    by_host = best(
+        _containing(hosts, of("contains").filter(~on_path)).unionByName(_ending(hosts, of("endswith")))
+        .unionByName(_matching(hosts, patterns.filter(~F.col("kind").isin("contains", "endswith"))))
+    ).withColumnRenamed("item", "host")
+    urls = todo.select(F.col("full").alias("item")).distinct()
+    by_url = best(_containing(urls, of("contains").filter(on_path))).toDF("full", "url_best")
     open_type = F.coalesce("link_type", F.lit(OTHER_CODE)) == OTHER_CODE
     return (
         keyed.join(by_host, "host", "left").join(by_url, "full", "left")
@@ -157,7 +168,7 @@ def apply_type_lookup(
     """
     known = lookup.filter(F.col("code") != OTHER_CODE).select("host", F.col("code").alias("known_code"))
     accepted = (
-        assigned.join(broadcast_checked(valid_codes.select("code").distinct()), "code", "left_semi")
+        assigned.join(valid_codes.select("code").distinct(), "code", "left_semi")
         .join(known, "host", "left_anti")
         .groupBy("host").agg(F.min("code").alias("new_code"))
     )
@@ -180,7 +191,7 @@ def apply_type_lookup(
 def link_types(links: DataFrame, types: DataFrame) -> DataFrame:
     """One row per type used in a snapshot with its name."""
     used = links.select(*S.SNAPSHOT, F.coalesce("link_type", F.lit(OTHER_CODE)).alias("code")).distinct()
-    names = broadcast_checked(types.select("code", "name").distinct())
+    names = types.select("code", "name").distinct()
     return used.join(names, "code", "left").select(
         *S.SNAPSHOT, "code", F.coalesce("name", F.lit(OTHER_NAME)).alias("name")
     )

@@ -3,12 +3,10 @@
 ``answers``: project, question_id, date, model_id, answer_id, text (``answer_id`` is unique).
 ``entities``: project, question_id[, date], section, entity, ord.
 
-Names are found through an inverted index instead of testing every name against every answer:
-a pattern never breaks inside a run of letters and digits, so each run of a name must lie inside one
-word of the text; the rarest run is the name's anchor.  The index is built over the
-distinct words of all answers (far fewer than the words of the texts): words meet anchors on a
-shared gram of up to three characters, answers meet words on equality, and only the pairs that
-pass are checked with the full pattern.  Each join is an equi-join.
+The names of a question go to its answers, never the texts to the names: names are gathered into lists of bounded length per
+question, a small table that Spark broadcasts while its size allows, and each text is read once, where it
+lies.  A pattern never breaks inside a run of letters and digits, so a text without one of a name's runs cannot hold
+the name; only names that pass this plain test meet the text with their full pattern.
 """
 
 from __future__ import annotations
@@ -20,20 +18,16 @@ from answerlens.functions import text as TX
 from answerlens.functions import urls as U
 from answerlens.operators.scale import materialize
 
-_WORD_BREAK = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
+# Names of a question that travel in one row.
+LIST_NAMES = 512
 # URL shapes searched when the name itself is a domain or URL.
 _URL_IN_TEXT = (
     r"(?i)(?:\[([^\]]+)\]\()?((?:https?://)?(?:www\.)?[a-z0-9][-a-z0-9._]*\.[a-z]{2,}(?:/[^\s)]*)?)"
 )
 
 
-def _words(text: Column) -> Column:
-    """Distinct words of a lower-cased text; the empty word stands for 'any text'."""
-    return F.array_distinct(F.array_append(F.split(F.lower(text), _WORD_BREAK), F.lit("")))
-
-
 def _runs(term: Column, is_url: Column) -> Column:
-    """Runs of letters and digits that every matching answer holds inside some word.
+    """Runs of letters and digits that every matching answer holds.
 
     Null for a name without any.
     """
@@ -51,12 +45,6 @@ def _either(term: Column) -> Column:
     )
 
 
-def _grams(word: Column) -> Column:
-    """All 1-, 2- and 3-grams of a word; the empty word has the empty gram."""
-    grams = [F.regexp_extract_all(word, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in (1, 2, 3)]
-    return F.array_distinct(F.when(word == "", F.array(F.lit(""))).otherwise(F.concat(*grams)))
-
-
 def _group_keys(answers: DataFrame, entities: DataFrame) -> list[str]:
     return [k for k in S.SNAPSHOT if k in answers.columns and k in entities.columns]
 
@@ -83,40 +71,34 @@ def search_terms(entities: DataFrame, keys: list[str], whole_word: bool = False)
     return terms.select(*keys, "term", TX.bind(F.col("term"), searched).alias("s")).select(*keys, "term", "s.*")
 
 
-def candidate_pairs(answers: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
-    """(answer_id, terms): per answer the terms whose anchor occurs inside one of its words.
+def with_candidates(texts: DataFrame, terms: DataFrame, keys: list[str], text: Column) -> DataFrame:
+    """Add ``terms``, the names of the row's group that its text may hold, as array<struct(term, is_url, pattern)>.
 
-    A term's anchor is the run held by the fewest texts, so a frequent part of many names
-    (``example`` in host names) does not pair them with everything.
+    A row comes once for each list of its group that has such a name.  The lists are written first, so that
+    their size is known when the join is planned and the texts need not move.
     """
-    words = answers.select("answer_id", *keys, F.explode(_words(F.col("text"))).alias("word"))
-    vocabulary = words.groupBy("word").agg(F.count(F.lit(1)).alias("texts"))
-    pieces = terms.select(*keys, "term", "is_url", "pattern", "choose", F.explode("runs").alias("run"))
-    runs = pieces.select("run").distinct().withColumn("gram", F.substring("run", 1, 3))
-    # Written once: it is read twice below, and with its size known Spark broadcasts it to the
-    # words while it is small and shuffles otherwise.
-    indexed = materialize(
-        vocabulary.withColumn("gram", F.explode(_grams(F.col("word"))))
-        .join(runs, "gram")
-        .filter(F.col("word").contains(F.col("run")))
-        .select("word", "run", "texts")
-    )
-    spread = indexed.groupBy("run").agg(F.sum("texts").alias("texts"))
-    known = F.coalesce("texts", F.lit(0))
-    anchored = (
-        pieces.join(spread, "run", "left")
-        .groupBy(*keys, "term", "is_url", "pattern", F.when(~F.col("choose"), F.col("run")).alias("alternative"))
-        .agg(F.min_by("run", F.struct(known, -F.length("run"), F.col("run"))).alias("run"))
-        .drop("alternative")
-    )
-    # Each entry is at most one per (answer, term): bounded by the names one text holds.
-    return (
-        words.join(indexed.select("word", "run"), "word")
-        .join(anchored, keys + ["run"])
-        .groupBy("answer_id")
-        .agg(F.collect_set(F.struct("term", "is_url", "pattern")).alias("terms"))
+    parts = F.pmod(F.xxhash64("term"), F.ceil(F.col("names") / LIST_NAMES).cast("long"))
+    counts = terms.groupBy(*keys).agg(F.count(F.lit(1)).alias("names"))
+    lists = materialize(
+        terms.join(counts, keys).groupBy(*keys, parts.alias("part"))
+        .agg(F.collect_list(F.struct("term", "is_url", "pattern", "choose", "runs")).alias("listed")).drop("part")
     )
 
+    def possible(low: Column) -> Column:
+        holds = lambda r: low.contains(r)
+        return F.filter("listed", lambda t: F.when(t["choose"], F.forall(t["runs"], holds)).otherwise(F.exists(t["runs"], holds)))
+
+    kept = TX.bind(F.lower(text), lambda low: F.transform(
+        possible(low), lambda t: F.struct(t["term"].alias("term"), t["is_url"].alias("is_url"), t["pattern"].alias("pattern"))
+    ))
+    return texts.join(lists, keys).withColumn("terms", kept).drop("listed").filter(F.size("terms") > 0)
+
+
+def candidate_pairs(answers: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
+    """(answer_id, terms) of ``with_candidates``, one row per answer."""
+    found = with_candidates(answers, terms, keys, F.col("text")).select("answer_id", F.explode("terms").alias("t"))
+    return found.groupBy("answer_id").agg(F.collect_set("t").alias("terms"))
+
 
 def domain_hits(text: Column, term: Column, pattern: Column) -> Column:
     """array<struct(pos, len)> for a domain name or URL.
@@ -160,9 +142,8 @@ def _verified(answers: DataFrame, entities: DataFrame, whole_word: bool) -> Data
     """One row per (answer, candidate term) with the text to search."""
     keys = _group_keys(answers, entities)
     terms = search_terms(entities, keys, whole_word)
-    candidates = candidate_pairs(answers, terms, keys)
     return (
-        answers.join(candidates, "answer_id")
+        with_candidates(answers, terms, keys, F.col("text"))
         .withColumn("low", F.lower("text"))
         .withColumn("masked", TX.mask_link_urls(F.col("low")))
         .withColumn("t", F.explode("terms"))

@@ -13,7 +13,7 @@ from answerlens import schemas as S
 from answerlens.functions import scores as SC
 from answerlens.functions import urls as U
 from answerlens.operators import matching
-from answerlens.operators.scale import broadcast_checked, ranked, with_group_total
+from answerlens.operators.scale import ranked, with_group_total
 from answerlens.operators.trends import earlier_values
 
 # Reach at which a model has full weight, and the weight without known reach.
@@ -49,7 +49,7 @@ def mention_facts(
     """
     per_snapshot = entities.join(dates, [c for c in S.SNAPSHOT if c in entities.columns])
     cells = per_snapshot.select(*S.ENTITY, "ord").join(
-        broadcast_checked(models.select("project", "model_id")), "project"
+        models.select("project", "model_id"), "project"
     )
     found = hits.select(*S.ENTITY, "model_id", "mentions", "pos")
     return cells.join(found, S.ENTITY + ["model_id"], "left").select(
@@ -140,7 +140,7 @@ def prominences(hits: DataFrame, weights: DataFrame) -> DataFrame:
     """Mentioned facts with rank, model weight and prominence."""
     return (
         model_ranks(hits)
-        .join(broadcast_checked(weights.select("project", "model_id", "weight")),
+        .join(weights.select("project", "model_id", "weight"),
               ["project", "model_id"], "left")
         .select(
             *S.ENTITY, "model_id", "mentions", "model_rank",

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from answerlens import schemas as S
 from answerlens.functions import scores as SC
 from answerlens.operators.mentions import share_of_voice
-from answerlens.operators.scale import broadcast_checked
+
 
 MINUTES_PER_ITEM = 5  # fixed value
 
@@ -35,7 +35,7 @@ def items_per_model(facts: DataFrame, models: DataFrame) -> DataFrame:
         F.countDistinct("entity").alias("items")
     )
     cells = facts.select(*S.SECTION).distinct().join(
-        broadcast_checked(models.select("project", "model_id")), "project"
+        models.select("project", "model_id"), "project"
     )
     return cells.join(counts, S.SECTION + ["model_id"], "left").withColumn(
         "items", F.coalesce("items", F.lit(0)).cast("long")
@@ -77,7 +77,7 @@ def merge_questions(facts: DataFrame, metrics: DataFrame, weights: DataFrame) ->
         F.min(F.when(F.col("model_rank") > 0, F.col("model_rank"))).alias("model_rank"),
     )
     weighted = by_model.join(
-        broadcast_checked(weights.select("project", "model_id", "weight")), ["project", "model_id"], "left"
+        weights.select("project", "model_id", "weight"), ["project", "model_id"], "left"
     )
     prom = weighted.filter(F.col("mentions") > 0).select(
         "project", F.lit(S.ALL_QUESTIONS).alias("question_id"), "date", "section", F.col("key").alias("entity"),

@@ -1,45 +1,27 @@
-"""Building blocks that keep large and skewed groups spread over many tasks."""
+"""Building blocks that keep large and skewed groups spread over many tasks.
+
+Small sides are not hinted: Spark broadcasts by the measured size of a side, at runtime with AQE.
+"""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from answerlens.session import shared_dir
 
-BROADCAST_MAX_ROWS = 100_000
-
-
-def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting: at most ``max_rows + 1`` rows are looked at.
-
-    Above the bound the frame is returned unhinted, so the join falls back to a shuffle with
-    AQE's own runtime size check and skew splitting.
-    """
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a plain scan over the cores when its files give fewer tasks than there are.
-
-    A few large files with one row group each would otherwise keep text work on a few cores; a
-    table of many files is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
-
 
 def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write a frame that several consumers read to the shared folder and read it back.
 
     Cuts lineage in a way that survives the loss of executors, and makes later column pruning
-    and filter push-down work on Parquet.
+    and filter push-down work on Parquet.  Frames built on it stay lazy, so the files are kept until
+    ``clear_intermediates``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/answerlens/{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -47,6 +29,17 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/answerlens/{spark.sparkContext.applicationId}"
+
+
+def clear_intermediates(spark: SparkSession) -> None:
+    """Delete what this application materialized, once its results are written."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def with_group_total(df: DataFrame, keys: list[str], **totals: Column) -> DataFrame:
     """Add group aggregates as columns: partial aggregation plus a join on the keys.
 

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from answerlens import schemas as S
 from answerlens.functions import scores as SC
-from answerlens.operators.scale import broadcast_checked, top_k
+from answerlens.operators.scale import top_k
 
 LOOKBACK = 3  # fixed value: earlier snapshots looked at for trends
 SLOPE_STEADY = 0.01  # fixed value
@@ -101,7 +101,7 @@ def entity_model_trends(
     past = earlier_values(keyed.select(*S.SNAPSHOT, "section", "key"), ["section", "key"], lookback)
     last = past.groupBy(*S.SNAPSHOT, "section", "key").agg(F.max("prev_date").alias("prev_date"))
     cells = keyed.join(last, S.SNAPSHOT + ["section", "key"], "left").join(
-        broadcast_checked(models.select("project", "model_id")), "project"
+        models.select("project", "model_id"), "project"
     )
     facts = model_facts.select(
         *S.SECTION, F.lower("entity").alias("key"), "model_id", "mentions", "influence", "rank"

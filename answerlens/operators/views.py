@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from answerlens import schemas as S
 from answerlens.functions import scores as SC
-from answerlens.operators.scale import broadcast_checked, ranked, top_k, with_group_total
+from answerlens.operators.scale import ranked, top_k, with_group_total
 
 # How many rows a view shows.
 GRAPH_ITEMS = CHART_ITEMS = TABLE_MAX = 12
@@ -33,7 +33,7 @@ def search(df: DataFrame, term: str, fields: list[str], model_names: DataFrame |
         F.collect_set("model_id").alias("__ids")
     )
     return (
-        df.join(broadcast_checked(named), "project", "left")
+        df.join(named, "project", "left")
         .filter(hit | F.coalesce(F.arrays_overlap("models", "__ids"), F.lit(False))).drop("__ids")
     )
 
@@ -96,8 +96,8 @@ def top_influencers(metrics: DataFrame) -> DataFrame:
 
 def compare_entities(metrics: DataFrame, names: DataFrame, models: DataFrame) -> DataFrame:
     """Side-by-side figures of the named entities; coverage is the share of the project's models."""
-    wanted = broadcast_checked(names.select("project", "section", "entity").distinct())
-    totals = broadcast_checked(models.groupBy("project").agg(F.countDistinct("model_id").alias("all_models")))
+    wanted = names.select("project", "section", "entity").distinct()
+    totals = models.groupBy("project").agg(F.countDistinct("model_id").alias("all_models"))
     percent = F.when(F.col("influence") <= 1, F.col("influence") * 100).otherwise(F.col("influence"))
     return (
         metrics.join(wanted, ["project", "section", "entity"], "left_semi").join(totals, "project", "left")
@@ -203,6 +203,6 @@ def coverage_weight(metrics: DataFrame, weights: DataFrame) -> DataFrame:
     w = with_group_total(weights.select("project", "model_id", "weight"), ["project"], total=F.sum("weight"))
     share = w.select("project", "model_id", (F.col("weight") / F.col("total")).alias("part"))
     listed = metrics.select(*S.ENTITY, F.explode(F.array_distinct("models")).alias("model_id"))
-    return listed.join(broadcast_checked(share), ["project", "model_id"], "left").groupBy(*S.ENTITY).agg(
+    return listed.join(share, ["project", "model_id"], "left").groupBy(*S.ENTITY).agg(
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.sum(F.coalesce("part", F.lit(0.0))))).alias("coverage_weight")
     )

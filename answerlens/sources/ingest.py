@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from answerlens import schemas as S
-from answerlens.operators.scale import broadcast_checked, ranked, running_max
+from answerlens.operators.scale import ranked, running_max
 
 _BLOCK = 1024  # rows numbered together in one task
 MIN_ANSWER = 200  # fixed value: bytes, and characters once trimmed
@@ -41,7 +41,7 @@ def keep_models(answers: DataFrame, models: DataFrame) -> DataFrame:
     """Rows of the project's models, ids compared ignoring case."""
     allowed = models.select("project", F.lower("model_id").alias("__id")).distinct()
     return answers.withColumn("__id", F.lower("model_id")).join(
-        broadcast_checked(allowed), ["project", "__id"], "left_semi"
+        allowed, ["project", "__id"], "left_semi"
     ).drop("__id")
 
 
@@ -118,9 +118,9 @@ def ingest_questions(lines: DataFrame, existing: DataFrame) -> DataFrame:
 
 def resolve_models(models: DataFrame, settings: list[str]) -> DataFrame:
     """Aliases keep their own id and reach and take the target's ``settings``."""
-    target = broadcast_checked(models.select(
+    target = models.select(
         "project", F.col("model_id").alias("alias_of"), *[F.col(c).alias(f"__{c}") for c in settings]
-    ))
+    )
     joined = models.join(target, ["project", "alias_of"], "left")
     for c in settings:
         joined = joined.withColumn(c, F.when(
@@ -184,4 +184,4 @@ def parse_link_patterns(files: DataFrame) -> DataFrame:
 
 def merge_patterns(base: DataFrame, override: DataFrame) -> DataFrame:
     """Types of ``override`` replace those of the same code, others are added."""
-    return base.join(broadcast_checked(override.select("code").distinct()), "code", "left_anti").unionByName(override)
+    return base.join(override.select("code").distinct(), "code", "left_anti").unionByName(override)
