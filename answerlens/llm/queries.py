@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from answerlens.llm import oracles
 from answerlens.llm.chat import conversation_digests, with_probe
 from answerlens.llm.forest import near_duplicates
 from answerlens.llm.layout import page_texts
 from answerlens.llm.mixing import mix_sources
 from answerlens.llm.packing import pack
 from answerlens.llm.ppm import score_documents
-from answerlens.llm.quality import repetition_rules
+from answerlens.llm.quality import MAX_LINE_SHARE, MAX_NGRAM_SHARE, repetition_rules
 from answerlens.llm.rotation import near_vectors
 from answerlens.llm.substrings import remove_repeats
 from answerlens.llm.warc import page_captures
@@ -80,5 +81,12 @@ QUERIES = {
     "pipeline": pipeline,
 }
 
-#: SQL for the queries that DuckDB can express.
-ORACLES: dict[str, str] = {}
+#: SQL for the queries that DuckDB can express; the others are tested against brute force.
+ORACLES: dict[str, str] = {
+    "op2_chat": oracles.CHAT,
+    "op4_substrings": oracles.SUBSTRINGS,
+    "op5_rotation": oracles.VECTORS,
+    "op7_repetition": oracles.repetition(MAX_NGRAM_SHARE, MAX_LINE_SHARE),
+    "op8_forest": oracles.NEAR,
+    "op10_warc": oracles.WARC,
+}
