@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +44,28 @@ def _cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
     return (mix(hashes ^ U(_SEEDS[row])) >> U(64 - bits)).astype(np.int64)
 
 
+def pack_bits(bits: np.ndarray) -> bytes:
+    """A bit map as the gaps between its ones, a byte for each and 255 as "go on", or as it is if that is shorter."""
+    at = np.flatnonzero(np.unpackbits(bits, bitorder="little"))
+    if len(at) >= len(bits):
+        return b"\0" + bits.tobytes()
+    gaps = np.diff(at, prepend=0)
+    end = np.cumsum(gaps // 255 + 1)
+    out = np.full(int(end[-1]) if len(end) else 0, 255, np.uint8)
+    out[end - 1] = gaps % 255
+    return b"\1" + out.tobytes()
+
+
+def unpack_bits(packed: bytes, size: int) -> np.ndarray:
+    """The bit map of ``size`` bytes again."""
+    body = np.frombuffer(packed, np.uint8, offset=1)
+    if packed[0] == 0:
+        return body.copy()
+    ones = np.zeros(size * 8, np.uint8)
+    ones[np.cumsum(body, dtype=np.int64)[body != 255]] = 1
+    return np.packbits(ones, bitorder="little")
+
+
 class Sketch:
     """A task's count-min counters, saturating at two: one bit for "seen", one for "seen twice"."""
 
@@ -70,13 +91,13 @@ class Sketch:
             self.once[row, byte] |= seen
 
     def chunks(self) -> Iterator[dict]:
-        step = min(self.once.shape[1], 1 << (CHUNK_BITS - 3))
+        step = _chunk_bytes(self.bits)
         for row in range(ROWS):
             for k in range(0, self.once.shape[1], step):
                 once = self.once[row, k:k + step]
                 if once.any():
-                    yield {"row": row, "chunk": k // step, "once": zlib.compress(once.tobytes(), 1),
-                           "twice": zlib.compress(self.twice[row, k:k + step].tobytes(), 1)}
+                    yield {"row": row, "chunk": k // step, "once": pack_bits(once),
+                           "twice": pack_bits(self.twice[row, k:k + step])}
 
 
 def _sketched(bits: int, n: int):
@@ -93,20 +114,25 @@ def _sketched(bits: int, n: int):
     return run
 
 
-def _merged(frame: pd.DataFrame) -> pd.DataFrame:
+def _chunk_bytes(bits: int) -> int:
+    return 1 << min(bits, CHUNK_BITS) - 3
+
+
+def _merged(bits: int):
     """Sum of the sketches of one chunk, as far as it matters: which cells reach one and two."""
-    once = twice = None
-    for a, b in zip(frame["once"], frame["twice"]):
-        a, b = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (a, b))
-        if once is None:
-            once, twice = a.copy(), b.copy()
-        else:
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        once, twice = np.zeros((2, _chunk_bytes(bits)), np.uint8)
+        for a, b in zip(frame["once"], frame["twice"]):
+            a, b = unpack_bits(a, len(once)), unpack_bits(b, len(once))
             twice |= b | (once & a)
             once |= a
-    return pd.DataFrame({
-        "row": frame["row"].iloc[:1], "chunk": frame["chunk"].iloc[:1], "part": frame["part"].iloc[:1] // FAN_IN,
-        "once": [zlib.compress(once.tobytes(), 1)], "twice": [zlib.compress(twice.tobytes(), 1)],
-    })
+        return pd.DataFrame({
+            "row": frame["row"].iloc[:1], "chunk": frame["chunk"].iloc[:1], "part": frame["part"].iloc[:1] // FAN_IN,
+            "once": [pack_bits(once)], "twice": [pack_bits(twice)],
+        })
+
+    return run
 
 
 def repeated_cells(texts: DataFrame, bits: int, n: int = WINDOW) -> np.ndarray:
@@ -116,12 +142,12 @@ def repeated_cells(texts: DataFrame, bits: int, n: int = WINDOW) -> np.ndarray:
     """
     parts, left = texts.mapInArrow(_sketched(bits, n), SKETCH_SCHEMA), texts.rdd.getNumPartitions()
     while left > 1:
-        parts = parts.groupBy("row", "chunk", F.floor(F.col("part") / FAN_IN)).applyInPandas(_merged, SKETCH_SCHEMA)
+        parts = parts.groupBy("row", "chunk", F.floor(F.col("part") / FAN_IN)).applyInPandas(_merged(bits), SKETCH_SCHEMA)
         left = -(-left // FAN_IN)
     out = np.zeros((ROWS, 1 << (bits - 3)), np.uint8)
-    step = min(out.shape[1], 1 << (CHUNK_BITS - 3))
+    step = _chunk_bytes(bits)
     for row, chunk, twice in parts.select("row", "chunk", "twice").collect():  # at most out.nbytes
-        out[row, chunk * step:(chunk + 1) * step] = np.frombuffer(zlib.decompress(twice), np.uint8)
+        out[row, chunk * step:(chunk + 1) * step] = unpack_bits(twice, step)
     return out
 
 
