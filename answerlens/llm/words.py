@@ -1,6 +1,6 @@
 """Words of whole texts as numpy arrays: the shared front end of the text operators.
 
-Texts arrive as Arrow string columns.  They are cut into slices of whole documents of a few megabytes, so memory
+Texts arrive as Arrow string columns.  They are cut into slices of whole documents of half a megabyte, so memory
 follows the slice (or the one longest document), never the batch.  A word is a run of bytes outside space and
 0x09-0x0D; these are ASCII, so words can be cut on UTF-8 bytes.  Words and word windows are identified by 64-bit
 rolling hashes.
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 U = np.uint64
 
 
