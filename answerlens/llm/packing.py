@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -21,6 +22,8 @@ BINS = 512
 REMEMBERED = 3_000_000
 #: Pieces of one length are numbered in buckets.
 BUCKET_ROWS = 4096
+#: Bytes of text for which words are looked up together.
+SLICE = 2 << 20
 _TOGETHER = 50
 _MARK, _MARK_ID = "<|endoftext|>", 49407
 
@@ -34,6 +37,7 @@ class WordTokens:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives each worker its core
         self.tokenizer = Tokenizer.from_file(path)
         self.forget()
 
@@ -41,47 +45,62 @@ class WordTokens:
         self.known, self.at, self.size = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids, self.used = np.zeros(1 << 16, np.uint16), 0
 
-    def _encode(self, words: list[str]) -> list[list[int]]:
-        plain = [w for w in words if "<|" not in w]
-        found = {}
-        for k in range(0, len(plain), _TOGETHER):
-            own: list[int] = []
-            group = iter(plain[k:k + _TOGETHER])
-            for i in self.tokenizer.encode(_MARK.join(plain[k:k + _TOGETHER]), add_special_tokens=False).ids:
-                if i == _MARK_ID:
-                    found[next(group)] = own
-                    own = []
-                else:
-                    own.append(i)
-            found[next(group)] = own
-        return [found[w] if w in found else self.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after another, and how many each has.
+
+        Words go in groups, each followed by the mark that ends a text; words that may hold a mark go by themselves.
+        """
+        odd = [k for k, w in enumerate(words) if "<|" in w]
+        plain = [w for w in words if "<|" not in w] if odd else words
+        groups = [_MARK.join(plain[k:k + _TOGETHER]) + _MARK for k in range(0, len(plain), _TOGETHER)]
+        coded = self.tokenizer.encode_batch_fast(groups, add_special_tokens=False)
+        ids = np.array([i for e in coded for i in e.ids], np.uint16)
+        ends = np.flatnonzero(ids == _MARK_ID)
+        size = np.diff(ends, prepend=-1) - 1
+        ids = np.delete(ids, ends)
+        if odd:
+            own = [self.tokenizer.encode(words[k], add_special_tokens=False).ids for k in odd]
+            at = np.cumsum(size) - size
+            every, place = [], 0
+            for k, x in zip(odd, own):  # back among the plain ones
+                upto = k - len(every) // 2
+                every += [ids[at[place] if place < len(at) else len(ids):at[upto] if upto < len(at) else len(ids)], np.array(x, np.uint16)]
+                place = upto
+            every.append(ids[at[place] if place < len(at) else len(ids):])
+            ids = np.concatenate(every)
+            size = np.insert(size, [k - j for j, k in enumerate(odd)], [len(x) for x in own])
+        return ids, size
 
     def of(self, part: Slice) -> tuple[np.ndarray, np.ndarray]:
         """Places and numbers of ids of each word of the slice; ``self.ids`` holds them."""
         if len(self.known) > REMEMBERED:
             self.forget()
-        unique, first, inverse = np.unique(part.word_hash, return_index=True, return_inverse=True)
+        order = np.argsort(part.word_hash)
+        ranked = part.word_hash[order]
+        head = np.ones(len(order), bool)
+        head[1:] = ranked[1:] != ranked[:-1]
+        unique, first = ranked[head], order[head]
+        inverse = np.empty(len(order), np.int64)
+        inverse[order] = np.cumsum(head) - 1
         place = np.searchsorted(self.known, unique)
         new = np.ones(len(unique), bool)
         inside = place < len(self.known)
         new[inside] = self.known[place[inside]] != unique[inside]
         if new.any():
             raw = part.data.tobytes()
-            lists = self._encode([
+            ids, size = self._encode([
                 raw[a:b].decode("utf-8", "replace")
                 for a, b in zip(part.start[first[new]].tolist(), part.end[first[new]].tolist())
             ])
-            size = np.fromiter(map(len, lists), np.int64, len(lists))
             at = self.used + np.cumsum(size) - size
-            total = int(size.sum())
-            while self.used + total > len(self.ids):
+            while self.used + len(ids) > len(self.ids):
                 self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-            self.ids[self.used:self.used + total] = np.fromiter((i for x in lists for i in x), np.uint16, total)
-            self.used += total
+            self.ids[self.used:self.used + len(ids)] = ids
+            self.used += len(ids)
             self.known = np.insert(self.known, place[new], unique[new])
             self.at = np.insert(self.at, place[new], at)
             self.size = np.insert(self.size, place[new], size)
-            place = np.searchsorted(self.known, unique)
+            place += np.cumsum(new) - new  # both are sorted, so each moved up by the new ones before it
         return self.at[place][inverse], self.size[place][inverse]
 
     def documents(self, part: Slice) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +122,7 @@ def _pieces(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _TOKENS.get(path) or _TOKENS.setdefault(path, WordTokens(path))
         for batch in batches:
-            for part in slices(batch.column(1)):
+            for part in slices(batch.column(1), limit=SLICE):
                 ids, begin = tokens.documents(part)
                 total = np.diff(begin)
                 n = -(-total // capacity)
