@@ -19,6 +19,7 @@ PAGES_PER_FILE = 4096
 DATE = "2024-01-01T00:00:00Z"
 _END = "\r\n"
 _READ = 1 << 20
+_VERSION = re.compile(rb"WARC/\d+\.\d+")
 
 RECORD_SCHEMA = (
     "record_id string, warc_type string, concurrent_to string, target_uri string, warc_date string, refers_to string, "
@@ -126,35 +127,45 @@ def _stream(raw: bytes) -> Iterator[bytes]:
 
 
 class _Buffer:
+    """Bytes read so far from a place on; what lies before it is dropped when more is read."""
+
     def __init__(self, raw: bytes):
-        self.pieces, self.data = _stream(raw), b""
+        self.pieces, self.data, self.at = _stream(raw), b"", 0
 
     def more(self) -> bool:
         piece = next(self.pieces, None)
         if piece is None:
             return False
-        self.data += piece
+        self.data, self.at = self.data[self.at:] + piece, 0
         return True
 
+    def starts(self, mark: bytes) -> bool:
+        while len(self.data) - self.at < len(mark):
+            if not self.more():
+                return False
+        return self.data.startswith(mark, self.at)
+
     def until(self, mark: bytes) -> bytes | None:
-        seen = 0
-        while (at := self.data.find(mark, seen)) < 0:
-            seen = max(0, len(self.data) - len(mark))
+        seen = self.at
+        while (end := self.data.find(mark, seen)) < 0:
+            seen = max(0, len(self.data) - self.at - len(mark))
             if not self.more():
                 return None
-        out, self.data = self.data[:at], self.data[at + len(mark):]
+        out, self.at = self.data[self.at:end], end + len(mark)
         return out
 
     def take(self, n: int) -> bytes:
-        parts, have = [self.data], len(self.data)
+        if len(self.data) - self.at >= n:
+            out, self.at = self.data[self.at:self.at + n], self.at + n
+            return out
+        parts, have = [self.data[self.at:]], len(self.data) - self.at
         while have < n and (piece := next(self.pieces, None)) is not None:
             parts.append(piece)
             have += len(piece)
-        data = b"".join(parts)
         if have < n:
             raise ValueError(f"a record ends after {have} of {n} bytes")
-        self.data = data[n:]
-        return data[:n]
+        self.data, self.at = b"".join(parts), n
+        return self.data[:n]
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -174,19 +185,18 @@ def parse_records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and blocks of an archive's records."""
     buffer = _Buffer(raw)
     while True:
-        while buffer.data[:2] == b"\r\n" or (len(buffer.data) < 2 and buffer.more()):
-            if buffer.data[:2] == b"\r\n":
-                buffer.data = buffer.data[2:]
-        if not buffer.data:
+        while buffer.starts(b"\r\n"):
+            buffer.at += 2
+        if buffer.at == len(buffer.data) and not buffer.more():
             return
         head = buffer.until(b"\r\n\r\n")
-        if head is None or not re.match(rb"WARC/\d+\.\d+", head):
+        if head is None or not _VERSION.match(head):
             raise ValueError(f"not a record: {buffer.data[:40] if head is None else head[:40]!r}")
-        headers = _fields(head.split(b"\r\n", 1)[1] if b"\r\n" in head else b"")
+        headers = _fields(head.partition(b"\r\n")[2])
         yield headers, buffer.take(int(headers.get("content-length", 0)))
 
 
-def _row(headers: dict[str, str], block: bytes, with_payload: bool) -> dict:
+def _row(headers: dict[str, str], block: bytes, with_payload: bool) -> tuple:
     kind = headers.get("warc-type")
     status = size = digest = payload = None
     fields: dict[str, str] = {}
@@ -203,13 +213,12 @@ def _row(headers: dict[str, str], block: bytes, with_payload: bool) -> dict:
             size, digest = int(http.get("content-length", 0)), stored
     elif kind == "metadata":
         fields = _fields(block)
-    row = {
-        "record_id": headers.get("warc-record-id"), "warc_type": kind, "concurrent_to": headers.get("warc-concurrent-to"),
-        "target_uri": headers.get("warc-target-uri"), "warc_date": headers.get("warc-date"),
-        "refers_to": headers.get("warc-refers-to"), "content_type": headers.get("content-type"), "header_digest": stored,
-        "http_status": status, "payload_bytes": size, "payload_digest": digest, "fields": list(fields.items()),
-    }
-    return row | {"payload": payload if kind == "response" else None} if with_payload else row
+    get = headers.get
+    row = (
+        get("warc-record-id"), kind, get("warc-concurrent-to"), get("warc-target-uri"), get("warc-date"), get("warc-refers-to"),
+        get("content-type"), stored, status, size, digest, list(fields.items()),
+    )
+    return (*row, payload if kind == "response" else None) if with_payload else row
 
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
@@ -222,6 +231,10 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
     ]
     arrow = pa.schema(schema)
 
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows) if rows else [()] * len(arrow)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
@@ -230,9 +243,9 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
                     rows.append(_row(headers, block, with_payload))
                     held += len(block) if with_payload else 0
                     if len(rows) == 2000 or held > 8 << 20:
-                        yield pa.RecordBatch.from_pylist(rows, arrow)
+                        yield batch_of(rows)
                         rows, held = [], 0
-                yield pa.RecordBatch.from_pylist(rows, arrow)
+                yield batch_of(rows)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
     return files.mapInArrow(run, RECORD_SCHEMA + ", payload binary" * with_payload)
