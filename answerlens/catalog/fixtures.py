@@ -15,8 +15,6 @@ TABLES = [
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 ]
 
-# Tables whose per-row work is heavy.
-
 _HOST = "split_part(split_part(url,'/',3),':',1)"
 
 # name -> (views it builds on, SQL)
@@ -60,7 +58,6 @@ select case when l_orderkey % 3 = 0 then 'p0' else 'p1' end as project,
        CAST(count(*) AS BIGINT) as mentions, CAST(min(l_orderkey) + 1 AS BIGINT) as pos,
        CAST(1 AS BIGINT) as ord
 from lineitem join part on l_partkey = p_partkey
-where not (p_size % 7 = extract(month from l_shipdate) % 7)
 group by 1, 2, 3, 4, 5, 6"""),
     "fact_models": (["facts"], """
 select distinct project, model_id,
@@ -74,6 +71,12 @@ select project, question_id, date, section, entity, CAST(sum(mentions) AS BIGINT
        CAST(sum(mentions) * 10 + count(*) AS BIGINT) as influence,
        CAST(count(*) AS BIGINT) as model_count
 from facts group by 1, 2, 3, 4, 5"""),
+    # Entities that come late, go early or pause, for the look-back and trend queries.
+    "shifting": (["metrics"], """
+select * from metrics
+where not (CAST(substr(entity, 7) AS INT) % 5 = 1 and date < DATE '1997-06-01')
+  and not (CAST(substr(entity, 7) AS INT) % 5 = 2 and date >= DATE '1995-03-01')
+  and not (CAST(substr(entity, 7) AS INT) % 6 = extract(month from date) % 6)"""),
     "view_metrics": (["facts"], """
 select project, question_id, date, section, entity, CAST(sum(mentions) AS BIGINT) as mentions,
        CAST(sum(mentions) * 10 + count(*) AS BIGINT) as influence, CAST(sum(mentions) - 2 AS BIGINT) as mentions_change,
@@ -98,18 +101,19 @@ from conversations"""),
     "extracted": ([], """
 select case when lang in ('en','de') then 'p1' else 'p2' end as project, lang as question_id,
        make_date(2024, 1, 1 + CAST(doc_id % 4 AS INT) * 7) as date, doc_id,
-       split_part(text, ' ', 1) as products, split_part(text, ' ', 2) as organizations, split_part(text, ' ', 3) as persons,
-       split_part(text, ' ', 4) as colours
+       split(text, ' ') as products, split(text, ',') as organizations, split(text, chr(10)) as persons, split(text, ';') as colours
 from documents"""),
+    # Whole documents with links put in behind their sentences.
     "linked_answers": ([], f"""
-select 'p' as project, concat('q', page_id % 3) as question_id,
-       make_date(2024, 2, 1 + CAST(page_id % 2 AS INT)) as date,
-       concat('m', page_id % 5) as model_id, page_id as answer_id,
+select 'p' as project, concat('q', d.doc_id % 3) as question_id,
+       make_date(2024, 2, 1 + CAST(d.doc_id % 2 AS INT)) as date,
+       concat('m', d.doc_id % 5) as model_id, d.doc_id as answer_id,
        concat('See [page ', page_id, '](', url, ') or https://www.', lower({_HOST}),
               '/a/?utm_source=x&id=', page_id, '. Plain ', lower({_HOST}),
               ' too. Also [top](#top), notes.md, and ![img](https://cdn.', lower({_HOST}),
-              '/pic.png), then other', page_id % 11, '.org.') as text
-from pages"""),
+              '/pic.png), then other', page_id % 11, '.org. ',
+              replace(d.text, '. ', concat(' [more](', url, '?n=', d.doc_id, '&utm_medium=y). '))) as text
+from documents d cross join (select count(*) as n from pages) c join pages p on p.page_id = d.doc_id % c.n"""),
     "link_entities": ([], f"""
 select distinct 'p' as project, 'links' as section, lower({_HOST}) as entity,
        CAST(length({_HOST}) AS BIGINT) as ord

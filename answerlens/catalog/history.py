@@ -176,8 +176,8 @@ def _movers(i):
     return T.top_movers(h).select("project", "trend", "question_id", "section", "entity", F.col("rank").cast("long"))
 
 
-@query("entrants_leavers", _MET, _HISTORY + """,
-dates as (select distinct project, date from metrics),
+@query("entrants_leavers", ["shifting"], _HISTORY.replace(" metrics", " shifting") + """,
+dates as (select distinct project, date from shifting),
 numbered_dates as (
   select project, date, row_number() over (partition by project order by date) as no,
          count(*) over (partition by project) as n from dates
@@ -191,8 +191,8 @@ select project, list, question_id, section, entity,
        row_number() over (partition by project, list order by round(average_mentions, 9) desc, entity, section, question_id) as rank
 from listed where list is not null qualify rank <= 10""")
 def _entrants(i):
-    h = _hist(i).withColumn("average_mentions", F.round("average_mentions", 9))
-    return T.entrants_leavers(h, i.metrics).select(
+    h = T.item_history(i.shifting).withColumn("average_mentions", F.round("average_mentions", 9))
+    return T.entrants_leavers(h, i.shifting).select(
         "project", "list", "question_id", "section", "entity", F.col("rank").cast("long")
     )
 

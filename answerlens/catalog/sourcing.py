@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from answerlens.catalog.linking import _clean as _canonical
 from answerlens.catalog.registry import query
 from answerlens.functions import text as TX
 from answerlens.functions import urls as U
@@ -72,52 +73,156 @@ terms as (select distinct project, question_id, lower(entity) as term from entit
 pairs as (select r.*, t.term from responses r join terms t on t.project = r.project and t.question_id = r.question_id)"""
 
 
-@query("links_in_annotations", ["responses", "entities"], f"""
-with {_NAMED}
-select answer_id, term from pairs where answer_id % 3 = 0 and (contains(lower(title1), trim(term)) or contains(lower(coalesce(note, '')), trim(term))
-  or contains(lower(cite2), trim(term)) or contains(lower(cite2), replace(trim(term), ' ', '-')) or contains(lower(cite2), replace(trim(term), ' ', '_')))""")
+_MD = r"'\[([^\]]+)\]\(([^)]+)\)'"
+_URL = r"""'https?://[^\s<>"{}|\\^`\[\]]+'"""
+_PLACE = "split_part(split_part(split_part({u}, '/', 1), '?', 1), '#', 1)"
+
+
+def _gap(text: str, pattern: str) -> str:
+    return f"len(regexp_extract_all({text}, '{pattern}'))"
+
+
+# Each strategy in steps: sentences, links close to a name, leading links (the next one not yet given, by recursion), the rest.
+_STRATEGIES = rf"""
+{_SENTS},
+terms as (select distinct project, question_id, lower(entity) as term from entities),
+sx as (select project, question_id, answer_id, cite1, cite2, unnest(s) as text, unnest(range(1, len(s) + 1)) as i from sents),
+ps as (select sx.*, t.term from sx join terms t on t.project = sx.project and t.question_id = sx.question_id and contains(lower(sx.text), t.term)),
+mk as (
+  select answer_id, term, text, '[' || n || ']' as marker, case n when '1' then cite1 when '2' then cite2 end as url, false as titled
+  from (select *, unnest(regexp_extract_all(text, '\[(\d+)\]', 1)) as n from ps)
+  union all
+  select answer_id, term, text, m, trim(regexp_extract(m, {_MD}, 2)), lower(regexp_extract(m, {_MD}, 1)) = term
+  from (select *, unnest(regexp_extract_all(text, {_MD})) as m from ps)
+  union all
+  select answer_id, term, text, u, u, false from (select *, unnest(regexp_extract_all(text, 'https?://[^\s)\[\]]+')) as u from ps)
+),
+ml as (
+  select *, strpos(text, marker) as place, substr(lower(text), 1, CAST(strpos(text, marker) - 2 + length(term) AS BIGINT)) as upto,
+    strpos(substr(lower(text), strpos(text, marker)), term) as ahead
+  from mk where url is not null
+),
+mg as (
+  select *, case when contains(upto, term) then substr(text, length(upto) - strpos(reverse(upto), reverse(term)) - length(term) + 2,
+      place - (length(upto) - strpos(reverse(upto), reverse(term)) - length(term) + 2)) end as lt,
+    case when ahead > 0 then substr(text, place, ahead - 1) end as rt
+  from ml
+),
+near as (
+  select distinct answer_id, term, {_canonical('url')} as url from mg
+  where (titled or (least({_gap('lt', r'\S+')}, {_gap('rt', r'\S+')}) <= 250 and least({_gap('lt', '[.!?]+')}, {_gap('rt', '[.!?]+')}) <= 2))
+    and (starts_with(url, 'http') or starts_with(marker, '[') and not contains(marker, '](')) and {_canonical('url')} <> ''
+),
+lead as (
+  select *, regexp_extract_all(text, {_MD}, 2) as md, regexp_replace(text, {_MD}, ' ', 'g') as t2
+  from sx where regexp_matches(text, '(?i)^\s*(https?://|www\.|[a-z0-9][-a-z0-9]*\.[a-z]{{2,}})')
+),
+seen as (
+  select answer_id, i, t2, list_filter(list_concat(list_transform(md, lambda m: {_canonical('m')}), list_transform(regexp_extract_all(t2, {_URL}), lambda m: {_canonical('m')})),
+    lambda u: u <> '' and not starts_with(u, '#')) as known
+  from lead
+),
+lall as (
+  select answer_id, i, list_concat(known, list_filter(regexp_extract_all(lower(regexp_replace(t2, {_URL}, ' ', 'g')), '\b(?:[a-z0-9][-a-z0-9]*\.)+[a-z]{{2,}}\b'),
+    lambda d: not list_contains(list_transform(known, lambda u: regexp_replace({_PLACE.format(u='u')}, '^www\.', '')), d) and not list_contains(known, d)
+      and not regexp_matches(d, '\.(md|js|ts|json)$'))) as listed
+  from seen
+),
+leads as (select answer_id, i, list_filter(listed, lambda u: not regexp_matches(u, '\.(jpg|png|gif|jpeg|webp|svg)$')) as links from lall),
+ah as (
+  select p.answer_id, p.term, p.i, row_number() over (partition by p.answer_id, p.term order by p.i) as m,
+    (select arg_min(l.links, l.i) from leads l where l.answer_id = p.answer_id and l.i between p.i and p.i + 2) as first,
+    (select arg_min(l.links, l.i) from leads l where l.answer_id = p.answer_id and l.i between p.i and p.i + 2 and len(l.links) > 0) as filled,
+    (select max(l.i) from leads l where l.answer_id = p.answer_id and l.i < p.i) as j,
+    coalesce((select max(x.i) from sx x where x.answer_id = p.answer_id and x.i < p.i and length(x.text) < 10), 0) as short
+  from ps p
+),
+av as (select ah.*, case when j > short then (select any_value(l.links) from leads l where l.answer_id = ah.answer_id and l.i = ah.j) end as behind from ah),
+walk as (
+  with recursive w(answer_id, term, m, acc) as (
+    select answer_id, term, m, case when filled is not null then [filled[1]] else coalesce(list_distinct(behind), []) end from av where m = 1
+    union all
+    select v.answer_id, v.term, v.m, case when len(w.acc) = 0 then case when v.filled is not null then [v.filled[1]] else coalesce(list_distinct(v.behind), []) end
+      else list_concat(w.acc, coalesce(list_filter(v.first, lambda u: not list_contains(w.acc, u))[1:1], [])) end
+    from w join av v on v.answer_id = w.answer_id and v.term = w.term and v.m = w.m + 1
+  )
+  select answer_id, term, arg_max(acc, m) as acc from w group by 1, 2
+),
+starting as (select answer_id, term, unnest(acc) as url from walk),
+{_NAMED.strip()[len("terms as (select distinct project, question_id, lower(entity) as term from entities),"):].strip()},
+annotated as (
+  select answer_id, term, {_canonical('cite2')} as url from pairs where answer_id % 3 = 0 and (contains(lower(title1), trim(term)) or contains(lower(coalesce(note, '')), trim(term))
+    or contains(lower(cite2), trim(term)) or contains(lower(cite2), replace(trim(term), ' ', '-')) or contains(lower(cite2), replace(trim(term), ' ', '_')))
+),
+hit as (select answer_id, term, case when contains(lower(cite1), trim(term)) or contains(lower(cite1), replace(trim(term), ' ', '-')) or contains(lower(cite1), replace(trim(term), ' ', '_')) then cite1
+    when contains(lower(cite2), trim(term)) or contains(lower(cite2), replace(trim(term), ' ', '-')) or contains(lower(cite2), replace(trim(term), ' ', '_')) then cite2 end as raw from pairs),
+cited as (select answer_id, term, {_canonical('raw')} as url from hit where raw is not null),
+both_first as (select * from annotated union select * from near),
+with_leading as (select * from both_first union all select * from starting l where not exists (select 1 from both_first b where b.answer_id = l.answer_id and b.term = l.term)),
+sources as (
+  select distinct r.project, r.question_id, r.date, r.model_id, x.answer_id, x.term, x.url from (
+    select * from with_leading union all
+    select * from cited c where not exists (select 1 from with_leading b where b.answer_id = c.answer_id and b.term = c.term)
+  ) x join responses r on r.answer_id = x.answer_id
+)"""
+
+
+@query("links_in_annotations", ["responses", "entities"], f"with {_STRATEGIES} select answer_id, term, url from annotated")
 def _annotated(i):
     found = A.links_by_strategy(_responses(i), i.entities)
-    return found.filter(F.size("annotated") > 0).select("answer_id", "term")
+    return found.select("answer_id", "term", F.explode("annotated").alias("url"))
 
 
-@query("links_in_citations", ["responses", "entities"], f"""
-with {_NAMED},
-hit as (select answer_id, term, case when contains(lower(cite1), trim(term)) or contains(lower(cite1), replace(trim(term), ' ', '-')) or contains(lower(cite1), replace(trim(term), ' ', '_')) then cite1
-    when contains(lower(cite2), trim(term)) or contains(lower(cite2), replace(trim(term), ' ', '-')) or contains(lower(cite2), replace(trim(term), ' ', '_')) then cite2 end as url from pairs)
-select answer_id, term, lower(split_part(url, '/', 3)) as host from hit where url is not null""")
+@query("links_in_citations", ["responses", "entities"], f"with {_STRATEGIES} select answer_id, term, url from cited")
 def _cited(i):
     found = A.links_by_strategy(_responses(i), i.entities)
-    first = F.col("cited")[0]
-    return found.filter(F.size("cited") > 0).join(i.responses.select("answer_id", "cite1", "cite2"), "answer_id").select(
-        "answer_id", "term",
-        F.lower(F.split_part(F.when(U.clean_url(F.col("cite1")) == first, F.col("cite1")).otherwise(F.col("cite2")), F.lit("/"), F.lit(3))).alias("host"),
-    )
+    return found.select("answer_id", "term", F.explode("cited").alias("url"))
 
 
-@query("links_near_entity", ["responses", "entities"])
+@query("links_near_entity", ["responses", "entities"], f"with {_STRATEGIES} select answer_id, term, url from near")
 def _near(i):
     found = A.links_by_strategy(_responses(i), i.entities)
     return found.select("answer_id", "term", F.explode(F.array_distinct("near")).alias("url"))
 
 
-@query("links_at_sentence_start", ["responses", "entities"])
+@query("links_at_sentence_start", ["responses", "entities"], f"with {_STRATEGIES} select answer_id, term, url from starting")
 def _leading(i):
     found = A.links_by_strategy(_responses(i), i.entities)
     return found.select("answer_id", "term", F.explode("leading").alias("url"))
 
 
-@query("answer_sources", ["responses", "entities"])
+@query("answer_sources", ["responses", "entities"], f"with {_STRATEGIES} select * from sources")
 def _answer_sources(i):
     return A.answer_sources(_responses(i), i.entities)
 
 
-@query("attribute_sources", ["responses", "entities"])
+@query("attribute_sources", ["responses", "entities"], f"""
+with {_STRATEGIES},
+snaps as (select distinct project, question_id, date from responses),
+e as (select x.project, x.question_id, s.date, x.section, x.entity, lower(x.entity) as term from entities x join snaps s using (project, question_id)),
+days as (select project, date, row_number() over (partition by project order by date) as no from (select distinct project, date from responses)),
+now as (select e.*, s.model_id, s.date as seen_date, s.url from e join sources s using (project, question_id, date, term)),
+needy as (
+  select e.* from e where length(e.entity) % 2 = 0 or not exists (
+    select 1 from now n where n.project = e.project and n.question_id = e.question_id and n.date = e.date and n.section = e.section and n.entity = e.entity)
+),
+earlier as (
+  select n.*, s.model_id, s.date as seen_date, s.url
+  from needy n join days d on d.project = n.project and d.date = n.date
+  join days b on b.project = n.project and b.no between d.no - 10 and d.no - 1
+  join sources s on s.project = n.project and s.question_id = n.question_id and s.date = b.date and s.term = n.term
+),
+every as (select * from now union all select * from earlier)
+select project, question_id, date, section, entity, {_canonical('url')} as url, string_agg(distinct model_id, ',' order by model_id) as models,
+  string_agg(distinct CAST(seen_date AS VARCHAR), ',' order by CAST(seen_date AS VARCHAR)) as dates
+from every group by 1, 2, 3, 4, 5, 6""")
 def _attribute(i):
     r = _responses(i)
     dates = r.select("project", "date").distinct()
     entities = i.entities.join(r.select("project", "question_id", "date").distinct(), ["project", "question_id"])
-    return A.attribute_sources(r, entities, None, dates).withColumn("models", F.array_join("models", ",")).withColumn(
+    # Names of even length count as never mentioned.
+    facts = entities.withColumn("mentions", F.length("entity") % 2)
+    return A.attribute_sources(r, entities, facts, dates).withColumn("models", F.array_join("models", ",")).withColumn(
         "dates", F.array_join(F.col("dates").cast("array<string>"), ","))
 
 
@@ -190,7 +295,7 @@ def _with_citations(i):
 
 
 @query("parse_responses", ["responses"], """
-select answer_id, length(content) as n, cite1 as first_citation from responses where answer_id % 5 < 3""")
+select answer_id, content, cite1 || ' ' || cite2 as cited from responses where answer_id % 5 < 3""")
 def _parse(i):
     body = F.to_json(F.struct(
         F.when(F.col("answer_id") % 5 != 3, F.array(F.struct(F.struct("content").alias("message")))).otherwise(
@@ -199,7 +304,7 @@ def _parse(i):
     ))
     texts = _responses(i).select("answer_id", F.when(F.col("answer_id") % 5 == 4, F.lit("{broken")).otherwise(body).alias("json"))
     return I.parse_responses(texts).select(
-        "answer_id", F.length("message.content").cast("long").alias("n"), F.col("citations")[0].alias("first_citation")
+        "answer_id", F.col("message.content").alias("content"), F.array_join("citations", " ").alias("cited")
     )
 
 
@@ -302,13 +407,17 @@ def _merge(i):
     return out.select("ord", "link", F.try_element_at("sources", F.lit("link")).alias("origin"))
 
 
-@query("merge_similar", ["page_links"], """
-select ord, array_to_string(list_slice(case ord % 3 when 0 then ['a', 'b', 'm' || ord % 7] when 1 then ['b', 'm' || ord % 7, 'c'] else ['b', 'm' || ord % 7, 'c'] end, 1, 3), ',') as similar
-from page_links""")
+@query("merge_similar", ["answers"], """
+with w as (select answer_id, list_filter(list_transform(string_split(case when answer_id % 3 = 0 then null else text end, ','), lambda t: trim(t)), lambda t: t <> '') as old,
+             string_split(text, ' ') as new from answers),
+p as (select answer_id, v, min(k) as k from (
+  select answer_id, unnest(list_concat(coalesce(old, []), new)) as v, unnest(range(1, len(list_concat(coalesce(old, []), new)) + 1)) as k from w
+) group by 1, 2),
+r as (select *, row_number() over (partition by answer_id order by k) as no from p)
+select answer_id, string_agg(v, ',' order by k) as similar from r where no <= 3 group by 1""")
 def _similar(i):
-    existing = F.when(F.col("ord") % 3 == 0, F.lit("a, b")).when(F.col("ord") % 3 == 1, F.lit(" b,")).otherwise(F.lit(None).cast("string"))
-    new = F.array(F.lit("b"), F.concat(F.lit("m"), (F.col("ord") % 7).cast("string")), F.lit("c"))
-    return i.page_links.select("ord", X.merge_similar(existing, new).alias("similar"))
+    existing = F.when(F.col("answer_id") % 3 != 0, F.col("text"))
+    return i.answers.select("answer_id", X.merge_similar(existing, F.split("text", " ")).alias("similar"))
 
 
 # Two projects that give the same ids different names.
@@ -341,7 +450,37 @@ def _index(i):
     return X.entity_index(i.entities, ["project", "question_id"])
 
 
-@query("annotate_text", ["answers", "entities"])
+_ENTITY_INDEX = """
+idx as (
+  select project, question_id, lower(trim(entity)) as value, arg_max(trim(entity), (length(entity), entity, section)) as original,
+         substr(arg_max(section, (length(entity), entity, section)), 1, length(arg_max(section, (length(entity), entity, section))) - 1) as type
+  from entities where length(entity) > 2 group by 1, 2, 3
+)"""
+
+
+@query("annotate_text", ["answers", "entities"], rf"""
+with {_ENTITY_INDEX},
+pat as (
+  select *, '\b' || array_to_string(list_transform(string_split(original, ''), lambda c:
+    case when regexp_matches(c, '[A-Za-z]') then '[' || lower(c) || upper(c) || ']' when regexp_matches(c, '[!-/:-@\[-`{{-~]') then '\' || c else c end), '') || '\b' as pattern
+  from idx
+),
+a as (select project, question_id, answer_id, '<p>' || text || '</p><code>the</code>' as text from answers),
+tk as (select project, question_id, answer_id, unnest(regexp_extract_all(text, '<[^>]*>|[^<]+|<')) as t,
+         unnest(range(1, len(regexp_extract_all(text, '<[^>]*>|[^<]+|<')) + 1)) as k from a),
+sg as (
+  select *, coalesce(sum(case when regexp_matches(t, '(?i)^<(code|pre|script|style|a)([\s>/]|$)') and not regexp_matches(t, '/>$') then 1
+      when regexp_matches(t, '(?i)^</(code|pre|script|style|a)\s*>') then -1 else 0 end)
+    over (partition by answer_id order by k rows between unbounded preceding and 1 preceding), 0) as depth from tk
+),
+nm as (
+  select sg.answer_id, sg.k, p.*, row_number() over (partition by sg.answer_id, sg.k order by -length(p.original), p.value, p.original, p.type) as rank
+  from sg join pat p on p.project = sg.project and p.question_id = sg.question_id and contains(lower(sg.t), p.value)
+  where sg.depth = 0 and not starts_with(sg.t, '<') and regexp_matches(sg.t, p.pattern)
+)
+select sg.answer_id, string_agg(case when n.pattern is null then sg.t else regexp_replace(sg.t, n.pattern,
+    '<span class="clickable-entity" data-entity-type="' || n.type || '" data-entity-value="' || n.value || '">\0</span>', 'g') end, '' order by sg.k) as text
+from sg left join nm n on n.answer_id = sg.answer_id and n.k = sg.k and n.rank = 1 group by 1""")
 def _annotate(i):
     texts = i.answers.withColumn("text", F.concat(F.lit("<p>"), "text", F.lit("</p><code>the</code>")))
     return X.annotate_text(texts, i.entities).select("answer_id", "text")

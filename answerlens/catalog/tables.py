@@ -12,17 +12,15 @@ from answerlens.sources import ingest as I
 
 
 @query("explode_entities", ["extracted"], """
-with u as (
-  select project, question_id, date, doc_id, 'products' as section, products as entity, CAST(1 AS BIGINT) as ord, 'product' as type from extracted
-  union all select project, question_id, date, doc_id, 'organizations', organizations, 1, 'organization' from extracted
-  union all select project, question_id, date, doc_id, 'persons', persons, 1, 'person' from extracted
-)
+with l as (
+  select *, 'products' as section, products as items, 'product' as type from extracted
+  union all select *, 'organizations', organizations, 'organization' from extracted
+  union all select *, 'persons', persons, 'person' from extracted
+),
+u as (select project, question_id, date, doc_id, section, unnest(items) as entity, CAST(unnest(range(1, len(items) + 1)) AS BIGINT) as ord, type from l)
 select * from u where length(entity) > 1 and trim(entity) <> ''""")
 def _explode(i):
-    raw = i.extracted
-    for c in ("products", "organizations", "persons"):
-        raw = raw.withColumn(c, F.array(c))
-    return E.explode_entities(raw.drop("colours"))
+    return E.explode_entities(i.extracted.drop("colours"))
 
 
 @query("empty_keys", ["answers", "entities"], """
@@ -90,22 +88,13 @@ def _carry(i):
     return E.carry_forward(seen, seen, seen.select("project", "date"))
 
 
-_COMPLETE = """
-complete as (
-  select project, date from (
-    select project, date, count(distinct (question_id, model_id)) as got from answers
-    where length(text) >= 200 group by 1, 2) g
-  where got = (select count(distinct q.question_id) * count(distinct m.model_id) from questions q join models m using (project) where project = g.project)
-)"""
-
-
-def _valid_answers(i):
-    return i.answers.filter(F.length("text") >= 200)
-
-
-@query("complete_dates", ["answers", "questions", "models"], f"with {_COMPLETE} select * from complete")
+@query("complete_dates", ["facts"], """
+with wanted as (select project, count(distinct question_id) * count(distinct model_id) as n from facts where mentions > 1 group by 1),
+got as (select project, date, count(distinct (question_id, model_id)) as n from facts where mentions > 1 group by 1, 2)
+select g.project, g.date from got g join wanted w on w.project = g.project and w.n = g.n""")
 def _complete(i):
-    return E.complete_dates(_valid_answers(i), i.questions, i.models)
+    seen = i.facts.filter("mentions > 1")
+    return E.complete_dates(seen, seen, seen)
 
 
 @query("resolve_date", ["answers"], """
@@ -141,15 +130,14 @@ def _latest(i):
 
 
 @query("needs_attribute", ["metrics"], """
-select project, question_id, date, section, count(*) as gaps, CAST(count(*) AS BIGINT) as last_no
-from metrics where (mentions % 3 = 0 or mentions % 3 = 1) and section in ('A', 'R') group by 1, 2, 3, 4""")
+select project, question_id, date, section, entity, row_number() over (
+  partition by project, question_id, date, section order by mentions % 5, entity) as item_no
+from metrics where (mentions % 3 = 0 or mentions % 3 = 1) and section in ('A', 'R')""")
 def _needs(i):
     link = F.when(F.col("mentions") % 3 == 0, F.lit("  ")).when(F.col("mentions") % 3 == 2, F.lit("https://x.org"))
-    rows = i.metrics.withColumn("link", link).withColumn("value", F.col("entity")).withColumn("ord", F.lit(1))
+    rows = i.metrics.withColumn("link", link).withColumn("value", F.col("entity")).withColumn("ord", F.col("mentions") % 5)
     gaps = E.needs_attribute(rows, "link", include=["A", "R"])
-    return gaps.groupBy("project", "question_id", "date", "section").agg(
-        F.count(F.lit(1)).alias("gaps"), F.max("item_no").alias("last_no")
-    )
+    return gaps.select("project", "question_id", "date", "section", "entity", "item_no")
 
 
 @query("valid_answers", ["answers"], """

@@ -418,13 +418,22 @@ def bot_access(captures: DataFrame, bot_captures: DataFrame) -> DataFrame:
 def check_bot_access(captures: DataFrame, bot_captures: DataFrame, bots: DataFrame,
                      bot_products: DataFrame, check: str) -> DataFrame:
     """One check per kind of bot; products keep their untested bots as open."""
-    tested = bots.filter(F.col("tag") == BOT_TAGS[check]).select("bot").distinct()
-    access = bot_access(captures, bot_captures.join(tested, "bot", "left_semi"))
-    shares = _visible_share(access, bot_products, PAGE)
-    top = MAX_SCORES[check]
-    score = F.floor(F.col("seen") / F.col("products") * top + 0.5)
-    return _result(shares, PAGE, check, score, score >= int(top * 0.7 + 0.5),
-                   F.concat_ws("/", F.col("seen").cast("string"), F.col("products").cast("string")))
+    return check_all_bots(captures, bot_captures, bots.filter(F.col("tag") == BOT_TAGS[check]), bot_products)
+
+
+def check_all_bots(captures: DataFrame, bot_captures: DataFrame, bots: DataFrame, bot_products: DataFrame) -> DataFrame:
+    """The checks of all kinds of bots; the captures are measured once and rated per kind."""
+    kinds = F.create_map(*[F.lit(x) for check, tag in BOT_TAGS.items() for x in (tag, check)])
+    tested = bots.select("bot", kinds[F.col("tag")].alias("check")).filter("check is not null").distinct()
+    access = bot_access(captures, bot_captures.join(tested.select("bot").distinct(), "bot", "left_semi"))
+    shares = _visible_share(access.join(tested, "bot"), bot_products, [*PAGE, "check"])
+    top = F.create_map(*[F.lit(x) for check in BOT_TAGS for x in (check, float(MAX_SCORES[check]))])[F.col("check")]
+    score = F.floor(F.col("seen") / F.col("products") * top + 0.5).cast("double")
+    return shares.select(
+        *PAGE, "check", score.alias("score"), top.alias("max_score"), (score >= F.floor(top * 0.7 + 0.5)).alias("passed"),
+        F.lit(False).alias("error"),
+        F.concat_ws("/", F.col("seen").cast("string"), F.col("products").cast("string")).alias("details"),
+    )
 
 
 def check_crawl_presence(sites: DataFrame, crawl_index: DataFrame, newest: int = 3) -> DataFrame:

@@ -8,7 +8,7 @@ from answerlens import schemas as S
 from answerlens.functions import text as TX
 from answerlens.functions import urls as U
 from answerlens.operators.matching import _group_keys, candidate_pairs, search_terms, with_candidates
-from answerlens.operators.scale import ranked
+from answerlens.operators.scale import ranked_evenly
 
 # Domain endings tried for a name, in this order.
 ENDINGS = [".com", ".org", ".ai", ".io"]
@@ -69,7 +69,7 @@ def entity_links_from_domains(entities: DataFrame, links: DataFrame) -> DataFram
 
 def build_batches(items: DataFrame, keys: list[str], size: int) -> DataFrame:
     """Items (``item_no``, ``item_name``) in batches of ``size``, rendered ``id,value`` per line."""
-    placed = ranked(items, keys, [F.col("item_no"), F.col("item_name")], F.floor(F.col("item_no") / 1024), "__n")
+    placed = ranked_evenly(items, keys, F.struct("item_no", "item_name"), "__n")
     line = F.concat(F.col("item_no").cast("string"), F.lit(","), F.col("item_name"))
     return (
         placed.withColumn("batch_no", F.floor((F.col("__n") - 1) / size).cast("long"))
@@ -80,10 +80,9 @@ def build_batches(items: DataFrame, keys: list[str], size: int) -> DataFrame:
 
 
 def in_model_order(answers: DataFrame) -> DataFrame:
-    """Number a snapshot's answers by model and id; each model's answers are split by id prefix."""
-    name = F.col("answer_id").cast("string")
-    bucket = F.struct(F.col("model_id"), F.substring(name, 1, 2))
-    return ranked(answers, S.SNAPSHOT, [F.col("model_id"), name], bucket, "__n")
+    """Number a snapshot's answers by model and id."""
+    place = F.struct("model_id", F.col("answer_id").cast("string").alias("id"))
+    return ranked_evenly(answers, S.SNAPSHOT, place, "__n")
 
 
 def answer_context(answers: DataFrame, per_part: int = ANSWERS_PER_PART) -> DataFrame:
@@ -113,7 +112,7 @@ def summary_context(summaries: DataFrame, per_part: int = ANSWERS_PER_PART) -> D
         F.col("summary"), F.lit("\n\n"),
     )
     present = summaries.filter(F.trim(F.coalesce("summary", F.lit(""))) != "")
-    placed = ranked(present, keys, [F.col("question_id")], F.substring("question_id", 1, 2), "__n")
+    placed = ranked_evenly(present, keys, F.struct("question_id"), "__n")
     return (
         placed.select(*keys, "__n", line.alias("line"), F.floor((F.col("__n") - 1) / per_part).cast("long").alias("part_no"))
         .groupBy(*keys, "part_no").agg(F.sort_array(F.collect_list(F.struct("__n", "line"))).alias("l"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from answerlens import schemas as S
-from answerlens.operators.scale import ranked
+from answerlens.operators.scale import ranked_evenly
 from answerlens.operators.trends import earlier_values
 
 HISTORY_DATES = 10  # fixed value: earlier complete dates searched
@@ -159,7 +159,7 @@ NAME_FIELDS = ["value", "name", "keyword", "title", "label", "text", "link"]  #
 def needs_attribute(
     df: DataFrame, attr: str, include: list[str] | None = None, exclude: list[str] | None = None
 ) -> DataFrame:
-    """Rows whose attribute is missing or blank, with the item's name and a running id per section."""
+    """Rows whose attribute is missing or blank, with the item's name and a running id in item order."""
     value = F.trim(F.coalesce(F.col(attr).cast("string"), F.lit("")))
     rows = df.filter(value == "")
     if include:
@@ -168,9 +168,4 @@ def needs_attribute(
         rows = rows.filter(~F.col("section").isin(exclude))
     names = [F.nullif(F.trim(F.col(c)), F.lit("")) for c in NAME_FIELDS if c in df.columns]
     named = rows.withColumn("item_name", F.coalesce(*names)).filter(F.col("item_name").isNotNull())
-    # Ids run over hash buckets of the name, so no section has to sit in one task.
-    bucket = F.pmod(F.xxhash64("item_name"), F.lit(1024))
-    order = [F.col("__h"), F.col("item_name"), F.col("ord")]
-    return ranked(
-        named.withColumn("__h", bucket), S.SECTION, order, F.col("__h"), "item_no"
-    ).drop("__h")
+    return ranked_evenly(named, S.SECTION, F.struct("ord", "item_name"), "item_no")

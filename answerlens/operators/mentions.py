@@ -13,15 +13,13 @@ from answerlens import schemas as S
 from answerlens.functions import scores as SC
 from answerlens.functions import urls as U
 from answerlens.operators import matching
-from answerlens.operators.scale import ranked, with_group_total
+from answerlens.operators.scale import ranked_evenly, with_group_total
 from answerlens.operators.trends import earlier_values
 
 # Reach at which a model has full weight, and the weight without known reach.
 FULL_REACH = 1_000_000_000
 DEFAULT_WEIGHT = 0.5
 
-_POS_BUCKET = 64
-
 
 def mention_hits(answers: DataFrame, entities: DataFrame) -> DataFrame:
     """Sparse facts: hits summed over the answers of a snapshot, and the earliest position."""
@@ -98,21 +96,24 @@ def model_ranks(hits: DataFrame) -> DataFrame:
     """
     placed = F.coalesce(F.col("pos") > 0, F.lit(False))
     last = F.lit(2**62)
-    return ranked(
+    return ranked_evenly(
         hits.filter(F.col("mentions") > 0),
         S.SECTION + ["model_id"],
-        [F.when(placed, F.col("pos")).otherwise(last), F.col("ord"), F.col("entity")],
-        F.when(placed, F.floor(F.col("pos") / _POS_BUCKET)).otherwise(last),
+        F.struct(F.when(placed, F.col("pos")).otherwise(last).alias("pos"), "ord", "entity"),
         "model_rank",
     ).withColumn("model_rank", F.when(placed, F.col("model_rank")))
 
 
+def _ranked(hits: DataFrame) -> DataFrame:
+    return hits.filter(F.col("mentions") > 0) if "model_rank" in hits.columns else model_ranks(hits)
+
+
 def appearance_rank(facts: DataFrame, agg: str = "min") -> DataFrame:
     """Entity rank over models: minimum, or with ``agg='avg'`` the mean to two digits.
 
     999 where mentioned without position, -1 where not mentioned.
     """
-    ranks = model_ranks(facts).groupBy(*S.ENTITY).agg(
+    ranks = _ranked(facts).groupBy(*S.ENTITY).agg(
         (F.min("model_rank") if agg == "min" else SC.rounded(F.avg("model_rank"), 2)).alias("placed")
     )
     totals = facts.groupBy(*S.ENTITY).agg(F.sum("mentions").alias("mentions"))
@@ -137,9 +138,9 @@ def model_weights(models: DataFrame) -> DataFrame:
 
 
 def prominences(hits: DataFrame, weights: DataFrame) -> DataFrame:
-    """Mentioned facts with rank, model weight and prominence."""
+    """Mentioned facts with rank, model weight and prominence; a ``model_rank`` that is there already is taken."""
     return (
-        model_ranks(hits)
+        _ranked(hits)
         .join(weights.select("project", "model_id", "weight"),
               ["project", "model_id"], "left")
         .select(
@@ -173,7 +174,8 @@ def share_of_voice(prom: DataFrame) -> DataFrame:
 
 def sov_by_model(prom: DataFrame) -> DataFrame:
     """A model's part: weight x prominence relative to the section's best."""
-    tops = _with_section_max(prom).groupBy(*S.SECTION).agg(F.max("top").alias("top"))
+    per_entity = prom.groupBy(*S.ENTITY).agg(F.sum("prominence").alias("prominence"))
+    tops = per_entity.groupBy(*S.SECTION).agg(F.max("prominence").alias("top"))
     return prom.join(tops, S.SECTION).select(
         *S.ENTITY, "model_id",
         F.when(

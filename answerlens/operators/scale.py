@@ -21,7 +21,7 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     ``clear_intermediates``.
     """
     spark = df.sparkSession
-    path = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
+    path = new_folder(spark)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -29,6 +29,11 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing has used."""
+    return f"{_own_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def _own_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/answerlens/{spark.sparkContext.applicationId}"
 
@@ -49,6 +54,10 @@ def with_group_total(df: DataFrame, keys: list[str], **totals: Column) -> DataFr
     return df.join(sums, keys, "left")
 
 
+# Buckets of a group whose rows are ranked, and sampled rows from which a bucket's borders are taken.
+BUCKETS, SAMPLED = 64, 16
+
+
 def ranked(df: DataFrame, keys: list[str], order: list[Column], bucket: Column, out: str) -> DataFrame:
     """Exact 1..n rank per group without a single task holding the group.
 
@@ -69,6 +78,28 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], bucket: Column,
     )
 
 
+def ranked_evenly(df: DataFrame, keys: list[str], place: Column, out: str) -> DataFrame:
+    """``ranked`` by an ascending order struct, in buckets of about equal size whatever its values.
+
+    The borders are rows of the group, drawn by a hash at a rate that gives about BUCKETS * SAMPLED of
+    them however large the group is.  Any borders give exact ranks; the draw only evens the buckets out.
+    """
+    at = "__place"
+    placed = df.withColumn(at, place)
+    counts = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    rate = F.greatest(F.lit(1), F.floor(F.col("__rows") / (BUCKETS * SAMPLED)))
+    drawn = F.pmod(F.xxhash64(at, *keys), rate) == 0
+    borders = placed.select(*keys, at).join(counts, keys).filter(drawn).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(at)).alias("__drawn")
+    ).select(*keys, F.transform(
+        F.sequence(F.lit(1), F.lit(BUCKETS - 1)),
+        lambda k: F.get("__drawn", F.floor(k * F.size("__drawn") / BUCKETS).cast("int")),
+    ).alias("__borders"))
+    number = F.size(F.filter("__borders", lambda x: x <= F.col(at)))
+    cut = placed.join(borders, keys, "left").withColumn("__no", number).drop("__borders")
+    return ranked(cut, keys, [F.col(at)], F.col("__no"), out).drop("__no", at)
+
+
 def running_max(df: DataFrame, keys: list[str], order: list, bucket: Column, value: str) -> DataFrame:
     """Replace ``value`` by its maximum over the group up to the row, split like ``ranked``.
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from answerlens import schemas as S
 from answerlens.functions import scores as SC
-from answerlens.operators.scale import ranked, top_k, with_group_total
+from answerlens.operators.scale import ranked_evenly, top_k, with_group_total
 
 # How many rows a view shows.
 GRAPH_ITEMS = CHART_ITEMS = TABLE_MAX = 12
@@ -163,8 +163,8 @@ def sources_for_model(sources: DataFrame, model: str | None) -> DataFrame:
 
 def all_entities(metrics: DataFrame) -> DataFrame:
     """All sections of a snapshot in one list by influence; place 1 is the default selection."""
-    order = [F.desc(F.coalesce("influence", F.lit(0))), F.asc("section"), F.asc("entity")]
-    return ranked(metrics, S.SNAPSHOT, order, -F.floor(F.coalesce("influence", F.lit(0)) * F.lit(16)), "place")
+    place = F.struct((-F.coalesce("influence", F.lit(0))).alias("influence"), "section", "entity")
+    return ranked_evenly(metrics, S.SNAPSHOT, place, "place")
 
 
 def question_view(questions: DataFrame, term: str = "", sort_by: str = "question_no", descending: bool = False) -> DataFrame:

@@ -16,9 +16,7 @@ def audit(
     pages = captures.filter(F.col("variant") == "desktop").select(*A.PAGE)
     page_checks = [A.page_checks(captures, bots)]
     if bot_captures is not None:
-        page_checks += [
-            A.check_bot_access(captures, bot_captures, bots, bot_products, check) for check in A.BOT_TAGS
-        ]
+        page_checks.append(A.check_all_bots(captures, bot_captures, bots, bot_products))
     site_checks = [A.check_robots(robots, bots, bot_products)]
     if sitemaps is not None:
         site_checks.append(A.check_sitemap(sitemaps))

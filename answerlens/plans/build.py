@@ -33,9 +33,9 @@ def build(
         hits = hits.unionByName(M.mention_hits(E.combined_answers(answers), E.combine_questions(entities)))
     weights = M.model_weights(models)
     facts = materialize(M.model_ranks(hits))
-    prom = M.prominences(facts.drop("model_rank"), weights)
+    prom = M.prominences(facts, weights)
     by_model = M.sov_by_model(prom).withColumnRenamed("share_of_voice", "influence")
-    metrics = materialize(M.entity_metrics(facts.drop("model_rank"), weights)).withColumnRenamed(
+    metrics = materialize(M.entity_metrics(facts, weights)).withColumnRenamed(
         "share_of_voice", "influence"
     )
     trends = T.entity_trends(metrics)

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.window import Window
 
 from answerlens import schemas as S
-from answerlens.operators.scale import ranked, running_max
+from answerlens.operators.scale import ranked, ranked_evenly, running_max
 
 _BLOCK = 1024  # rows numbered together in one task
 MIN_ANSWER = 200  # fixed value: bytes, and characters once trimmed
 
-# <project>/<question>/answers/<date>/<model>/answer.md
-_ANSWER_PATH = r"/([^/]+)/([^/]+)/answers/(\d{4}-\d{2}-\d{2})/([^/]+)/[^/]+$"
+# <project>/<question>/answers/<date>/<model>/answer.md, or the folders that Spark writes by these columns
+_ANSWER_PATH = (
+    r"/(?:project=)?([^/]+)/(?:question_id=)?([^/]+)/(?:answers/|date=)(\d{4}-\d{2}-\d{2})/(?:model_id=)?([^/]+)/[^/]+$"
+)
 
 
 def _path_keys(df: DataFrame) -> DataFrame:
@@ -25,12 +26,12 @@ def _path_keys(df: DataFrame) -> DataFrame:
     ).filter(F.col("project") != "")
 
 
-def read_answers(spark: SparkSession, path: str, models: DataFrame | None = None) -> DataFrame:
-    """One row per answer file below ``path``; with ``models`` only those of the project.
+def read_answers(spark: SparkSession, path: str, models: DataFrame | None = None, name: str = "answer.md") -> DataFrame:
+    """One row per answer file of a name pattern below ``path``; with ``models`` only those of the project.
 
     Model ids are compared ignoring case.
     """
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "answer.md").text(
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(
         path, wholetext=True
     )
     answers = _path_keys(files).withColumnRenamed("value", "text").select(*S.SNAPSHOT, "model_id", "answer_id", "text")
@@ -140,9 +141,11 @@ DEFAULT_PATTERN_ORDER = 999  # fixed value
 
 
 def load_link_patterns(spark: SparkSession, path: str) -> DataFrame:
-    """Pattern files (one per type; the file name is the code) as a pattern table."""
+    """Pattern files (one per type; the file name, or a folder ``code=``, is the code) as a pattern table."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path, wholetext=True)
-    code = F.regexp_extract("_metadata.file_path", r"([^/]+)\.txt$", 1)
+    path_ = F.col("_metadata.file_path")
+    folder = F.regexp_extract(path_, r"/code=([^/]+)/[^/]+$", 1)
+    code = F.when(folder != "", folder).otherwise(F.regexp_extract(path_, r"([^/]+)\.txt$", 1))
     return parse_link_patterns(files.select(code.alias("code"), F.col("value").alias("body")))
 
 
@@ -169,8 +172,7 @@ def parse_link_patterns(files: DataFrame) -> DataFrame:
         F.coalesce(order.try_cast("bigint"), F.lit(DEFAULT_PATTERN_ORDER).cast("bigint")).alias("file_order"),
         rest.alias("patterns"),
     ).filter(F.size("patterns") > 0)
-    # One row per type: a handful of files, so one window over all of them is small.
-    numbered = typed.withColumn("ord", F.row_number().over(Window.orderBy("file_order", "code")).cast("bigint"))
+    numbered = ranked_evenly(typed.withColumn("all", F.lit(1)), ["all"], F.struct("file_order", "code"), "ord")
     pattern = F.col("pattern")
     return numbered.select("code", "name", "description", "ord", F.explode("patterns").alias("pattern")).select(
         "code", "name", "description", "ord",
