@@ -120,6 +120,10 @@ scored as (
          case when reports >= 2 and average_mentions > 0 then sd / average_mentions else 0.0 end as variation
   from grouped
 ),
+listed_history as (
+  select project, question_id, section, entity,
+         string_agg(concat(CAST(date AS VARCHAR), '=', mentions, '=', influence, '=', rank), ',' order by date) as history from metrics group by 1, 2, 3, 4
+),
 hist as (
   select *, case when variation > 0.5 then 'volatile' when trend_score > 0.2 then 'rising'
                  when trend_score < -0.2 then 'falling' else 'stable' end as trend
@@ -134,9 +138,12 @@ def _hist(i):
 @query("item_history", _MET, _HISTORY + """
 select project, question_id, section, entity, first_seen, last_seen, reports, total_mentions,
        round(average_mentions, 6) as average_mentions, peak_mentions, peak_date,
-       round(trend_score, 6) as trend_score, round(variation, 6) as variation, trend from hist""")
+       round(trend_score, 6) as trend_score, round(variation, 6) as variation, trend, history
+from hist join listed_history using (project, question_id, section, entity)""")
 def _item_history(i):
-    h = _hist(i).drop("history")
+    h = _hist(i).withColumn("history", F.array_join(F.transform("history", lambda x: F.concat_ws(
+        "=", x["date"].cast("string"), x["mentions"].cast("string"), x["influence"].cast("string"), x["rank"].cast("string")
+    )), ","))
     for c in ("average_mentions", "trend_score", "variation"):
         h = h.withColumn(c, SC.rounded(F.col(c), 6))
     return h
@@ -237,11 +244,11 @@ with d as (
   select project, date, row_number() over (partition by project order by date desc) as no
   from (select distinct project, date from metrics)
 )
-select project, strftime(date, '%Y-%m') as month, count(*) as reports, min(date) as first_date
+select project, strftime(date, '%Y-%m') as month, count(*) as reports, string_agg(CAST(date AS VARCHAR), ',' order by date) as dates
 from d where no <= 24 group by 1, 2""")
 def _report_history(i):
     return T.report_history(i.metrics, 24).select(
-        "project", "month", "reports", F.col("dates")[0].alias("first_date")
+        "project", "month", "reports", F.array_join(F.col("dates").cast("array<string>"), ",").alias("dates")
     )
 
 

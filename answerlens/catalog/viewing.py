@@ -80,16 +80,26 @@ pm as (
 ),
 pe as (select project, date, section, key, CAST(sum(most) AS BIGINT) as mentions, sum(weight) as cov, sum(p) as p from pm group by all),
 v as (select *, round(cov * p / max(p) over (partition by project, date, section), 5) as share_of_voice from pe),
+mm as (
+  select project, date, section, key, string_agg(concat(model_id, '=', CAST(mentions AS BIGINT)), ',' order by model_id) as by_model from bm group by all
+),
 bq as (
-  select project, date, section, lower(entity) as key, arg_min(entity, question_id) as entity, round(avg(rank), 2) as rank, count(*) as questions
+  select project, date, section, lower(entity) as key, arg_min(entity, question_id) as entity, round(avg(rank), 2) as rank, count(*) as questions,
+         string_agg(concat(question_id, '=', mentions, '=', influence, '=', rank), ',' order by question_id) as by_question
   from metrics group by 1, 2, 3, 4
 )
-select project, date, section, bq.entity, v.mentions, bq.rank, bq.questions, v.share_of_voice
-from v join bq using (project, date, section, key)""")
+select project, date, section, bq.entity, v.mentions, bq.rank, bq.questions, v.share_of_voice, mm.by_model, bq.by_question
+from v join bq using (project, date, section, key) join mm using (project, date, section, key)""")
 def _merge(i):
     weights = M.model_weights(i.fact_models)
     ranked = M.model_ranks(i.facts)
-    return R.merge_questions(ranked, i.metrics, weights).drop("mentions_by_model", "by_question")
+    pairs = F.transform(F.array_sort(F.map_entries("mentions_by_model")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
+    parts = F.transform("by_question", lambda q: F.concat_ws(
+        "=", q["question_id"], q["mentions"].cast("string"), q["influence"].cast("string"), q["rank"].cast("string")
+    ))
+    return R.merge_questions(ranked, i.metrics, weights).withColumns({
+        "by_model": F.array_join(pairs, ","), "by_question": F.array_join(parts, ","),
+    }).drop("mentions_by_model")
 
 
 @query("latest_reports", ["metrics"], """
