@@ -13,12 +13,30 @@ from pyspark.sql.window import Window
 from answerlens.session import shared_dir
 
 
+_WRITTEN: list[str] = []
+
+
+def written() -> list[str]:
+    """Folders of the tables materialized so far in this process and not removed."""
+    return list(_WRITTEN)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete materialized tables that nothing reads any more."""
+    context = spark.sparkContext
+    for name in paths:
+        path = context._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        if name in _WRITTEN:
+            _WRITTEN.remove(name)
+
+
 def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write a frame that several consumers read to the shared folder and read it back.
 
     Cuts lineage in a way that survives the loss of executors, and makes later column pruning
     and filter push-down work on Parquet.  Frames built on it stay lazy, so the files are kept until
-    ``clear_intermediates``.
+    they are removed.
     """
     spark = df.sparkSession
     path = new_folder(spark)
@@ -26,6 +44,7 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -38,13 +57,6 @@ def _own_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/answerlens/{spark.sparkContext.applicationId}"
 
 
-def clear_intermediates(spark: SparkSession) -> None:
-    """Delete what this application materialized, once its results are written."""
-    context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def with_group_total(df: DataFrame, keys: list[str], **totals: Column) -> DataFrame:
     """Add group aggregates as columns: partial aggregation plus a join on the keys.
 
