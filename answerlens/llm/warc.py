@@ -287,7 +287,12 @@ def page_captures(pages: DataFrame) -> DataFrame:
         F.col("response.payload_digest").alias("payload_digest"), F.col("response.warc_type").alias("record_type"),
         F.col("response.refers_to").alias("refers_id"), "record_id",
     )
-    named = found.filter("record_type = 'response'").groupBy("record_id").agg(F.min("page_id").alias("refers_to"))
-    return found.drop("record_id").join(named.withColumnRenamed("record_id", "refers_id"), "refers_id", "left").select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    named = found.filter("record_type = 'response'").select("record_id", F.col("page_id").alias("page")).groupBy("record_id").agg(
+        F.min("page").alias("page")
+    )
+    # A response looks itself up, so that rows without a reference do not meet on one null key.
+    keyed = found.withColumn("key", F.coalesce("refers_id", "record_id")).drop("record_id")
+    return keyed.join(named.withColumnRenamed("record_id", "key"), "key", "left").select(
+        "page_id", "payload_bytes", "payload_digest", "record_type",
+        F.when(F.col("refers_id").isNotNull(), F.col("page")).alias("refers_to"),
     )
