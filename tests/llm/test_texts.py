@@ -123,6 +123,22 @@ def test_near_duplicates_dense_region(spark):
     assert got == {i: c for i, (_, c) in brute.near(rows).items()}
 
 
+def test_near_duplicates_star(spark, monkeypatch):
+    """Copies that link to their original alone, many of them in one region: each has one link to find."""
+    monkeypatch.setattr(forest, "BLOCK", 64)
+    draw = random.Random(5)
+    base = [f"b{k}" for k in range(200)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 250):
+        own = list(base)
+        for k in draw.sample(range(200), draw.choice([3, 5, 6, 7, 9, 12])):
+            own[k] = f"n{i}x{k}"
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in forest.near_duplicates(df).collect()}
+    assert got == {i: c for i, (_, c) in brute.near(rows).items()}
+
+
 def test_near_duplicates_repeated_rows(spark):
     text, other = prose(12, 50), prose(13, 50)
     df = spark.createDataFrame([(3, text), (3, text), (None, text), (5, other), (5, text)], "doc_id long, text string")
@@ -299,9 +315,9 @@ def test_trie_matches_the_rule_and_sums_to_one():
     got = trie.log10(test)
     for key, score in zip(test.tolist(), got.tolist()):
         want = slow_trie(counts, (key >> 8).to_bytes(ppm.ORDER, "big"), key & 255)
-        assert math.isclose(score, math.log10(want), rel_tol=1e-9)
+        assert math.isclose(score, math.log10(want), rel_tol=1e-6)
     one = np.uint64(int(test[50]) >> 8 << 8) + np.arange(256, dtype=np.uint64)
-    assert math.isclose((10 ** trie.log10(one)).sum(), 1.0, rel_tol=1e-9)
+    assert math.isclose((10 ** trie.log10(one)).sum(), 1.0, rel_tol=1e-5)
 
 
 def test_scores_learn(tiny):
