@@ -8,6 +8,7 @@ from answerlens.catalog.registry import query
 from answerlens.functions import text as TX
 from answerlens.operators import matching as MA
 from answerlens.operators import mentions as M
+from answerlens.operators import reports as R
 
 _SEP = r"[\s\-_.,;:!?''\"()\[\]{}]"
 # The pattern of a name, for the shapes that occur in the entity view.
@@ -148,6 +149,44 @@ def _excerpts(i):
     return MA.excerpts(i.answers, i.entities)
 
 
+_LISTED = """,
+cut as (
+  select p.project, p.question_id, p.date, p.model_id, p.answer_id, p.term, hit_no,
+         trim(substr(a.text, CAST(greatest(1, pos - 100) AS BIGINT),
+              CAST(least(length(a.text) + 1, pos + hit_len + 100) - greatest(1, pos - 100) AS BIGINT)), ' ') as excerpt
+  from placed p join answers a on a.answer_id = p.answer_id where hit_no <= 5
+)"""
+
+
+@query("merged_excerpts", _POS, _SPLIT_HITS + _LISTED + """
+select project, date, term, model_id, string_agg(concat(question_id, '/', answer_id, '/', hit_no, '/', excerpt), '|' order by question_id, answer_id, hit_no) as excerpts
+from cut group by 1, 2, 3, 4""")
+def _merged_excerpts(i):
+    found = R.merged_excerpts(MA.excerpts(i.answers, i.entities))
+    return found.withColumn("excerpts", F.array_join(F.transform("excerpts", lambda e: F.concat_ws(
+        "/", e["question_id"], e["answer_id"].cast("string"), e["hit_no"].cast("string"), e["excerpt"]
+    )), "|"))
+
+
+@query("fact_excerpts", _POS, _SPLIT_HITS + _LISTED + """,
+ex as (
+  select project, question_id, date, model_id, term, string_agg(concat(answer_id, '/', hit_no, '/', excerpt), '|' order by answer_id, hit_no) as excerpts
+  from cut group by 1, 2, 3, 4, 5
+)
+select distinct e.project, e.question_id, x.date, e.section, e.entity, x.model_id, x.excerpts
+from entities e join ex x on x.project = e.project and x.question_id = e.question_id and x.term = lower(e.entity)
+where e.section <> 'links'""")
+def _fact_excerpts(i):
+    named = i.entities.filter("section <> 'links'")
+    found = M.with_excerpts(M.mention_hits(i.answers, named), MA.excerpts(i.answers, i.entities)).filter("excerpts is not null")
+    return found.select(
+        "project", "question_id", "date", "section", "entity", "model_id",
+        F.array_join(F.transform("excerpts", lambda e: F.concat_ws(
+            "/", e["answer_id"].cast("string"), e["hit_no"].cast("string"), e["excerpt"]
+        )), "|").alias("excerpts"),
+    ).distinct()
+
+
 @query("mask_link_urls", ["linked_answers"], r"""
 with pieces as (
   select answer_id, text, regexp_extract_all(text, '\[[^\]]+\]\([^)]+\)') as links,

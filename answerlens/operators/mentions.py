@@ -57,6 +57,18 @@ def mention_facts(
     )
 
 
+def with_excerpts(facts: DataFrame, excerpts: DataFrame) -> DataFrame:
+    """Mention facts with the excerpts of their answers, in order of answer and hit (null where not mentioned).
+
+    Excerpts are found by the searched name, the lower-cased entity.
+    """
+    keys = S.SNAPSHOT + ["model_id", "term"]
+    listed = excerpts.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("answer_id", "hit_no", "excerpt"))).alias("excerpts")
+    )
+    return facts.withColumn("term", F.lower("entity")).join(listed, keys, "left").drop("term")
+
+
 def coverage(facts: DataFrame) -> DataFrame:
     """Per entity: the models that mention it (list and csv), their number, and all mentions."""
     mentioned = F.collect_set(F.when(F.col("mentions") > 0, F.col("model_id")))

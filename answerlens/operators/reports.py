@@ -105,6 +105,15 @@ def merge_questions(facts: DataFrame, metrics: DataFrame, weights: DataFrame) ->
     )
 
 
+def merged_excerpts(excerpts: DataFrame) -> DataFrame:
+    """Excerpts of a name over all questions of a date, per model, each tagged with its question.
+
+    One row per (project, date, term, model_id): at most five excerpts for each answer that holds the name.
+    """
+    tagged = F.struct("question_id", "answer_id", "hit_no", "excerpt", "line", "col")
+    return excerpts.groupBy("project", "date", "term", "model_id").agg(F.array_sort(F.collect_list(tagged)).alias("excerpts"))
+
+
 def latest_reports(reports: DataFrame) -> DataFrame:
     """Newest report date per project and all dates, newest first."""
     return reports.select("project", "date").distinct().groupBy("project").agg(

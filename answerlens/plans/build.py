@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from answerlens import schemas as S
+from answerlens.operators import attribution as A
 from answerlens.operators import entities as E
 from answerlens.operators import links as L
+from answerlens.operators import matching
 from answerlens.operators import mentions as M
 from answerlens.operators import reports as R
 from answerlens.operators import trends as T
@@ -15,12 +17,13 @@ from answerlens.operators.scale import materialize
 
 def build(
     answers: DataFrame, entities: DataFrame, models: DataFrame, patterns: DataFrame,
-    combined: bool = True,
+    combined: bool = True, responses: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Lazy plans per output table; only the mention facts and entity metrics are written.
 
     ``entities`` needs ``question_no`` for the all-questions level.  Links found in the answers are
-    measured like entities and rolled up to types and domains.
+    measured like entities and rolled up to types and domains.  With ``responses`` the sources of each entity are
+    attributed too, also to names that are not mentioned in their snapshot.
     """
     links = L.classify_links(L.extract_links(answers), patterns)
     found = links.select(
@@ -45,7 +48,7 @@ def build(
         .select(*S.SNAPSHOT, F.col("entity").alias("link"), "model_id", "mentions", "rank", "influence")
         .join(links, S.SNAPSHOT + ["link"])
     )
-    return {
+    tables = {
         "facts": facts,
         "metrics": metrics,
         "coverage": M.coverage(facts),
@@ -59,4 +62,11 @@ def build(
         "totals": R.report_totals(metrics),
         "items_per_model": R.items_per_model(facts, models),
         "items_per_trend": R.items_per_trend(trends),
+        "excerpts": matching.excerpts(answers, given),
     }
+    if responses is not None:
+        dates = answers.select("project", "question_id", "date").distinct()
+        tables["sources"] = A.attribute_sources(
+            responses, given.drop("ord").join(dates, ["project", "question_id"]), facts, dates.select("project", "date").distinct()
+        )
+    return tables

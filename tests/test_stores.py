@@ -74,9 +74,11 @@ def test_exports(spark, tmp_path):
 
 
 def test_build_plan(spark):
+    from answerlens.catalog.sourcing import _responses
+
     i = Inputs(spark, SF)
     entities = i.entities.withColumn("question_no", F.when(F.col("question_id") == "en", 1).otherwise(2))
-    tables = build(i.answers, entities, i.models, i.patterns)
+    tables = build(i.answers, entities, i.models, i.patterns, responses=_responses(i))
     metrics = tables["metrics"]
     assert metrics.filter("question_id = '_all'").count() > 0
     assert metrics.filter("influence > 1 or influence < 0").count() == 0
@@ -84,6 +86,7 @@ def test_build_plan(spark):
     assert shares.filter("abs(s - 1) > 0.001").count() == 0
     for name in ("trends", "model_trends", "totals", "items_per_model", "items_per_trend", "link_types", "coverage"):
         tables[name].count()
+    assert tables["sources"].count() > 0 and tables["excerpts"].count() > 0
 
 
 def test_trend_report(spark):
