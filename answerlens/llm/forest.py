@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from answerlens.llm.tables import components, shuffle_partitions
@@ -21,8 +20,10 @@ SIMILARITY = 75
 TREES, LEVELS, SHALLOW = 24, 8, 4
 #: In a region (documents of one order that share SHALLOW values) of up to this many, all pairs are candidates.
 REGION = 16
-#: In a denser one each document meets so many next ones, which share the longest prefixes there.
+#: In a denser one each document first meets so many next ones, which share the longest prefixes there.
 NEAREST = 2
+#: Documents of dense regions that are compared together when what is left is settled.
+BLOCK = 512
 _SALT = mix(np.arange(1, TREES * LEVELS + 1, dtype=U) * U(0x2545F4914F6CDD1D))
 
 
@@ -74,17 +75,15 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of a sorted run, and its first and last row for the pair across the border."""
-    part = TaskContext.get().partitionId()
-    carry = None
-    first = last = None
+    """Candidate pairs of a sorted run; then, with their order, the members of regions that pairs do not exhaust.
+
+    Those are dense regions and the ones at either border of the run, which may go on in another task.
+    """
+    carry, opened = None, False
     for batch in batches:
         tree, top, node, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
         if not len(tree):
             continue
-        if first is None:
-            first = (tree[0], top[0], node[0], n[0])
-        last = (tree[-1], top[-1], node[-1], n[-1])
         if carry is not None:
             tree, top, node, n = (np.concatenate(x) for x in zip(carry, (tree, top, node, n)))
         new = np.ones(len(tree), bool)
@@ -102,27 +101,29 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b.append(node[at + step])
         a, b = np.concatenate(a), np.concatenate(b)
         pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0)
-        yield _pair_batch(pairs[:, 0], pairs[:, 1], None, None, part)
+        yield _rows(pairs[:, 0], pairs[:, 1], None)
+        left = size > REGION
+        if not opened:
+            left |= region == 0
+            opened = True
+        yield _rows(node[left], top[left], tree[left])
         carry = tuple(x[-REGION:] for x in (tree, top, node, n))
-    if first is not None:
-        for kind, row in ((0, first), (1, last)):
-            yield _pair_batch([row[2]], [row[1]], [row[0]], [kind], part)
+    if carry is not None:
+        tree, top, node, _ = carry
+        last = (tree == tree[-1]) & (top == top[-1])
+        yield _rows(node[last], top[last], tree[last])
 
 
-def _pair_batch(a, b, tree, kind, part: int) -> pa.RecordBatch:
-    none = pa.nulls(len(a), pa.int32())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(a, pa.int64()), pa.array(b, pa.int64()), none if tree is None else pa.array(tree, pa.int32()),
-         none if kind is None else pa.array(kind, pa.int32()), pa.array([part] * len(a), pa.int32())],
-        ["a", "b", "tree", "kind", "part"],
-    )
+def _rows(a: np.ndarray, b: np.ndarray, tree: np.ndarray | None) -> pa.RecordBatch:
+    trees = pa.nulls(len(a), pa.int32()) if tree is None else pa.array(tree, pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), trees], ["a", "b", "tree"])
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of neighbours in the forest, for (node, n_shingles, keys).
+def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a, b) of neighbours in the forest, and (node, family) for what the pairs leave open.
 
-    The rows of all orders are dealt out by ranges of (order, values, node), so a region of any size spreads over
-    tasks; neighbours across a border between two tasks are joined afterwards.
+    ``nodes`` has node, n_shingles and keys.  The rows of all orders are dealt out by ranges of (order, values, node), so
+    a region of any size spreads over tasks.  A family joins dense regions that share a document.
     """
     rows = nodes.select("node", "n_shingles", "keys", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     rows = rows.select(
@@ -131,16 +132,60 @@ def candidates(nodes: DataFrame) -> DataFrame:
     )
     order = ["tree", "top", "rest", "node"]
     dealt = rows.repartitionByRange(shuffle_partitions(nodes), *order).sortWithinPartitions(*order)
-    found = materialize(
-        dealt.select("tree", "top", "node", "n").mapInArrow(
-            _neighbours, "a long, b long, tree int, kind int, part int"
-        )
-    )
-    edge = found.filter("kind is not null")
-    heads = edge.filter("kind = 0").select(F.col("a").alias("y"), "b", "tree", (F.col("part") - 1).alias("part"))
-    tails = edge.filter("kind = 1").select(F.col("a").alias("x"), "b", "tree", "part")
-    across = heads.join(tails, ["part", "tree", "b"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return found.filter("kind is null").select("a", "b").union(across).filter("a <> b").distinct()
+    found = materialize(dealt.select("tree", "top", "node", "n").mapInArrow(_neighbours, "a long, b long, tree int"))
+    pairs = found.filter("tree is null").select("a", "b").distinct()
+    open_ = found.filter("tree is not null").select(F.col("a").alias("node"), F.col("b").alias("top"), "tree").distinct()
+    first = open_.groupBy("tree", "top").agg(F.min("node").alias("first"))
+    families = components(open_.join(first, ["tree", "top"]).select(F.col("node").alias("a"), F.col("first").alias("b")))
+    return pairs, families.withColumnRenamed("label", "family")
+
+
+def _settled(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    """Links between open documents of a family and a block of its members, one for each group that is reached."""
+    side = rows.column("side").to_numpy()
+    node, label = rows.column("node").to_numpy(), rows.column("label").to_numpy()
+    sets: list[np.ndarray] = []
+    for part in slices(rows.column("text"), lower=True):
+        _, h, n = shingle_sets(part)
+        sets += np.split(h, np.cumsum(n)[:-1])
+    members, asking = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    size = np.array([len(sets[k]) for k in members], np.int64)
+    a, b = [], []
+    if len(members) and len(asking):
+        every = np.concatenate([sets[k] for k in members])
+        owner = np.repeat(np.arange(len(members)), size)
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], owner[order]
+        for k in asking:
+            own = sets[k]
+            lo, hi = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
+            count = hi - lo
+            at = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            common = np.bincount(owner[at], minlength=len(members))
+            near = (100 * common >= SIMILARITY * (len(own) + size - common)) & (label[members] != label[k])
+            hit = members[np.flatnonzero(near)]
+            hit = hit[np.unique(label[hit], return_index=True)[1]]
+            a += [node[k]] * len(hit)
+            b += node[hit].tolist()
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def settle(families: DataFrame, labels: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Links (a, b) that the candidates of dense regions missed.
+
+    All members of a family outside its largest group are compared exactly with all members of other groups, block by
+    block.  Two of the largest group need no comparison, since they are together already.
+    """
+    known = families.join(labels, "node", "left").select("family", "node", F.coalesce("label", "node").alias("label"))
+    sizes = known.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("family").agg(
+        F.max_by("label", F.struct("n", "label")).alias("largest"), F.sum("n").alias("n")
+    ).select("family", "largest", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    placed = known.join(sizes, "family")
+    own = F.array(F.struct(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("side")))
+    each = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(k.alias("block"), F.lit(1).alias("side")))
+    dealt = placed.withColumn("p", F.explode(F.when(F.col("label") == F.col("largest"), own).otherwise(F.concat(own, each))))
+    rows = dealt.select("family", "p.block", "p.side", "node", "label").join(bodies, "node")
+    return rows.groupBy("family", "block").applyInArrow(_settled, "a long, b long")
 
 
 def _node_of(part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -189,7 +234,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Documents with equal shingle sets form one node.  Nodes are sorted by their minhash values in several orders; the
     candidates are neighbours with a common prefix.  How long the prefix must be adapts to the region: where few
     documents share SHALLOW values all of them are compared, where many do only the closest in the order.  Every
-    candidate is confirmed on the full sets, and confirmed links are closed to groups.
+    candidate is confirmed on the full sets, and confirmed links are closed to groups.  In dense regions, what is then
+    outside the largest group is compared exactly with all the rest, so density costs no link.
 
     Documents without words (null or empty) link with nothing and are kept.  Null ids never become a group's
     smallest id while another exists.  Repeated rows fall into one node; each gets its row.  Further columns are ignored.
@@ -203,8 +249,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys")
     )
     nodes = materialize(nodes)
-    pairs = materialize(candidates(nodes))
-    wanted = pairs.select("a").union(pairs.select("b")).distinct().toDF("node")
+    pairs, families = candidates(nodes)
+    pairs = materialize(pairs)
+    wanted = pairs.select("a").union(pairs.select("b")).union(families.select("node")).distinct().toDF("node")
     # One text for each node that takes part; nulls get a stand-in, since they may name a node too.
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(np.iinfo(np.int64).min)).alias("key")
     holders = nodes.select("node", key).join(wanted, "node", "left_semi")
@@ -214,8 +261,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     left, right = bodies.toDF("a", "text_a"), bodies.toDF("b", "text_b")
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
-    links = both.mapInArrow(_confirmed, "a long, b long")
-    labels = components(links)
+    links = materialize(both.mapInArrow(_confirmed, "a long, b long"))
+    labels = components(links.union(settle(families, components(links), bodies)))
     groups = nodes.select("node", "doc_id").join(labels, "node", "left").select(
         "node", "doc_id", F.coalesce("label", "node").alias("label")
     )
