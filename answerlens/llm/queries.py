@@ -14,10 +14,12 @@ from answerlens.llm.ppm import score_documents
 from answerlens.llm.quality import MAX_LINE_SHARE, MAX_NGRAM_SHARE, repetition_rules
 from answerlens.llm.rotation import near_vectors
 from answerlens.llm.substrings import remove_repeats
+from answerlens.llm.tables import small_batches
 from answerlens.llm.warc import page_captures
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

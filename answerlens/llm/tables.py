@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from answerlens.operators.scale import materialize
 
 
-def columns_of(df: DataFrame, *wanted: str) -> DataFrame:
-    """Only the named columns, so that further columns of the input cannot clash with an operator's own."""
-    return df.select(*wanted)
+#: Rows that go to a Python worker at a time.  Texts are long, so the usual 10,000 would be tens of megabytes at once.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let this session hand texts to Python workers in small Arrow batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def shuffle_partitions(df: DataFrame) -> int:
