@@ -16,7 +16,7 @@ from answerlens.llm.words import Slice, ids_of, mix, slices, U
 
 WINDOW = 13
 #: Documents whose ids agree in all but these low bits travel together.
-RANGE_BITS = 9
+RANGE_BITS = 10
 #: The sketch has two rows of at most this many cells.  Each is merged to one bit, "counted twice or more", so what is
 #: broadcast never exceeds 2 * 2^MAX_CELL_BITS / 8 bytes (64 MB); beyond that more windows are estimated
 #: repeated and grouped exactly, and none is lost.
@@ -31,6 +31,8 @@ SKETCH_ARROW = pa.schema([("row", pa.int32()), ("chunk", pa.int32()), ("part", p
 _SEEDS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 #: Hash blocks of the exact grouping, for about so many windows each.
 BLOCK_WINDOWS = 1 << 20
+#: Windows estimated repeated that a task gathers before it sends them.
+HELD_WINDOWS = 2_000_000
 _LAST = np.iinfo(np.int64).max
 
 
@@ -164,56 +166,62 @@ def _candidates(cells, bits: int, n: int, blocks: int):
     """Windows estimated repeated, once per range of documents with the first and last id, packed by hash block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             ids = ids_of(batch.column(0))
             for part in slices(batch.column(1)):
-                own = ids[part.lo:part.hi]
                 at, hashes = windows(part, n)
                 flagged = estimated_repeated(cells.value, bits, hashes)
-                hashes, owner = hashes[flagged], own[part.doc[at[flagged]]]
-                rows = []
-                spans = owner >> RANGE_BITS
-                for span in np.unique(spans):
-                    mine = spans == span
-                    h, d = hashes[mine], owner[mine]
-                    order = np.lexsort((d, h))
-                    h, d = h[order], d[order]
-                    head = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-                    tail = np.concatenate((head[1:], [len(h)])) - 1
-                    h, first, last = h[head], d[head] - (span << RANGE_BITS), d[tail] - (span << RANGE_BITS)
-                    block = ((h >> U(40)) % U(blocks)).astype(np.int64)
-                    order = np.argsort(block, kind="stable")
-                    cut = np.flatnonzero(np.concatenate(([True], np.diff(block[order]) > 0)))
-                    for a, b in zip(cut, [*cut[1:], len(order)]):
-                        pick = order[a:b]
-                        rows.append((int(block[pick[0]]), int(span), h[pick].tobytes(),
-                                     first[pick].astype("<u2").tobytes(), last[pick].astype("<u2").tobytes()))
-                if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c) for c in zip(*rows)], ["block", "span", "hashes", "first", "last"]
-                    )
+                held.append((hashes[flagged], ids[part.lo:part.hi][part.doc[at[flagged]]]))
+                if sum(len(h) for h, _ in held) > HELD_WINDOWS:
+                    yield from _packed(held, blocks)
+                    held = []
+        yield from _packed(held, blocks)
 
     return run
 
 
+def _packed(held: list[tuple[np.ndarray, np.ndarray]], blocks: int) -> Iterator[pa.RecordBatch]:
+    """Rows (block, hashes, spans, first, last) of the windows that a task holds, one per block."""
+    if not any(len(h) for h, _ in held):
+        return
+    h, d = (np.concatenate(x) for x in zip(*held))
+    span = d >> RANGE_BITS
+    order = np.lexsort((d, h, span))
+    h, d, span = h[order], d[order], span[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (span[1:] != span[:-1])
+    head = np.flatnonzero(new)
+    tail = np.concatenate((head[1:], [len(h)])) - 1
+    h, span = h[head], span[head]
+    first, last = (x - (span << RANGE_BITS) for x in (d[head], d[tail]))
+    block = ((h >> U(40)) % U(blocks)).astype(np.int64)
+    order = np.lexsort((span, block))
+    block = block[order]
+    new = np.ones(len(order), bool)
+    new[1:] = block[1:] != block[:-1]
+    cut = [*np.flatnonzero(new), len(order)]
+    rows = []
+    for a, b in zip(cut[:-1], cut[1:]):
+        pick = order[a:b]
+        rows.append((int(block[a]), h[pick].tobytes(), span[pick].tobytes(), first[pick].astype("<u2").tobytes(), last[pick].astype("<u2").tobytes()))
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["block", "hashes", "spans", "first", "last"])
+
+
 def _grouped(frame: pd.DataFrame) -> pd.DataFrame:
     """Exact grouping of a hash block: each range gets back its windows that start earlier elsewhere."""
-    sizes = frame["hashes"].str.len().to_numpy() // 8
     h = np.frombuffer(b"".join(frame["hashes"]), U)
-    base = np.repeat(frame["span"].to_numpy() << RANGE_BITS, sizes)
-    first = base + np.frombuffer(b"".join(frame["first"]), "<u2")
-    last = base + np.frombuffer(b"".join(frame["last"]), "<u2")
+    span = np.frombuffer(b"".join(frame["spans"]), np.int64)
+    first, last = ((span << RANGE_BITS) + np.frombuffer(b"".join(frame[c]), "<u2") for c in ("first", "last"))
     order = np.argsort(h, kind="stable")
     head = np.flatnonzero(np.concatenate(([True], h[order[1:]] != h[order[:-1]])))
     least = np.empty(len(h), np.int64)
     least[order] = np.repeat(np.minimum.reduceat(first[order], head), np.diff(np.concatenate((head, [len(h)]))))
-    owner = np.repeat(np.arange(len(frame)), sizes)
-    hit = least < last
-    h, least, owner = h[hit], least[hit], owner[hit]
-    cut = np.searchsorted(owner, np.arange(len(frame) + 1))
-    spans = frame["span"].to_numpy()
-    rows = [(spans[k], h[a:b].tobytes(), least[a:b].astype("<i8").tobytes())
-            for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
+    hit = np.flatnonzero(least < last)
+    hit = hit[np.argsort(span[hit], kind="stable")]
+    h, least, span = h[hit], least[hit], span[hit]
+    names, cut = np.unique(span, return_index=True)
+    rows = [(k, h[a:b].tobytes(), least[a:b].tobytes()) for k, a, b in zip(names, cut, [*cut[1:], len(h)])]
     return pd.DataFrame(rows, columns=["span", "hashes", "least"])
 
 
@@ -291,9 +299,9 @@ def remove_repeats(
     expected = expected_windows(texts)
     bits = bits or cell_bits(expected)
     cells = spark.sparkContext.broadcast(repeated_cells(texts, bits, n))
-    blocks = max(4 * shuffle_partitions(docs), expected // BLOCK_WINDOWS)
+    blocks = max(shuffle_partitions(docs), expected // BLOCK_WINDOWS)
     found = docs.select("doc_id", "text").mapInArrow(
-        _candidates(cells, bits, n, blocks), "block long, span long, hashes binary, first binary, last binary"
+        _candidates(cells, bits, n, blocks), "block long, hashes binary, spans binary, first binary, last binary"
     )
     replies = found.groupBy("block").applyInPandas(_grouped, "span long, hashes binary, least binary")
     span = F.shiftright(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), RANGE_BITS)

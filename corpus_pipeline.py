@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,17 +12,37 @@ from answerlens.llm.mixing import mix_sources
 from answerlens.llm.packing import pack
 from answerlens.llm.quality import repetition_rules
 from answerlens.llm.substrings import remove_repeats
+from answerlens.llm.tables import small_batches
+from answerlens.operators.scale import remove, written
 from answerlens.session import shared_dir
 
 _NO_ID = -(1 << 63)
+_PREVIOUS: list[str] = []
+
+
+def _stage(work):
+    """A stage that first removes the intermediates of the stage before, whose result is written by then."""
+
+    @functools.wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        remove(spark, _PREVIOUS)
+        before = set(written())
+        out = work(spark, docs, sf_dir)
+        _PREVIOUS[:] = [path for path in written() if path not in before]
+        return out
+
+    return run_stage
 
 
 def _joined(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Documents whose doc_id is in ``ids`` with its further columns and ``__key``, a null id being like any other."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("__key")
-    return docs.select("*", key).join(ids.withColumn("__key", key).drop("doc_id"), "__key")
+    # The ids grow with the documents, so they are merged at every size and never broadcast.
+    return docs.select("*", key).join(ids.withColumn("__key", key).drop("doc_id").hint("merge"), "__key")
 
 
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the repetition rules reject.
 
@@ -30,12 +51,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return repetition_rules(docs, keep_rows=True)
 
 
+@_stage
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays; of rows that share a doc_id, one."""
     stay = near_duplicates(docs).filter("kept").select("doc_id").distinct()
     return _joined(docs, stay).dropDuplicates(["__key"]).select(*docs.columns)
 
 
+@_stage
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose the windows that an earlier document holds; texts without a loss stay as they are.
 
@@ -51,6 +74,7 @@ def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*[columns[c].alias(c) for c in docs.columns])
 
 
+@_stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     copies = mix_sources(docs).filter("copies > 0").select("doc_id", "copies")
@@ -58,6 +82,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
+@_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the token sequences."""
     return pack(docs)
