@@ -6,9 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from answerlens.llm.tables import components, shuffle_partitions
+from answerlens.llm.tables import components, row_key, shuffle_partitions
 from answerlens.llm.words import Slice, mix, per_group, slices, U
 from answerlens.operators.scale import materialize
 
@@ -69,8 +69,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flat = pa.array(keys.reshape(-1))
             lists = pa.FixedSizeListArray.from_arrays(flat, TREES * 2).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(part.lo, part.docs), pa.array(node), pa.array(n.astype(np.int64)), lists],
-                ["doc_id", "node", "n_shingles", "keys"],
+                [batch.column(0).slice(part.lo, part.docs), batch.column(2).slice(part.lo, part.docs), pa.array(node),
+                 pa.array(n.astype(np.int64)), lists], ["doc_id", "print", "node", "n_shingles", "keys"],
             )
 
 
@@ -200,7 +200,7 @@ def _node_of(part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
 
 
 def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose text has the set that the node stands for; another text of the same doc_id goes."""
+    """Rows whose text has the set that the node stands for."""
     for batch in batches:
         names = [_node_of(part)[3] for part in slices(batch.column(1), lower=True)]
         if names:
@@ -228,48 +228,83 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per document its shingle count, the smallest doc_id of its group and whether it is that one.
+def _print() -> Column:
+    """What a row is found by: its doc_id and text, so rows that share an id, or have none, stay apart."""
+    return F.xxhash64("doc_id", "text").alias("print")
 
-    Documents with equal shingle sets form one node.  Nodes are sorted by their minhash values in several orders; the
-    candidates are neighbours with a common prefix.  How long the prefix must be adapts to the region: where few
-    documents share SHALLOW values all of them are compared, where many do only the closest in the order.  Every
-    candidate is confirmed on the full sets, and confirmed links are closed to groups.  In dense regions, what is then
-    outside the largest group is compared exactly with all the rest, so density costs no link.
 
-    Documents without words (null or empty) link with nothing and are kept.  Null ids never become a group's
-    smallest id while another exists.  Repeated rows fall into one node; each gets its row.  Further columns are ignored.
-    """
+def _worded() -> Column:
+    """Whether a text has a word, as in ``words``."""
+    return F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+
+
+def _first() -> Column:
+    """The smallest row of a group: null ids last."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "print")).alias("first")
+
+
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per row doc_id, node and n_shingles, and per node with words its first row and its group's label."""
     texts = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = materialize(
-        texts.mapInArrow(_signed, f"doc_id {kind}, node long, n_shingles long, keys array<bigint>")
-    )
+    signed = materialize(texts.select("doc_id", "text", _print()).mapInArrow(
+        _signed, f"doc_id {kind}, print long, node long, n_shingles long, keys array<bigint>"
+    ))
     nodes = signed.filter("n_shingles > 0").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys")
+        _first(), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys")
     )
-    nodes = materialize(nodes)
+    nodes = materialize(nodes.select("node", "first.doc_id", "first.print", "n_shingles", "keys"))
     pairs, families = candidates(nodes)
     pairs = materialize(pairs)
     wanted = pairs.select("a").union(pairs.select("b")).union(families.select("node")).distinct().toDF("node")
-    # One text for each node that takes part; nulls get a stand-in, since they may name a node too.
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(np.iinfo(np.int64).min)).alias("key")
-    holders = nodes.select("node", key).join(wanted, "node", "left_semi")
+    # One text for each node that takes part.
+    holders = nodes.select("node", "print").join(wanted, "node", "left_semi")
     bodies = materialize(
-        texts.select(key, "text").join(holders, "key").select("node", "text", "key")
-        .mapInArrow(_own_text, "node long, text string, key long").dropDuplicates(["node"]).select("node", "text")
+        texts.select(_print(), "text").join(holders, "print").select("node", "text")
+        .mapInArrow(_own_text, "node long, text string").dropDuplicates(["node"])
     )
     left, right = bodies.toDF("a", "text_a"), bodies.toDF("b", "text_b")
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
     links = materialize(both.mapInArrow(_confirmed, "a long, b long"))
     labels = components(links.union(settle(families, components(links), bodies)))
-    groups = nodes.select("node", "doc_id").join(labels, "node", "left").select(
-        "node", "doc_id", F.coalesce("label", "node").alias("label")
+    groups = nodes.select("node", "doc_id", "print").join(labels, "node", "left").select(
+        "node", "doc_id", "print", F.coalesce("label", "node").alias("label")
     )
+    return signed.select("doc_id", "node", "n_shingles"), groups
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Per document its shingle count, the smallest doc_id of its group and whether it is that one.
+
+    Documents with equal shingle sets form one node.  Nodes are sorted by their minhash values in several orders; the
+    candidates are neighbours with a common prefix.  How long the prefix must be adapts to the region: where few
+    documents share SHALLOW values all of them are compared, where many do only the closest in the order.  Every
+    candidate is confirmed on the full sets, and confirmed links are closed to groups.  In dense regions, what is then
+    outside the largest group is compared exactly with all the rest, so density costs no link.
+
+    Documents without words (null or empty) link with nothing and are kept.  Null ids never become a group's
+    smallest id while another exists.  Repeated rows fall into one node; each gets its row.  Further columns are ignored.
+    """
+    members, groups = _grouped(docs)
     least = groups.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     found = groups.join(least, "label").select("node", "component_id")
-    members = signed.select("doc_id", "node", "n_shingles")
     return members.join(found, "node", "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: one row of each group, and every row without words.
+
+    The row that stays has the group's smallest doc_id (null ids last); among rows of that id it is fixed by their
+    contents, so it is the same in every run.  Rows that only share a doc_id, or have none, do not touch each other.
+    """
+    _, groups = _grouped(docs)
+    stay = groups.groupBy("label").agg(_first()).select("first.print").distinct()
+    # Rows of equal id and text become one before they meet the choice, so no number of copies lands in one task.
+    row = F.min_by(F.struct(*docs.columns), row_key(docs.columns)).alias("row")
+    one = docs.filter(_worded()).groupBy(_print()).agg(row)
+    # The prints grow with the documents, so they are merged at every size and never broadcast.
+    kept = one.join(stay.hint("merge"), "print").select("row.*")
+    return kept.union(docs.filter(~_worded()))

@@ -73,7 +73,7 @@ def pivot(size: np.ndarray, p: np.ndarray, draw: np.random.Generator) -> int:
 
 def _round(level: int, last: bool):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["key", "size", "p", "chunk"], kind="stable")
+        frame = frame.sort_values([c for c in ("key", "size", "row", "p", "chunk") if c in frame], kind="stable")
         source, chunk = frame["source"].iloc[0], int(frame["next"].iloc[0])
         name = zlib.crc32(b"" if source is None else source.encode()) + (source is None)
         draw = np.random.default_rng([SEED, level, chunk, name])
@@ -86,7 +86,7 @@ def _round(level: int, last: bool):
     return run
 
 
-def mix_sources(docs: DataFrame) -> DataFrame:
+def mix_sources(docs: DataFrame, row: Column | None = None) -> DataFrame:
     """Copies of each document such that every source comes near its target.
 
     A source's documents all want ``target / source_size`` copies.  The whole part is given; the fractional parts are
@@ -96,11 +96,16 @@ def mix_sources(docs: DataFrame) -> DataFrame:
 
     Null texts have size 0; documents of size 0 draw by themselves and take nothing.  Null sources form the last source.
     Repeated rows are rounded each for itself.  Equal input gives equal output.  Further columns are ignored.
+    ``row`` is a long that tells rows of one id, or of none, apart; it is drawn with and returned as ``row``.
     Returns doc_id, source, size, source_size, target, copies, taken.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("key")
-    sized = materialize(docs.select(key, F.col("source").cast("string").alias("source"), words_in(F.col("text")).alias("size")))
+    own = [] if row is None else ["row"]
+    told = [] if row is None else [row.alias("row")]
+    sized = materialize(docs.select(
+        key, F.col("source").cast("string").alias("source"), words_in(F.col("text")).alias("size"), *told
+    ))
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     goal = targets(sources)
     most = goal.agg(F.max("n_docs")).first()[0] or 0
@@ -113,11 +118,11 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     rows = rows.select(
         "key", "source", "size", "source_size", "target", whole.cast("long").alias("whole"),
         F.when(x - whole > _EVEN, x - whole).otherwise(F.lit(0.0)).alias("p"),
-        F.pmod(F.xxhash64("key", "size"), chunks).alias("chunk"),
+        F.pmod(F.xxhash64("key", "size", *own), chunks).alias("chunk"), *own,
     )
-    coin = F.pmod(F.xxhash64(F.lit(SEED), F.col("key")), F.lit(1 << 30)) / float(1 << 30)
+    coin = F.pmod(F.xxhash64(F.lit(SEED), F.col("key"), *own), F.lit(1 << 30)) / float(1 << 30)
     rows = rows.withColumn("p", F.when(F.col("size") == 0, (coin < F.col("p")).cast("double")).otherwise(F.col("p")))
-    schema = "key long, source string, size long, source_size long, target double, whole long, p double, chunk long"
+    schema = "key long, source string, size long, source_size long, target double, whole long, p double, chunk long" + ", row long" * len(own)
     done, level, left, step = [], 0, max(1, -(-most // CHUNK)), 1
     while True:
         last = left == 1
@@ -133,4 +138,4 @@ def mix_sources(docs: DataFrame) -> DataFrame:
         out = out.union(more)
     copies = F.col("whole") + F.col("p").cast("long")
     doc_id = F.when(F.col("key") != _NO_ID, F.col("key")).cast(kind).alias("doc_id")
-    return out.select(doc_id, "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select(doc_id, "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *own)

@@ -34,6 +34,10 @@ BLOCK_WINDOWS = 1 << 20
 #: Windows estimated repeated that a task gathers before it sends them.
 HELD_WINDOWS = 2_000_000
 _LAST = np.iinfo(np.int64).max
+#: Ranges from here on hold rows without an id, dealt by their texts; all of them count as document _LAST.
+_NO_ID_SPAN = 1 << (63 - RANGE_BITS)
+#: Windows of the whole input for each range of rows without an id.
+NO_ID_WINDOWS = 1 << 19
 
 
 def windows(part: Slice, n: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -166,14 +170,15 @@ def _candidates(cells, bits: int, n: int, blocks: int):
     """Windows estimated repeated, once per range of documents with the first and last id, packed by hash block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
-            ids = ids_of(batch.column(0))
+            ids, spans = ids_of(batch.column(0)), batch.column(2).to_numpy()
             for part in slices(batch.column(1)):
                 at, hashes = windows(part, n)
                 flagged = estimated_repeated(cells.value, bits, hashes)
-                held.append((hashes[flagged], ids[part.lo:part.hi][part.doc[at[flagged]]]))
-                if sum(len(h) for h, _ in held) > HELD_WINDOWS:
+                doc = part.doc[at[flagged]]
+                held.append((hashes[flagged], ids[part.lo:part.hi][doc], spans[part.lo:part.hi][doc]))
+                if sum(len(h) for h, *_ in held) > HELD_WINDOWS:
                     yield from _packed(held, blocks)
                     held = []
         yield from _packed(held, blocks)
@@ -181,12 +186,11 @@ def _candidates(cells, bits: int, n: int, blocks: int):
     return run
 
 
-def _packed(held: list[tuple[np.ndarray, np.ndarray]], blocks: int) -> Iterator[pa.RecordBatch]:
+def _packed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], blocks: int) -> Iterator[pa.RecordBatch]:
     """Rows (block, hashes, spans, first, last) of the windows that a task holds, one per block."""
-    if not any(len(h) for h, _ in held):
+    if not any(len(h) for h, *_ in held):
         return
-    h, d = (np.concatenate(x) for x in zip(*held))
-    span = d >> RANGE_BITS
+    h, d, span = (np.concatenate(x) for x in zip(*held))
     order = np.lexsort((d, h, span))
     h, d, span = h[order], d[order], span[order]
     new = np.ones(len(h), bool)
@@ -194,7 +198,7 @@ def _packed(held: list[tuple[np.ndarray, np.ndarray]], blocks: int) -> Iterator[
     head = np.flatnonzero(new)
     tail = np.concatenate((head[1:], [len(h)])) - 1
     h, span = h[head], span[head]
-    first, last = (x - (span << RANGE_BITS) for x in (d[head], d[tail]))
+    first, last = (x & ((1 << RANGE_BITS) - 1) for x in (d[head], d[tail]))
     block = ((h >> U(40)) % U(blocks)).astype(np.int64)
     order = np.lexsort((span, block))
     block = block[order]
@@ -212,7 +216,8 @@ def _grouped(frame: pd.DataFrame) -> pd.DataFrame:
     """Exact grouping of a hash block: each range gets back its windows that start earlier elsewhere."""
     h = np.frombuffer(b"".join(frame["hashes"]), U)
     span = np.frombuffer(b"".join(frame["spans"]), np.int64)
-    first, last = ((span << RANGE_BITS) + np.frombuffer(b"".join(frame[c]), "<u2") for c in ("first", "last"))
+    least_id = np.minimum(span, _NO_ID_SPAN - 1) << RANGE_BITS
+    first, last = (least_id + np.frombuffer(b"".join(frame[c]), "<u2") for c in ("first", "last"))
     order = np.argsort(h, kind="stable")
     head = np.flatnonzero(np.concatenate(([True], h[order[1:]] != h[order[:-1]])))
     least = np.empty(len(h), np.int64)
@@ -300,11 +305,12 @@ def remove_repeats(
     bits = bits or cell_bits(expected)
     cells = spark.sparkContext.broadcast(repeated_cells(texts, bits, n))
     blocks = max(shuffle_partitions(docs), expected // BLOCK_WINDOWS)
-    found = docs.select("doc_id", "text").mapInArrow(
+    deal = F.pmod(F.xxhash64("text"), F.lit(1 + expected // NO_ID_WINDOWS)) + _NO_ID_SPAN
+    span = F.coalesce(F.shiftright(F.col("doc_id").cast("long"), RANGE_BITS), deal)
+    found = docs.select("doc_id", "text", span.alias("span")).mapInArrow(
         _candidates(cells, bits, n, blocks), "block long, hashes binary, spans binary, first binary, last binary"
     )
     replies = found.groupBy("block").applyInPandas(_grouped, "span long, hashes binary, least binary")
-    span = F.shiftright(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), RANGE_BITS)
     inner = [f"__c{k}" for k in range(len(keep))]
     sides = docs.select(
         span.alias("span"), F.col("doc_id").cast("long").alias("__id"), F.col("text").alias("__text"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from answerlens.operators.scale import materialize
 
@@ -16,6 +16,11 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
+def row_key(columns: list[str]) -> Column:
+    """A number for the contents of a row; a null in one column is not a null in another."""
+    return F.xxhash64(*columns, *[F.col(c).isNull() for c in columns])
+
+
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

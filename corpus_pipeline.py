@@ -7,16 +7,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from answerlens.llm.forest import near_duplicates
+from answerlens.llm.forest import distinct_documents
 from answerlens.llm.mixing import mix_sources
 from answerlens.llm.packing import pack
 from answerlens.llm.quality import repetition_rules
 from answerlens.llm.substrings import remove_repeats
-from answerlens.llm.tables import small_batches
+from answerlens.llm.tables import row_key, small_batches
 from answerlens.operators.scale import remove, written
 from answerlens.session import shared_dir
 
-_NO_ID = -(1 << 63)
 _PREVIOUS: list[str] = []
 
 
@@ -35,13 +34,6 @@ def _stage(work):
     return run_stage
 
 
-def _joined(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents whose doc_id is in ``ids`` with its further columns and ``__key``, a null id being like any other."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("__key")
-    # The ids grow with the documents, so they are merged at every size and never broadcast.
-    return docs.select("*", key).join(ids.withColumn("__key", key).drop("doc_id").hint("merge"), "__key")
-
-
 @_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the repetition rules reject.
@@ -53,9 +45,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays; of rows that share a doc_id, one."""
-    stay = near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return _joined(docs, stay).dropDuplicates(["__key"]).select(*docs.columns)
+    """One row of each near-duplicate group stays; rows that only share a doc_id, or have none, all do."""
+    return distinct_documents(docs)
 
 
 @_stage
@@ -76,10 +67,14 @@ def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    copies = mix_sources(docs).filter("copies > 0").select("doc_id", "copies")
-    taken = _joined(docs, copies.withColumnRenamed("copies", "__copies"))
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    """Each row as often as the mix takes it, also where rows share an id or have none."""
+    key = row_key(docs.columns)
+    # Rows equal in all columns are one, with the copies of all.
+    copies = mix_sources(docs, key).groupBy(F.col("row").alias("__row")).agg(F.sum("copies").alias("__copies"))
+    one = docs.withColumn("__row", key).dropDuplicates(["__row"])
+    # The keys grow with the documents, so they are merged at every size and never broadcast.
+    taken = one.join(copies.filter("__copies > 0").hint("merge"), "__row")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
 
 
 @_stage

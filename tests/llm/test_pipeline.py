@@ -66,3 +66,47 @@ def test_pipeline_with_odd_rows(spark, tmp_path):
             out.write.parquet(f"{tmp_path}/{k}{'e' if part is not docs else ''}")
         docs = spark.read.parquet(f"{tmp_path}/{k}")
     assert docs.count() > 0
+
+
+def prose(seed, n=80):
+    return " ".join(f"w{seed}x{j}" for j in range(n))
+
+
+def run_stage(spark, name, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    return sorted(map(tuple, dict(corpus_pipeline.STAGES)[name](spark, docs, SF).collect()), key=repr)
+
+
+def test_near_duplicate_keeps_rows_that_only_share_an_id(spark):
+    """Rows without an id, or with the same one, are no near duplicates; a group keeps one row, the same each time."""
+    rows = [(None, prose(k), "s") for k in range(6)] + [(7, prose(20), "s"), (7, prose(21), "s")]
+    rows += [(None, prose(0), "s"), (None, prose(0) + " ", "s"), (3, prose(20) + " end", "s"), (9, prose(3).upper(), "t")]
+    rows += [(None, None, "s"), (None, "", "s"), (1, " ", "s"), (1, " ", "s")]
+    got = run_stage(spark, "near_duplicate", rows)
+    assert got == run_stage(spark, "near_duplicate", rows[::-1])
+    zero = [r for r in got if r[1] and r[1].strip() == prose(0)]
+    assert len(zero) == 1
+    want = [(None, prose(k), "s") for k in (1, 2, 4, 5)] + [(9, prose(3).upper(), "t"), (7, prose(21), "s")]
+    want += [(3, prose(20) + " end", "s"), *rows[-4:], *zero]
+    assert got == sorted(want, key=repr)
+
+
+def test_mixing_takes_each_row_of_an_id_by_itself(spark):
+    rows = [(None, prose(k), "s") for k in range(40)] + [(7, prose(k), "t") for k in range(40, 60)] + [(None, prose(60), "u")] * 3
+    got = run_stage(spark, "mixing", rows)
+    assert set(got) <= set(rows)
+    taken = {s: sum(r[2] == s for r in got) for s in "stu"}
+    want = {s: t / 80 for s, t in brute.mixing_targets({"s": 3200, "t": 1600, "u": 240}).items()}
+    assert all(abs(taken[s] - want[s]) < 1 for s in "stu")
+
+
+def test_substring_deals_rows_without_an_id(spark, monkeypatch):
+    """They lie in several ranges, lose to every id and not to each other."""
+    from answerlens.llm import substrings
+
+    monkeypatch.setattr(substrings, "NO_ID_WINDOWS", 8)
+    common = prose(99, 20)
+    rows = [(None, f"{prose(k, 20)} {common}", "s") for k in range(8)] + [(None, f"{prose(k, 9)} {prose(98, 20)}", "s") for k in (8, 9)]
+    rows.append((5, common, "s"))
+    got = run_stage(spark, "substring", rows)
+    assert got == sorted([(None, prose(k, 20), "s") for k in range(8)] + rows[8:], key=repr)
