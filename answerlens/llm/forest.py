@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -22,8 +23,10 @@ TREES, LEVELS, SHALLOW = 24, 8, 4
 REGION = 16
 #: In a denser one each document first meets so many next ones, which share the longest prefixes there.
 NEAREST = 2
-#: Documents of dense regions that are compared together when what is left is settled.
+#: Documents of dense regions on either side of a comparison when what is left is settled.
 BLOCK = 512
+#: Bits of the cells that count in how many documents of dense regions a shingle is (4 MB).
+FREQUENCY_BITS = 20
 _SALT = mix(np.arange(1, TREES * LEVELS + 1, dtype=U) * U(0x2545F4914F6CDD1D))
 
 
@@ -140,8 +143,65 @@ def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, families.withColumnRenamed("label", "family")
 
 
+def _cells(h: np.ndarray) -> np.ndarray:
+    return (mix(h) >> U(64 - FREQUENCY_BITS)).astype(np.int64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's document frequencies of shingles, by cells."""
+    cells = np.zeros(1 << FREQUENCY_BITS, np.int64)
+    for batch in batches:
+        for part in slices(batch.column(0), lower=True):
+            cells += np.bincount(_cells(shingle_sets(part)[1]), minlength=len(cells))
+    if cells.any():
+        rows = cells.reshape(64, -1)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(64)), pa.array([r.tobytes() for r in rows], pa.binary())], ["part", "cells"]
+        )
+
+
+def _added(frame: pd.DataFrame) -> pd.DataFrame:
+    total = np.sum([np.frombuffer(x, np.int64) for x in frame["cells"]], axis=0)
+    return pd.DataFrame({"part": frame["part"].iloc[:1], "cells": [total.tobytes()]})
+
+
+def frequencies(texts: DataFrame) -> np.ndarray:
+    """In how many texts the shingles of each cell are, together.  Any such table orders shingles; this one by rarity."""
+    schema = "part long, cells binary"
+    summed = texts.mapInArrow(_counted, schema).groupBy("part").applyInPandas(_added, schema)
+    out = np.zeros((64, (1 << FREQUENCY_BITS) // 64), np.int64)
+    for part, cells in summed.collect():  # 64 rows
+        out[part] = np.frombuffer(cells, np.int64)
+    return out.reshape(-1)
+
+
+def _rarest(shared):
+    """The rarest shingles of each document, as many as two similar sets cannot both do without.
+
+    Of n shingles at least ceil(SIMILARITY * n / 100) are in a similar set.  If shingles are in one order for all, the
+    first n + 1 minus that number of either set therefore have one in common.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch.column(0), lower=True):
+                doc, h, n = shingle_sets(part)
+                order = np.lexsort((h, shared.value[_cells(h)], doc))
+                doc, h = doc[order], h[order]
+                place = np.arange(len(doc)) - (np.cumsum(n) - n)[doc]
+                pick = place <= (n + -SIMILARITY * n // 100)[doc]
+                doc, h = doc[pick], h[pick]
+                at = pa.array(doc + part.lo)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(k).take(at) for k in range(1, 6)), pa.array(n[doc].astype(np.int64)), pa.array(h.view(np.int64))],
+                    ["family", "node", "label", "own", "asks", "n", "shingle"],
+                )
+
+    return run
+
+
 def _settled(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    """Links between open documents of a family and a block of its members, one for each group that is reached."""
+    """Links between a block of open documents of a family and a block of its members, one for each group reached."""
     side = rows.column("side").to_numpy()
     node, label = rows.column("node").to_numpy(), rows.column("label").to_numpy()
     sets: list[np.ndarray] = []
@@ -170,22 +230,53 @@ def _settled(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def settle(families: DataFrame, labels: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Links (a, b) that the candidates of dense regions missed.
+def meetings(families: DataFrame, labels: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Who is compared: family, block of members, block of open documents (asking), side (1: open), node, label.
 
-    All members of a family outside its largest group are compared exactly with all members of other groups, block by
-    block.  Two of the largest group need no comparison, since they are together already.
+    A document outside its family's largest group meets a block only if it shares one of its rarest shingles with a
+    member of another group and a fitting size there, and a member comes only if an asking one shares one of its rarest with it.
     """
     known = families.join(labels, "node", "left").select("family", "node", F.coalesce("label", "node").alias("label"))
     sizes = known.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("family").agg(
-        F.max_by("label", F.struct("n", "label")).alias("largest"), F.sum("n").alias("n")
-    ).select("family", "largest", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    placed = known.join(sizes, "family")
-    own = F.array(F.struct(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("side")))
-    each = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(k.alias("block"), F.lit(1).alias("side")))
-    dealt = placed.withColumn("p", F.explode(F.when(F.col("label") == F.col("largest"), own).otherwise(F.concat(own, each))))
-    rows = dealt.select("family", "p.block", "p.side", "node", "label").join(bodies, "node")
-    return rows.groupBy("family", "block").applyInArrow(_settled, "a long, b long")
+        F.max_by("label", F.struct("n", "label")).alias("largest"), F.sum("n").alias("n"), F.max("n").alias("most")
+    ).filter("most < n").select("family", "largest", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")
+    placed = materialize(known.join(sizes, "family").select(
+        "family", "node", "label", own, (F.col("label") != F.col("largest")).alias("asks")
+    ))
+    texts = placed.join(bodies, "node").select("text", "family", "node", "label", "own", "asks")
+    spark = families.sparkSession
+    if placed.isEmpty():
+        return placed.select("family", F.col("own").alias("block"), F.col("own").alias("asking"), F.lit(0).alias("side"), "node", "label")
+    shared = spark.sparkContext.broadcast(frequencies(texts.select("text")))
+    rare = materialize(texts.mapInArrow(
+        _rarest(shared), "family long, node long, label long, own int, asks boolean, n long, shingle long"
+    ))
+
+    def met(side: DataFrame, others: DataFrame, block: str, asking: str) -> DataFrame:
+        ranges = others.groupBy("family", "shingle", F.col("own").alias("other")).agg(
+            F.min("n").alias("least"), F.max("n").alias("most"), F.min("label").alias("low"), F.max("label").alias("high")
+        )
+        apart = (F.col("low") != F.col("label")) | (F.col("high") != F.col("label"))
+        fits = (F.col("n") * SIMILARITY <= 100 * F.col("most")) & (F.col("least") * SIMILARITY <= 100 * F.col("n"))
+        found = side.join(ranges, ["family", "shingle"]).filter(fits & apart)
+        return found.select("family", F.col(block).alias("block"), F.col(asking).alias("asking"), "node", "label").distinct()
+
+    open_ = rare.filter("asks")
+    both = met(open_, rare, "other", "own").withColumn("side", F.lit(1)).union(
+        met(rare, open_, "own", "other").withColumn("side", F.lit(0))
+    )
+    return both.select("family", "block", "asking", "side", "node", "label")
+
+
+def settle(families: DataFrame, labels: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Links (a, b) that the candidates of dense regions missed.
+
+    Members of a family outside its largest group are compared exactly with all members of other groups that can be
+    similar, block by block.  Two of the largest group need no comparison, since they are together already.
+    """
+    rows = meetings(families, labels, bodies).join(bodies, "node")
+    return rows.groupBy("family", "block", "asking").applyInArrow(_settled, "a long, b long")
 
 
 def _node_of(part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -139,6 +139,29 @@ def test_near_duplicates_star(spark, monkeypatch):
     assert got == {i: c for i, (_, c) in brute.near(rows).items()}
 
 
+def test_near_duplicates_templates(spark, monkeypatch):
+    """Documents of one template are dense but not similar: only the few true pairs meet, in tasks of bounded size."""
+    monkeypatch.setattr(forest, "BLOCK", 8)
+    template = prose(70, 130)
+    rows = [(k, f"{template} {prose(1000 + k, 70)}") for k in range(120)]
+    rows += [(200 + k, f"{rows[k][1]} {prose(2000 + k, 3)}") for k in range(0, 120, 10)]
+    texts = {i: t for i, t in rows}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in forest.near_duplicates(df).collect()}
+    assert got == {i: c for i, (_, c) in brute.near(rows).items()}
+    nodes = spark.createDataFrame([(i, 0) for i in texts], "node long, family long")
+    bodies = spark.createDataFrame(rows, "node long, text string")
+    none = spark.createDataFrame([], "node long, label long")
+    met = [tuple(r) for r in forest.meetings(nodes, none, bodies).select("family", "block", "asking", "side", "node").collect()]
+    by_pair = defaultdict(set)
+    for family, block, asking, side, node in met:
+        by_pair[family, block, asking].add((side, node))
+    for k in range(0, 120, 10):
+        for a, b in ((k, 200 + k), (200 + k, k)):
+            assert any({(1, a), (0, b)} <= x for x in by_pair.values()) or any({(1, b), (0, a)} <= x for x in by_pair.values())
+    assert len({node for *_, node in met}) < 60 and len(met) < 600
+
+
 def test_near_duplicates_repeated_rows(spark):
     text, other = prose(12, 50), prose(13, 50)
     df = spark.createDataFrame([(3, text), (3, text), (None, text), (5, other), (5, text)], "doc_id long, text string")
