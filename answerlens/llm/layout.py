@@ -14,8 +14,8 @@ VOID = frozenset(_WORDS("area base br col embed hr img input link meta param sou
 RAW = frozenset(_WORDS("script style textarea title iframe noembed noframes xmp"))
 HEAD = frozenset(_WORDS("head title base link meta style script template"))
 UNSEEN = frozenset(_WORDS(
-    "head title base link meta style script template noscript iframe noembed noframes object video audio canvas svg math "
-    "datalist map rp"
+    "head title base link meta style script template noscript iframe noembed noframes object video audio canvas svg "
+    "datalist map rp annotation annotation-xml"
 ))
 #: Blocks with an empty line around them, and those that only begin a line.
 SPACED = frozenset(_WORDS("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure fieldset hr menu"))
@@ -55,9 +55,20 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _BLANK = re.compile(r"[ \t\n\f\r]+")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_SIMPLE = re.compile(r"^([a-z][a-z0-9]*)?([.#][\w-]+)?$", re.I)
-_NONE = re.compile(r"display\s*:\s*none", re.I)
+_CSS_ASIDE = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|(/\*.*?(?:\*/|\Z)|<!--|-->)", re.S)
+_BRACE = re.compile(r"([{}])")
+_AT = re.compile(r"@([\w-]+)\s*(.*)", re.S)
+_SIMPLE = re.compile(r"(\*|[a-z][\w-]*)?((?:[.#][\w-]+)*)", re.I)
+_MARK = re.compile(r"[.#][\w-]+")
+#: Media queries that hold on every screen.
+_SCREEN = re.compile(r"(?:only\s+)?(?:all|screen)|not\s+(?:print|speech)|", re.I)
+_VALUE = re.compile(r"([^!]*?)\s*(!\s*important)?", re.I)
+_DISPLAYS = frozenset(_WORDS(
+    "none block inline inline-block flow flow-root list-item contents flex inline-flex grid inline-grid table inline-table "
+    "table-row table-cell table-row-group table-header-group table-footer-group table-column table-column-group "
+    "table-caption ruby ruby-base ruby-text math run-in initial inherit unset revert revert-layer -webkit-box "
+    "-webkit-inline-box -webkit-flex -webkit-inline-flex"
+))
 _VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 
 
@@ -77,7 +88,7 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 def build(source: str) -> tuple[Node, list[str]]:
-    """Tree of a page with implied tags put in, and the text of its style sheets."""
+    """Tree of a page with implied tags put in, and the text of the style sheets that apply on every screen."""
     root = Node("html", {})
     stack, sheets, at = [root], [], 0
 
@@ -138,7 +149,8 @@ def build(source: str) -> tuple[Node, list[str]]:
             body = source[at:end.start() if end else len(source)]
             at = end.start() if end else len(source)
             if tag == "style":
-                sheets.append(body)
+                if on_screen(node.attributes.get("media", "")) and not any(n.tag in ("noscript", "template") for n in stack):
+                    sheets.append(body)
             elif tag in ("textarea", "title"):
                 node.children.append(html.unescape(body))
             else:
@@ -147,31 +159,114 @@ def build(source: str) -> tuple[Node, list[str]]:
     return root, sheets
 
 
-def hidden_selectors(sheets: list[str]) -> set[tuple[str, str]]:
-    """(tag, .class or #id) of the simple selectors that a style sheet takes out of the display."""
-    out = set()
+def on_screen(media: str) -> bool:
+    """Whether a list of media queries holds on every screen."""
+    return any(_SCREEN.fullmatch(query.strip()) for query in media.split(","))
+
+
+def _without_asides(css: str) -> str:
+    """Style text without comments and the contents of strings."""
+    return _CSS_ASIDE.sub(lambda m: " " if m[1] else '""', css)
+
+
+def _display(declarations: str) -> tuple[bool, bool] | None:
+    """Of the last valid ``display``: whether it is important, and whether it shows."""
+    best = None
+    for part in declarations.split(";"):
+        name, _, value = part.partition(":")
+        if name.strip().lower() == "display":
+            m = _VALUE.fullmatch(value.strip().lower())
+            words = m[1].split() if m else []
+            if words and (m[1].startswith("var(") or _DISPLAYS.issuperset(words)):
+                if best is None or m[2] or not best[0]:
+                    best = bool(m[2]), words != ["none"]
+    return best
+
+
+#: By the last mark or the tag of a selector: its tag, its marks, its weight in the cascade, and whether it shows.
+Styles = dict[str, list[tuple[str, frozenset[str], tuple, bool]]]
+
+
+def display_rules(sheets: list[str]) -> Styles:
+    """The rules of style sheets that say how elements with simple selectors are displayed, outside conditions."""
+    out: Styles = {}
+    layers: dict[str, int] = {}
+    turn = 0
     for sheet in sheets:
-        for selectors, rules in _RULE.findall(sheet):
-            if _NONE.search(rules):
-                for selector in selectors.split(","):
-                    m = _SIMPLE.match(selector.strip())
-                    if m and (m[1] or m[2]):
-                        out.add(((m[1] or "").lower(), m[2] or ""))
+        if "display" not in sheet.lower():
+            continue
+        # Open blocks: whether rules in them apply, the layer, and of a rule its selectors and declarations.
+        blocks: list[tuple[bool, str, str | None, list[str]]] = [(True, "", None, [])]
+
+        def end() -> None:
+            nonlocal turn
+            turn += 1
+            applies, layer, selectors, declared = blocks.pop()
+            display = _display(";".join(declared)) if applies and selectors is not None else None
+            for selector in selectors.split(",") if display else ():
+                m = _SIMPLE.fullmatch(selector.strip())
+                if m and m[0]:
+                    tag, marks = (m[1] or "*").lower(), _MARK.findall(m[2])
+                    # Layers come before what is in none, and the other way round if important.
+                    place = layers[layer] if layer else 1 << 30
+                    ids = sum(x[0] == "#" for x in marks)
+                    weight = (display[0], -place if display[0] else place, ids, len(marks) - ids, tag != "*", turn)
+                    out.setdefault(marks[-1] if marks else tag, []).append((tag, frozenset(marks), weight, display[1]))
+
+        text = ""
+        for piece in _BRACE.split(_without_asides(sheet)):
+            applies, layer, selectors, declared = blocks[-1]
+            if piece == "{":
+                before, _, prelude = text.rpartition(";")
+                declared.append(before)
+                prelude, at = prelude.strip(), _AT.match(prelude.strip())
+                if at is None:
+                    # A rule inside a rule has a selector of more than one element.
+                    blocks.append((applies and selectors is None, layer, prelude, []))
+                elif at[1].lower() == "layer":
+                    layer = layer or at[2].strip().split(".")[0] or f"/{len(layers)}"
+                    layers.setdefault(layer, len(layers))
+                    blocks.append((applies and selectors is None, layer, None, []))
+                else:
+                    holds = at[1].lower() == "media" and on_screen(at[2])
+                    blocks.append((applies and holds and selectors is None, layer, None, []))
+            elif piece == "}":
+                declared.append(text)
+                if len(blocks) > 1:
+                    end()
+            else:
+                text = piece
+                if selectors is None and applies:
+                    for statement in piece.split(";")[:-1]:
+                        at = _AT.match(statement.strip())
+                        if at and at[1].lower() == "layer" and not layer:
+                            for name in at[2].split(","):
+                                layers.setdefault(name.strip().split(".")[0], len(layers))
+                continue
+            text = ""
+        blocks[-1][3].append(text)
+        while len(blocks) > 1:
+            end()
     return out
 
 
-def displayed(node: Node, hidden: set[tuple[str, str]]) -> bool:
+def displayed(node: Node, styles: Styles) -> bool:
     """Whether an element takes part in the layout."""
     tag, own = node.tag, node.attributes
-    if tag in UNSEEN or "hidden" in own or _NONE.search(own.get("style", "")):
-        return False
-    if (tag == "dialog" and "open" not in own) or (tag == "input" and own.get("type", "").lower() == "hidden"):
+    if tag in UNSEEN or (tag == "input" and own.get("type", "").lower() == "hidden"):
         return False
-    if hidden:
-        marks = ["", *("." + c for c in own.get("class", "").split()), *(["#" + own["id"]] if "id" in own else [])]
-        if any((t, mark) in hidden for t in (tag, "") for mark in marks):
-            return False
-    return True
+    # What style sheets and the style attribute say goes before the browser's own rules.
+    best, shown = None, "hidden" not in own and not (tag == "dialog" and "open" not in own)
+    if styles:
+        marks = {*("." + c for c in own.get("class", "").split()), *(["#" + own["id"]] if "id" in own else [])}
+        for key in (tag, "*", *marks):
+            for name, needed, weight, shows in styles.get(key, ()):
+                if name in (tag, "*") and needed <= marks and (best is None or weight > best):
+                    best, shown = weight, shows
+    if "style" in own and (display := _display(_without_asides(own["style"]))):
+        if best is None or display[0] or not best[0]:
+            shown = display[1]
+    return shown
 
 
 class Writer:
@@ -192,6 +287,8 @@ class Writer:
                 self._put(part, True)
             return
         text = _BLANK.sub(" ", text)
+        if not text:  # a reference to a control character alone
+            return
         if text == " ":
             self.space = self.space or bool(self.line)
             return
@@ -298,7 +395,7 @@ def render(source: str | None) -> str:
     if not source:
         return ""
     root, sheets = build(source)
-    hidden = hidden_selectors(sheets)
+    styles = display_rules(sheets)
     writers, grids, lists = [Writer()], [], []
     # (node or text or closing step, visible, preformatted)
     todo: list = [("open", root, True, False)]
@@ -311,11 +408,13 @@ def render(source: str | None) -> str:
             continue
         tag = node.tag
         if step == "open":
-            if not displayed(node, hidden):
+            if not displayed(node, styles):
                 continue
             shown = _VISIBILITY.search(node.attributes.get("style", "")) if "style" in node.attributes else None
             if shown:
                 seen = shown[1].lower() == "visible"
+            elif tag == "mphantom":
+                seen = False
             if tag == "br":
                 if writer.line:
                     writer.end_line()
@@ -346,6 +445,8 @@ def render(source: str | None) -> str:
                 lists.append([False, 1, ""])
             if tag == "details" and "open" not in node.attributes:
                 inside = [c for c in node.children if isinstance(c, Node) and c.tag == "summary"][:1]
+            elif tag in ("semantics", "maction"):
+                inside = [c for c in node.children if isinstance(c, Node)][:1]
             else:
                 inside = node.children
             todo.append(("close", node, seen, pre))
@@ -383,8 +484,13 @@ def page_texts(pages: DataFrame, id_column: str = "page_id", html_column: str =
 
     The tree builder puts in the tags that HTML implies (ends of paragraphs, items, rows and cells; table bodies and
     rows) and ignores end tags without a start.  Out of display are the head, scripts, styles, templates, embedded
-    media, ``hidden``, ``display: none`` inline or by a simple selector of the page's own style sheets, closed
-    dialogs and the closed part of details; ``visibility: hidden`` hides text until a descendant is visible again.
+    media, ``hidden``, ``display: none`` inline or by the page's own style sheets, closed dialogs and the closed part of
+    details; ``visibility: hidden`` hides text until a descendant is visible again.  MathML is text, without its
+    annotations.
+
+    Of the style sheets count the selectors of one element by tag, classes and id, in the order of the cascade (layers,
+    importance, specificity, place), outside conditions: rules for print, widths, features or containers are left out
+    whether they hide or show, as are those inside noscript and template.
 
     Null or empty html gives an empty text.  Repeated rows are rendered each for itself, null ids pass through,
     further columns are ignored.  Work is per page, without a shuffle.

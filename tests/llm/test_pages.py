@@ -75,6 +75,43 @@ def test_warc_empty(spark):
     assert page_captures(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_layout_shows_what_browsers_show():
+    def styled(css, body="<p class=x>text</p>", attributes=""):
+        return render(f"<style{attributes}>{css}</style>{body}")
+
+    for shown in (
+        "@media print{.x{display:none}}", "@media (max-width: 600px){.x{display:none} p{display:none}}", "@media screen and (color){.x{display:none}}",
+        "@supports (display: grid){.x{display:none}}", "@keyframes k{from{display:none}} @media print{p{display:none}}",
+        ".x{display:none} .x{display:block}", ".x{display:none} #y, p.x{display:block}", "p{display:block!important} .x{display:none}",
+        "/* .x{display:none} */", ".y{content:'}.x{display:none}'}", "@layer a{.x{display:none}} p{display:block}", ".x{--display:none}",
+        "@layer b, a; @layer a{p{display:block}} @layer b{.x{display:none}}", ".x{display:none} .x{display:none;display:block}",
+    ):
+        assert styled(shown) == "text", shown
+    for gone in (
+        ".x{display:none}", "@media screen{.x{display:none}}", "@media all, print{p{display:none}}", "@media print{.x{color:red}} .x{display:none}",
+        ".x{display:block} .x{display:none", "p{display:none!important} .x{display:block}", ".x{display:none} .x{display:nonsense}",
+        "@import url(a.css); .x{display:none}", "@layer a{.x{color:red}} .x{display:none}", "*{display:none}",
+    ):
+        assert styled(gone) == "", gone
+    assert styled(".x{display:none}", attributes=" media=print") == "text" and styled(".x{display:none}", attributes=" media=screen") == ""
+    assert render("<noscript><style>p{display:none}</style></noscript><p>text") == "text"
+    assert styled(".x{display:none}", "<p class=x style='display:block'>text") == "text"
+    assert styled(".x{display:block!important}", "<p class=x style='display:none'>text") == "text"
+    assert styled("p{display:block}", "<p hidden>text") == "text"
+
+
+def test_layout_math():
+    page = "<p>so <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation>TEX</annotation></semantics></math> holds"
+    assert render(page) == "so x=1 holds"
+
+
+def test_layout_control_characters(spark):
+    pages = ["<p>&#1;</p>", "a<b>&#1;</b>c", "<pre>&#1;</pre>", "<td>&#1;</td>", "<title>&#1;</title>&#x1;"]
+    assert [render(p) for p in pages] == ["", "ac", "", "", ""]
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
+    assert page_texts(df).count() == len(pages)
+
+
 def test_layout_rules():
     assert render(None) == render("") == ""
     assert render("<p>one<p>two<br>three") == "one\n\ntwo\nthree"
