@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from answerlens.llm import oracles
+from answerlens.llm.alignment import align_documents
 from answerlens.llm.chat import conversation_digests, with_probe
 from answerlens.llm.forest import near_duplicates
 from answerlens.llm.layout import page_texts
@@ -15,7 +16,9 @@ from answerlens.llm.quality import MAX_LINE_SHARE, MAX_NGRAM_SHARE, repetition_r
 from answerlens.llm.rotation import near_vectors
 from answerlens.llm.substrings import remove_repeats
 from answerlens.llm.tables import small_batches
+from answerlens.llm.urls import filter_urls
 from answerlens.llm.warc import page_captures
+from answerlens.llm.whitening import whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +66,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_captures(_table(spark, sf_dir, "pages"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_documents(_table(spark, sf_dir, "documents"))[0]
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(_table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,6 +95,9 @@ QUERIES = {
     "op8_forest": op8_forest,
     "op9_packing": op9_packing,
     "op10_warc": op10_warc,
+    "op11_alignment": op11_alignment,
+    "op12_whitening": op12_whitening,
+    "op13_urls": op13_urls,
     "pipeline": pipeline,
 }
 
