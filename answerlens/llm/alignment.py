@@ -42,6 +42,7 @@ class Sides:
         self.quick_a = self._ranked(path_a, tokens)
         self.bytes_a = self._pool(tokens)
         self.bytes_b = self._pool(self._bytes_of_b())
+        self.names = [str(k) for k in range(max(len(x[1]) for x in (self.bytes_a, self.bytes_b)))]
 
     def _bytes_of_a(self) -> list[bytes]:
         # Byte-level vocabularies write printable bytes as themselves, the others as code points from 256 on (fixed values).
@@ -89,20 +90,24 @@ class Sides:
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of space+text on side A and of text on side B (which adds the space) of non-empty texts."""
         of_b = self.b.encode(texts, num_threads=1)
-        return [np.array(self._encode_a(" " + t), np.int64) for t in texts], [np.array(ids, np.int64) for ids in of_b]
+        return [self._encode_a(" " + t) for t in texts], [np.array(ids, np.int64) for ids in of_b]
 
-    def _encode_a(self, text: str) -> list[int]:
+    def _encode_a(self, text: str) -> np.ndarray:
         if self.quick_a is None or len(text) > QUICK_CHARS:
-            return self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
-        return self.quick_a.encode_ordinary(text)
+            return np.array(self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+        return self.quick_a.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+
+
+def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers begin..end of all rows, one after another."""
+    n = end - begin
+    return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
 def _spelled(pool, ids: np.ndarray) -> np.ndarray:
     """Bytes of a sequence of tokens."""
     data, at, size, _ = pool
-    n = size[ids]
-    before = np.cumsum(n) - n
-    return data[np.repeat(at[ids] - before, n) + np.arange(n.sum())]
+    return data[_ranges(at[ids], at[ids] + size[ids])]
 
 
 class Windows:
@@ -113,7 +118,7 @@ class Windows:
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[tuple[bytes, bytes], int] = {}
+        self.number: dict[bytes, int] = {}
         self.texts: list[str] = []
         self.n_groups, self.n_links, self.place = (np.zeros(0, np.int64) for _ in range(3))
         self.links, self.used = np.zeros(1 << 14, np.int64), 0
@@ -127,11 +132,11 @@ class Windows:
 
         Links are id of A times 2^32 plus id of B, in order.
         """
-        end_a, end_b = np.cumsum(self.sides.bytes_a[2][a]), np.cumsum(self.sides.bytes_b[2][b])
-        links, ends = _overlaps(self.sides, a, b)
-        _, x, y = np.intersect1d(end_a, end_b, assume_unique=True, return_indices=True)
-        x, y = x + 1, y + 1
-        ids_a, ids_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        links, _, at_a, at_b = _overlaps(self.sides, a, b)
+        both = at_a & at_b
+        x, y = np.cumsum(at_a)[both], np.cumsum(at_b)[both]
+        ids_a = [*map(self.sides.names.__getitem__, a.tolist())]
+        ids_b = [*map(self.sides.names.__getitem__, b.tolist())]
         groups, i, j = [], 0, 0
         for p, q in zip(x.tolist(), y.tolist()):
             if p == i + 1 and q == j + 1:
@@ -141,7 +146,7 @@ class Windows:
             i, j = p, q
         # The windows end at shared ends: where they lie among the groups and the links.
         last_group = np.searchsorted(x, cut_a, "right")
-        last_link = np.searchsorted(ends, end_a[cut_a - 1], "right")
+        last_link = np.flatnonzero(both)[last_group - 1] + 1
         n_groups, n_links = np.diff(last_group, prepend=0), np.diff(last_link, prepend=0)
         at = [0, *last_group.tolist()]
         self.texts += [";".join(groups[p:q]) if q > p + 1 else groups[p] for p, q in zip(at, at[1:])]
@@ -163,34 +168,34 @@ class Windows:
         starts_a, starts_b = np.flatnonzero(marked_a[a]), np.flatnonzero(marked_b[b])
         n_a, n_b = size_a[a], size_b[b]
         at_a, at_b = (np.cumsum(n_a) - n_a)[starts_a], (np.cumsum(n_b) - n_b)[starts_b]
-        _, x, y = np.intersect1d(at_a, at_b, assume_unique=True, return_indices=True)
-        cut_a, cut_b = starts_a[x], starts_b[y]
+        begins_a, begins_b = (np.zeros(int(n_a.sum()) + 1, bool) for _ in range(2))
+        begins_a[at_a], begins_b[at_b] = True, True
+        cut_a, cut_b = starts_a[begins_b[at_a]], starts_b[begins_a[at_b]]
         stop_a, stop_b = np.append(cut_a[1:], len(a)), np.append(cut_b[1:], len(b))
         name = span_hash(prefix_hash(mix(a.astype(U) + U(1)), _POWERS), _POWERS, cut_a, stop_a)
         name = mix(name) + span_hash(prefix_hash(mix(b.astype(U) + U(1)), _POWERS), _POWERS, cut_b, stop_b)
         _, first, inverse = np.unique(name, return_index=True, return_inverse=True)
         own = np.empty(len(first), np.int64)
-        # Both sides' ids as bytes, the key of a window, are cut out of one string each.
+        # The key of a window is its ids on both sides, as bytes, with a mark between them that is no id.
         raw_a, raw_b = a.astype("<u4").tobytes(), b.astype("<u4").tobytes()
-        bounds = (4 * x[first] for x in (cut_a, stop_a, cut_b, stop_b))
+        cuts = [x[first] for x in (cut_a, stop_a, cut_b, stop_b)]
         new, known = [], self.number
-        for k, (i, p, j, q) in enumerate(zip(*(x.tolist() for x in bounds))):
-            key = (raw_a[i:p], raw_b[j:q])
+        for k, (i, p, j, q) in enumerate(zip(*((4 * x).tolist() for x in cuts))):
+            key = raw_a[i:p] + b"\xff\xff\xff\xff" + raw_b[j:q]
             number = known.get(key)
             if number is None:
                 number = known[key] = len(known)
-                new.append(key)
+                new.append(k)
             own[k] = number
         if new:
-            ids = [np.frombuffer(b"".join(key[side] for key in new), "<u4").astype(np.int64) for side in (0, 1)]
-            self._align(*ids, np.cumsum([len(key[0]) // 4 for key in new]))
+            begin_a, end_a, begin_b, end_b = (x[new] for x in cuts)
+            self._align(a[_ranges(begin_a, end_a)], b[_ranges(begin_b, end_b)], np.cumsum(end_a - begin_a))
         return own[inverse], np.searchsorted(cut_a, first_a)
 
     def links_of(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All links of some windows, and how many each has."""
         n = self.n_links[entries]
-        before = np.cumsum(n) - n
-        return self.links[np.repeat(self.place[entries] - before, n) + np.arange(n.sum())], n
+        return self.links[_ranges(self.place[entries], self.place[entries] + n)], n
 
 
 def _summed(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -285,12 +290,16 @@ def _uses(windows: Windows, uses: np.ndarray, kind: pa.DataType) -> pa.RecordBat
     )
 
 
-def _overlaps(sides: Sides, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links of whole texts one after another, and the byte at which each ends."""
+def _overlaps(sides: Sides, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Links of whole texts one after another, the byte at which each ends, and whether tokens of A and of B end there."""
     end_a, end_b = np.cumsum(sides.bytes_a[2][a]), np.cumsum(sides.bytes_b[2][b])
+    at_a, at_b = (np.zeros(int(end_a[-1]) + 1 if len(end_a) else 1, bool) for _ in range(2))
+    at_a[end_a], at_b[end_b] = True, True
     # Tokens of either side cover the same bytes, so each stretch between two ends is one overlap.
-    ends = np.union1d(end_a, end_b)
-    return (a[np.searchsorted(end_a, ends)] << 32) | b[np.searchsorted(end_b, ends)], ends
+    ends = np.flatnonzero(at_a | at_b)
+    at_a, at_b = at_a[ends], at_b[ends]
+    links = (a[np.cumsum(at_a) - at_a] << 32) | b[np.cumsum(at_b) - at_b]
+    return links, ends, at_a, at_b
 
 
 def _measured(paths: tuple[str, str], known):
@@ -303,7 +312,7 @@ def _measured(paths: tuple[str, str], known):
         for batch in batches:
             for lo, hi in _parts(pc.binary_length(batch.column(1)).to_numpy()):
                 a, b = ([_unpacked(raw) for raw in batch.column(k).slice(lo, hi - lo).to_pylist()] for k in (1, 2))
-                links, ends = _overlaps(sides, np.concatenate(a), np.concatenate(b))
+                links, ends, _, _ = _overlaps(sides, np.concatenate(a), np.concatenate(b))
                 last = np.cumsum([int(sides.bytes_a[2][x].sum()) for x in a])
                 first = np.searchsorted(ends, np.concatenate(([0], last[:-1])), "right")
                 at = np.searchsorted(pairs, links)
