@@ -127,15 +127,7 @@ placed as (
 select project, question_id, date, model_id, answer_id, term, CAST(hit_no AS BIGINT) as hit_no, pos, hit_len
 from placed""")
 def _positions(i):
-    pairs = MA._verified(i.answers, i.entities, False)
-    found = TX.hits(F.col("searched"), F.col("pattern"))
-    return pairs.select(
-        "project", "question_id", "date", "model_id", "answer_id", "term", F.posexplode(found).alias("n", "h")
-    ).select(
-        "project", "question_id", "date", "model_id", "answer_id", "term",
-        (F.col("n") + 1).cast("long").alias("hit_no"),
-        F.col("h.pos").cast("long").alias("pos"), F.col("h.len").cast("long").alias("hit_len"),
-    )
+    return MA.hit_spans(i.answers, i.entities)
 
 
 @query("excerpts", _POS, _SPLIT_HITS + """
@@ -211,24 +203,31 @@ pairs as (
 ),
 urls as (
   select *, regexp_extract_all(low, '(?:\[([^\]]+)\]\()?((?:https?://)?(?:www\.)?[a-z0-9][-a-z0-9._]*\.[a-z]{2,}(?:/[^\s)]*)?)') as raw,
+         regexp_split_to_array(low, '(?:\[([^\]]+)\]\()?((?:https?://)?(?:www\.)?[a-z0-9][-a-z0-9._]*\.[a-z]{2,}(?:/[^\s)]*)?)') as gaps,
          '\b' || replace(replace(term, '.', '\.'), '-', '\-') || '\b' as plain
   from pairs
 ),
-matched as (
-  select *, list_filter(raw, lambda u:
+judged as (
+  select *, list_transform(list_transform(raw, lambda u:
       split_part(split_part(regexp_replace(regexp_replace(regexp_replace(
-        regexp_replace(u, '^\[[^\]]*\]\(', ''), '^https?://', ''), '^www\.', ''), '/$', ''), '?', 1), '#', 1) = term
-      or starts_with(split_part(split_part(regexp_replace(regexp_replace(regexp_replace(
-        regexp_replace(u, '^\[[^\]]*\]\(', ''), '^https?://', ''), '^www\.', ''), '/$', ''), '?', 1), '#', 1), term || '/')) as hits
+        regexp_replace(u, '^\[[^\]]*\]\(', ''), '^https?://', ''), '^www\.', ''), '/$', ''), '?', 1), '#', 1)),
+      lambda u: u = term or starts_with(u, term || '/')) as same
   from urls
+),
+matched as (
+  select *, list_filter(raw, lambda u, k: same[k]) as hits, list_position(same, true) as first_hit from judged
 )
 select project, question_id, date, model_id, answer_id, term,
        CAST(len(hits) + len(regexp_extract_all(low, plain))
-         - coalesce(list_sum(list_transform(hits, lambda u: len(regexp_extract_all(u, plain)))), 0) AS BIGINT) as mentions
+         - coalesce(list_sum(list_transform(hits, lambda u: len(regexp_extract_all(u, plain)))), 0) AS BIGINT) as mentions,
+       CAST(least(
+         case when first_hit > 0 then 1 + list_sum(list_transform(gaps[1:first_hit], lambda g: length(g)))
+           + coalesce(list_sum(list_transform(raw[1:first_hit - 1], lambda u: length(u))), 0) end,
+         case when regexp_matches(low, plain) then 1 + length(regexp_split_to_array(low, plain)[1]) end) AS BIGINT) as pos
 from matched
 where len(hits) + len(regexp_extract_all(low, plain)) > 0""")
 def _domains(i):
-    return MA.match_entities(i.linked_answers, i.link_entities).drop("pos")
+    return MA.match_entities(i.linked_answers, i.link_entities)
 
 
 @query("coverage", ["facts"], """

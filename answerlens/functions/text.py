@@ -131,6 +131,18 @@ def hits(text: Column, pattern: Column) -> Column:
     return bind(steps, lambda s: F.when(F.size(s) == 0, F.expr(_SPANS)).when(F.size(s) <= 64, run(s)["out"]).otherwise(in_blocks(s)))
 
 
+def first_hits(text: Column, pattern: Column, k: int) -> Column:
+    """The first ``k`` of ``hits``: the text is cut ``k`` times at most, and only what lies before the last cut is measured.
+
+    One more character is kept, since a pattern may look at it.
+    """
+    cuts = F.split(text, pattern, k + 1)
+    before = lambda parts: F.substring(text, F.lit(1), F.length(text) - F.length(F.element_at(parts, F.lit(-1))) + 1)
+    return bind(bind(cuts, lambda parts: F.when(F.size(parts) > k, before(parts)).when(F.size(parts) > 1, text)), lambda part: F.when(
+        part.isNull(), F.expr(_SPANS)
+    ).otherwise(F.slice(hits(part, pattern), 1, k)))
+
+
 def hit_positions(text: Column, pattern: Column) -> Column:
     """Start offsets of all matches."""
     return F.transform(hits(text, pattern), lambda h: h["pos"])

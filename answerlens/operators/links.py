@@ -30,20 +30,21 @@ def links_in(text: Column) -> Column:
         F.transform(F.regexp_extract_all(text, F.lit(U.MARKDOWN_LINK), F.lit(2)), U.clean_url),
         lambda u: (u != "") & ~F.startswith(u, F.lit("#")),
     )
-    # Anchors such as [top](#top) stay in the text but hold no URL of their own.
-    without_markdown = blank(text, U.MARKDOWN_LINK)
-    full = F.filter(
-        F.transform(F.regexp_extract_all(without_markdown, F.lit(U.ANY_URL), F.lit(0)), U.clean_url),
-        lambda u: u != "",
-    )
-    seen = F.concat(targets, full)
-    domains = F.transform(seen, U.domain_of)
-    rest = F.lower(blank(without_markdown, U.ANY_URL))
-    bare = F.filter(
-        F.regexp_extract_all(rest, F.lit(U.DOMAIN), F.lit(0)),
-        lambda d: ~F.array_contains(domains, d) & ~F.array_contains(seen, d) & ~d.rlike(U.FILE_SUFFIX),
-    )
-    return F.filter(F.array_distinct(F.concat(seen, bare)), lambda u: ~u.rlike(U.IMAGE_SUFFIX))
+
+    def found(without_markdown: Column) -> Column:
+        # Anchors such as [top](#top) stay in the text but hold no URL of their own.
+        full = F.filter(
+            F.transform(F.regexp_extract_all(without_markdown, F.lit(U.ANY_URL), F.lit(0)), U.clean_url),
+            lambda u: u != "",
+        )
+        rest = F.lower(blank(without_markdown, U.ANY_URL))
+        bare = F.filter(F.array_distinct(F.regexp_extract_all(rest, F.lit(U.DOMAIN), F.lit(0))), lambda d: ~d.rlike(U.FILE_SUFFIX))
+        # Both lists are bound, since a lambda would build them anew for every element.
+        return TX.bind(F.array_distinct(F.concat(targets, full)), lambda seen: F.array_distinct(F.concat(
+            seen, F.array_except(bare, F.concat(seen, F.transform(seen, U.domain_of)))
+        )))
+
+    return F.filter(TX.bind(blank(text, U.MARKDOWN_LINK), found), lambda u: ~u.rlike(U.IMAGE_SUFFIX))
 
 
 def answer_links(answers: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@
 
 The names of a question go to its answers, never the texts to the names: names are gathered into lists of bounded length per
 question, a small table that Spark broadcasts while its size allows, and each text is read once, where it
-lies.  A pattern never breaks inside a run of letters and digits, so a text without one of a name's runs cannot hold
-the name; only names that pass this plain test meet the text with their full pattern.
+lies.  A list is looked up by heads that a text must hold: for a plain name the rarest three letters or digits in a row of it,
+for a domain its host as a URL of the text gives it, or its first labels.  The heads of a text are extracted once, and
+only names whose head is among them are looked at; a name that is absent costs nothing beyond its place in the list.
 """
 
 from __future__ import annotations
@@ -20,10 +21,16 @@ from answerlens.operators.scale import materialize
 
 # Names of a question that travel in one row.
 LIST_NAMES = 512
-# URL shapes searched when the name itself is a domain or URL.
-_URL_IN_TEXT = (
-    r"(?i)(?:\[([^\]]+)\]\()?((?:https?://)?(?:www\.)?[a-z0-9][-a-z0-9._]*\.[a-z]{2,}(?:/[^\s)]*)?)"
-)
+# URL shapes searched when the name itself is a domain or URL, in lower-cased text.  Inside a run of letters and digits
+# none can begin that does not begin with the run, but for a scheme.
+_URL_IN_TEXT = r"(?:\[([^\]]+)\]\()?((?:https?://|(?<![a-z0-9]))[a-z0-9][-a-z0-9._]*\.[a-z]{2,}(?:/[^\s)]*)?)"
+# Every three letters or digits in a row.
+_GRAMS = r"(?=([a-z0-9]{3}))"
+# Labels joined by dots or hyphens, and the numbers of them by which a domain is looked up.
+_LABELS = r"[a-z0-9_]++(?:[.-][a-z0-9_]++)+"
+_LABEL_NUMBERS = (2, 3, 4)
+# Letters by how often texts hold them, the most frequent first: of equally rare grams of names the least usual is taken.
+_USUAL = "etaoinsrhldcumfpgwybvkxjqz"
 
 
 def _runs(term: Column, is_url: Column) -> Column:
@@ -71,27 +78,96 @@ def search_terms(entities: DataFrame, keys: list[str], whole_word: bool = False)
     return terms.select(*keys, "term", TX.bind(F.col("term"), searched).alias("s")).select(*keys, "term", "s.*")
 
 
-def with_candidates(texts: DataFrame, terms: DataFrame, keys: list[str], text: Column) -> DataFrame:
-    """Add ``terms``, the names of the row's group that its text may hold, as array<struct(term, is_url, pattern)>.
+def _url_heads(term: Column) -> Column:
+    """What a text holds wherever it holds a domain or URL: its host as part of a URL, or its first labels.
+
+    The empty head, which every text has, for terms without labels.
+    """
+    host = F.substring_index(U.normalized_url(term), "/", 1)
+    labels = F.regexp_extract(term, r"[a-z0-9_]+(?:[.-][a-z0-9_]+){1,3}", 0)
+    return F.when(labels == "", F.array(labels)).otherwise(F.array_distinct(F.array(host, labels)))
+
+
+def _gram_heads(terms: DataFrame, keys: list[str]) -> DataFrame:
+    """The rarest gram among all names of each term; terms without one have no row."""
+    grams = F.flatten(F.transform("runs", lambda r: F.regexp_extract_all(r, F.lit(_GRAMS), F.lit(1))))
+    each = terms.filter("choose").select(*keys, "term", F.explode(F.array_distinct(grams)).alias("gram"))
+    counts = each.groupBy("gram").agg(F.count(F.lit(1)).alias("names"))
+    place = lambda k: F.instr(F.lit(_USUAL), F.substring("gram", k, 1))  # 0 for digits, which are left as they come
+    rare = place(1) + place(2) + place(3)
+    return each.join(counts, "gram").groupBy(*keys, "term").agg(
+        F.min_by("gram", F.struct("names", (-rare).alias("rare"), "gram")).alias("gram")
+    )
+
+
+def _lists(terms: DataFrame, keys: list[str], domains: bool) -> DataFrame:
+    """The names of each group in lists: heads, and beside each head the names to look at where a text holds it.
 
-    A row comes once for each list of its group that has such a name.  The lists are written first, so that
-    their size is known when the join is planned and the texts need not move.
+    With ``domains`` URL terms go by their host and labels, else by a gram like all others.  Lists are written,
+    so that their size is known when the join is planned and the texts need not move.
     """
-    parts = F.pmod(F.xxhash64("term"), F.ceil(F.col("names") / LIST_NAMES).cast("long"))
+    number = F.pmod(F.xxhash64("term"), F.ceil(F.col("names") / LIST_NAMES).cast("long")).alias("part")
     counts = terms.groupBy(*keys).agg(F.count(F.lit(1)).alias("names"))
-    lists = materialize(
-        terms.join(counts, keys).groupBy(*keys, parts.alias("part"))
-        .agg(F.collect_list(F.struct("term", "is_url", "pattern", "choose", "runs")).alias("listed")).drop("part")
+    gram = F.array(F.coalesce("gram", F.lit("")))
+    heads = F.when(F.col("is_url"), _url_heads(F.col("term"))).otherwise(gram) if domains else gram
+    headed = terms.join(_gram_heads(terms, keys), [*keys, "term"], "left").join(counts, keys)
+    name = F.struct("term", "is_url", "pattern", "choose", "runs")
+    per_head = headed.select(*keys, number, F.explode(heads).alias("head"), name.alias("name")).groupBy(*keys, "part", "head").agg(
+        F.collect_list("name").alias("names")
     )
+    listed = per_head.groupBy(*keys, "part").agg(F.array_sort(F.collect_list(F.struct("head", "names"))).alias("l"))
+    return materialize(listed.select(
+        *keys, F.transform("l", lambda x: x["head"]).alias("heads"), F.transform("l", lambda x: x["names"]).alias("named"),
+        F.exists("l", lambda x: F.exists(x["names"], lambda n: n["is_url"])).alias("domains"),
+        F.exists("l", lambda x: F.exists(x["names"], lambda n: ~n["is_url"])).alias("plain"),
+    ))
+
+
+def url_table(low: Column) -> Column:
+    """array<struct(pos, len, url)> of the URLs in a lower-cased text, normalised; found once for all names."""
+    given = F.regexp_extract_all(low, F.lit(_URL_IN_TEXT), F.lit(2))
+    return TX.bind(given, lambda urls: F.transform(TX.hits(low, F.lit(_URL_IN_TEXT)), lambda h, k: F.struct(
+        h["pos"].alias("pos"), h["len"].alias("len"), U.normalized_url(F.get(urls, k)).alias("url")
+    )))
+
+
+def _label_heads(low: Column) -> Column:
+    """All runs of a few labels that begin and end with a label."""
+    joined = F.array_join(F.regexp_extract_all(low, F.lit(_LABELS), F.lit(0)), " ")
+    runs = lambda n: rf"(?<![a-z0-9_])(?=([a-z0-9_]++(?:[.-][a-z0-9_]++){{{n - 1}}}))"
+    return TX.bind(joined, lambda t: F.concat(*[F.regexp_extract_all(t, F.lit(runs(n)), F.lit(1)) for n in _LABEL_NUMBERS]))
 
-    def possible(low: Column) -> Column:
-        holds = lambda r: low.contains(r)
-        return F.filter("listed", lambda t: F.when(t["choose"], F.forall(t["runs"], holds)).otherwise(F.exists(t["runs"], holds)))
 
-    kept = TX.bind(F.lower(text), lambda low: F.transform(
-        possible(low), lambda t: F.struct(t["term"].alias("term"), t["is_url"].alias("is_url"), t["pattern"].alias("pattern"))
+def _looked_up(low: Column, heads: Column, domains: bool) -> Column:
+    """The names of a list whose head is among those of the text, and that it can hold; ``heads`` are the text's."""
+    present = F.array_intersect("heads", heads)
+    names = F.flatten(F.transform(present, lambda h: F.get("named", (F.array_position("heads", h) - 1).cast("int"))))
+    holds = lambda r: low.contains(r)
+    tested = lambda n: F.when(n["choose"], F.forall(n["runs"], holds)).otherwise(F.exists(n["runs"], holds))
+    possible = F.filter(names, (lambda n: n["is_url"] | tested(n)) if domains else tested)
+    return F.transform(F.array_distinct(possible) if domains else possible, lambda n: F.struct(
+        n["term"].alias("term"), n["is_url"].alias("is_url"), n["pattern"].alias("pattern")
     ))
-    return texts.join(lists, keys).withColumn("terms", kept).drop("listed").filter(F.size("terms") > 0)
+
+
+def _if_any(names: Column) -> Column:
+    """Rows with names only.  A filter would be pushed below the column and compute it twice."""
+    return F.explode(F.filter(F.array(names), lambda x: F.size(x) > 0))
+
+
+def _gram_texts(low: Column) -> Column:
+    return F.concat(F.array(F.lit("")), F.regexp_extract_all(low, F.lit(_GRAMS), F.lit(1)))
+
+
+def with_candidates(texts: DataFrame, terms: DataFrame, keys: list[str], text: Column) -> DataFrame:
+    """Add ``terms``, the names of the row's group that its text may hold, as array<struct(term, is_url, pattern)>.
+
+    A row comes once for each list of its group that has such a name.  Every name that occurs in the text at all is among them.
+    """
+    lists = _lists(terms, keys, False).select(*keys, "heads", "named")
+    placed = texts.withColumn("__low", F.lower(text)).withColumn("__heads", _gram_texts(F.col("__low")))
+    found = _looked_up(F.col("__low"), F.col("__heads"), False)
+    return placed.join(lists, keys).withColumn("terms", _if_any(found)).drop("heads", "named", "__low", "__heads")
 
 
 def candidate_pairs(answers: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
@@ -100,86 +176,127 @@ def candidate_pairs(answers: DataFrame, terms: DataFrame, keys: list[str]) -> Da
     return found.groupBy("answer_id").agg(F.collect_set("t").alias("terms"))
 
 
-def domain_hits(text: Column, term: Column, pattern: Column) -> Column:
-    """array<struct(pos, len)> for a domain name or URL.
+def domain_spans(text: Column, urls: Column, term: Column, pattern: Column) -> Column:
+    """array<struct(pos, len)> for a domain name or URL in a text with its ``url_table``.
 
     URLs in the text count when, normalised, they equal the term or one is a path-prefix of the
     other; plain occurrences count unless they lie inside a counted URL.
     """
-    spans = TX.hits(text, F.lit(_URL_IN_TEXT))
-    target = U.normalized_url(term)
-    found = lambda h: U.normalized_url(
-        F.regexp_extract(F.substring(text, h["pos"], h["len"]), _URL_IN_TEXT, 2)
-    )
-    same = lambda u: TX.bind(target, lambda t: (
-        (u == t) | F.startswith(u, F.concat(t, F.lit("/"))) | F.startswith(t, F.concat(u, F.lit("/")))
+    same = lambda u, t: (u == t) | F.startswith(u, F.concat(t, F.lit("/"))) | F.startswith(t, F.concat(u, F.lit("/")))
+    matched = TX.bind(U.normalized_url(term), lambda t: F.transform(
+        F.filter(urls, lambda u: same(u["url"], t)), lambda u: F.struct(u["pos"].alias("pos"), u["len"].alias("len"))
     ))
-    matched = F.filter(spans, lambda h: TX.bind(found(h), same))
 
-    def with_plain(urls: Column) -> Column:
+    def with_plain(found: Column) -> Column:
         plain = F.filter(TX.hits(text, pattern), lambda p: ~F.exists(
-            urls, lambda m: (m["pos"] <= p["pos"]) & (m["pos"] + m["len"] >= p["pos"] + p["len"])
+            found, lambda m: (m["pos"] <= p["pos"]) & (m["pos"] + m["len"] >= p["pos"] + p["len"])
         ))
-        return F.array_sort(F.concat(urls, plain))
+        return F.array_sort(F.concat(found, plain))
 
     return TX.bind(matched, with_plain)
 
 
+def domain_hits(text: Column, term: Column, pattern: Column) -> Column:
+    """``domain_spans`` of a text whose URLs are not known yet."""
+    return TX.bind(url_table(text), lambda urls: domain_spans(text, urls, term, pattern))
+
+
+def _possessive(term: Column) -> Column:
+    return TX.word_bounded(F.concat(term, F.lit("'s")))
+
+
+def _has_possessive(text: Column, term: Column) -> Column:
+    return (F.length(term) > 3) & ~term.contains(".") & text.contains(F.concat(term, F.lit("'s")))
+
+
+def _with_extra(hits: Column, possessive: Column) -> Column:
+    """Hits and those possessive forms that none of them counts."""
+    return F.array_sort(F.concat(hits, F.filter(
+        possessive, lambda p: ~F.exists(hits, lambda m: F.abs(m["pos"] - p["pos"]) < 2)
+    )))
+
+
 def name_hits(text: Column, term: Column, pattern: Column) -> Column:
     """array<struct(pos, len)> for a plain name, including possessive forms not yet counted."""
     main = TX.hits(text, pattern)
-    possessive = TX.word_bounded(F.concat(term, F.lit("'s")))
-    with_extra = lambda hits: F.array_sort(F.concat(hits, F.filter(
-        TX.hits(text, possessive), lambda p: ~F.exists(hits, lambda m: F.abs(m["pos"] - p["pos"]) < 2)
-    )))
-    has_possessive = (F.length(term) > 3) & ~term.contains(".") & text.contains(
-        F.concat(term, F.lit("'s"))
-    )
-    return F.when(has_possessive, TX.bind(main, with_extra)).otherwise(main)
+    extra = lambda hits: _with_extra(hits, TX.hits(text, _possessive(term)))
+    return F.when(_has_possessive(text, term), TX.bind(main, extra)).otherwise(main)
 
 
-def _verified(answers: DataFrame, entities: DataFrame, whole_word: bool) -> DataFrame:
-    """One row per (answer, candidate term) with the text to search."""
+def first_name_hits(text: Column, term: Column, pattern: Column, k: int) -> Column:
+    """The first ``k`` of ``name_hits``, found without the rest.
+
+    A possessive form holds the name, so a hit lies in or over each; up to the k-th hit there are at most two for every one.
+    """
+    main = TX.first_hits(text, pattern, k)
+    extra = lambda hits: F.slice(_with_extra(hits, TX.first_hits(text, _possessive(term), 2 * k + 2)), 1, k)
+    return F.when(_has_possessive(text, term), TX.bind(main, extra)).otherwise(main)
+
+
+def _searched(answers: DataFrame, entities: DataFrame, whole_word: bool) -> DataFrame:
+    """Answers with ``low``, ``masked`` (null if only domains are looked for), ``urls`` and the ``terms`` to search, a row for each list."""
     keys = _group_keys(answers, entities)
-    terms = search_terms(entities, keys, whole_word)
-    return (
-        with_candidates(answers, terms, keys, F.col("text"))
-        .withColumn("low", F.lower("text"))
-        .withColumn("masked", TX.mask_link_urls(F.col("low")))
-        .withColumn("t", F.explode("terms"))
-        .select(
-            *S.SNAPSHOT, "model_id", "answer_id", "text",
-            F.when(F.col("t.is_url"), F.col("low")).otherwise(F.col("masked")).alias("searched"),
-            F.col("t.term").alias("term"),
-            F.col("t.is_url").alias("is_url"),
-            F.col("t.pattern").alias("pattern"),
-        )
+    lists = _lists(search_terms(entities, keys, whole_word), keys, True)
+    # URLs are only looked for where some name is one, grams where some is none.
+    domains, plain = (bool(x) for x in lists.agg(F.max("domains"), F.max("plain")).first())
+    placed = answers.select(*S.SNAPSHOT, "model_id", "answer_id", "text", F.lower("text").alias("low"))
+    placed = placed.withColumn("urls", url_table(F.col("low")) if domains else F.lit(None))
+    heads = _gram_texts(F.col("low")) if plain else F.array(F.lit(""))
+    if domains:
+        hosts = F.transform("urls", lambda u: F.substring_index(u["url"], "/", 1))
+        heads = F.concat(heads, hosts, _label_heads(F.col("low")))
+    met = placed.withColumn("__heads", heads).join(lists.drop("domains", "plain"), keys)
+    met = met.withColumn("terms", _if_any(_looked_up(F.col("low"), F.col("__heads"), True)))
+    return met.withColumn("masked", F.when(F.exists("terms", lambda t: ~t["is_url"]), TX.mask_link_urls(F.col("low")))).select(
+        *S.SNAPSHOT, "model_id", "answer_id", "text", "low", "masked", "urls", "terms"
     )
 
 
 def match_entities(answers: DataFrame, entities: DataFrame, whole_word: bool = False) -> DataFrame:
     """(answer, term) pairs with mentions > 0: number of hits and offset of the first.
 
+    All names of a list are measured on the row of the text, which never multiplies by them.
     For the all-questions level pass answers and entities whose ``question_id`` is the combined
     one (see ``entities.combine_questions``).
     """
-    pairs = _verified(answers, entities, whole_word)
-    text, term, pattern = F.col("searched"), F.col("term"), F.col("pattern")
-    simple = ~F.col("is_url") & ~text.contains(F.concat(term, F.lit("'s")))
-    listed = F.when(~simple, F.when(
-        F.col("is_url"), domain_hits(text, term, pattern)
-    ).otherwise(name_hits(text, term, pattern)))
-    return (
-        pairs.withColumn("found", listed)
-        .withColumn("mentions", F.when(simple, F.regexp_count(text, pattern)).otherwise(F.size("found")))
-        .filter(F.col("mentions") > 0)
-        .withColumn("pos", F.when(simple, F.regexp_instr(text, pattern)).otherwise(
-            F.col("found")[0]["pos"]
+    rows = _searched(answers, entities, whole_word)
+    domains = rows.schema["urls"].dataType.typeName() == "array"
+    low, masked = F.col("low"), F.col("masked")
+    listed = lambda spans: F.struct(F.size(spans).alias("mentions"), F.get(spans, F.lit(0))["pos"].alias("pos"))
+
+    def of_name(t: Column) -> Column:
+        first = F.length(F.get(F.split(masked, t["pattern"], 2), F.lit(0))) + 1
+        counted = TX.bind(F.regexp_count(masked, t["pattern"]), lambda n: F.struct(
+            n.alias("mentions"), F.when(n > 0, first).alias("pos")
+        ))
+        return F.when(
+            _has_possessive(masked, t["term"]), TX.bind(name_hits(masked, t["term"], t["pattern"]), listed)
+        ).otherwise(counted)
+
+    def measured(t: Column) -> Column:
+        of_domain = TX.bind(domain_spans(low, F.col("urls"), t["term"], t["pattern"]), listed) if domains else None
+        found = F.when(t["is_url"], of_domain).otherwise(of_name(t)) if domains else of_name(t)
+        return TX.bind(found, lambda f: F.struct(
+            t["term"].alias("term"), f["mentions"].cast("long").alias("mentions"), f["pos"].cast("long").alias("pos")
         ))
-        .select(
-            *S.SNAPSHOT, "model_id", "answer_id", "term",
-            F.col("mentions").cast("long").alias("mentions"), F.col("pos").cast("long").alias("pos"),
-        )
+
+    found = F.filter(F.transform("terms", measured), lambda f: f["mentions"] > 0)
+    return rows.select(*S.SNAPSHOT, "model_id", "answer_id", F.explode(found).alias("f")).select(
+        *S.SNAPSHOT, "model_id", "answer_id", "f.term", "f.mentions", "f.pos"
+    )
+
+
+def hit_spans(answers: DataFrame, entities: DataFrame, whole_word: bool = False) -> DataFrame:
+    """Every hit of a term's own pattern: hit_no, pos, hit_len."""
+    rows = _searched(answers, entities, whole_word)
+    spans = F.transform("terms", lambda t: F.struct(
+        t["term"].alias("term"),
+        TX.hits(F.when(t["is_url"], F.col("low")).otherwise(F.col("masked")), t["pattern"]).alias("hits"),
+    ))
+    each = rows.select(*S.SNAPSHOT, "model_id", "answer_id", F.explode(spans).alias("s"))
+    return each.select(*S.SNAPSHOT, "model_id", "answer_id", "s.term", F.posexplode("s.hits").alias("n", "h")).select(
+        *S.SNAPSHOT, "model_id", "answer_id", "term", (F.col("n") + 1).cast("long").alias("hit_no"),
+        F.col("h.pos").cast("long").alias("pos"), F.col("h.len").cast("long").alias("hit_len"),
     )
 
 
@@ -189,22 +306,28 @@ def excerpts(
     k: int = TX.EXCERPTS_PER_ANSWER,
     context: int = TX.EXCERPT_CONTEXT,
 ) -> DataFrame:
-    """First ``k`` hits of each term in each answer with surrounding text, line and column."""
-    pairs = _verified(answers, entities, False)
-    text, term, pattern = F.col("searched"), F.col("term"), F.col("pattern")
-    found = F.when(F.col("is_url"), domain_hits(text, term, pattern)).otherwise(
-        name_hits(text, term, pattern)
+    """First ``k`` hits of each term in each answer with surrounding text, line and column.
+
+    Hits of a name are stepped through and end with the k-th, however many there are.
+    """
+    rows = _searched(answers, entities, False)
+    domains = rows.schema["urls"].dataType.typeName() == "array"
+    text = F.col("text")
+
+    def found(t: Column) -> Column:
+        names = first_name_hits(F.col("masked"), t["term"], t["pattern"], k)
+        if not domains:
+            return names
+        return F.when(t["is_url"], F.slice(domain_spans(F.col("low"), F.col("urls"), t["term"], t["pattern"]), 1, k)).otherwise(names)
+
+    cut = lambda h: F.struct(
+        h["pos"].cast("long").alias("pos"), TX.excerpt(text, h["pos"], h["len"], context).alias("excerpt"),
+        TX.line_no(text, h["pos"]).cast("long").alias("line"), TX.column_no(text, h["pos"]).cast("long").alias("col"),
     )
-    pos, size = F.col("hit.pos"), F.col("hit.len")
-    return (
-        pairs.withColumn("found", F.slice(found, 1, k))
-        .select("*", F.posexplode("found").alias("i", "hit"))
-        .select(
-            *S.SNAPSHOT, "model_id", "answer_id", "term",
-            (F.col("i") + 1).cast("long").alias("hit_no"),
-            pos.cast("long").alias("pos"),
-            TX.excerpt(F.col("text"), pos, size, context).alias("excerpt"),
-            TX.line_no(F.col("text"), pos).cast("long").alias("line"),
-            TX.column_no(F.col("text"), pos).cast("long").alias("col"),
-        )
+    each = F.transform("terms", lambda t: F.struct(t["term"].alias("term"), F.transform(found(t), cut).alias("hits")))
+    return rows.select(*S.SNAPSHOT, "model_id", "answer_id", F.explode(each).alias("e")).select(
+        *S.SNAPSHOT, "model_id", "answer_id", "e.term", F.posexplode("e.hits").alias("i", "h")
+    ).select(
+        *S.SNAPSHOT, "model_id", "answer_id", "term", (F.col("i") + 1).cast("long").alias("hit_no"),
+        "h.pos", "h.excerpt", "h.line", "h.col",
     )

@@ -1,5 +1,6 @@
 """Building blocks under uneven data, and plans that must not move texts."""
 
+import datetime
 import re
 import time
 
@@ -83,3 +84,73 @@ def test_texts_are_not_moved(spark, apply):
     for line in plan.splitlines():
         if "Exchange" in line:
             assert "text" not in line
+
+
+def hit_rows(df):
+    return {(r.answer_id, r.term): (r.mentions, r.pos) for r in df.collect()}
+
+
+def answers_of(spark, texts):
+    rows = [("p", "q", datetime.date(2024, 1, 1), "m", k, t) for k, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "project string, question_id string, date date, model_id string, answer_id long, text string")
+
+
+def names_of(spark, names):
+    rows = [("p", "q", "names", n, k) for k, n in enumerate(names)]
+    return spark.createDataFrame(rows, "project string, question_id string, section string, entity string, ord long")
+
+
+def test_domains_in_all_places(spark):
+    """Domains as URL, as plain text, inside longer hosts, cut off by odd characters, and as longer or shorter paths."""
+    texts = [
+        "See https://www.example.org/a?x=1, _example.org and my-example.org-x.", "[page](http://Example.org/a/b) xhttps://sub.example.org2 é.example.org",
+        "example.orgs example.org/ a.b.c.d.e.example.org.uk 1.2.3", "foo@example.org://example.org|example.org", "x.net ,.net. .é.é", "nothing here", "a.b.c.d.e.org/x",
+        "www.example.org/a/b/c and EXAMPLE.ORG/a", None, "",
+    ]
+    names = ["example.org", "example.org/a/b", "www.example.org", "sub.example.org", ".net", "a.b.c.d.e.org", "example.org.uk", "é.é", "b.c.d", "absent.example.org", "org2.x"]
+    answers, entities = answers_of(spark, texts), names_of(spark, names)
+    got = hit_rows(MA.match_entities(answers, entities))
+    pairs = answers.join(MA.search_terms(entities, ["project", "question_id"]), ["project", "question_id"]).filter("text is not null")
+    slow = pairs.withColumn("h", MA.domain_hits(F.lower("text"), F.col("term"), F.col("pattern"))).filter("size(h) > 0")
+    want = {(r.answer_id, r.term): (len(r.h), r.h[0].pos) for r in slow.collect()}
+    assert got == want and len(want) > 15
+
+
+def test_names_meet_texts_without_common_letters(spark):
+    """Names without a gram, of other scripts, or whose gram stands in another run, beside a thousand absent ones."""
+    texts = ["C++ and é-learning, Ab-Cd's, 中文 go", "abcd's ABCDE ab cd", "The other; ab.cd", "", None]
+    names = ["C++", "é", "ab cd", "中文", "go", "abcd", "the other", "?!", *[f"absent{k}name" for k in range(1000)]]
+    answers, entities = answers_of(spark, texts), names_of(spark, names)
+    pairs = answers.join(MA.search_terms(entities, ["project", "question_id"]), ["project", "question_id"]).filter("text is not null")
+    slow = pairs.withColumn("h", MA.name_hits(TX.mask_link_urls(F.lower("text")), F.col("term"), F.col("pattern"))).filter("size(h) > 0")
+    want = {(r.answer_id, r.term): (len(r.h), r.h[0].pos) for r in slow.collect()}
+    assert hit_rows(MA.match_entities(answers, entities)) == want and len(want) > 8
+    terms = MA.search_terms(entities, ["project", "question_id"])
+    looked = MA.candidate_pairs(answers.filter("text <> ''"), terms, ["project", "question_id"]).collect()
+    assert max(len(r.terms) for r in looked) < 12
+
+
+@pytest.mark.parametrize("k", [1, 5])
+def test_first_hits_are_the_first_of_all(spark, k):
+    rows = [("xx", "x"), ("abab", "ab"), ("", "a"), ("aéa a", "a"), ("nothing", "z"), ("a.b a.b a.ba.b", r"(?<![a-z0-9_])a\.b(?![a-z0-9_])"), ("ab " * 9, r"ab(?= )")]
+    df = spark.createDataFrame(rows, "t string, p string")
+    got = df.select(TX.first_hits(F.col("t"), F.col("p"), k).alias("a"), F.slice(TX.hits(F.col("t"), F.col("p")), 1, k).alias("b")).collect()
+    assert all(r.a == r.b for r in got)
+    text = "The's a-a-a's "
+    names = df.limit(1).select(*[c for n in ("the", "a-a", "a-a-a", "'s a") for c in (
+        MA.first_name_hits(F.lower(F.lit(text * 30)), F.lit(n), TX.term_pattern(F.lit(n)), k).alias("a" + n),
+        F.slice(MA.name_hits(F.lower(F.lit(text * 30)), F.lit(n), TX.term_pattern(F.lit(n))), 1, k).alias("b" + n),
+    )]).first()
+    assert all(names[2 * i] == names[2 * i + 1] for i in range(4))
+
+
+def test_excerpts_of_many_hits_are_as_quick_as_of_few(spark):
+    """Both texts have the same length; one holds the name 32,000 times."""
+    def seconds(text):
+        df = spark.createDataFrame([(text,)] * 8, "t string").select(TX.first_hits(F.col("t"), F.lit("word"), 5).alias("h"))
+        df.select(F.sum(F.size("h"))).first()
+        start = time.perf_counter()
+        assert df.select(F.sum(F.size("h"))).first()[0] == 40
+        return time.perf_counter() - start
+
+    assert seconds("word c " * 32_000) < 3 * seconds("word c " * 5 + "none c " * 31_995) + 0.3
