@@ -13,12 +13,11 @@ _KEYS = ["project", "question_id", "date", "model_id"]
 
 
 @query("read_answers", ["answers", "models"], """
-select project, question_id, date, model_id, max(text) || chr(10) as text from answers
-where model_id <> 'src2' group by 1, 2, 3, 4""")
+select project, question_id, date, model_id, coalesce(text, '') || chr(10) as text from answers where model_id <> 'src2'""")
 def _answers(i):
     path = new_folder(i.spark)
-    one = i.answers.groupBy(*_KEYS).agg(F.max("text").alias("text"))
-    one.repartition(*_KEYS).write.partitionBy(*_KEYS).text(path)
+    # A file for each document; a cell has as many as it has documents.
+    i.answers.select(*_KEYS, "text").repartition(*_KEYS).write.option("maxRecordsPerFile", 1).partitionBy(*_KEYS).text(path)
     models = i.models.filter("model_id <> 'src2'").select("project", F.upper("model_id").alias("model_id"))
     return I.read_answers(i.spark, path, models, "part-*").drop("answer_id")
 

@@ -225,10 +225,13 @@ select 'p' as project, concat('q', page_id % 3) as question_id, make_date(2024,
        concat('See [About ', upper({_HOST}), '](', url, ') or [', {_HOST}, '](/local) and [other](', url, '?z)') as text
 from pages"""),
     "outputs": ([], """
-select conv_id, turn, concat('```csv', chr(10), turn, ',"a, ', role, '",x', conv_id, ',y, z', chr(10), 'bad,b,c', chr(10), chr(10),
-       turn + 1, ', plain ,last', chr(10), '```') as csv_text,
-       concat('```json', chr(10), '[{"id": ', turn, ', "name": "', role, '", "similar": "a, b"}, {"name": "no id"}]', chr(10), '```') as json_text
-from conversations"""),
+select conv_id, turn, line as name, raw,
+       concat('```csv', chr(10), turn, ',"', replace(line, '"', '""'), '",x', conv_id, ',y, z', chr(10), 'bad,b,c', chr(10), chr(10),
+              turn + 1, ', plain ,last', chr(10), '```') as csv_text,
+       concat('```json', chr(10), '[{"id": ', turn, ', "name": "',
+              replace(replace(replace(replace(replace(raw, chr(92), concat(chr(92), chr(92))), '"', concat(chr(92), '"')), chr(10), concat(chr(92), 'n')), chr(13), concat(chr(92), 'r')), chr(9), concat(chr(92), 't')),
+              '", "similar": "a, b"}, {"name": "no id"}]', chr(10), '```') as json_text
+from (select conv_id, turn, coalesce(text, '') as raw, replace(replace(coalesce(text, ''), chr(10), ' '), chr(13), ' ') as line from conversations) as c"""),
     "requests": ([], """
 select concat('m', conv_id % 3) as model_id, conv_id * 1000 + turn as request_id, role, text, CAST(conv_id % 4 AS BIGINT) as age
 from conversations"""),

@@ -487,8 +487,7 @@ def _annotate(i):
 
 
 @query("parse_batch_csv", ["outputs"], """
-select conv_id, turn, CAST(turn AS INT) as id, 'a, ' || role as name, 'x' || conv_id || '|y|z' as similar
-from outputs join conversations using (conv_id, turn)
+select conv_id, turn, CAST(turn AS INT) as id, name, 'x' || conv_id || '|y|z' as similar from outputs
 union all select conv_id, turn, CAST(turn + 1 AS INT), 'plain', 'last' from outputs""")
 def _csv(i):
     out = O.parse_batch_output(i.outputs, "csv", ["name", "similar"], ["conv_id", "turn"], "csv_text")
@@ -496,7 +495,7 @@ def _csv(i):
 
 
 @query("parse_batch_json", ["outputs"], """
-select conv_id, turn, CAST(turn AS INT) as id, role as name, 'a|b' as similar from outputs join conversations using (conv_id, turn)""")
+select conv_id, turn, CAST(turn AS INT) as id, raw as name, 'a|b' as similar from outputs""")
 def _json(i):
     out = O.parse_batch_output(i.outputs, "json", ["name", "similar"], ["conv_id", "turn"], "json_text")
     return out.withColumn("similar", F.array_join("similar", "|"))

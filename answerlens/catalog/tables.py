@@ -198,13 +198,13 @@ def _models(i):
 
 
 @query("merge_patterns", ["page_links"], """
-with hosts as (select distinct split_part(split_part(link, '/', 1), '?', 1) as host from page_links),
+with hosts as (select distinct split_part(split_part(link, '/', 3), '?', 1) as host from page_links),
 base as (select concat('c', length(host) % 9) as code, host, length(host) as ord, 'endswith' as kind from hosts),
 ov as (select code, concat('Type ', code) as name, ord, kind, concat('.', host) as pattern from base where code in ('c1', 'c4', 'c7')
        union all select 'xtr', 'Extra', 99, 'contains', 'extra.')
 select code, concat('Type ', code) as name, ord, kind, host as pattern from base where code not in (select code from ov) union all select * from ov""")
 def _merge_patterns(i):
-    base = i.page_links.select(F.regexp_extract("link", r"^([^/?]*)", 1).alias("host")).distinct().select(
+    base = i.page_links.select(F.regexp_extract("link", r"^[^/]*//([^/?]*)", 1).alias("host")).distinct().select(
         F.concat(F.lit("c"), (F.length("host") % 9).cast("string")).alias("code"), "host", F.length("host").cast("long").alias("ord"),
     ).select("code", F.concat(F.lit("Type "), "code").alias("name"), "ord", F.lit("endswith").alias("kind"), F.col("host").alias("pattern"))
     changed = base.filter(F.col("code").isin("c1", "c4", "c7")).withColumn("pattern", F.concat(F.lit("."), "pattern"))

@@ -93,13 +93,26 @@ def _pieces(text: Column) -> Column:
     return F.array_distinct(F.concat(*[runs(n) for n in range(1, PIECE + 1)]))
 
 
+def _met(items: DataFrame, rules: DataFrame) -> DataFrame:
+    """Items and rules (with ``literal``, lower-cased) where the item contains the literal.
+
+    Both meet on the piece of the literal that the fewest items have, so a beginning that many patterns and
+    hosts share, like ``www.``, is no hot key.
+    """
+    full = F.regexp_extract_all("literal", F.lit(f"(?s)(?=(.{{{PIECE}}}))"), F.lit(1))
+    own = F.when(F.length("literal") < PIECE, F.array("literal")).otherwise(F.array_distinct(full))
+    wanted = rules.filter("literal <> ''").select("*", F.explode(own).alias("piece"))
+    pieces = items.select("item", F.explode(_pieces(F.col("item"))).alias("piece"))
+    counts = pieces.join(wanted.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.count(F.lit(1)).alias("__items"))
+    chosen = wanted.join(counts, "piece", "left").groupBy(*rules.columns).agg(
+        F.min_by("piece", F.struct(F.coalesce("__items", F.lit(0)), "piece")).alias("piece")
+    )
+    return pieces.join(chosen, "piece").filter(F.col("item").contains(F.col("literal"))).drop("piece")
+
+
 def _containing(items: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(item, ord, code) where the item contains the pattern: both meet on the pattern's first characters."""
-    rules = patterns.select("ord", "code", F.lower("pattern").alias("pattern")).withColumn(
-        "piece", F.substring("pattern", 1, PIECE)
-    ).filter("piece <> ''")
-    met = items.select("item", F.explode(_pieces(F.col("item"))).alias("piece")).join(rules, "piece")
-    return met.filter(F.col("item").contains(F.col("pattern"))).select("item", "ord", "code")
+    """(item, ord, code) where the item contains the pattern."""
+    return _met(items, patterns.select("ord", "code", F.lower("pattern").alias("literal"))).select("item", "ord", "code")
 
 
 def _ending(items: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -109,20 +122,57 @@ def _ending(items: DataFrame, patterns: DataFrame) -> DataFrame:
     return met.join(patterns.select("ord", "code", "pattern"), "pattern").select("item", "ord", "code")
 
 
+# Expressions whose literals are not read: alternatives, look-around and flags, quoting, and characters by number or class name.
+_UNREAD = r"\||\(\?(?!:)|\\[QExupPkNcX0-9]"
+# What holds no character for certain, innermost groups first: optional and repeated groups, classes, optional characters.
+_OPEN_GROUP, _GROUP = r"\([^()]*\)(?:[?*]|\{[^}]*\})[?+]?", r"\((?:\?:)?([^()]*)\)\+?"
+_UNCERTAIN = r"\[\^?\]?(?:\\.|[^\]\\])*\](?:[?*+]|\{[^}]*\})?[?+]?|(?:\\.|[^\\])(?:[?*]|\{[^}]*\})[?+]?|\\[A-Za-z]|(?<!\\)[.^$]"
+_BREAK = "\x00"
+#: Shortest literal by which an expression is looked up, and expressions without one that travel in one row.
+LITERAL, LISTED = 3, 64
+
+
+def required_literal(pattern: Column) -> Column:
+    """The longest run of characters, lower-cased, that every match of a regular expression holds; empty if none is found.
+
+    Only plain structure is read, so a literal may be missed but is never wrong.
+    """
+    # Escaped brackets and braces become breaks first, so that those left are structure.
+    rest = F.regexp_replace(pattern, r"\\[\[\](){}|\\^$?*+](?:[?*+]|\{[^}]*\})?", _BREAK)
+    rest = F.regexp_replace(rest, r"\[\^?\]?(?:\\.|[^\]\\])*\](?:[?*+]|\{[^}]*\})?[?+]?", _BREAK)
+    for _ in range(3):
+        rest = F.regexp_replace(F.regexp_replace(rest, _OPEN_GROUP, _BREAK), _GROUP, _BREAK + "$1" + _BREAK)
+    rest = F.regexp_replace(rest, _UNCERTAIN, _BREAK)
+    rest = F.regexp_replace(F.regexp_replace(rest, r"(?:^|(?<=.))\+[?+]?", _BREAK), r"\\(.)", "$1")
+    runs = F.transform(F.split(rest, _BREAK), lambda r: F.struct(F.length(r).alias("n"), F.lower(r).alias("run")))
+    found = F.coalesce(F.array_max(runs)["run"], F.lit(""))
+    return F.when(pattern.rlike(_UNREAD) | rest.rlike(r"[()\[\]{}]"), F.lit("")).otherwise(found)
+
+
 def _matching(items: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(item, ord, code) where a regular expression is found; these run one by one over the distinct items."""
-    rules = patterns.agg(F.sort_array(F.collect_list(F.struct("ord", "code", "pattern"))).alias("rules"))
-    first = F.filter(F.col("rules"), lambda r: F.regexp_like(F.col("item"), F.concat(F.lit("(?i)"), r["pattern"])))
-    return items.withColumn("rules", rules.scalar()).select(
-        "item", F.try_element_at(first, F.lit(1)).alias("r")
-    ).filter("r is not null").select("item", "r.ord", "r.code")
+    """(item, ord, code) where a regular expression is found.
+
+    An expression only meets items that contain its literal.  Those without one are dealt to all items in lists
+    of LISTED.
+    """
+    rules = patterns.select("ord", "code", "pattern", required_literal(F.col("pattern")).alias("literal"))
+    found = lambda pattern: F.regexp_like(F.col("item"), F.concat(F.lit("(?i)"), pattern))
+    by_literal = _met(items, rules.filter(F.length("literal") >= LITERAL)).filter(found(F.col("pattern")))
+    apart = rules.filter(F.length("literal") < LITERAL)
+    parts = F.ceil(apart.agg(F.count(F.lit(1))).scalar() / LISTED).cast("int")
+    part = F.pmod(F.xxhash64("ord", "code", "pattern"), F.greatest(parts, F.lit(1))).cast("int")
+    lists = apart.groupBy(part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("ord", "code", "pattern"))).alias("rules"))
+    dealt = items.select("item", F.explode(F.sequence(F.lit(0), F.greatest(parts - 1, F.lit(0)))).alias("part")).join(lists, "part")
+    first = F.try_element_at(F.filter("rules", lambda r: found(r["pattern"])), F.lit(1))
+    by_list = dealt.select("item", F.explode(F.filter(F.array(first), lambda r: r.isNotNull())).alias("r"))
+    return by_literal.select("item", "ord", "code").unionByName(by_list.select("item", "r.ord", "r.code"))
 
 
 def classify_links(links: DataFrame, patterns: DataFrame) -> DataFrame:
     """Type of each link still unclassified: the first type by order with a matching pattern.
 
-    Host patterns meet distinct hosts, patterns with a path distinct links, by equality on endings and pieces; so
-    the work follows the matches, not patterns times links.
+    Host patterns meet distinct hosts, patterns with a path distinct links, by equality on endings and pieces, regular
+    expressions by a literal they require; so the work follows the matches, not patterns times links.
     """
     keyed = links.withColumn("host", U.hostname(F.col("link"))).withColumn("full", F.lower("link"))
     todo = keyed.filter(F.coalesce("link_type", F.lit(OTHER_CODE)) == OTHER_CODE)

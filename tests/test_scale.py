@@ -154,3 +154,42 @@ def test_excerpts_of_many_hits_are_as_quick_as_of_few(spark):
         return time.perf_counter() - start
 
     assert seconds("word c " * 32_000) < 3 * seconds("word c " * 5 + "none c " * 31_995) + 0.3
+
+
+LITERALS = {
+    "^m[.]": "m", "[.]com$": "com", "news": "news", r"blog\.example": "blog.example", "colou?r-shop": "r-shop", "a(b|c)d": "", "shop(s)?-online": "-online",
+    "(?:wiki)pedia": "pedia", "x{0,2}store": "store", r"\d+abc\w": "abc", r"\x41bc": "", "(?=foo)bar": "", "ab+cde": "cde", "a.bcd*": "bc", "((inner)+x)*tail": "tail",
+    r"fo\(o": "fo", "UPPER.x": "upper", "": "", "[^]]abc": "abc", r"[\]]def": "def", "(a[)]b)xyz": "xyz", r"net\.?work": "work", "long?er": "lon",
+}
+
+
+def test_required_literals(spark):
+    df = spark.createDataFrame([(p,) for p in LITERALS], "p string")
+    got = {r.p: r.l for r in df.select("p", L.required_literal(F.col("p")).alias("l")).collect()}
+    assert got == LITERALS
+
+
+def typed_hosts(spark, patterns, hosts):
+    rules = spark.createDataFrame([(f"c{k}", f"N{k}", k, kind, p) for k, (kind, p) in enumerate(patterns)], "code string, name string, ord long, kind string, pattern string")
+    links = spark.createDataFrame([("p", "q", f"https://{h}/", "oth") for h in hosts], "project string, question_id string, link string, link_type string")
+    return {r.link[8:-1]: r.link_type for r in L.classify_links(links, rules).collect()}
+
+
+def test_many_expressions_and_beginnings(spark):
+    """Patterns that all begin alike, expressions with and without a literal, against one by one; 1,000 expressions beside 10."""
+    hosts = [f"www.host{k}.example{k % 7}.com" for k in range(300)] + ["m.x.org", "shop12.net", "zzz.de"]
+    patterns = [("contains", f"www.host{k}.") for k in range(0, 1900, 3)] + [("regex", rf"host{k}\.example\d+") for k in range(0, 1000)]
+    patterns += [("regex", rf"^{c}[.]") for c in "abcdefghijklmnopqrstuvwxyz"] + [("regex", rf"[{k % 10}]\.n.t$") for k in range(100)] + [("regex", "(shop|store)[0-9]+")]
+    got = typed_hosts(spark, patterns, hosts)
+    for h in hosts:
+        hit = [f"c{k}" for k, (kind, p) in enumerate(patterns) if (p in h.removeprefix("www.") if kind == "contains" else re.search(p, h.removeprefix("www.")))]
+        assert got[h] == (hit[0] if hit else "oth"), h
+
+    def seconds(n):
+        rules = [("regex", rf"host{k}\.example\d+") for k in range(n)]
+        start = time.perf_counter()
+        typed_hosts(spark, rules, hosts)
+        return time.perf_counter() - start
+
+    seconds(10)
+    assert seconds(1000) < 2 * seconds(10) + 1
