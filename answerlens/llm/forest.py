@@ -193,8 +193,8 @@ def _rarest(shared):
                 doc, h = doc[pick], h[pick]
                 at = pa.array(doc + part.lo)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k).take(at) for k in range(1, 6)), pa.array(n[doc].astype(np.int64)), pa.array(h.view(np.int64))],
-                    ["family", "node", "label", "own", "asks", "n", "shingle"],
+                    [*(batch.column(k).take(at) for k in range(1, 5)), pa.array(n[doc].astype(np.int64)), pa.array(h.view(np.int64))],
+                    ["family", "node", "label", "asks", "n", "shingle"],
                 )
 
     return run
@@ -230,43 +230,81 @@ def _settled(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _useful(rare: DataFrame) -> DataFrame:
+    """The rows of shingles that lie in two groups, one of them open, with the block of each document.
+
+    Blocks hold documents of like set sizes: a size class spans less than similar sets may differ by, so sizes rule out all
+    but neighbouring classes, and a class of many documents is cut into blocks by hash.
+    """
+    held = rare.groupBy("family", "shingle").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.max("asks").alias("open")
+    ).filter("open and low < high").select("family", "shingle")
+    useful = materialize(rare.join(held, ["family", "shingle"]).withColumn(
+        "class", F.floor(F.log("n") / F.log(F.lit(100 / SIMILARITY))).cast("long")
+    ))
+    blocks = useful.select("family", "class", "node").distinct().groupBy("family", "class").agg(
+        F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks")
+    )
+    own = F.shiftleft("class", 40) + F.pmod(F.xxhash64("node"), F.col("blocks"))
+    return useful.join(blocks, ["family", "class"]).select("family", "shingle", "node", "label", "asks", "n", own.alias("own"))
+
+
 def meetings(families: DataFrame, labels: DataFrame, bodies: DataFrame) -> DataFrame:
     """Who is compared: family, block of members, block of open documents (asking), side (1: open), node, label.
 
     A document outside its family's largest group meets a block only if it shares one of its rarest shingles with a
     member of another group and a fitting size there, and a member comes only if an asking one shares one of its rarest with it.
+    Each shingle is reduced to the blocks that hold it first, and a document meets that list in one row for each of its
+    shingles, so rows follow the shingles and not the pairs of documents that share them.
     """
     known = families.join(labels, "node", "left").select("family", "node", F.coalesce("label", "node").alias("label"))
     sizes = known.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("family").agg(
         F.max_by("label", F.struct("n", "label")).alias("largest"), F.sum("n").alias("n"), F.max("n").alias("most")
-    ).filter("most < n").select("family", "largest", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")
+    ).filter("most < n").select("family", "largest")
     placed = materialize(known.join(sizes, "family").select(
-        "family", "node", "label", own, (F.col("label") != F.col("largest")).alias("asks")
+        "family", "node", "label", (F.col("label") != F.col("largest")).alias("asks")
     ))
-    texts = placed.join(bodies, "node").select("text", "family", "node", "label", "own", "asks")
-    spark = families.sparkSession
+    columns = ["family", "block", "asking", "side", "node", "label"]
     if placed.isEmpty():
-        return placed.select("family", F.col("own").alias("block"), F.col("own").alias("asking"), F.lit(0).alias("side"), "node", "label")
-    shared = spark.sparkContext.broadcast(frequencies(texts.select("text")))
-    rare = materialize(texts.mapInArrow(
-        _rarest(shared), "family long, node long, label long, own int, asks boolean, n long, shingle long"
-    ))
-
-    def met(side: DataFrame, others: DataFrame, block: str, asking: str) -> DataFrame:
-        ranges = others.groupBy("family", "shingle", F.col("own").alias("other")).agg(
-            F.min("n").alias("least"), F.max("n").alias("most"), F.min("label").alias("low"), F.max("label").alias("high")
-        )
-        apart = (F.col("low") != F.col("label")) | (F.col("high") != F.col("label"))
-        fits = (F.col("n") * SIMILARITY <= 100 * F.col("most")) & (F.col("least") * SIMILARITY <= 100 * F.col("n"))
-        found = side.join(ranges, ["family", "shingle"]).filter(fits & apart)
-        return found.select("family", F.col(block).alias("block"), F.col(asking).alias("asking"), "node", "label").distinct()
-
-    open_ = rare.filter("asks")
-    both = met(open_, rare, "other", "own").withColumn("side", F.lit(1)).union(
-        met(rare, open_, "own", "other").withColumn("side", F.lit(0))
+        none = F.lit(0).cast("long")
+        return placed.withColumns({"block": none, "asking": none, "side": F.lit(0)}).select(*columns)
+    texts = placed.join(bodies, "node").select("text", "family", "node", "label", "asks")
+    shared = families.sparkSession.sparkContext.broadcast(frequencies(texts.select("text")))
+    useful = _useful(materialize(texts.mapInArrow(
+        _rarest(shared), "family long, node long, label long, asks boolean, n long, shingle long"
+    )))
+
+    def ranges(of: Column) -> Column:
+        values = [f(F.when(of, F.col(c))).alias(name) for f, c, name in (
+            (F.min, "n", "least"), (F.max, "n", "most"), (F.min, "label", "low"), (F.max, "label", "high"),
+        )]
+        return F.struct(*values)
+
+    tiles = useful.groupBy("family", "shingle", "own").agg(
+        ranges(F.lit(True)).alias("all"), ranges(F.col("asks")).alias("open")
+    ).groupBy("family", "shingle").agg(F.collect_list(F.struct("own", "all", "open")).alias("tiles"))
+
+    def fitting(side: str) -> Column:
+        """Blocks with a document of another group and of a fitting size."""
+        def fits(tile: Column) -> Column:
+            other = tile[side]
+            size = (F.col("n") * SIMILARITY <= other["most"] * 100) & (other["least"] * SIMILARITY <= F.col("n") * 100)
+            return F.coalesce(size & ((other["low"] != F.col("label")) | (other["high"] != F.col("label"))), F.lit(False))
+
+        return F.transform(F.filter("tiles", fits), lambda t: t["own"])
+
+    nowhere = F.array().cast("array<bigint>")
+    met = useful.join(tiles, ["family", "shingle"]).select(
+        "family", "node", "label", "own", F.when(F.col("asks"), fitting("all")).otherwise(nowhere).alias("asked"),
+        fitting("open").alias("asking"),
+    ).filter("size(asked) > 0 or size(asking) > 0").groupBy("family", "node", "label", "own").agg(
+        F.array_distinct(F.flatten(F.collect_list("asked"))).alias("asked"),
+        F.array_distinct(F.flatten(F.collect_list("asking"))).alias("asking"),
     )
-    return both.select("family", "block", "asking", "side", "node", "label")
+    met = materialize(met)
+    open_ = met.select("family", F.explode("asked").alias("block"), F.col("own").alias("asking"), F.lit(1).alias("side"), "node", "label")
+    members = met.select("family", F.col("own").alias("block"), F.explode("asking").alias("asking"), F.lit(0).alias("side"), "node", "label")
+    return open_.union(members)
 
 
 def settle(families: DataFrame, labels: DataFrame, bodies: DataFrame) -> DataFrame:
