@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from answerlens.llm.tables import shuffle_partitions
 from answerlens.llm.words import Slice, crc_of_ids, mix, slices, U
@@ -17,9 +17,11 @@ from answerlens.operators.scale import materialize
 
 #: Bytes of context.
 ORDER = 5
-#: Memory of the trie: edges of one order that are sent to the tasks, 16 bytes each.  If training finds more, the
-#: rarest go, by steps of a sixteenth of an octave; the counts themselves cover the whole corpus.
-MAX_EDGES = 1 << 21
+#: Edges of the trie that are sent to the tasks, 16 bytes each.  If training finds more, the contexts seen most are sent
+#: with all their edges, and bytes after other contexts meet their probabilities in a join: the bound sets the way only.
+MAX_EDGES = 1 << 22
+#: Contexts up to this order number at most 2^16, so their totals may be broadcast.
+_SHORT = 2
 #: Words whose counts are sent to the tasks (16 bytes each); all rarer words meet their counts in a join.
 MAX_WORDS = 1 << 19
 #: Bytes that UTF-8 never uses.
@@ -158,13 +160,17 @@ class Lookup:
 class Trie:
     """Byte contexts of 0..ORDER bytes with the counts of what followed them, laid out as sorted arrays.
 
+    It holds all edges of its contexts and, with a context, its suffixes.  If it is not ``complete`` there are others, and
+    bytes after a context of ORDER bytes that it lacks have no probability here.
+
     Escape estimation: a byte seen n times in a context of T counts and D distinct bytes has (n - 1/2) / T, a new one
     D / 2T.  After an escape, bytes of the longer context are excluded: they leave T and D of the shorter one, which is
     worked out per context beforehand, since what follows a context also follows its suffix.
     """
 
-    def __init__(self, edges: list[tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, edges: list[tuple[np.ndarray, np.ndarray]], complete: bool = True):
         """``edges[o]``: sorted keys (o context bytes, then the byte) and counts."""
+        self.complete = complete
         self.edges, self.counts, self.contexts, self.plain, self.excluded = [], [], [], [], []
         for order, (keys, n) in enumerate(edges):
             n = 2.0 * n - 1  # in halves; with D halves for new bytes they add up to 2T
@@ -200,9 +206,11 @@ class Trie:
         return np.where(table[at] == keys, at, -1)
 
     def log10(self, keys: np.ndarray) -> np.ndarray:
-        """log10 probability of each byte after its context."""
+        """log10 probability of each byte after its context, nan if the trie lacks the context and is not complete."""
         out = self.top.get(keys)
         left = np.flatnonzero(np.isnan(out))
+        if not self.complete:
+            left = left[self._find(self.contexts[-1], keys[left] >> U(8)) >= 0]
         out[left] = 0.0
         came = np.full(len(left), -1)  # the longer context that was escaped from
         for order in range(len(self.edges) - 1, -1, -1):
@@ -242,18 +250,107 @@ def _most_frequent(table: DataFrame, most: int) -> DataFrame:
     return table.filter(step >= least)
 
 
+def _step() -> Column:
+    """Counts by sixteenths of an octave: at most 1,024 steps."""
+    return F.floor(F.log2("c") * 16)
+
+
+def _context_totals(edges: list[DataFrame]) -> list[DataFrame]:
+    """Of each order's contexts: occurrences ``c``, and in halves ``total`` and ``distinct`` of the bytes that followed.
+
+    ``gone`` is the part of the shorter context's total that its own bytes hold there.  An edge has at most 256 that are
+    one byte longer, so no key of the join is hot.
+    """
+    out = []
+    for order, table in enumerate(edges):
+        table = table.withColumn("halves", 2.0 * F.col("n") - 1)
+        if order:
+            low = edges[order - 1].select(F.col("key").alias("low"), (2.0 * F.col("n") - 1).alias("below"))
+            table = table.withColumn("low", F.col("key").bitwiseAND(F.lit((1 << 8 * order) - 1))).join(low, "low")
+        else:
+            table = table.withColumn("below", F.lit(0.0))
+        out.append(materialize(table.groupBy(F.shiftright("key", 8).alias("context")).agg(
+            F.sum("n").alias("c"), F.sum("halves").alias("total"), F.count(F.lit(1)).cast("double").alias("distinct"),
+            F.sum("below").alias("gone"),
+        )))
+    return out
+
+
+def _sent(edges: list[DataFrame], contexts: list[DataFrame], most: int) -> list[DataFrame]:
+    """All edges of the contexts seen most, at most ``most`` of them.
+
+    One least count holds for all orders: a suffix is seen at least as often as the context, so it is sent as well.
+    """
+    histogram = None
+    for table in contexts:
+        part = table.groupBy(_step().alias("s")).agg(F.sum("distinct").alias("n"))
+        histogram = part if histogram is None else histogram.union(part)
+    kept, least = 0, 0
+    for s, n in sorted(histogram.groupBy("s").agg(F.sum("n")).collect(), reverse=True):
+        if kept + n > most:
+            least = s + 1
+            break
+        kept += n
+    return [
+        table.withColumn("context", F.shiftright("key", 8))
+        .join(seen.filter(_step() >= least).select("context"), "context", "left_semi").select("key", "n")
+        for table, seen in zip(edges, contexts)
+    ]
+
+
+def _exact(wanted: DataFrame, edges: list[DataFrame], contexts: list[DataFrame]) -> DataFrame:
+    """(symbol, log): log10 probabilities of distinct bytes after their contexts, from the counts of the whole corpus.
+
+    The rule of ``Trie.log10``, an order at a time: each byte meets its context and its edge by equality.
+    """
+    zero = F.lit(0.0)
+    state = wanted.select("symbol").distinct().select(
+        "symbol", zero.alias("log"), F.lit(False).alias("done"), zero.alias("less"), zero.alias("fewer"),
+    )
+    for order in range(ORDER, -1, -1):
+        own = F.col("symbol").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1))
+        seen = contexts[order].select("context", "total", "distinct", "gone")
+        state = state.select("*", own.alias("key"), F.shiftright(own, 8).alias("context"))
+        state = state.join(F.broadcast(seen) if order <= _SHORT else seen, "context", "left")
+        state = state.join(edges[order], "key", "left")
+        total = F.greatest(zero, F.col("total") - F.col("less"))
+        distinct = F.greatest(zero, F.col("distinct") - F.col("fewer"))
+        known = F.col("total").isNotNull() & (distinct > 0) & ~F.col("done")
+        hit = known & F.col("n").isNotNull()
+        state = state.select(
+            "symbol",
+            (F.col("log") + F.when(hit, F.log10((2.0 * F.col("n") - 1) / (total + distinct)))
+             .when(known, F.log10(distinct / (total + distinct))).otherwise(zero)).alias("log"),
+            (F.col("done") | hit).alias("done"),
+            F.coalesce("gone", zero).alias("less"), F.coalesce("distinct", zero).alias("fewer"),
+        )
+    # ``fewer`` is now the number of bytes that the corpus has at all.
+    unseen = F.log10(F.greatest(F.lit(1.0), F.lit(float(SYMBOLS)) - F.col("fewer")))
+    return state.select("symbol", F.when(F.col("done"), F.col("log")).otherwise(F.col("log") - unseen).alias("log"))
+
+
 _MODELS: dict[str, tuple[Trie, Lookup]] = {}
 
 
 def _model(name: str, shared) -> tuple[Trie, Lookup]:
     """Trie and word logarithms, built once in a Python worker from the counts that were sent."""
     if name not in _MODELS:
-        edges, words, n = shared.value
+        edges, complete, words, n = shared.value
         _MODELS.clear()
-        _MODELS[name] = Trie(edges), Lookup(words, np.log10(n + 0.1))
+        _MODELS[name] = Trie(edges, complete), Lookup(words, np.log10(n + 0.1))
     return _MODELS[name]
 
 
+def _counted(doc: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (document, key) and their numbers."""
+    order = np.lexsort((keys, doc))
+    doc, keys = doc[order], keys[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (keys[1:] != keys[:-1])
+    head = np.flatnonzero(new)
+    return doc[head], keys[head], np.diff(np.concatenate((head, [len(doc)])))
+
+
 def _scored(name: str, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, words = _model(name, shared)
@@ -262,7 +359,9 @@ def _scored(name: str, shared):
             held = crc_of_ids(batch.column(0).to_pylist()) % 10 == 0
             for part in slices(batch.column(1), lower=True):
                 keys, owner = symbols(part)
-                score = np.bincount(owner, trie.log10(keys), part.docs).astype(np.float64)
+                found = trie.log10(keys)
+                absent = np.isnan(found)
+                score = np.bincount(owner, np.where(absent, 0.0, found), part.docs).astype(np.float64)
                 logs = words.get(part.word_hash)
                 rare = np.isnan(logs)
                 base = np.bincount(part.doc, np.where(rare, 0.0, logs), part.docs).astype(np.float64)
@@ -272,26 +371,24 @@ def _scored(name: str, shared):
                 none = pa.nulls(part.docs, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(rows), batch.column(0).slice(part.lo, part.docs), pa.array(held[part.lo:part.hi]),
-                     pa.array(part.n_words + 1), pa.array(known), pa.array(base), pa.array(score), none, none], _SCORED,
-                )
-                pairs = np.stack((part.doc[rare].astype(U), part.word_hash[rare]), 1)
-                pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-                head = np.flatnonzero(np.concatenate((np.ones(min(1, len(pairs)), bool), (pairs[1:] != pairs[:-1]).any(1))))
-                n = np.diff(np.concatenate((head, [len(pairs)])))
-                no = [pa.nulls(len(head), kind) for kind in
-                      (batch.column(0).type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows[pairs[head, 0].astype(np.int64)]), *no, pa.array(pairs[head, 1].view(np.int64)),
-                     pa.array(n)], _SCORED,
+                     pa.array(part.n_words + 1), pa.array(known), pa.array(base), pa.array(score), none, none, none], _SCORED,
                 )
+                for place, (doc, key, n) in enumerate(
+                    (_counted(part.doc[rare], part.word_hash[rare]), _counted(owner[absent], keys[absent]))
+                ):
+                    no = [pa.nulls(len(doc), kind) for kind in
+                          (batch.column(0).type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                    both = [pa.nulls(len(doc), pa.int64())] * 2
+                    both[place] = pa.array(key.view(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[doc]), *no, *both, pa.array(n)], _SCORED)
 
     return run
 
 
-_SCORED = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "key", "tf"]
+_SCORED = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "key", "symbol", "tf"]
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
+def score_documents(docs: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:
     """Log10 probabilities of all texts, learned from the documents whose crc32(doc_id) mod 10 is not 0.
 
     Texts are lower-cased (A-Z).  ``score`` is the code length, as log10, of a text's bytes and its end under a trie of
@@ -299,8 +396,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
     bytes, with exclusion of the bytes that the longer context already offered.  ``base_score`` is the smoothed
     unigram score of the words and one end.
 
-    Counts of words and contexts are summed over the corpus in one aggregate, packed by blocks of hashed keys.  Tasks get the trie and the counts of the
-    most frequent words, both within a fixed bound; rarer words are counted per document and joined.
+    Counts of words and contexts are summed over the corpus in one aggregate, packed by blocks of hashed keys.  Tasks get the
+    contexts seen most (``max_edges`` edges) and the counts of the most frequent words.  Rarer words, and bytes after
+    rarer contexts, are counted per document and joined to their counts and probabilities, so no bound changes a score.
 
     Null texts count as empty: one end token.  A null doc_id has the checksum of an empty text and is held out.
     Repeated rows are scored each for itself; without training rows all bytes are equally likely.  Further columns
@@ -315,32 +413,45 @@ def score_documents(docs: DataFrame) -> DataFrame:
     tokens, texts = totals.get(_TOKENS, 0), totals.get(_TEXTS, 0)
     words = counts.filter(F.col("kind") == WORD).select("key", "n")
     distinct = words.count() + (texts > 0)
-    table, edges = counts.filter(F.col("kind") == EDGE).select("key", "n"), []
-    for order in range(ORDER, -1, -1):
-        if order < ORDER:
-            key = F.col("key").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1)).alias("key")
-            table = materialize(table.groupBy(key).agg(F.sum("n").alias("n")))
-        found = _most_frequent(table, MAX_EDGES).toArrow()
+    edges = [counts.filter(F.col("kind") == EDGE).select("key", "n")]
+    for order in range(ORDER - 1, -1, -1):
+        key = F.col("key").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1)).alias("key")
+        edges.insert(0, materialize(edges[0].groupBy(key).agg(F.sum("n").alias("n"))))
+    complete = sum(table.count() for table in edges) <= max_edges
+    contexts = [] if complete else _context_totals(edges)
+    trie = []
+    for table in edges if complete else _sent(edges, contexts, max_edges):
+        found = table.toArrow()
         keys, n = found.column("key").to_numpy().astype(U), found.column("n").to_numpy()
         by = np.argsort(keys)
-        edges.insert(0, (keys[by], n[by]))
+        trie.append((keys[by], n[by]))
     frequent = _most_frequent(words, MAX_WORDS).toArrow()
     shared = spark.sparkContext.broadcast(
-        (edges, frequent.column("key").to_numpy().view(U), frequent.column("n").to_numpy())
+        (trie, complete, frequent.column("key").to_numpy().view(U), frequent.column("n").to_numpy())
     )
     scored = materialize(source.mapInArrow(
         _scored(uuid.uuid4().hex, shared),
-        f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, key long, tf long",
+        f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, "
+        "key long, symbol long, tf long",
     ))
     rare = scored.filter("key is not null").select("row", "key", "tf").join(words, "key", "left").groupBy("row").agg(
         F.sum(F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("more"),
         F.sum(F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("more_known"),
     )
+    texts_scored = scored.filter("n_tokens is not null").drop("key", "symbol", "tf").join(rare, "row", "left")
+    score = F.col("score")
+    if not complete:
+        absent = scored.filter("symbol is not null").select("row", "symbol", "tf")
+        logs = absent.join(_exact(absent, edges, contexts), "symbol").groupBy("row").agg(
+            F.sum(F.col("tf") * F.col("log")).alias("more_score")
+        )
+        texts_scored = texts_scored.join(logs, "row", "left")
+        score = score + F.coalesce("more_score", F.lit(0.0))
     norm = float(np.log10(tokens + 0.1 * (distinct + 1)))
     end = float(np.log10(texts + 0.1))
-    return scored.filter("key is null").join(rare, "row", "left").select(
+    return texts_scored.select(
         "doc_id", "held_out", "n_tokens",
         (F.col("known") + F.coalesce("more_known", F.lit(0)) + int(texts > 0)).cast("long").alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0)) + end - F.col("n_tokens") * norm).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("more", F.lit(0.0)) + end - F.col("n_tokens") * norm).alias("base_score"), score.alias("score"),
     )

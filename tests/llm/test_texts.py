@@ -358,3 +358,12 @@ def test_empty_table(empty, apply):
 def test_only_nulls(spark, apply):
     df = spark.createDataFrame([(None, None, None, None, None)] * 3, SCHEMA)
     assert apply(df).count() == 3
+
+
+@pytest.mark.parametrize("most", [0, 300, 20_000])
+def test_scores_do_not_depend_on_what_is_sent(odd, tiny, most):
+    texts = odd.filter("doc_id <> 9 and doc_id <> 10").union(tiny.filter("doc_id < 40").selectExpr("*", *[f"null as x{k}" for k in range(8)]))
+    whole = sorted(score_documents(texts).collect(), key=lambda r: (r.doc_id, r.score))
+    cut = sorted(score_documents(texts, max_edges=most).collect(), key=lambda r: (r.doc_id, r.score))
+    assert [r[:6] for r in whole] == [r[:6] for r in cut]
+    assert len(whole) > 50 and [r.score for r in cut] == pytest.approx([r.score for r in whole], rel=1e-5)
