@@ -63,13 +63,13 @@ _LATER = "row_number() over (partition by doc_id, key order by i) > 1"
 _TWICE = "count(*) over (partition by doc_id, key) > 1"
 
 
-def repetition(shares: dict[int, float], line_share: float) -> str:
+def repetition(shares: dict[int, float], line_share: float, header_lines: int, header_words: int) -> str:
     """SQL of the repetition rules under given limits."""
     parts = _COVERED.format(n=3, m=2, again=_TWICE) + "".join(
         _COVERED.format(n=n, m=n - 1, again=_LATER) for n in shares
     )
     sums = "".join(
-        f"p{n} as (select t.doc_id, sum(length(t.w[t.i])) as chars from t join c{n} c on c.doc_id = t.doc_id and c.i = t.i where c.hit group by t.doc_id),\n"
+        f"p{n} as (select t.doc_id, sum(length(t.w[t.i])) as chars from t join c{n} c on c.doc_id = t.doc_id and c.i = t.i where c.hit and not exists (select 1 from f where f.doc_id = t.doc_id and f.i = t.i) group by t.doc_id),\n"
         for n in shares
     )
     room = "greatest(m.word_chars, 1)"
@@ -79,14 +79,24 @@ def repetition(shares: dict[int, float], line_share: float) -> str:
     return f"""
 with d as (select doc_id, coalesce(text, '') as text, {WORDS} as w from documents),
 t as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d),
-{parts}{sums}
-q as (select doc_id, count(*) as n from c3 where hit group by doc_id),
 l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from d),
-u as (
-  select *, length(regexp_replace(line, {_BLANK}, '', 'g')) as chars, row_number() over (partition by doc_id, line order by i) > 1 as again
+y as (
+  select *, length(regexp_replace(line, {_BLANK}, '', 'g')) as chars, len(regexp_extract_all(line, '[^ \t-\r]+')) as size
   from l where length(regexp_replace(line, {_BLANK}, '', 'g')) > 0
 ),
-n as (select doc_id, count(*) as lines, sum(chars) as chars from u where again group by doc_id),
+z as (
+  select *, row_number() over (partition by doc_id, line order by i) > 1 as again,
+    sum(size) over (partition by doc_id order by i) - size as before
+  from y
+),
+u as (
+  select *, again and size <= {header_words} and count(*) filter (where again) over (partition by doc_id) <= {header_lines} as header
+  from z
+),
+f as (select doc_id, before + unnest(range(1, size + 1)) as i from u where header),
+n as (select doc_id, count(*) as lines, coalesce(sum(chars) filter (where not header), 0) as chars from u where again group by doc_id),
+{parts}{sums}
+q as (select doc_id, count(*) as n from c3 where hit group by doc_id),
 m as (
   select d.doc_id, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as word_chars,
     length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,

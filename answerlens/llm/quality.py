@@ -12,11 +12,13 @@ from answerlens.llm.words import Slice, mix, per_group, slices, U
 
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
-#: n-gram length -> largest share of the word characters that may lie in repeats of n-grams of that length.  One header
-#: line that comes again makes up to a fifth of a document of 50 words and is no fault.
-MAX_NGRAM_SHARE = {5: 0.25, 6: 0.24, 7: 0.23, 8: 0.22, 9: 0.21, 10: 0.20}
+#: n-gram length -> largest share of the word characters that may lie in repeats of n-grams of that length.
+MAX_NGRAM_SHARE = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 #: Largest share of the word characters in lines that repeat an earlier line.
-MAX_LINE_SHARE = 0.25
+MAX_LINE_SHARE = 0.2
+#: A header that comes again is no fault: if a document has at most so many repeated lines, those of at most so many words
+#: do not count towards the shares.
+HEADER_LINES, HEADER_WORDS = 2, 12
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -62,6 +64,9 @@ def measure(part: Slice) -> dict[str, np.ndarray]:
     word_chars = part.per_doc(chars)
     doc, again, line = _lines(part)
     repeats = part.per_doc(part.covered(_repeated(part, 3)[0], 3))
+    dup_lines = np.bincount(doc[again], minlength=part.docs)
+    header = again & (np.bincount(line, minlength=len(doc)) <= HEADER_WORDS) & (dup_lines[doc] <= HEADER_LINES)
+    chars = chars * ~header[line]
     room = np.maximum(word_chars, 1)
     over = np.zeros(part.docs, bool)
     worst = np.zeros(part.docs)
@@ -73,7 +78,7 @@ def measure(part: Slice) -> dict[str, np.ndarray]:
     failed = (part.n_words < MIN_WORDS) | (100 * repeats > MAX_REPEATED_PERCENT * part.n_words)
     return {
         "n_words": part.n_words, "word_chars": word_chars, "n_symbols": part.per_doc_bytes(_SYMBOL[part.data]),
-        "n_dup_lines": np.bincount(doc[again], minlength=part.docs), "n_repeat_words": repeats,
+        "n_dup_lines": dup_lines, "n_repeat_words": repeats,
         "ngram_share": worst, "line_share": line_share, "base_failed": failed,
         "kept": ~failed & ~over & (line_share <= MAX_LINE_SHARE),
     }
@@ -84,7 +89,7 @@ def repetition_rules(docs: DataFrame, keep_rows: bool = False) -> DataFrame:
 
     A document fails the base rule below 50 words or when more than half of its words lie in 3-word windows found
     twice.  It is further rejected when the characters in *later* occurrences of its n-grams (n from 5 to 10) or of
-    its lines exceed a share of its word characters.  With ``keep_rows`` the kept input rows come back, unchanged.
+    its lines exceed a share of its word characters; up to two short lines that come again do not count.  With ``keep_rows`` the kept input rows come back, unchanged.
 
     Null or empty texts have zeros everywhere and fail the base rule.  Repeated rows are judged each for itself, null
     ids pass through, an empty table gives no rows; further columns are ignored.

@@ -12,7 +12,7 @@ from answerlens.llm.layout import page_texts
 from answerlens.llm.mixing import mix_sources
 from answerlens.llm.packing import pack
 from answerlens.llm.ppm import score_documents
-from answerlens.llm.quality import MAX_LINE_SHARE, MAX_NGRAM_SHARE, repetition_rules
+from answerlens.llm.quality import HEADER_LINES, HEADER_WORDS, MAX_LINE_SHARE, MAX_NGRAM_SHARE, repetition_rules
 from answerlens.llm.rotation import near_vectors
 from answerlens.llm.substrings import remove_repeats
 from answerlens.llm.tables import small_batches
@@ -106,7 +106,7 @@ ORACLES: dict[str, str] = {
     "op2_chat": oracles.CHAT,
     "op4_substrings": oracles.SUBSTRINGS,
     "op5_rotation": oracles.VECTORS,
-    "op7_repetition": oracles.repetition(MAX_NGRAM_SHARE, MAX_LINE_SHARE),
+    "op7_repetition": oracles.repetition(MAX_NGRAM_SHARE, MAX_LINE_SHARE, HEADER_LINES, HEADER_WORDS),
     "op8_forest": oracles.NEAR,
     "op10_warc": oracles.WARC,
 }

@@ -85,6 +85,23 @@ def test_quality_keeps_clean_and_drops_repeats(spark):
     assert repetition_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), keep_rows=True).count() == 1
 
 
+def test_quality_headers_and_limits(spark):
+    """A short header may come again; the same share of a text in longer or further repeats may not."""
+    draw = random.Random(11)
+    words = [f"w{draw.randrange(10 ** 6):06d}" for _ in range(400)]
+    header, body = " ".join(words[:9]), " ".join(words[9:70])
+    passage, rest = " ".join(words[100:130]), " ".join(words[130:270])
+    short = [" ".join(words[k:k + 6]) for k in (300, 306, 312)]
+    texts = [
+        f"{header}\n{body}\n{header}", f"{passage}\n{rest}\n{passage}", f"{passage} {rest} {passage}",
+        "\n".join([*short, " ".join(words[9:80]), *short]),
+    ]
+    got = repetition_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.base_failed for r in got] == [False] * 4
+    assert [r.kept for r in got] == [True, False, False, False]
+    assert (got[0].ngram_share, got[0].line_share) == (0.0, 0.0) and 0.14 < got[1].ngram_share < 0.16 < got[3].line_share
+
+
 @pytest.mark.parametrize("name", ["odd", "tiny"])
 @pytest.mark.parametrize("bits", [None, 16])
 def test_substrings(name, bits, request):
