@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -92,26 +93,35 @@ def build(source: str) -> tuple[Node, list[str]]:
     root = Node("html", {})
     stack, sheets, at = [root], [], 0
 
+    opened: defaultdict[str, list[int]] = defaultdict(list)  # places in the stack of the elements above the root
+
+    def leave(k: int) -> None:
+        for node in stack[k:]:
+            opened[node.tag].pop()
+        del stack[k:]
+
+    def last(tags: frozenset[str]) -> int:
+        return max((opened[tag][-1] for tag in tags if opened.get(tag)), default=0)
+
     def close(tags: frozenset[str], stops: frozenset[str]) -> bool:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in tags:
-                del stack[k:]
-                return True
-            if stack[k].tag in stops:
-                break
-        return False
+        k = last(tags)
+        if not k or last(stops) > k:
+            return False
+        leave(k)
+        return True
 
     def push(tag: str, attributes: dict[str, str]) -> Node:
         node = Node(tag, attributes)
         stack[-1].children.append(node)
         if tag not in VOID:
+            opened[tag].append(len(stack))
             stack.append(node)
         return node
 
     def text(piece: str) -> None:
         if piece:
             if stack[-1].tag == "head" and not piece.isspace():
-                stack.pop()
+                leave(len(stack) - 1)
             stack[-1].children.append(html.unescape(piece) if "&" in piece else piece)
 
     find = _TOKEN.search
@@ -127,12 +137,12 @@ def build(source: str) -> tuple[Node, list[str]]:
                 push("br", {})
             elif not close(frozenset((tag,)), _END_SCOPE.get(tag, _INLINE_END_STOPS)) and tag == "p":
                 push("p", {})
-                stack.pop()
+                leave(len(stack) - 1)
             continue
         if tag == "html":
             continue
         if stack[-1].tag == "head" and tag not in HEAD and tag != "noscript":
-            stack.pop()
+            leave(len(stack) - 1)
         if tag in _BLOCKS_END_P:
             close(frozenset(("p",)), _SCOPE)
         for tags, stops in _IMPLIED_END.get(tag, ()):
@@ -149,7 +159,7 @@ def build(source: str) -> tuple[Node, list[str]]:
             body = source[at:end.start() if end else len(source)]
             at = end.start() if end else len(source)
             if tag == "style":
-                if on_screen(node.attributes.get("media", "")) and not any(n.tag in ("noscript", "template") for n in stack):
+                if on_screen(node.attributes.get("media", "")) and not (opened.get("noscript") or opened.get("template")):
                     sheets.append(body)
             elif tag in ("textarea", "title"):
                 node.children.append(html.unescape(body))
@@ -183,13 +193,13 @@ def _display(declarations: str) -> tuple[bool, bool] | None:
     return best
 
 
-#: By the last mark or the tag of a selector: its tag, its marks, its weight in the cascade, and whether it shows.
+#: By the mark of a selector that the fewest selectors have, or its tag: its tag, marks, weight in the cascade, and whether it shows.
 Styles = dict[str, list[tuple[str, frozenset[str], tuple, bool]]]
 
 
 def display_rules(sheets: list[str]) -> Styles:
     """The rules of style sheets that say how elements with simple selectors are displayed, outside conditions."""
-    out: Styles = {}
+    strongest: dict[tuple[str, frozenset[str]], tuple[tuple, bool]] = {}
     layers: dict[str, int] = {}
     turn = 0
     for sheet in sheets:
@@ -211,7 +221,9 @@ def display_rules(sheets: list[str]) -> Styles:
                     place = layers[layer] if layer else 1 << 30
                     ids = sum(x[0] == "#" for x in marks)
                     weight = (display[0], -place if display[0] else place, ids, len(marks) - ids, tag != "*", turn)
-                    out.setdefault(marks[-1] if marks else tag, []).append((tag, frozenset(marks), weight, display[1]))
+                    own = tag, frozenset(marks)
+                    if own not in strongest or weight > strongest[own][0]:
+                        strongest[own] = weight, display[1]
 
         text = ""
         for piece in _BRACE.split(_without_asides(sheet)):
@@ -247,6 +259,10 @@ def display_rules(sheets: list[str]) -> Styles:
         blocks[-1][3].append(text)
         while len(blocks) > 1:
             end()
+    held = Counter(mark for _, marks in strongest for mark in marks)
+    out: Styles = {}
+    for (tag, marks), (weight, shows) in strongest.items():
+        out.setdefault(min(marks, key=lambda m: (held[m], m)) if marks else tag, []).append((tag, marks, weight, shows))
     return out
 
 
