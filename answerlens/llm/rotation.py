@@ -95,27 +95,31 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keyed(whole: int):
     """Keys of each vector in its group's tables: bits of the code under further permutations."""
-    for batch in batches:
-        dims, sizes = (batch.column(k).to_numpy() for k in (3, 4))
-        out: list[list[int] | None] = [None] * len(batch)
-        for dim, size in {*zip(dims.tolist(), sizes.tolist())}:
-            rows = np.flatnonzero((dims == dim) & (sizes == size))
-            bits, tables = tables_for(size)
-            unit = _unit(_matrix(batch.column(2).take(pa.array(rows))))
-            keys = np.zeros((len(rows), tables), np.int64)
-            draw = np.random.default_rng([SEED, dim, bits])
-            for t in range(tables if bits else 0):
-                # Fresh directions, so that tables do not share bits however few dimensions there are.
-                side = unit @ draw.normal(size=(dim, bits)) >= 0
-                keys[:, t] = side @ (1 << np.arange(bits, dtype=np.int64))
-            for row, own in zip(rows.tolist(), keys.tolist()):
-                out[row] = own
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), batch.column(2), batch.column(3), batch.column(5),
-             pa.array(out, pa.list_(pa.int64()))], ["node", "label", "vector", "dim", "copies", "keys"],
-        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, sizes = (batch.column(k).to_numpy() for k in (3, 4))
+            out: list[list[int] | None] = [None] * len(batch)
+            for dim, size in {*zip(dims.tolist(), sizes.tolist())}:
+                rows = np.flatnonzero((dims == dim) & (sizes == size))
+                bits, tables = tables_for(size, whole=whole)
+                unit = _unit(_matrix(batch.column(2).take(pa.array(rows))))
+                keys = np.zeros((len(rows), tables), np.int64)
+                draw = np.random.default_rng([SEED, dim, bits])
+                for t in range(tables if bits else 0):
+                    # Fresh directions, so that tables do not share bits however few dimensions there are.
+                    side = unit @ draw.normal(size=(dim, bits)) >= 0
+                    keys[:, t] = side @ (1 << np.arange(bits, dtype=np.int64))
+                for row, own in zip(rows.tolist(), keys.tolist()):
+                    out[row] = own
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), batch.column(2), batch.column(3), batch.column(5),
+                 pa.array(out, pa.list_(pa.int64()))], ["node", "label", "vector", "dim", "copies", "keys"],
+            )
+
+    return run
 
 
 def _compared(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -180,13 +184,15 @@ def _lists(column: pa.ChunkedArray, kind) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def near_vectors(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+def near_vectors(
+    vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", whole: int = WHOLE_GROUP,
+) -> DataFrame:
     """Per vector the number of others with equal label and cosine >= THRESHOLD, its group and whether it is kept.
 
     Equal vectors of a label form one node with a number of copies, so copies are never paired.  Within a label the
     nodes of a bucket are compared block by block: rotated sign codes with their correction factor estimate each inner
     product, and where the upper confidence bound reaches the threshold the cosine is recomputed in double precision.
-    A label with up to WHOLE_GROUP distinct vectors is one bucket; a larger one is cut by sign bits in so many
+    A label with up to ``whole`` distinct vectors is one bucket; a larger one is cut by sign bits in so many
     tables that a pair at the threshold is missed with a chance of MISS.  Blocks give back link counts and the
     smallest partner reached, never pairs.
 
@@ -207,7 +213,7 @@ def near_vectors(vectors: DataFrame, id_column: str = "vec_id", vector_column: s
     sizes = nodes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("size"))
     sized = nodes.join(sizes, ["label", "dim"]).select("node", "label", "vector", "dim", "size", "copies")
     keyed = materialize(
-        sized.mapInArrow(_keyed, f"node long, label {of}, vector {element}, dim int, copies long, keys array<bigint>")
+        sized.mapInArrow(_keyed(whole), f"node long, label {of}, vector {element}, dim int, copies long, keys array<bigint>")
     )
     spread = keyed.select("*", F.posexplode("keys").alias("t", "key"))
     group = ["label", "dim", "t", "key"]

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -224,13 +225,48 @@ def wanted_links(rows):
 def test_near_vectors(spark, monkeypatch, whole, block):
     rows = vectors()
     monkeypatch.setattr(rotation, "BLOCK", block)
-    monkeypatch.setattr(rotation.tables_for, "__defaults__", (rotation.THRESHOLD, whole))
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").selectExpr("*", "1 as node", "2 as key").repartition(3)
-    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(df).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(df, whole=whole).collect()}
     assert got == wanted_links(rows)
     assert near_vectors(df.limit(0)).count() == 0
 
 
+HOSTILE = {
+    "unmatched": ("<div>" * 100_000 + "</span>" * 100_000 + "x", "x"),
+    "behind a cell": ("<i><table><tr><td>" + "<div>" * 50_000 + "</i>" * 50_000 + "x", "x"),
+    "equal rules": ("<style>" + ".a{display:none}" * 4_000 + "</style>" + "<p class=a>x</p>" * 4_000 + "<p>y", "y"),
+    "rules of one class": (
+        "<style>" + "".join(f".x{k}.a{{display:none}}" for k in range(4_000)) + "</style>"
+        + "".join(f"<p class='a x{k}'>x</p>" for k in range(4_000)) + "<p class=a>y", "y",
+    ),
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_layout_is_linear(name):
+    page, text = HOSTILE[name]
+    begun = time.process_time()
+    assert render(page) == text
+    assert time.process_time() - begun < 4
+
+
+def test_cut_groups_find_pairs_close_to_the_threshold(spark):
+    """1,500 vectors of one label in many buckets: every planted pair of a cosine from 0.93 to 0.95 is found."""
+    draw, rows, dim = np.random.default_rng(8), [], 32
+    for k in range(750):
+        x, y = draw.normal(size=(2, dim))
+        x /= np.linalg.norm(x)
+        y -= (x @ y) * x
+        y /= np.linalg.norm(y)
+        cosine = draw.uniform(0.9302, 0.95)
+        rows += [(2 * k, x.tolist(), 0), (2 * k + 1, (cosine * x + np.sqrt(1 - cosine**2) * y).tolist(), 0)]
+    bits, tables = tables_for(len(rows), whole=50)
+    assert bits >= 5 and tables > 10
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(df, whole=50).collect()}
+    assert got == {i: (1, i - i % 2) for i in range(len(rows))}
+
+
 def test_tables_cover_the_threshold():
     bits, tables = tables_for(1 << 20)
     assert bits > 0 and (1 - (1 - np.arccos(0.93) / np.pi) ** bits) ** tables <= 1e-5
