@@ -150,9 +150,13 @@ cut as (
 )"""
 
 
-@query("merged_excerpts", _POS, _SPLIT_HITS + _LISTED + """
-select project, date, term, model_id, string_agg(concat(question_id, '/', answer_id, '/', hit_no, '/', excerpt), '|' order by question_id, answer_id, hit_no) as excerpts
-from cut group by 1, 2, 3, 4""")
+@query("merged_excerpts", _POS, _SPLIT_HITS + _LISTED + """,
+numbered as (
+  select *, CAST((dense_rank() over (partition by project, date, term, model_id order by question_id, answer_id) - 1) // 64 AS BIGINT) as part_no
+  from cut
+)
+select project, date, term, model_id, part_no, string_agg(concat(question_id, '/', answer_id, '/', hit_no, '/', excerpt), '|' order by question_id, answer_id, hit_no) as excerpts
+from numbered group by 1, 2, 3, 4, 5""")
 def _merged_excerpts(i):
     found = R.merged_excerpts(MA.excerpts(i.answers, i.entities))
     return found.withColumn("excerpts", F.array_join(F.transform("excerpts", lambda e: F.concat_ws(
@@ -161,18 +165,22 @@ def _merged_excerpts(i):
 
 
 @query("fact_excerpts", _POS, _SPLIT_HITS + _LISTED + """,
+numbered as (
+  select *, CAST((dense_rank() over (partition by project, question_id, date, model_id, term order by answer_id) - 1) // 64 AS BIGINT) as part_no
+  from cut
+),
 ex as (
-  select project, question_id, date, model_id, term, string_agg(concat(answer_id, '/', hit_no, '/', excerpt), '|' order by answer_id, hit_no) as excerpts
-  from cut group by 1, 2, 3, 4, 5
+  select project, question_id, date, model_id, term, part_no, string_agg(concat(answer_id, '/', hit_no, '/', excerpt), '|' order by answer_id, hit_no) as excerpts
+  from numbered group by 1, 2, 3, 4, 5, 6
 )
-select distinct e.project, e.question_id, x.date, e.section, e.entity, x.model_id, x.excerpts
+select distinct e.project, e.question_id, x.date, e.section, e.entity, x.model_id, x.part_no, x.excerpts
 from entities e join ex x on x.project = e.project and x.question_id = e.question_id and x.term = lower(e.entity)
 where e.section <> 'links'""")
 def _fact_excerpts(i):
     named = i.entities.filter("section <> 'links'")
     found = M.with_excerpts(M.mention_hits(i.answers, named), MA.excerpts(i.answers, i.entities)).filter("excerpts is not null")
     return found.select(
-        "project", "question_id", "date", "section", "entity", "model_id",
+        "project", "question_id", "date", "section", "entity", "model_id", "part_no",
         F.array_join(F.transform("excerpts", lambda e: F.concat_ws(
             "/", e["answer_id"].cast("string"), e["hit_no"].cast("string"), e["excerpt"]
         )), "|").alias("excerpts"),

@@ -13,12 +13,14 @@ from answerlens import schemas as S
 from answerlens.functions import scores as SC
 from answerlens.functions import urls as U
 from answerlens.operators import matching
-from answerlens.operators.scale import ranked_evenly, with_group_total
+from answerlens.operators.scale import materialize, ranked_evenly, with_group_total
 from answerlens.operators.trends import earlier_values
 
 # Reach at which a model has full weight, and the weight without known reach.
 FULL_REACH = 1_000_000_000
 DEFAULT_WEIGHT = 0.5
+# Answers whose excerpts of a name are listed in one row.
+ANSWERS_PER_LIST = 64
 
 
 def mention_hits(answers: DataFrame, entities: DataFrame) -> DataFrame:
@@ -57,16 +59,32 @@ def mention_facts(
     )
 
 
-def with_excerpts(facts: DataFrame, excerpts: DataFrame) -> DataFrame:
+def excerpt_parts(excerpts: DataFrame, keys: list[str], answer: list[str], fields: list[str], per_part: int) -> DataFrame:
+    """(keys, ``part_no``, ``excerpts``): excerpts per ``keys`` in order of answer and hit, at most ``per_part`` answers a row.
+
+    ``answer`` are the columns that tell the answers of a group apart, ``fields`` those of a list entry; they begin with
+    ``answer`` and ``hit_no``.  An answer has as many excerpts of a name as were asked for, so every list is bounded; the lists of a
+    group follow each other by ``part_no``, from 0.
+    """
+    each = materialize(excerpts.groupBy(*keys, *answer).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("own")))
+    placed = ranked_evenly(each, keys, F.struct(*answer), "__n")
+    return (
+        placed.withColumn("part_no", F.floor((F.col("__n") - 1) / per_part).cast("long"))
+        .groupBy(*keys, "part_no").agg(F.array_sort(F.collect_list(F.struct("__n", "own"))).alias("parts"))
+        .select(*keys, "part_no", F.flatten(F.transform("parts", lambda p: p["own"])).alias("excerpts"))
+    )
+
+
+def with_excerpts(facts: DataFrame, excerpts: DataFrame, per_part: int = ANSWERS_PER_LIST) -> DataFrame:
     """Mention facts with the excerpts of their answers, in order of answer and hit (null where not mentioned).
 
-    Excerpts are found by the searched name, the lower-cased entity.
+    Excerpts are found by the searched name, the lower-cased entity.  A fact has a row for every ``per_part`` answers
+    that hold the name, numbered by ``part_no`` (0 where not mentioned).
     """
     keys = S.SNAPSHOT + ["model_id", "term"]
-    listed = excerpts.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("answer_id", "hit_no", "excerpt"))).alias("excerpts")
-    )
-    return facts.withColumn("term", F.lower("entity")).join(listed, keys, "left").drop("term")
+    listed = excerpt_parts(excerpts, keys, ["answer_id"], ["answer_id", "hit_no", "excerpt"], per_part)
+    found = facts.withColumn("term", F.lower("entity")).join(listed, keys, "left").drop("term")
+    return found.withColumn("part_no", F.coalesce("part_no", F.lit(0)).cast("long"))
 
 
 def coverage(facts: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from answerlens import schemas as S
 from answerlens.functions import scores as SC
-from answerlens.operators.mentions import share_of_voice
+from answerlens.operators.mentions import ANSWERS_PER_LIST, excerpt_parts, share_of_voice
 
 
 MINUTES_PER_ITEM = 5  # fixed value
@@ -105,13 +105,13 @@ def merge_questions(facts: DataFrame, metrics: DataFrame, weights: DataFrame) ->
     )
 
 
-def merged_excerpts(excerpts: DataFrame) -> DataFrame:
+def merged_excerpts(excerpts: DataFrame, per_part: int = ANSWERS_PER_LIST) -> DataFrame:
     """Excerpts of a name over all questions of a date, per model, each tagged with its question.
 
-    One row per (project, date, term, model_id): at most five excerpts for each answer that holds the name.
+    One row for every ``per_part`` answers of (project, date, term, model_id) that hold the name, numbered by ``part_no``.
     """
-    tagged = F.struct("question_id", "answer_id", "hit_no", "excerpt", "line", "col")
-    return excerpts.groupBy("project", "date", "term", "model_id").agg(F.array_sort(F.collect_list(tagged)).alias("excerpts"))
+    keys, answer = ["project", "date", "term", "model_id"], ["question_id", "answer_id"]
+    return excerpt_parts(excerpts, keys, answer, [*answer, "hit_no", "excerpt", "line", "col"], per_part)
 
 
 def latest_reports(reports: DataFrame) -> DataFrame:

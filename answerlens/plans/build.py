@@ -19,11 +19,12 @@ def build(
     answers: DataFrame, entities: DataFrame, models: DataFrame, patterns: DataFrame,
     combined: bool = True, responses: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Lazy plans per output table; only the mention facts and entity metrics are written.
+    """Lazy plans per output table; the mention facts, entity metrics and excerpts are written.
 
     ``entities`` needs ``question_no`` for the all-questions level.  Links found in the answers are
     measured like entities and rolled up to types and domains.  With ``responses`` the sources of each entity are
-    attributed too, also to names that are not mentioned in their snapshot.
+    attributed too, also to names that are not mentioned in their snapshot.  Excerpts come by answer, listed per fact and
+    per name over all questions; ``merged_questions`` has one row per name of a date.
     """
     links = L.classify_links(L.extract_links(answers), patterns)
     found = links.select(
@@ -48,6 +49,8 @@ def build(
         .select(*S.SNAPSHOT, F.col("entity").alias("link"), "model_id", "mentions", "rank", "influence")
         .join(links, S.SNAPSHOT + ["link"])
     )
+    excerpts = materialize(matching.excerpts(answers, given))
+    single = F.col("question_id") != S.ALL_QUESTIONS
     tables = {
         "facts": facts,
         "metrics": metrics,
@@ -62,7 +65,10 @@ def build(
         "totals": R.report_totals(metrics),
         "items_per_model": R.items_per_model(facts, models),
         "items_per_trend": R.items_per_trend(trends),
-        "excerpts": matching.excerpts(answers, given),
+        "excerpts": excerpts,
+        "fact_excerpts": M.with_excerpts(facts.filter(single & (F.col("section") != "links")), excerpts),
+        "merged_questions": R.merge_questions(facts.filter(single), metrics.filter(single), weights),
+        "merged_excerpts": R.merged_excerpts(excerpts),
     }
     if responses is not None:
         dates = answers.select("project", "question_id", "date").distinct()

@@ -11,6 +11,8 @@ from answerlens.catalog.registry import Inputs
 from answerlens.functions import text as TX
 from answerlens.operators import links as L
 from answerlens.operators import matching as MA
+from answerlens.operators import mentions as M
+from answerlens.operators import reports as R
 from answerlens.operators import scale
 
 SF = "/root/testdata/sf0.001"
@@ -144,6 +146,26 @@ def test_first_hits_are_the_first_of_all(spark, k):
     assert all(names[2 * i] == names[2 * i + 1] for i in range(4))
 
 
+def test_excerpt_lists_are_bounded_parts(spark):
+    """150 answers hold one name: lists of 64 answers follow each other; parts of any size hold the same rows in order."""
+    answers = answers_of(spark, [f"Acme {k} acme, " + "acme " * (k % 9) for k in range(150)] + ["none", None])
+    entities = names_of(spark, ["Acme", "absent"])
+    found = MA.excerpts(answers, entities)
+    want = [tuple(r) for r in found.orderBy("answer_id", "hit_no").select("answer_id", "hit_no", "excerpt").collect()]
+    facts = M.mention_facts(
+        M.mention_hits(answers, entities), entities, spark.createDataFrame([("p", "m")], "project string, model_id string"),
+        answers.select("project", "question_id", "date").distinct(),
+    )
+    for per_part, parts in ((64, 3), (7, 22), (1000, 1)):
+        rows = M.with_excerpts(facts, found, per_part).orderBy("part_no").collect()
+        assert [(r.part_no, r.excerpts) for r in rows if r.entity == "absent"] == [(0, None)]
+        named = [r for r in rows if r.entity == "Acme"]
+        assert [r.part_no for r in named] == list(range(parts)) and max(len(r.excerpts) for r in named) <= 5 * per_part
+        assert [tuple(e) for r in named for e in r.excerpts] == want
+        merged = R.merged_excerpts(found, per_part).orderBy("part_no").collect()
+        assert [(e.answer_id, e.hit_no, e.excerpt) for r in merged for e in r.excerpts] == want
+
+
 def test_excerpts_of_many_hits_are_as_quick_as_of_few(spark):
     """Both texts have the same length; one holds the name 32,000 times."""
     def seconds(text):
