@@ -87,6 +87,12 @@ def test_build_plan(spark):
     for name in ("trends", "model_trends", "totals", "items_per_model", "items_per_trend", "link_types", "coverage"):
         tables[name].count()
     assert tables["sources"].count() > 0 and tables["excerpts"].count() > 0
+    listed = tables["fact_excerpts"].filter("excerpts is not null")
+    assert listed.count() > 0 and listed.filter("size(excerpts) > 320 or question_id = '_all'").count() == 0
+    assert tables["merged_excerpts"].agg(F.sum(F.size("excerpts"))).first()[0] == tables["excerpts"].count()
+    merged = tables["merged_questions"]
+    keys = [F.col(c) for c in ("project", "date", "section")] + [F.lower("entity")]
+    assert merged.select(*keys).distinct().count() == merged.count() == metrics.filter("question_id <> '_all'").select(*keys).distinct().count()
 
 
 def test_trend_report(spark):
