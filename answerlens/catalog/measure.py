@@ -9,6 +9,8 @@ from answerlens.functions import text as TX
 from answerlens.operators import matching as MA
 from answerlens.operators import mentions as M
 from answerlens.operators import reports as R
+from answerlens.operators.scale import new_folder
+from answerlens.plans.incremental import build_new
 
 _SEP = r"[\s\-_.,;:!?''\"()\[\]{}]"
 # The pattern of a name, for the shapes that occur in the entity view.
@@ -50,6 +52,19 @@ def _hits(i):
     return M.mention_hits(i.answers, i.entities)
 
 
+@query("incremental_facts", _AW + ["patterns"], f"with {_HITS} select * from hits where section <> 'links'")
+def _incremental(i):
+    """The newest date is added to a store that holds the others."""
+    newest = i.answers.agg(F.max("date")).first()[0]
+    store = new_folder(i.spark)
+    entities = i.entities.withColumn("question_no", F.lit(1))
+    for answers in (i.answers.filter(F.col("date") < newest), i.answers):
+        tables = build_new(answers, entities, i.models, i.patterns, store, combined=False)
+    return tables["facts"].filter("section <> 'links'").select(
+        "project", "question_id", "date", "section", "entity", "ord", "model_id", "mentions", "pos"
+    )
+
+
 @query("mention_facts", _AW, f"""
 with {_HITS},
 cells as (

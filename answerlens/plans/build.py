@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from answerlens import schemas as S
 from answerlens.operators import attribution as A
+from answerlens.operators import citations as C
 from answerlens.operators import entities as E
 from answerlens.operators import links as L
 from answerlens.operators import matching
@@ -15,26 +16,31 @@ from answerlens.operators import trends as T
 from answerlens.operators.scale import materialize
 
 
-def build(
-    answers: DataFrame, entities: DataFrame, models: DataFrame, patterns: DataFrame,
-    combined: bool = True, responses: DataFrame | None = None,
+def measure(
+    answers: DataFrame, entities: DataFrame, all_answers: DataFrame | None = None, all_entities: DataFrame | None = None
 ) -> dict[str, DataFrame]:
-    """Lazy plans per output table; the mention facts, entity metrics and excerpts are written.
+    """What has to be read from the texts of a snapshot: ``links``, ``hits`` and ``excerpts``, lazily.
 
-    ``entities`` needs ``question_no`` for the all-questions level.  Links found in the answers are
-    measured like entities and rolled up to types and domains.  With ``responses`` the sources of each entity are
-    attributed too, also to names that are not mentioned in their snapshot.  Excerpts come by answer, listed per fact and
-    per name over all questions; ``merged_questions`` has one row per name of a date.
+    ``all_answers`` and ``all_entities`` are the all-questions level, measured beside the questions.
     """
-    links = L.classify_links(L.extract_links(answers), patterns)
+    links = L.extract_links(answers)
     found = links.select(
         *S.SNAPSHOT, F.lit("links").alias("section"), F.col("link").alias("entity"),
         F.lit(0).cast("long").alias("ord"),
     )
-    given = entities.select("project", "question_id", "section", "entity", "ord")
+    keys = [c for c in S.SNAPSHOT if c in entities.columns]
+    given = entities.select(*keys, "section", "entity", "ord")
     hits = M.mention_hits(answers, given).unionByName(M.mention_hits(answers, found))
-    if combined:
-        hits = hits.unionByName(M.mention_hits(E.combined_answers(answers), E.combine_questions(entities)))
+    if all_answers is not None:
+        hits = hits.unionByName(M.mention_hits(all_answers, all_entities))
+    return {"links": links, "hits": hits, "excerpts": matching.excerpts(answers, given)}
+
+
+def derive(
+    hits: DataFrame, links: DataFrame, excerpts: DataFrame, models: DataFrame, patterns: DataFrame
+) -> dict[str, DataFrame]:
+    """All report tables from what was measured; no text is read.  Facts and metrics are written."""
+    links = L.classify_links(links, patterns)
     weights = M.model_weights(models)
     facts = materialize(M.model_ranks(hits))
     prom = M.prominences(facts, weights)
@@ -49,9 +55,8 @@ def build(
         .select(*S.SNAPSHOT, F.col("entity").alias("link"), "model_id", "mentions", "rank", "influence")
         .join(links, S.SNAPSHOT + ["link"])
     )
-    excerpts = materialize(matching.excerpts(answers, given))
     single = F.col("question_id") != S.ALL_QUESTIONS
-    tables = {
+    return {
         "facts": facts,
         "metrics": metrics,
         "coverage": M.coverage(facts),
@@ -70,9 +75,31 @@ def build(
         "merged_questions": R.merge_questions(facts.filter(single), metrics.filter(single), weights),
         "merged_excerpts": R.merged_excerpts(excerpts),
     }
+
+
+def build(
+    answers: DataFrame, entities: DataFrame, models: DataFrame, patterns: DataFrame,
+    combined: bool = True, responses: DataFrame | None = None,
+) -> dict[str, DataFrame]:
+    """Lazy plans per output table; the mention facts, entity metrics and excerpts are written.
+
+    ``entities`` needs ``question_no`` for the all-questions level.  Links found in the answers are
+    measured like entities and rolled up to types and domains.  With ``responses`` the sources of each entity are
+    attributed too, also to names that are not mentioned in their snapshot, and their answers come with citations.
+    Excerpts come by answer, listed per fact and per name over all questions; ``merged_questions`` has one row per name
+    of a date.
+    """
+    level = (E.combined_answers(answers), E.combine_questions(entities)) if combined else (None, None)
+    parts = measure(answers, entities, *level)
+    tables = derive(parts["hits"], parts["links"], materialize(parts["excerpts"]), models, patterns)
     if responses is not None:
         dates = answers.select("project", "question_id", "date").distinct()
+        named = entities.select("project", "question_id", "section", "entity").distinct()
         tables["sources"] = A.attribute_sources(
-            responses, given.drop("ord").join(dates, ["project", "question_id"]), facts, dates.select("project", "date").distinct()
+            responses, named.join(dates, ["project", "question_id"]), tables["facts"], dates.select("project", "date").distinct()
         )
+        if "message" in responses.columns:
+            cited = S.SNAPSHOT + ["model_id", "answer_id"]
+            tables["citations"] = C.citations(responses, cited)
+            tables["cited_answers"] = C.answers_with_citations(responses, cited)
     return tables
