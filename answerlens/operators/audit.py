@@ -81,12 +81,19 @@ BOT_TAGS = {"bots_training": "training", "bots_search": "search", "bots_user": "
 PAGE = ["site", "url"]
 
 
-def config_list(df: DataFrame, value: Column) -> Column:
-    """The distinct values of a configuration table as one sorted array, by a scalar subquery.
+# Rows of a configuration table that share a number when a result has one row for each of them.
+PER_LIST = 64
 
-    These tables (bots, their products, markers) hold what an audit is set up with, never data.
+
+def with_each(df: DataFrame, config: DataFrame) -> DataFrame:
+    """Each row of ``df`` beside each row of ``config``, for results that hold every combination.
+
+    ``config`` is dealt to numbered lists of about PER_LIST rows and met by equality of the number, so Spark may broadcast
+    or shuffle it by its size and no value holds the table.
     """
-    return df.agg(F.sort_array(F.collect_set(value)).alias("v")).scalar()
+    lists = config.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / PER_LIST)).cast("int").alias("n")).scalar()
+    dealt = config.withColumn("__list", F.pmod(F.xxhash64(*config.columns), lists).cast("int"))
+    return df.withColumn("__list", F.explode(F.sequence(F.lit(0), lists - 1))).join(dealt, "__list").drop("__list")
 
 
 def _result_columns(check: str, score: Column, passed: Column, details: Column | None, error: Column | None) -> list[Column]:
@@ -206,11 +213,25 @@ def check_jsonld(captures: DataFrame) -> DataFrame:
     return _result(typed, PAGE, *jsonld_result())
 
 
-def blocking_tags(html: Column, bots: Column) -> tuple[Column, Column]:
-    """(whether a ``robots`` tag blocks, array of the blocking tags named after one of the lower-cased bots)."""
+def blocking_tags(html: Column) -> tuple[Column, Column]:
+    """(whether a ``robots`` tag blocks, array of the lower-cased names of all blocking tags)."""
     tag = r"(?i)<meta\s+name=[\"'](NAMES)[\"']\s+content=[\"'][^\"']*\b(?:noindex|noai|noimageai|nosnippet)\b[^\"']*[\"']"
     named = F.transform(F.regexp_extract_all(html, F.lit(tag.replace("NAMES", "[^\"']+")), F.lit(1)), F.lower)
-    return html.rlike(tag.replace("NAMES", "robots")), F.array_intersect(named, bots)
+    return html.rlike(tag.replace("NAMES", "robots")), F.array_distinct(named)
+
+
+def with_bot_tags(pages: DataFrame, bots: DataFrame) -> DataFrame:
+    """``named`` reduced to names of ``bots``, in order; ``n_bots`` is their number.  ``pages`` has one row a page.
+
+    The names of a page meet the bots by equality; the page is put together again by its key.
+    """
+    known = bots.select(F.lower("bot").alias("__name")).distinct().withColumn("__known", F.lit(True))
+    others = [c for c in pages.columns if c not in (*PAGE, "named")]
+    each = pages.select(*PAGE, F.struct(*others).alias("__row"), F.posexplode_outer("named").alias("__at", "__name"))
+    found = F.array_sort(F.collect_list(F.when(F.col("__known"), F.struct("__at", "__name"))))
+    return each.join(known, "__name", "left").groupBy(*PAGE).agg(
+        F.first("__row").alias("__row"), F.transform(found, lambda x: x["__name"]).alias("named")
+    ).select(*PAGE, "__row.*", "named", bots.agg(F.countDistinct("bot").alias("n")).scalar().alias("n_bots"))
 
 
 def meta_result(n_bots: Column) -> tuple:
@@ -223,12 +244,9 @@ def meta_result(n_bots: Column) -> tuple:
 
 def check_meta_tags(captures: DataFrame, bots: DataFrame) -> DataFrame:
     """A blocking ``robots`` tag costs all points, each blocking bot tag its part."""
-    names = config_list(bots, F.col("bot"))
-    all_bots, named = blocking_tags(F.col("html"), config_list(bots, F.lower("bot")))
-    tagged = _desktop(captures).select(
-        *PAGE, all_bots.alias("all_bots"), named.alias("named"), F.size(names).alias("n_bots")
-    )
-    return _result(tagged, PAGE, *meta_result(F.col("n_bots")))
+    all_bots, named = blocking_tags(F.col("html"))
+    tagged = _desktop(captures).select(*PAGE, all_bots.alias("all_bots"), named.alias("named"))
+    return _result(with_bot_tags(tagged, bots), PAGE, *meta_result(F.col("n_bots")))
 
 
 def _similar(a: Column, b: Column, tolerance: float) -> Column:
@@ -334,37 +352,49 @@ def robots_rules(robots: Column, strict: bool = False) -> Column:
 
 
 def robots_blocked(robots: DataFrame, bots: DataFrame, strict: bool = False) -> DataFrame:
-    """(site, bot, blocked): the last root rule for the bot or for ``*`` decides."""
-    ruled = robots.select(
-        "site", robots_rules(F.col("robots"), strict).alias("rules"), config_list(bots, F.col("bot")).alias("bots")
+    """(site, bot, blocked): the last root rule for the bot or for ``*`` decides.  ``robots`` has one file a site.
+
+    The agents of a file meet the bots by equality; a bot that no rule names goes by the last rule for ``*``.
+    """
+    bots = bots.select("bot").filter("bot is not null").distinct()
+    rules = robots.select("site", F.posexplode(robots_rules(F.col("robots"), strict)).alias("pos", "rule")).select(
+        "site", "pos", F.col("rule.agent").alias("agent"), F.col("rule.blocked").alias("blocked")
     )
-    each = ruled.select("site", "rules", F.explode("bots").alias("bot"))
-    mine = F.filter("rules", lambda r: (r["agent"] == "*") | (r["agent"] == F.lower(F.col("bot"))))
+    last = F.max(F.struct("pos", "blocked"))
+    general = rules.filter(F.col("agent") == "*").groupBy("site").agg(last.alias("general"))
+    named = rules.join(bots.withColumn("agent", F.lower("bot")), "agent").groupBy("site", "bot").agg(last.alias("own"))
+    each = with_each(robots.select("site"), bots).join(general, "site", "left").join(named, ["site", "bot"], "left")
     return each.select(
-        "site", "bot", F.coalesce(F.try_element_at(mine, F.lit(-1))["blocked"], F.lit(False)).alias("blocked")
+        "site", "bot", F.coalesce(F.greatest("general", "own")["blocked"], F.lit(False)).alias("blocked")
     )
 
 
+def _closed(blocked: DataFrame, bot_products: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(products with the number of their bots, keys and products with the number of bots kept out)."""
+    listed = bot_products.select("product", "bot").distinct()
+    products = listed.groupBy("product").agg(F.count("bot").alias("bots"))
+    closed = blocked.filter("blocked").select(*keys, "bot").distinct().join(listed, "bot")
+    return products, closed.groupBy(*keys, "product").agg(F.count(F.lit(1)).alias("closed"))
+
+
 def product_visibility(blocked: DataFrame, bot_products: DataFrame, keys: list[str] = ["site"]) -> DataFrame:
     """(keys, product, visible): visible if any bot of the product is not blocked.
 
     Bots of a product that ``blocked`` does not mention count as open.
     """
-    closed = blocked.groupBy(*keys).agg(
-        F.collect_set(F.when(F.col("blocked"), F.col("bot"))).alias("closed")
-    )
-    products = bot_products.groupBy("product").agg(F.sort_array(F.collect_set("bot")).alias("bots"))
-    rows = config_list(products, F.struct("product", "bots"))
-    return closed.select(*keys, "closed", F.explode(rows).alias("p")).select(
-        *keys, F.col("p.product").alias("product"),
-        (F.size(F.array_except("p.bots", "closed")) > 0).alias("visible"),
-    )
+    products, closed = _closed(blocked, bot_products, keys)
+    each = with_each(blocked.select(*keys).distinct(), products).join(closed, [*keys, "product"], "left")
+    return each.select(*keys, "product", (F.coalesce("closed", F.lit(0)) < F.col("bots")).alias("visible"))
 
 
 def _visible_share(blocked: DataFrame, bot_products: DataFrame, keys: list[str]) -> DataFrame:
-    return product_visibility(blocked, bot_products, keys).groupBy(*keys).agg(
-        F.count_if("visible").alias("seen"), F.count(F.lit(1)).alias("products")
-    )
+    """(keys, seen, products) from the products kept out alone, which are few; nothing where there is no product."""
+    products, closed = _closed(blocked, bot_products, keys)
+    hidden = closed.join(products, "product").filter("closed = bots").groupBy(*keys).agg(F.count(F.lit(1)).alias("hidden"))
+    total = products.agg(F.struct(F.count(F.lit(1)).alias("all"), F.count_if(F.col("bots") > 0).alias("some")).alias("t")).scalar()
+    return blocked.select(*keys).distinct().join(hidden, keys, "left").withColumn("total", total).select(
+        *keys, (F.col("total.some") - F.coalesce("hidden", F.lit(0))).alias("seen"), F.col("total.all").alias("products")
+    ).filter("products > 0")
 
 
 def check_robots(robots: DataFrame, bots: DataFrame, bot_products: DataFrame) -> DataFrame:
@@ -491,8 +521,7 @@ def page_checks(captures: DataFrame, bots: DataFrame) -> DataFrame:
     the measured values of a page's two variants are shuffled together."""
     html = F.col("html")
     desktop = F.col("variant") == "desktop"
-    names = config_list(bots, F.col("bot"))
-    all_bots, named = blocking_tags(html, config_list(bots, F.lower("bot")))
+    all_bots, named = blocking_tags(html)
     measures = {
         "structure": structure_score(html), "types": jsonld_types(html), "all_bots": all_bots, "named": named,
         "blocking": blocking_headers(), "scripts": script_measures(html),
@@ -506,7 +535,8 @@ def page_checks(captures: DataFrame, bots: DataFrame) -> DataFrame:
         *[F.max(F.when(F.col("variant") == v, F.col(c))).alias(f"{v}_{c}")
           for v in ("desktop", "mobile") for c in ("status", "ms", "size", "viewport")],
         F.first(F.when(desktop, F.struct(*measures)), ignorenulls=True).alias("m"),
-    ).select("*", "m.*").select("*", "scripts.*", F.size(names).alias("n_bots"))
+    ).select("*", "m.*").select("*", "scripts.*")
+    page = with_bot_tags(page, bots)
     known = [_speed_step(F.col(f"{v}_ms")) for v in ("desktop", "mobile")]
     results = [
         _as_row(*structure_result(F.col("structure"))),

@@ -156,6 +156,35 @@ def test_robots_quirks(spark):
     assert strict["a"] is False
 
 
+def test_configuration_meets_rows_without_an_array(spark):
+    """Several lists of bots; a bot's own rule after the general one decides, an earlier one does not."""
+    bots = spark.range(300).selectExpr("concat('Bot', id) as bot")
+    robots = spark.createDataFrame([
+        ("late", "User-agent: *\nDisallow: /\nUser-agent: BOT7\nAllow: /"), ("early", "User-agent: bot7\nAllow: /\nUser-agent: *\nDisallow: /"),
+        ("none", "User-agent: bot7\nDisallow: /"), ("empty", None),
+    ], "site string, robots string")
+    blocked = A.robots_blocked(robots, bots)
+    got = {(r.site, r.bot): r.blocked for r in blocked.collect()}
+    assert len(got) == blocked.count() == 1200
+    assert {s: got[(s, "Bot7")] for s in ("late", "early", "none", "empty")} == {"late": False, "early": True, "none": True, "empty": False}
+    assert {s: got[(s, "Bot8")] for s in ("late", "early", "none", "empty")} == {"late": True, "early": True, "none": False, "empty": False}
+    products = spark.createDataFrame([("Bot7", "one"), ("Bot7", "two"), ("Bot8", "two"), ("other", "open")], "bot string, product string")
+    seen = {(r.site, r.product): r.visible for r in A.product_visibility(blocked, products).collect()}
+    assert len(seen) == 12 and [k for k, v in sorted(seen.items()) if not v] == [("early", "one"), ("early", "two"), ("none", "one")]
+    shares = {r.site: (r.seen, r.products) for r in A._visible_share(blocked, products, ["site"]).collect()}
+    assert shares == {"late": (3, 3), "early": (1, 3), "none": (2, 3), "empty": (3, 3)}
+    assert A._visible_share(blocked, products.limit(0), ["site"]).count() == 0
+
+
+def test_tags_of_unknown_bots_do_not_count(spark):
+    tag = '<meta name="{}" content="noai">'
+    pages = [("s", "a", "desktop", tag.format("gptbot") + tag.format("Other") + tag.format("GPTBOT")), ("s", "b", "desktop", tag.format("robots")), ("s", "c", "desktop", None)]
+    captures = spark.createDataFrame(pages, "site string, url string, variant string, html string")
+    bots = spark.createDataFrame([("GPTBot",), ("CCBot",)], "bot string")
+    got = {r.url: (r.score, r.details) for r in A.check_meta_tags(captures, bots).collect()}
+    assert got == {"a": (4.0, "gptbot"), "b": (0.0, ""), "c": (8.0, "")}
+
+
 def test_grades_and_errors(spark):
     rows = [(f"s{p}", "u", "x", float(p), 100.0, True, False, None) for p in (100, 97, 96, 90, 83, 70, 60, 59)]
     rows.append(("s100", "u", "y", 0.0, 50.0, False, True, None))
