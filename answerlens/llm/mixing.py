@@ -73,6 +73,8 @@ def pivot(size: np.ndarray, p: np.ndarray, draw: np.random.Generator) -> int:
 
 def _round(level: int, last: bool):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        if "n" in frame:
+            frame = frame.loc[frame.index.repeat(frame["n"])].drop(columns="n")
         frame = frame.sort_values([c for c in ("key", "size", "row", "p", "chunk") if c in frame], kind="stable")
         source, chunk = frame["source"].iloc[0], int(frame["next"].iloc[0])
         name = zlib.crc32(b"" if source is None else source.encode()) + (source is None)
@@ -86,6 +88,20 @@ def _round(level: int, last: bool):
     return run
 
 
+def dealt(rows: DataFrame, own: list[str]) -> DataFrame:
+    """Add ``chunk`` and ``n``: equal rows counted, in numbers of at most CHUNK that go to one chunk after the other.
+
+    Rows without an id and of one size are equal, so their hash alone would send all of them to one chunk.
+    """
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("__all"))
+    parts = counted.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__all") - 1) / CHUNK))))
+    chunks = F.ceil(F.col("n_docs") / CHUNK).cast("long")
+    return parts.select(
+        *rows.columns, F.pmod(F.pmod(F.xxhash64("key", "size", *own), chunks) + F.col("__part"), chunks).alias("chunk"),
+        F.least(F.lit(CHUNK), F.col("__all") - F.col("__part") * CHUNK).cast("long").alias("n"),
+    )
+
+
 def mix_sources(docs: DataFrame, row: Column | None = None) -> DataFrame:
     """Copies of each document such that every source comes near its target.
 
@@ -95,7 +111,8 @@ def mix_sources(docs: DataFrame, row: Column | None = None) -> DataFrame:
     words taken of a source differ from its target by less than one document.  Only ids and sizes are shuffled.
 
     Null texts have size 0; documents of size 0 draw by themselves and take nothing.  Null sources form the last source.
-    Repeated rows are rounded each for itself.  Equal input gives equal output.  Further columns are ignored.
+    Repeated rows are rounded each for itself, those equal in id and size dealt to several chunks.  Equal input gives
+    equal output.  Further columns are ignored.
     ``row`` is a long that tells rows of one id, or of none, apart; it is drawn with and returned as ``row``.
     Returns doc_id, source, size, source_size, target, copies, taken.
     """
@@ -109,16 +126,15 @@ def mix_sources(docs: DataFrame, row: Column | None = None) -> DataFrame:
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     goal = targets(sources)
     most = goal.agg(F.max("n_docs")).first()[0] or 0
-    chunks = F.ceil(F.col("n_docs") / CHUNK).cast("long")
     x = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rows = sized.join(
+    rows = dealt(sized.join(
         goal.select(F.col("source").alias("name"), "source_size", "target", "n_docs"), F.col("source").eqNullSafe(F.col("name"))
-    ).drop("name")
+    ).drop("name"), own)
     whole = F.floor(x + _EVEN)
     rows = rows.select(
         "key", "source", "size", "source_size", "target", whole.cast("long").alias("whole"),
         F.when(x - whole > _EVEN, x - whole).otherwise(F.lit(0.0)).alias("p"),
-        F.pmod(F.xxhash64("key", "size", *own), chunks).alias("chunk"), *own,
+        "chunk", "n", *own,
     )
     coin = F.pmod(F.xxhash64(F.lit(SEED), F.col("key"), *own), F.lit(1 << 30)) / float(1 << 30)
     rows = rows.withColumn("p", F.when(F.col("size") == 0, (coin < F.col("p")).cast("double")).otherwise(F.col("p")))

@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 import brute
 from answerlens.llm import forest, packing, ppm
 from answerlens.llm.mixing import mix_sources, pivot
@@ -208,6 +210,34 @@ def test_mixing(name, request):
     assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, mix_sources(df).collect()), key=repr)
 
 
+def test_mixing_deals_equal_rows(spark, monkeypatch):
+    """Rows without an id and of one size come to no chunk alone, and each is rounded for itself."""
+    import answerlens.llm.mixing as mixing
+
+    monkeypatch.setattr(mixing, "CHUNK", 64)
+    rows = [(None, "one two three", "en", "hot", 0)] * 3000 + [(k, "word " * (k % 5 + 1), "en", "hot", 0) for k in range(1000)]
+    rows += [(k, "a b " * 20, "en", "other", 0) for k in range(5000, 5200)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    seen = []
+    inner = mixing.dealt
+
+    def spy(frame, own):
+        out = inner(frame, own)
+        seen.append(out.groupBy("source", "chunk").agg(F.sum("n").alias("n")).agg(F.max("n"), F.sum("n")).first())
+        return out
+
+    monkeypatch.setattr(mixing, "dealt", spy)
+    got = mixing.mix_sources(df).collect()
+    assert seen[0][1] == len(rows) == len(got) and seen[0][0] <= 4 * 64
+    assert sum(r.doc_id is None for r in got) == 3000
+    for source in ("hot", "other"):
+        mine = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= max(r.size for r in mine)
+        assert all(abs(r.copies - r.target / r.source_size) < 1 for r in mine)
+    again = mixing.mix_sources(df.repartition(7)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, again), key=repr)
+
+
 def test_mixing_tree(spark, monkeypatch):
     """Many chunks and levels keep each source near its target."""
     import answerlens.llm.mixing as mixing
