@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from answerlens.functions.text import bind
+
 # Query parameters that do not change what a URL points to.
 TRACKING_PARAMS = [
     "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id",
@@ -25,33 +27,51 @@ FILE_SUFFIX = r"\.(md|js|ts|json)$"
 _TRAILING = r"[),.:;!?*\[\]_]+$"
 
 
-def strip_tracking(url: Column) -> Column:
-    """Drop tracking parameters, and the ``?`` when none is left; scheme and host are lower-cased."""
-    fragment = F.regexp_extract(url, r"(#.*)$", 1)
-    bare = F.regexp_replace(url, r"#.*$", "")
-    base = F.substring_index(bare, "?", 1)
-    query = F.when(bare.contains("?"), F.substring(bare, F.length(base) + 2, F.length(bare)))
+def _kept_query(query: Column) -> Column:
+    """``?`` and the parts of a query that are no tracking; empty if none is left."""
     tracking = lambda p: F.substring_index(p, "=", 1).isin(TRACKING_PARAMS)
-    parts = F.split(query, "&")
-    # Empty parts go along with tracking parameters; a query without any stays as it is.
-    filled = F.exists(parts, lambda p: p != "")
-    kept = F.when(F.exists(parts, tracking) | ~filled, F.filter(parts, lambda p: (p != "") & ~tracking(p))).otherwise(parts)
-    authority = F.regexp_extract(base, r"^((?:[A-Za-z]+://)?[^/]*)", 1)
-    rest = F.substring(base, F.length(authority) + 1, F.length(base))
-    # A URL with an empty path reads as its root.
-    root = F.when(rest == "", F.lit("/")).otherwise(rest)
-    no_host = F.regexp_replace(authority, r"^[A-Za-z]+://", "") == ""
-    return F.when(no_host, url).otherwise(F.concat(
-        F.lower(authority),
-        root,
-        F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit("")),
-        fragment,
-    ))
+
+    def kept(parts: Column) -> Column:
+        # Empty parts go along with tracking parameters; a query without any stays as it is.
+        filled = F.exists(parts, lambda p: p != "")
+        return F.when(F.exists(parts, tracking) | ~filled, F.filter(parts, lambda p: (p != "") & ~tracking(p))).otherwise(parts)
+
+    return bind(bind(F.split(query, "&"), kept), lambda k: F.when(
+        F.size(k) > 0, F.concat(F.lit("?"), F.array_join(k, "&"))
+    ).otherwise(F.lit("")))
+
+
+def strip_tracking(url: Column) -> Column:
+    """Drop tracking parameters, and the ``?`` when none is left; scheme and host are lower-cased.
+
+    Each step is bound, since an expression is computed anew wherever a later one names it.
+    """
+
+    def joined(u: Column, base: Column, query: Column, authority: Column) -> Column:
+        rest = F.substring(base, F.length(authority) + 1, F.length(base))
+        return F.when(F.regexp_replace(authority, r"^[A-Za-z]+://", "") == "", u).otherwise(F.concat(
+            F.lower(authority),
+            # A URL with an empty path reads as its root.
+            F.when(F.length(base) == F.length(authority), F.lit("/")).otherwise(rest),
+            F.when(query.isNull(), F.lit("")).otherwise(_kept_query(query)),
+            F.when(u.contains("#"), F.regexp_extract(u, r"(#.*)$", 1)).otherwise(F.lit("")),
+        ))
+
+    def cut(u: Column, bare: Column) -> Column:
+        query = lambda base: F.when(bare.contains("?"), F.substring(bare, F.length(base) + 2, F.length(bare)))
+        parts = lambda base: F.struct(
+            base.alias("base"), query(base).alias("query"),
+            F.regexp_extract(base, r"^((?:[A-Za-z]+://)?[^/]*)", 1).alias("authority"),
+        )
+        return bind(bind(F.substring_index(bare, "?", 1), parts), lambda p: joined(u, p["base"], p["query"], p["authority"]))
+
+    bare = lambda u: F.when(u.contains("#"), F.regexp_replace(u, r"#.*$", "")).otherwise(u)
+    return bind(url, lambda u: bind(bare(u), lambda b: cut(u, b)))
 
 
 def percent_decode(text: Column) -> Column:
     """Percent-decode keeping ``+``; null when the escapes are broken."""
-    return F.when(
+    return F.when(~text.contains("%"), text).when(
         ~text.rlike(r"%(?![0-9A-Fa-f]{2})"),
         F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))),
     )

@@ -18,33 +18,38 @@ OTHER_CODE, OTHER_NAME = "oth", "Other"  # fixed values
 PIECE = 4
 
 
-def links_in(text: Column) -> Column:
-    """array<string> of the distinct links of a text.
-
-    Markdown targets first, then URLs, then bare domains; each pass works on the text with the
-    earlier hits blanked out, exactly at their length.  Bare domains already covered and file
-    names are skipped, image links dropped.
-    """
+def _listed(text: Column) -> Column:
+    """struct(full, bare) of a text: its cleaned Markdown targets and URLs, then its other domains, each link once."""
     blank = lambda t, p: F.regexp_replace(t, p, " ")
+    cleaned = lambda found: F.transform(found, U.clean_url)
     targets = F.filter(
-        F.transform(F.regexp_extract_all(text, F.lit(U.MARKDOWN_LINK), F.lit(2)), U.clean_url),
-        lambda u: (u != "") & ~F.startswith(u, F.lit("#")),
+        cleaned(F.regexp_extract_all(text, F.lit(U.MARKDOWN_LINK), F.lit(2))), lambda u: (u != "") & ~F.startswith(u, F.lit("#"))
     )
 
     def found(without_markdown: Column) -> Column:
         # Anchors such as [top](#top) stay in the text but hold no URL of their own.
-        full = F.filter(
-            F.transform(F.regexp_extract_all(without_markdown, F.lit(U.ANY_URL), F.lit(0)), U.clean_url),
-            lambda u: u != "",
-        )
+        full = F.filter(cleaned(F.regexp_extract_all(without_markdown, F.lit(U.ANY_URL), F.lit(0))), lambda u: u != "")
         rest = F.lower(blank(without_markdown, U.ANY_URL))
         bare = F.filter(F.array_distinct(F.regexp_extract_all(rest, F.lit(U.DOMAIN), F.lit(0))), lambda d: ~d.rlike(U.FILE_SUFFIX))
-        # Both lists are bound, since a lambda would build them anew for every element.
-        return TX.bind(F.array_distinct(F.concat(targets, full)), lambda seen: F.array_distinct(F.concat(
-            seen, F.array_except(bare, F.concat(seen, F.transform(seen, U.domain_of)))
-        )))
+        # Lists are bound, since a lambda would build them anew for every element.
+        return TX.bind(F.array_distinct(F.concat(targets, full)), lambda seen: F.struct(
+            seen.alias("full"), F.array_except(bare, F.concat(seen, F.transform(seen, U.domain_of))).alias("bare")
+        ))
+
+    no_image = lambda links: F.filter(links, lambda u: ~u.rlike(U.IMAGE_SUFFIX))
+    return TX.bind(TX.bind(blank(text, U.MARKDOWN_LINK), found), lambda l: F.struct(
+        no_image(l["full"]).alias("full"), no_image(l["bare"]).alias("bare")
+    ))
+
 
-    return F.filter(TX.bind(blank(text, U.MARKDOWN_LINK), found), lambda u: ~u.rlike(U.IMAGE_SUFFIX))
+def links_in(text: Column) -> Column:
+    """array<string> of the distinct links of a text.
+
+    Markdown targets first, then URLs, then bare domains; each pass works on the text with the
+    earlier hits blanked out, exactly at their length.  Bare domains already covered and file
+    names are skipped, image links dropped.
+    """
+    return TX.bind(_listed(text), lambda l: F.concat(l["full"], l["bare"]))
 
 
 def answer_links(answers: DataFrame) -> DataFrame:
@@ -61,10 +66,11 @@ def extract_links(answers: DataFrame) -> DataFrame:
     the same link as the bare domain and stays.  Each text is scanned once: a link comes with a mark whether the text
     gives it as a root URL.
     """
-    text = F.col("text")
-    marked = TX.bind(_root_urls(text), lambda roots: F.transform(links_in(text), lambda u: F.struct(
-        u.alias("link"), F.array_contains(roots, u).alias("root")
-    )))
+    no_path = lambda u: ~u.contains("/") & ~u.contains("?")
+    marked = TX.bind(_listed(F.col("text")), lambda l: F.concat(
+        F.transform(l["full"], lambda u: F.struct(u.alias("link"), no_path(u).alias("root"))),
+        F.transform(l["bare"], lambda u: F.struct(u.alias("link"), F.lit(False).alias("root"))),
+    ))
     found = answers.select(*S.SNAPSHOT, F.explode(marked).alias("l")).groupBy(*S.SNAPSHOT, "l.link").agg(
         F.bool_or("l.root").alias("root")
     )
@@ -77,16 +83,6 @@ def extract_links(answers: DataFrame) -> DataFrame:
     return kept.select(*S.SNAPSHOT, "link", F.lit(OTHER_CODE).alias("link_type"))
 
 
-def _root_urls(text: Column) -> Column:
-    """Links that a text gives as a full URL without a path."""
-    without = F.regexp_replace(text, U.MARKDOWN_LINK, " ")
-    urls = F.concat(
-        F.transform(F.regexp_extract_all(text, F.lit(U.MARKDOWN_LINK), F.lit(2)), U.clean_url),
-        F.transform(F.regexp_extract_all(without, F.lit(U.ANY_URL), F.lit(0)), U.clean_url),
-    )
-    return F.filter(urls, lambda u: ~u.contains("/") & ~u.contains("?"))
-
-
 def _pieces(text: Column) -> Column:
     """Distinct runs of up to PIECE characters of a text."""
     runs = lambda n: F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))

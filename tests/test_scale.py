@@ -215,3 +215,21 @@ def test_many_expressions_and_beginnings(spark):
 
     seconds(10)
     assert seconds(1000) < 2 * seconds(10) + 1
+
+
+def _planned(df, name):
+    """How often an expression's name stands in the optimized plan."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count(name)
+
+
+def test_url_steps_are_computed_once(spark):
+    """A cleaned URL is decoded once, however many steps use it, and a text's links are cleaned in one pass."""
+    from answerlens.functions import urls as U
+    from answerlens.operators import links as L
+
+    df = spark.createDataFrame([("p", "q", "m", 1, "See [a](https://www.x.org/?utm_id=1&b=2#t), https://y.org and y.org.")],
+                               "project string, question_id string, model_id string, answer_id long, text string")
+    assert _planned(df.select(U.clean_url(F.col("text"))), "try_url_decode") <= 1
+    found = L.extract_links(df.withColumn("date", F.to_date(F.lit("2024-01-01"))))
+    assert _planned(found.filter("root" if "root" in found.columns else "true"), "try_url_decode") <= 4
+    assert sorted(r.link for r in found.collect()) == ["x.org/?b=2#t", "y.org"]
