@@ -8,7 +8,7 @@ from answerlens import schemas as S
 from answerlens.functions import text as TX
 from answerlens.functions import urls as U
 from answerlens.operators.matching import _group_keys, candidate_pairs, search_terms, with_candidates
-from answerlens.operators.scale import ranked_evenly
+from answerlens.operators.scale import materialize, ranked_evenly
 
 # Domain endings tried for a name, in this order.
 ENDINGS = [".com", ".org", ".ai", ".io"]
@@ -165,43 +165,66 @@ def merge_similar(existing: Column, new: Column, most: int = MAX_SIMILAR) -> Col
     return F.array_join(F.slice(F.array_distinct(F.concat(old, new)), 1, most), ",")
 
 
+def _id_pattern(names: Column) -> Column:
+    """One pattern for all ids of array<struct(model_id, display_name)>, the longest first.
+
+    Ids that begin with a letter or digit share one look at the character before and one at the first of theirs, so at most
+    places of a text no id is tried.
+    """
+    by_size = F.array_sort(F.transform(names, lambda n: F.struct((-F.length(n["model_id"])).alias("size"), n["model_id"].alias("id"))))
+    after = lambda i: F.when(i.rlike("[A-Za-z0-9_]$"), F.lit("(?![A-Za-z0-9_])")).otherwise(F.lit("(?=[A-Za-z0-9_])"))
+
+    def of(rows: Column, before: str) -> Column:
+        firsts = F.array_join(F.array_distinct(F.transform(rows, lambda r: TX.regex_quote(F.left(r["id"], F.lit(1))))), "")
+        each = F.array_join(F.transform(rows, lambda r: F.concat(TX.regex_quote(r["id"]), after(r["id"]))), "|")
+        return F.when(F.size(rows) > 0, F.concat(F.lit(before + "(?=["), firsts, F.lit("])(?:"), each, F.lit(")")))
+
+    word = lambda r: r["id"].rlike("^[A-Za-z0-9_]")
+    return TX.bind(by_size, lambda rows: F.concat_ws(
+        "|", of(F.filter(rows, word), "(?<![A-Za-z0-9_])"), of(F.filter(rows, lambda r: ~word(r)), "(?<=[A-Za-z0-9_])")
+    ))
+
+
+def _shown_names(names: Column) -> Column:
+    """struct(ids, shown): the pattern of all ids and a map to their names; null without ids."""
+    return F.when(F.coalesce(F.size(names), F.lit(0)) > 0, F.struct(
+        _id_pattern(names).alias("ids"),
+        F.map_from_entries(F.transform(names, lambda r: F.struct(r["model_id"], r["display_name"]))).alias("shown"),
+    ))
+
+
 def clean_summary(text: Column, names: Column) -> Column:
     """Strip broken HTML attributes, show model names for ids (longest first), squeeze blanks.
 
-    ``names`` is array<struct(model_id, display_name)> or null.  All ids are found in one pass and looked up in a map.
+    ``names`` is struct(ids, shown) of ``_shown_names`` or null.  All ids are found in one pass and looked up in a map.
+    Runs of blanks are entered at their beginning only, so long ones cost no more than their length.
     """
-    c = F.regexp_replace(text, r'\s*(title|alt|data-[a-z-]+)="[^"]*">', ">")
-    c = F.regexp_replace(c, r'"\s*>', "")
-    by_size = F.sort_array(F.transform(names, lambda n: F.struct(
-        (-F.length(n["model_id"])).alias("size"), n["model_id"].alias("model_id"), n["display_name"].alias("display_name")
-    )))
-
-    def named(args: Column) -> Column:
-        t, rows = args["text"], args["rows"]
-        ids = F.array_join(F.transform(rows, lambda r: TX.word_bounded(r["model_id"])), "|")
-        shown = F.map_from_entries(F.transform(rows, lambda r: F.struct(r["model_id"], r["display_name"])))
-        return TX.bind(F.struct(ids.alias("ids"), shown.alias("shown")), lambda x: TX.bind(
-            F.regexp_extract_all(t, F.concat(F.lit("("), x["ids"], F.lit(")")), F.lit(1)),
-            lambda found: F.array_join(F.transform(F.split(t, x["ids"], -1), lambda p, i: F.concat(
-                p, F.coalesce(F.try_element_at(x["shown"], F.get(found, i)), F.lit(""))
+    c = F.regexp_replace(text, r'(?:(?<!\s)\s++)?+(title|alt|data-[a-z-]+)="[^"]*">', ">")
+    c = F.regexp_replace(c, r'"\s*+>', "")
+
+    def named(t: Column) -> Column:
+        return TX.bind(
+            F.regexp_extract_all(t, F.concat(F.lit("("), names["ids"], F.lit(")")), F.lit(1)),
+            lambda found: F.array_join(F.transform(F.split(t, names["ids"], -1), lambda p, i: F.concat(
+                p, F.coalesce(F.try_element_at(names["shown"], F.get(found, i)), F.lit(""))
             )), ""),
-        ))
+        )
 
-    c = TX.bind(F.struct(c.alias("text"), by_size.alias("rows")), lambda a: F.when(
-        F.coalesce(F.size(a["rows"]), F.lit(0)) > 0, named(a)
-    ).otherwise(a["text"]))
+    c = TX.bind(c, lambda t: F.when(names.isNotNull(), named(t)).otherwise(t))
     c = F.regexp_replace(c, r"[ \t]+", " ")
-    c = F.regexp_replace(c, r"\n\s*\n\s*\n", "\n\n")
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    c = F.regexp_replace(c, r"\n(?:[\s&&[^\n]]*+\n){2,}+", "\n\n")
+    return F.regexp_replace(c, r"^\s+|(?<!\s)\s++$", "")
 
 
 def clean_summaries(df: DataFrame, models: DataFrame, column: str = "summary") -> DataFrame:
     """Clean a summary column with the model names of each row's project.
 
-    Of several names for an id the last by code point is shown; empty ids are never replaced.
+    Of several names for an id the last by code point is shown; empty ids are never replaced.  The pattern of a project's
+    ids is made once and written, so that it goes to the texts and they stay where they lie.
     """
     known = models.filter("model_id <> ''").groupBy("project", "model_id").agg(F.max("display_name").alias("display_name"))
-    names = known.groupBy("project").agg(F.collect_list(F.struct("model_id", "display_name")).alias("__names"))
+    listed = known.groupBy("project").agg(F.collect_list(F.struct("model_id", "display_name")).alias("names"))
+    names = materialize(listed.select("project", _shown_names(F.col("names")).alias("__names")))
     return df.join(names, "project", "left").withColumn(column, clean_summary(F.col(column), F.col("__names"))).select(*df.columns)
 
 

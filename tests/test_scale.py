@@ -233,3 +233,23 @@ def test_url_steps_are_computed_once(spark):
     found = L.extract_links(df.withColumn("date", F.to_date(F.lit("2024-01-01"))))
     assert _planned(found.filter("root" if "root" in found.columns else "true"), "try_url_decode") <= 4
     assert sorted(r.link for r in found.collect()) == ["x.org/?b=2#t", "y.org"]
+
+
+def test_summaries_with_long_blanks_and_ids_of_all_kinds(spark):
+    """Runs of blanks cost their length, and ids with marks at their ends are told apart as before."""
+    from answerlens.operators import enrich as X
+
+    models = spark.createDataFrame(
+        [("p", m, n) for m, n in [("gpt", "G"), ("gpt-4", "G4"), ("-x", "X"), ("a.b", "AB"), ("[k]", "K")]],
+        "project string, model_id string, display_name string",
+    )
+    long = "a" + "\r" * 60_000 + "b"
+    rows = spark.createDataFrame([
+        ("p", 1, "gpt gpt-4 gpt-4o a-x -x a.b axb z[k]z [k] gpt"), ("p", 2, long), ("none", 3, 'gpt <b  title="see">x\n \n\n y '),
+    ], "project string, id long, summary string")
+    start = time.time()
+    got = {r.id: r.summary for r in X.clean_summaries(rows, models).collect()}
+    assert got[1] == "G G4 G-4o aX -x AB axb zKz [k] G"
+    assert got[2] == long
+    assert got[3] == "gpt <b>x\n\n y"
+    assert time.time() - start < 10
