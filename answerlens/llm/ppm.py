@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +16,7 @@ from answerlens.operators.scale import materialize
 
 #: Bytes of context.
 ORDER = 5
-#: Edges of the trie that are sent to the tasks, 16 bytes each.  If training finds more, the contexts seen most are sent
+#: Edges of the trie that are sent to the tasks, 12 bytes each and some 28 for each context.  If training finds more, the contexts seen most are sent
 #: with all their edges, and bytes after other contexts meet their probabilities in a join: the bound sets the way only.
 MAX_EDGES = 1 << 22
 #: Contexts up to this order number at most 2^16, so their totals may be broadcast.
@@ -104,7 +103,6 @@ def _gathered(blocks: int):
     """A task's counts of words and of bytes after their contexts, over the training documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _MODELS.clear()
         words, edges, totals = Tally(), Tally(), Tally()
         for batch in batches:
             train = crc_of_ids(batch.column(0).to_pylist()) % 10 != 0
@@ -157,6 +155,11 @@ class Lookup:
         return out
 
 
+def _halves(counts: np.ndarray) -> np.ndarray:
+    """Counts less a half, in halves."""
+    return 2.0 * counts - 1
+
+
 class Trie:
     """Byte contexts of 0..ORDER bytes with the counts of what followed them, laid out as sorted arrays.
 
@@ -166,14 +169,16 @@ class Trie:
     Escape estimation: a byte seen n times in a context of T counts and D distinct bytes has (n - 1/2) / T, a new one
     D / 2T.  After an escape, bytes of the longer context are excluded: they leave T and D of the shorter one, which is
     worked out per context beforehand, since what follows a context also follows its suffix.
+
+    It is built once, in the driver, and its arrays are all that a task holds of it: an edge takes 12 bytes.
     """
 
     def __init__(self, edges: list[tuple[np.ndarray, np.ndarray]], complete: bool = True):
         """``edges[o]``: sorted keys (o context bytes, then the byte) and counts."""
         self.complete = complete
         self.edges, self.counts, self.contexts, self.plain, self.excluded = [], [], [], [], []
-        for order, (keys, n) in enumerate(edges):
-            n = 2.0 * n - 1  # in halves; with D halves for new bytes they add up to 2T
+        for order, (keys, counts) in enumerate(edges):
+            n = _halves(counts)  # with D halves for new bytes they add up to 2T
             context = keys >> U(8)
             head = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), context[1:] != context[:-1])))
             distinct = np.diff(np.concatenate((head, [len(keys)]))).astype(np.float64)
@@ -182,20 +187,16 @@ class Trie:
             if order and len(head):
                 low_keys, low_n = self.edges[-1], self.counts[-1]
                 at = self._find(low_keys, keys & U((1 << 8 * order) - 1))
-                both = np.where(at >= 0, low_n[at], 0.0)
+                both = np.where(at >= 0, _halves(low_n[at]), 0.0) if len(low_n) else np.zeros(len(keys))
                 place = self._find(self.contexts[-1], context[head] & U((1 << 8 * (order - 1)) - 1))
                 low_total, low_distinct = self.plain[-1]
                 less = (np.maximum(0.0, low_total[place] - np.add.reduceat(both, head)),
-                        np.maximum(0.0, low_distinct[place] - np.add.reduceat((at >= 0).astype(float), head)))
+                        np.maximum(0.0, low_distinct[place] - np.add.reduceat((at >= 0).astype(float), head)).astype(np.uint16))
             self.edges.append(keys)
-            self.counts.append(n)
+            self.counts.append(counts.astype(np.uint32) if not len(counts) or counts.max() < 1 << 32 else counts)
             self.contexts.append(context[head])
-            self.plain.append((total, distinct))
+            self.plain.append((total, distinct.astype(np.uint16)))  # 257 bytes at most, with END
             self.excluded.append(less)
-        keys, n = self.edges[-1], self.counts[-1]
-        total, distinct = self.plain[-1]
-        owner = np.searchsorted(self.contexts[-1], keys >> U(8))
-        self.top = Lookup(keys, np.log10(n / (total + distinct)[owner]) if len(keys) else n, np.float32)
 
     @staticmethod
     def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -207,10 +208,15 @@ class Trie:
 
     def log10(self, keys: np.ndarray) -> np.ndarray:
         """log10 probability of each byte after its context, nan if the trie lacks the context and is not complete."""
-        out = self.top.get(keys)
-        left = np.flatnonzero(np.isnan(out))
+        # Neighbours in order of the keys are neighbours in the arrays; most keys of a text come many times.
+        keys, back = np.unique(keys, return_inverse=True)
+        return self._of_distinct(keys)[back]
+
+    def _of_distinct(self, keys: np.ndarray) -> np.ndarray:
+        out = np.full(len(keys), np.nan)
+        left = np.arange(len(keys))
         if not self.complete:
-            left = left[self._find(self.contexts[-1], keys[left] >> U(8)) >= 0]
+            left = left[self._find(self.contexts[-1], keys >> U(8)) >= 0]
         out[left] = 0.0
         came = np.full(len(left), -1)  # the longer context that was escaped from
         for order in range(len(self.edges) - 1, -1, -1):
@@ -219,7 +225,9 @@ class Trie:
             own = keys[left] & U((1 << 8 * (order + 1)) - 1)
             context = self._find(self.contexts[order], own >> U(8))
             edge = self._find(self.edges[order], own)
-            total, distinct = (x[np.maximum(context, 0)] if len(x) else np.zeros(len(left)) for x in self.plain[order])
+            total, distinct = (
+                x[np.maximum(context, 0)].astype(np.float64) if len(x) else np.zeros(len(left)) for x in self.plain[order]
+            )
             if order + 1 < len(self.edges) and (came >= 0).any():
                 less_total, less_distinct = self.excluded[order + 1]
                 total = np.where(came >= 0, less_total[came], total)
@@ -228,7 +236,7 @@ class Trie:
             room = np.where(known, total + distinct, 1.0)
             hit = known & (edge >= 0)
             if hit.any():
-                out[left[hit]] += np.log10(self.counts[order][edge[hit]] / room[hit])
+                out[left[hit]] += np.log10(_halves(self.counts[order][edge[hit]]) / room[hit])
             escaped = known & ~hit
             out[left[escaped]] += np.log10(distinct[escaped] / room[escaped])
             came, left = context[~hit], left[~hit]
@@ -329,18 +337,6 @@ def _exact(wanted: DataFrame, edges: list[DataFrame], contexts: list[DataFrame])
     return state.select("symbol", F.when(F.col("done"), F.col("log")).otherwise(F.col("log") - unseen).alias("log"))
 
 
-_MODELS: dict[str, tuple[Trie, Lookup]] = {}
-
-
-def _model(name: str, shared) -> tuple[Trie, Lookup]:
-    """Trie and word logarithms, built once in a Python worker from the counts that were sent."""
-    if name not in _MODELS:
-        edges, complete, words, n = shared.value
-        _MODELS.clear()
-        _MODELS[name] = Trie(edges, complete), Lookup(words, np.log10(n + 0.1))
-    return _MODELS[name]
-
-
 def _counted(doc: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (document, key) and their numbers."""
     order = np.lexsort((keys, doc))
@@ -351,9 +347,9 @@ def _counted(doc: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return doc[head], keys[head], np.diff(np.concatenate((head, [len(doc)])))
 
 
-def _scored(name: str, shared):
+def _scored(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, words = _model(name, shared)
+        trie, words = shared.value
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             held = crc_of_ids(batch.column(0).to_pylist()) % 10 == 0
@@ -426,11 +422,11 @@ def score_documents(docs: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:
         by = np.argsort(keys)
         trie.append((keys[by], n[by]))
     frequent = _most_frequent(words, MAX_WORDS).toArrow()
-    shared = spark.sparkContext.broadcast(
-        (trie, complete, frequent.column("key").to_numpy().view(U), frequent.column("n").to_numpy())
-    )
+    logs = np.log10(frequent.column("n").to_numpy() + 0.1)
+    shared = spark.sparkContext.broadcast((Trie(trie, complete), Lookup(frequent.column("key").to_numpy().view(U), logs)))
+    del trie, frequent, logs
     scored = materialize(source.mapInArrow(
-        _scored(uuid.uuid4().hex, shared),
+        _scored(shared),
         f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, "
         "key long, symbol long, tf long",
     ))

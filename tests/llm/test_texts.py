@@ -414,3 +414,14 @@ def test_scores_do_not_depend_on_what_is_sent(odd, tiny, most):
     cut = sorted(score_documents(texts, max_edges=most).collect(), key=lambda r: (r.doc_id, r.score))
     assert [r[:6] for r in whole] == [r[:6] for r in cut]
     assert len(whole) > 50 and [r.score for r in cut] == pytest.approx([r.score for r in whole], rel=1e-5)
+
+
+def test_trie_is_sent_without_a_second_copy_of_its_edges():
+    """What a task holds of the model is 12 bytes for each edge and 28 for each context."""
+    import pickle
+
+    rng = np.random.default_rng(5)
+    keys = [np.unique(rng.integers(0, 1 << min(63, 8 * (o + 1)), 1 if o == 0 else 40_000).astype(np.uint64)) for o in range(6)]
+    trie = ppm.Trie([(k, np.ones(len(k), np.int64)) for k in keys], complete=False)
+    held = sum(12 * len(k) for k in keys) + 28 * sum(len(c) for c in trie.contexts)
+    assert len(pickle.dumps(trie)) < held + 20_000
