@@ -12,7 +12,7 @@ from answerlens import schemas as S
 from answerlens.functions import scores as SC
 from answerlens.functions import text as TX
 from answerlens.functions import urls as U
-from answerlens.operators.scale import with_group_total
+from answerlens.operators.scale import materialize, with_group_total
 
 OTHER_CODE, OTHER_NAME = "oth", "Other"  # fixed values
 PIECE = 4
@@ -100,9 +100,10 @@ def _met(items: DataFrame, rules: DataFrame) -> DataFrame:
     wanted = rules.filter("literal <> ''").select("*", F.explode(own).alias("piece"))
     pieces = items.select("item", F.explode(_pieces(F.col("item"))).alias("piece"))
     counts = pieces.join(wanted.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.count(F.lit(1)).alias("__items"))
-    chosen = wanted.join(counts, "piece", "left").groupBy(*rules.columns).agg(
+    # Written, so that its size is known: the pieces of all items pass for as small as the items, and would be broadcast.
+    chosen = materialize(wanted.join(counts, "piece", "left").groupBy(*rules.columns).agg(
         F.min_by("piece", F.struct(F.coalesce("__items", F.lit(0)), "piece")).alias("piece")
-    )
+    ))
     return pieces.join(chosen, "piece").filter(F.col("item").contains(F.col("literal"))).drop("piece")
 
 
