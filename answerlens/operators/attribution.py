@@ -40,23 +40,23 @@ def _gap(between: Column) -> tuple[Column, Column]:
     return F.regexp_count(between, F.lit(r"\S+")), F.regexp_count(between, F.lit(r"[.!?]+"))
 
 
-def near_name(sentence: Column, low: Column, term: Column, marker: Column) -> Column:
-    """Whether the marker lies close enough to some mention of the lower-cased term.
+def near_name(sentence: Column, low: Column, term: Column, at: Column) -> Column:
+    """Whether a marker at an offset lies close enough to some mention of the lower-cased term.
 
     Only the nearest mention on each side matters, since both distances grow with the gap.
     """
 
-    def judged(at: Column) -> Column:
-        upto = F.substring(low, F.lit(1), at - 2 + F.length(term))
+    def left(upto: Column) -> Column:
         # Text from the last mention that starts before the marker.
-        after = F.length(F.element_at(F.split(upto, TX.regex_quote(term), -1), F.lit(-1)))
-        left_at = F.length(upto) - after - F.length(term) + 1
-        left = F.when(upto.contains(term), F.substring(sentence, left_at, at - left_at))
-        ahead = F.instr(F.substring(low, at, F.length(low)), term)
-        right = F.when(ahead > 0, F.substring(sentence, at, ahead - 1))
-        return TX.bind(left, lambda x: TX.bind(right, lambda y: _within(x, y)))
+        from_ = F.length(upto) - F.length(F.call_function("substring_index", upto, term, F.lit(-1))) - F.length(term) + 1
+        return TX.bind(from_, lambda k: F.when(upto.contains(term), F.substring(sentence, k, at - k)))
 
-    return TX.bind(F.instr(sentence, marker), lambda at: F.when(at > 0, judged(at)).otherwise(F.lit(False)))
+    def right(ahead: Column) -> Column:
+        return F.when(ahead > 0, F.substring(sentence, at, ahead - 1))
+
+    before = TX.bind(F.substring(low, F.lit(1), at - 2 + F.length(term)), left)
+    behind = TX.bind(F.instr(F.substring(low, at, F.length(low)), term), right)
+    return TX.bind(before, lambda x: TX.bind(behind, lambda y: _within(x, y)))
 
 
 def _within(left: Column, right: Column) -> Column:
@@ -82,35 +82,37 @@ def _nth(citations: Column, number: Column) -> Column:
     return F.when(n > 0, F.try_element_at(citations, F.when(n > 0, n).otherwise(F.lit(1))))
 
 
-def links_near(sents: Column, term: Column, citations: Column) -> Column:
+def _marks(s: Column, citations: Column) -> Column:
+    """array<struct(at, title, url)> of a sentence: numbered citations, markdown links, plain URLs, with cleaned URLs."""
+    titled = lambda m: F.lower(F.regexp_extract(m, U.MARKDOWN_LINK, 1))
+    mark = lambda marker, title, url: F.struct(F.instr(s, marker).alias("at"), title.alias("title"), url.alias("url"))
+    http = lambda u: F.when(F.startswith(u, F.lit("http")), u)
+    plain = F.lit(None).cast("string")
+    cited = F.transform(F.regexp_extract_all(s, F.lit(_CITATION), F.lit(1)), lambda n: mark(
+        F.concat(F.lit("["), n, F.lit("]")), plain, _nth(citations, n)
+    ))
+    marked = F.transform(F.regexp_extract_all(s, F.lit(U.MARKDOWN_LINK), F.lit(0)), lambda m: mark(
+        m, titled(m), http(F.trim(F.regexp_extract(m, U.MARKDOWN_LINK, 2)))
+    ))
+    urls = F.transform(F.regexp_extract_all(s, F.lit(_PLAIN_URL), F.lit(0)), lambda u: mark(u, plain, u))
+    given = F.filter(F.concat(cited, marked, urls), lambda m: m["url"].isNotNull())
+    cleaned = F.transform(given, lambda m: F.struct(m["at"].alias("at"), m["title"].alias("title"), U.clean_url(m["url"]).alias("url")))
+    return F.filter(cleaned, lambda m: m["url"] != "")
+
+
+def links_near(sents: Column, term: Column) -> Column:
     """Links in the sentences that contain the term, close to it.
 
-    ``sents`` is an array of (text, low).  Numbered citations, links titled with the name, other
+    ``sents`` is an array of (text, low, marks).  Numbered citations, links titled with the name, other
     markdown links and plain URLs.
     """
-    http = lambda u: F.startswith(u, F.lit("http"))
 
     def in_sentence(x: Column) -> Column:
-        s, low = x["text"], x["low"]
-        near = lambda marker: near_name(s, low, term, marker)
-        cited = F.transform(
-            F.filter(
-                F.regexp_extract_all(s, F.lit(_CITATION), F.lit(1)),
-                lambda n: near(F.concat(F.lit("["), n, F.lit("]"))),
-            ),
-            lambda n: _nth(citations, n),
-        )
-        marked = F.transform(F.regexp_extract_all(s, F.lit(U.MARKDOWN_LINK), F.lit(0)), lambda m: F.struct(
-            m.alias("all"), F.lower(F.regexp_extract(m, U.MARKDOWN_LINK, 1)).alias("title"),
-            F.trim(F.regexp_extract(m, U.MARKDOWN_LINK, 2)).alias("url"),
-        ))
-        titled = F.filter(marked, lambda m: (m["title"] == term) | near(m["all"]))
-        plain = F.filter(F.regexp_extract_all(s, F.lit(_PLAIN_URL), F.lit(0)), near)
-        urls = F.concat(F.transform(titled, lambda m: m["url"]), plain)
-        return F.concat(F.filter(cited, lambda u: u.isNotNull()), F.filter(urls, http))
+        near = lambda m: F.coalesce(m["title"] == term, F.lit(False)) | near_name(x["text"], x["low"], term, m["at"])
+        return F.transform(F.filter(x["marks"], near), lambda m: m["url"])
 
-    holding = F.filter(sents, lambda x: x["low"].contains(term) & x["linked"])
-    return _cleaned(F.flatten(F.transform(holding, in_sentence)))
+    holding = F.filter(sents, lambda x: (F.size(x["marks"]) > 0) & x["low"].contains(term))
+    return F.flatten(F.transform(holding, in_sentence))
 
 
 def _leading_lists(sents: Column) -> Column:
@@ -118,35 +120,45 @@ def _leading_lists(sents: Column) -> Column:
     return F.transform(sents, lambda x: F.when(x["text"].rlike(_STARTS_WITH_LINK), links_in(x["text"])))
 
 
-def _ahead(leads: Column, i: Column, filled: bool) -> Column:
-    """Links of the first leading sentence among a sentence and the next two, or of the first that has any."""
-    good = lambda l: F.coalesce(F.size(l) > 0, F.lit(False)) if filled else l.isNotNull()
-    return F.try_element_at(F.filter(F.slice(leads, i + 1, F.lit(FORWARD_SENTENCES + 1)), good), F.lit(1))
-
-
-def _behind(sents: Column, leads: Column, i: Column) -> Column:
-    """Links of the nearest leading sentence before a sentence in its paragraph."""
-    last = lambda array, good: F.coalesce(F.array_max(F.transform(array, lambda x, k: F.when(good(x) & (k < i), k))), F.lit(-1))
-    lead, short = last(leads, lambda l: l.isNotNull()), last(sents, lambda x: F.length(x["text"]) < MIN_SENTENCE)
-    return TX.bind(lead, lambda k: F.when(k > short, F.get(leads, k)))
+def _leading_places(sents: Column, leads: Column) -> Column:
+    """Per sentence the leading sentences, by number from 0, that a name in it looks at, found once for all names.
 
-
-def links_at_sentence_start(sents: Column, term: Column, leads: Column) -> Column:
+    ``first``: of itself and the next two the first that begins with a link; ``filled``: the first of them that has any;
+    ``behind``: the nearest before it in its paragraph.
+    """
+    numbers = F.sequence(F.lit(0), F.size(leads) - 1)
+    among = lambda i, good: F.array_min(F.transform(
+        F.sequence(i, F.least(i + FORWARD_SENTENCES, F.size(leads) - 1)), lambda k: F.when(good(F.get(leads, k)), k)
+    ))
+    start = F.struct(F.lit(-1).alias("lead"), F.lit(-1).alias("short"), F.expr("cast(array() as array<int>)").alias("out"))
+    behind = F.aggregate(numbers, start, lambda acc, i: F.struct(
+        F.when(F.get(leads, i).isNotNull(), i).otherwise(acc["lead"]).alias("lead"),
+        F.when(F.length(F.get(sents, i)["text"]) < MIN_SENTENCE, i).otherwise(acc["short"]).alias("short"),
+        F.array_append(acc["out"], F.when(acc["lead"] > acc["short"], acc["lead"])).alias("out"),
+    ), lambda acc: acc["out"])
+    places = TX.bind(behind, lambda by: F.transform(numbers, lambda i: F.struct(
+        among(i, lambda l: l.isNotNull()).alias("first"),
+        among(i, lambda l: F.coalesce(F.size(l) > 0, F.lit(False))).alias("filled"), F.get(by, i).alias("behind"),
+    )))
+    # Most answers have no leading sentence at all.
+    return F.when(F.exists(leads, lambda l: l.isNotNull()), places)
+
+
+def links_at_sentence_start(sents: Column, term: Column, leads: Column, places: Column) -> Column:
     """Leading links.  Each sentence with the name gives the next link not yet given of the first sentence, among it
     and the next two, that begins with a link; while there is none, all links of the nearest such
-    sentence before it in the paragraph.  ``leads`` holds the links of each leading sentence, null for others."""
+    sentence before it in the paragraph.  ``leads`` holds the links of each leading sentence, null for others,
+    ``places`` is ``_leading_places``, null without any."""
     none = F.expr("cast(array() as array<string>)")
-    places = F.filter(
-        F.transform(sents, lambda x, i: F.when(x["low"].contains(term), i)), lambda i: i.isNotNull()
-    )
+    holding = F.filter(F.transform(sents, lambda x, i: F.when(x["low"].contains(term), F.get(places, i))), lambda p: p.isNotNull())
     fresh = lambda acc, links: F.slice(F.filter(links, lambda u: ~F.array_contains(acc, u)), 1, 1)
-    return F.aggregate(
-        places, none,
-        lambda acc, i: F.when(
+    return F.when(places.isNull(), none).otherwise(F.aggregate(
+        holding, none,
+        lambda acc, p: F.when(
             F.size(acc) == 0,
-            F.coalesce(F.slice(_ahead(leads, i, True), 1, 1), F.array_distinct(_behind(sents, leads, i)), none),
-        ).otherwise(F.concat(acc, F.coalesce(fresh(acc, _ahead(leads, i, False)), none))),
-    )
+            F.coalesce(F.slice(F.get(leads, p["filled"]), 1, 1), F.array_distinct(F.get(leads, p["behind"])), none),
+        ).otherwise(F.concat(acc, F.coalesce(fresh(acc, F.get(leads, p["first"])), none))),
+    ))
 
 
 def _url_variants(url: Column, term: Column, joins: list[str]) -> Column:
@@ -189,14 +201,16 @@ def _pairs(responses: DataFrame, entities: DataFrame) -> DataFrame:
     """One row per answer and list of names with what the strategies need; ``terms`` are the names it may hold."""
     keys = _group_keys(responses, entities)
     named = entities.withColumn("section", F.lit("name"))  # links are matched by their full text here
-    sents = F.transform(TX.split_sentences(F.coalesce("content", F.lit(""))), lambda s: F.struct(
-        s.alias("text"), F.lower(s).alias("low"), s.rlike(r"\[\d+\]|\]\(|https?://").alias("linked")
-    ))
+    sents = F.transform(TX.split_sentences(F.coalesce("content", F.lit(""))), lambda s: F.struct(s.alias("text"), F.lower(s).alias("low")))
+    linked = lambda x: x["text"].rlike(r"\[\d+\]|\]\(|https?://")
+    marked = F.transform("sents", lambda x: x.withField("marks", F.when(linked(x), _marks(x["text"], F.col("citations")))))
     return (
         with_candidates(responses, search_terms(named, keys), keys, _searched_text())
         .withColumn("sents", sents)
         .withColumn("leads", _leading_lists(F.col("sents")))
-        .select(*S.SNAPSHOT, "model_id", "answer_id", "sents", "leads", "citations", "annotations",
+        .withColumn("places", _leading_places(F.col("sents"), F.col("leads")))
+        .withColumn("sents", marked)
+        .select(*S.SNAPSHOT, "model_id", "answer_id", "sents", "leads", "places", "citations", "annotations",
                 F.array_distinct(F.transform("terms", lambda t: t["term"])).alias("terms"))
     )
 
@@ -207,8 +221,8 @@ def links_by_strategy(responses: DataFrame, entities: DataFrame) -> DataFrame:
     return _pairs(responses, entities).withColumn("term", F.explode("terms")).select(
         *S.SNAPSHOT, "model_id", "answer_id", "term",
         links_in_annotations(F.col("annotations"), F.trim(term)).alias("annotated"),
-        links_near(F.col("sents"), term, F.col("citations")).alias("near"),
-        links_at_sentence_start(F.col("sents"), term, F.col("leads")).alias("leading"),
+        links_near(F.col("sents"), term).alias("near"),
+        links_at_sentence_start(F.col("sents"), term, F.col("leads"), F.col("places")).alias("leading"),
         links_in_citations(F.col("citations"), F.trim(term)).alias("cited"),
     )
 
@@ -221,9 +235,9 @@ def answer_sources(responses: DataFrame, entities: DataFrame) -> DataFrame:
     def chosen(term: Column) -> Column:
         first = F.concat(
             links_in_annotations(F.col("annotations"), F.trim(term)),
-            links_near(F.col("sents"), term, F.col("citations")),
+            links_near(F.col("sents"), term),
         )
-        leading = links_at_sentence_start(F.col("sents"), term, F.col("leads"))
+        leading = links_at_sentence_start(F.col("sents"), term, F.col("leads"), F.col("places"))
         cited = links_in_citations(F.col("citations"), F.trim(term))
         return TX.bind(first, lambda a: or_else(a, TX.bind(leading, lambda b: or_else(b, cited))))
 

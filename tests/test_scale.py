@@ -253,3 +253,11 @@ def test_summaries_with_long_blanks_and_ids_of_all_kinds(spark):
     assert got[2] == long
     assert got[3] == "gpt <b>x\n\n y"
     assert time.time() - start < 10
+
+
+def test_links_of_sentences_are_cleaned_once_for_all_names(spark):
+    from answerlens.catalog.sourcing import _responses
+    from answerlens.operators import attribution as A
+
+    i = Inputs(spark, "/root/testdata/sf0.001")
+    assert _planned(A.answer_sources(_responses(i), i.entities), "try_url_decode") < 40
