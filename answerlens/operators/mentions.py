@@ -126,8 +126,9 @@ def model_ranks(hits: DataFrame) -> DataFrame:
     """
     placed = F.coalesce(F.col("pos") > 0, F.lit(False))
     last = F.lit(2**62)
+    # Written, since ranks read them three times and hits may be measured from texts.
     return ranked_evenly(
-        hits.filter(F.col("mentions") > 0),
+        materialize(hits.filter(F.col("mentions") > 0)),
         S.SECTION + ["model_id"],
         F.struct(F.when(placed, F.col("pos")).otherwise(last).alias("pos"), "ord", "entity"),
         "model_rank",
