@@ -23,10 +23,13 @@ def bind(value: Column, body) -> Column:
 
 
 def word_bounded(term: Column) -> Column:
-    """Quoted pattern of a term between ASCII word boundaries."""
-    before = F.when(term.rlike("^[A-Za-z0-9_]"), F.lit("(?<![A-Za-z0-9_])")).otherwise(F.lit("(?<=[A-Za-z0-9_])"))
+    """Quoted pattern of a term between ASCII word boundaries.
+
+    What lies before is looked at behind the term, so that the pattern begins with its text and Java leaps to it.
+    """
+    before = F.when(term.rlike("^[A-Za-z0-9_]"), F.lit("(?<![A-Za-z0-9_]")).otherwise(F.lit("(?<=[A-Za-z0-9_]"))
     after = F.when(term.rlike("[A-Za-z0-9_]$"), F.lit("(?![A-Za-z0-9_])")).otherwise(F.lit("(?=[A-Za-z0-9_])"))
-    return F.concat(before, regex_quote(term), after)
+    return bind(regex_quote(term), lambda quoted: F.concat(quoted, before, quoted, F.lit(")"), after))
 
 
 # Excerpt size.
@@ -89,23 +92,41 @@ def is_url_term(term: Column) -> Column:
 
 def mask_link_urls(text: Column) -> Column:
     """Overwrite the URL of each ``[text](url)`` with ``#``, keeping all offsets."""
-    return F.regexp_replace(text, r"(?:(\[[^\]]+\]\((?=[^)]+\)))|\G(?!^))[^)]", "$1#")
+    masked = F.regexp_replace(text, r"(?:(\[[^\]]+\]\((?=[^)]+\)))|\G(?!^))[^)]", "$1#")
+    return F.when(text.contains("]("), masked).otherwise(text)
 
 
 _SPANS = "cast(array() as array<struct<pos:int,len:int>>)"
 
 
+# Set on both sides of each match where a text is cut; one that holds it itself is cut by two scans.
+_MARK = "\ue000"
+
+
+def pieces(text: Column, pattern: Column) -> Column:
+    """array<string>: gap, match, gap, … gap of a text, found in one scan."""
+    marked = F.split(F.regexp_replace(text, pattern, F.lit(f"{_MARK}$0{_MARK}")), _MARK, -1)
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
+    twice = F.flatten(F.zip_with(F.split(text, pattern, -1), found, lambda gap, match: F.when(
+        match.isNull(), F.array(gap)
+    ).otherwise(F.array(gap, match))))
+    return F.when(text.contains(_MARK), twice).otherwise(marked)
+
+
 def hits(text: Column, pattern: Column) -> Column:
-    """array<struct(pos, len)> of all non-overlapping matches in order.
+    """array<struct(pos, len)> of all non-overlapping matches in order."""
+    return bind(pieces(text, pattern), spans)
+
+
+def spans(cut: Column) -> Column:
+    """``hits`` of a text in its ``pieces``.
 
     Offsets are running sums.  They are formed in blocks of about the root of their number, first inside each block
     and then over the blocks, since every append copies its array.
     """
-    gaps = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    steps = bind(gaps, lambda g: F.transform(found, lambda m, i: F.struct(
-        F.length(F.get(g, i)).alias("gap"), F.length(m).alias("len")
-    )))
+    steps = F.transform(F.sequence(F.lit(1), F.size(cut) - 2, F.lit(2)), lambda k: F.struct(
+        F.length(F.get(cut, k - 1)).alias("gap"), F.length(F.get(cut, k)).alias("len")
+    ))
 
     def run(block: Column) -> Column:
         start = F.struct(F.lit(1).alias("at"), F.expr(_SPANS).alias("out"))
@@ -128,7 +149,9 @@ def hits(text: Column, pattern: Column) -> Column:
         firsts = F.sequence(F.lit(1), F.size(all_), size)
         return bind(F.transform(firsts, lambda k: run(F.slice(all_, k, size))), joined)
 
-    return bind(steps, lambda s: F.when(F.size(s) == 0, F.expr(_SPANS)).when(F.size(s) <= 64, run(s)["out"]).otherwise(in_blocks(s)))
+    return F.when(F.size(cut) == 1, F.expr(_SPANS)).otherwise(
+        bind(steps, lambda s: F.when(F.size(s) <= 64, run(s)["out"]).otherwise(in_blocks(s)))
+    )
 
 
 def first_hits(text: Column, pattern: Column, k: int) -> Column:
@@ -151,20 +174,21 @@ def hit_positions(text: Column, pattern: Column) -> Column:
 def excerpt(text: Column, pos: Column, length: Column, context: int = EXCERPT_CONTEXT) -> Column:
     """Text around a hit, trimmed."""
     start = F.greatest(F.lit(1), pos - context)
-    stop = F.least(F.length(text) + 1, pos + length + context)
-    return F.trim(F.substring(text, start, stop - start))
+    return F.trim(F.substring(text, start, pos + length + context - start))
 
 
-def line_no(text: Column, pos: Column) -> Column:
-    """1-based line of an offset."""
-    before = F.substring(text, F.lit(1), pos - 1)
-    return F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
+def layout(text: Column) -> Column:
+    """struct(chars, breaks) of a text: its length and the offsets of its line breaks, by which ``line_and_column`` finds places."""
+    return F.struct(F.length(text).alias("chars"), hit_positions(text, F.lit("\n")).alias("breaks"))
 
 
-def column_no(text: Column, pos: Column) -> Column:
-    """1-based column of an offset in its line."""
-    before = F.substring(text, F.lit(1), pos - 1)
-    return F.length(F.substring_index(before, "\n", -1)) + 1
+def line_and_column(of: Column, pos: Column) -> Column:
+    """struct(line, col), both 1-based, of an offset in the text with a ``layout``."""
+    before = F.size(F.filter(of["breaks"], lambda b: b < pos))
+    return bind(before, lambda n: F.struct(
+        (n + 1).cast("long").alias("line"),
+        (F.least(pos - 1, of["chars"]) - F.coalesce(F.get(of["breaks"], n - 1), F.lit(0)) + 1).cast("long").alias("col"),
+    ))
 
 
 # Abbreviations whose dots do not end a sentence.

@@ -108,8 +108,7 @@ def domain_of(url: Column) -> Column:
 
 def normalized_url(url: Column) -> Column:
     """Form used to compare a URL in text with a domain name: no scheme, www, one slash, query."""
-    u = F.regexp_replace(F.lower(url), r"^https?://", "")
-    u = F.regexp_replace(u, r"^www\.", "")
+    u = F.regexp_replace(F.lower(url), r"^(?:https?://)?(?:www\.)?", "")
     u = F.regexp_replace(u, r"/$", "")
     return F.regexp_extract(u, r"^([^?#]*)", 1)
 

@@ -21,14 +21,22 @@ from answerlens.operators.scale import materialize
 
 # Names of a question that travel in one row.
 LIST_NAMES = 512
+# Letters and digits one by one: Java looks single characters up in a table, ranges of a class one after another.
+_LETTER = "abcdefghijklmnopqrstuvwxyz"
+_SIGN = _LETTER + "0123456789"
 # URL shapes searched when the name itself is a domain or URL, in lower-cased text.  Inside a run of letters and digits
-# none can begin that does not begin with the run, but for a scheme.
-_URL_IN_TEXT = r"(?:\[([^\]]+)\]\()?((?:https?://|(?<![a-z0-9]))[a-z0-9][-a-z0-9._]*\.[a-z]{2,}(?:/[^\s)]*)?)"
+# none can begin that does not begin with the run, but for a scheme; without a dot behind its first label there is none.
+_URL_IN_TEXT = (
+    rf"(?:\[[^\]]++\]\((?:https?://)?|(?<![{_SIGN}])(?:https?://)?|https?://)"
+    rf"[{_SIGN}][-{_SIGN}_]*+\.(?:[-{_SIGN}._]*\.)?[{_LETTER}]{{2}}[{_LETTER}]*+(?:/[^\s)]*+)?"
+)
 # Every three letters or digits in a row.
-_GRAMS = r"(?=([a-z0-9]{3}))"
+_GRAMS = rf"(?=([{_SIGN}]{{3}}))"
 # Labels joined by dots or hyphens, and the numbers of them by which a domain is looked up.
-_LABELS = r"[a-z0-9_]++(?:[.-][a-z0-9_]++)+"
+_LABELS = rf"(?<![{_SIGN}_])[{_SIGN}_]++(?:[.-][{_SIGN}_]++)+"
 _LABEL_NUMBERS = (2, 3, 4)
+# Up to this many heads are searched in a text one by one; from more on its grams are extracted, which costs about as much.
+FEW_HEADS = 128
 # Letters by how often texts hold them, the most frequent first: of equally rare grams of names the least usual is taken.
 _USUAL = "etaoinsrhldcumfpgwybvkxjqz"
 
@@ -125,24 +133,37 @@ def _lists(terms: DataFrame, keys: list[str], domains: bool) -> DataFrame:
 
 def url_table(low: Column) -> Column:
     """array<struct(pos, len, url)> of the URLs in a lower-cased text, normalised; found once for all names."""
-    given = F.regexp_extract_all(low, F.lit(_URL_IN_TEXT), F.lit(2))
-    return TX.bind(given, lambda urls: F.transform(TX.hits(low, F.lit(_URL_IN_TEXT)), lambda h, k: F.struct(
-        h["pos"].alias("pos"), h["len"].alias("len"), U.normalized_url(F.get(urls, k)).alias("url")
+    # The URL of a markdown link begins behind the first "](", as its title holds no bracket.
+    url = lambda m: F.when(F.startswith(m, F.lit("[")), F.substring(m, F.instr(m, "](") + 2, F.length(m))).otherwise(m)
+    return TX.bind(TX.pieces(low, F.lit(_URL_IN_TEXT)), lambda cut: F.transform(TX.spans(cut), lambda h, k: F.struct(
+        h["pos"].alias("pos"), h["len"].alias("len"), U.normalized_url(url(F.get(cut, 2 * k + 1))).alias("url")
     )))
 
 
-def _label_heads(low: Column) -> Column:
+def _words(low: Column) -> Column:
+    """The distinct words of a text: any piece without a blank is in them if it is in the text, and most are repeated."""
+    return F.array_join(F.array_distinct(F.split(low, " ")), " ")
+
+
+def _label_heads(words: Column) -> Column:
     """All runs of a few labels that begin and end with a label."""
-    joined = F.array_join(F.regexp_extract_all(low, F.lit(_LABELS), F.lit(0)), " ")
-    runs = lambda n: rf"(?<![a-z0-9_])(?=([a-z0-9_]++(?:[.-][a-z0-9_]++){{{n - 1}}}))"
+    joint = F.filter(F.split(words, " "), lambda w: w.contains(".") | w.contains("-"))
+    joined = F.array_join(F.regexp_extract_all(F.array_join(joint, " "), F.lit(_LABELS), F.lit(0)), " ")
+    runs = lambda n: rf"(?<![{_SIGN}_])(?=([{_SIGN}_]++(?:[.-][{_SIGN}_]++){{{n - 1}}}))"
     return TX.bind(joined, lambda t: F.concat(*[F.regexp_extract_all(t, F.lit(runs(n)), F.lit(1)) for n in _LABEL_NUMBERS]))
 
 
-def _looked_up(low: Column, heads: Column, domains: bool) -> Column:
-    """The names of a list whose head is among those of the text, and that it can hold; ``heads`` are the text's."""
+def _looked_up(words: Column, heads: Column, domains: bool, few: bool) -> Column:
+    """The names of a list whose head is among those of the text, and that it can hold; ``heads`` and ``words`` are the text's.
+
+    With ``few`` heads the text's are those of domains alone, and grams are searched in its words.
+    """
     present = F.array_intersect("heads", heads)
+    if few:
+        short = F.filter("heads", lambda h: (F.length(h) <= 3) & words.contains(h))
+        present = F.array_union(present, short) if domains else short
     names = F.flatten(F.transform(present, lambda h: F.get("named", (F.array_position("heads", h) - 1).cast("int"))))
-    holds = lambda r: low.contains(r)
+    holds = lambda r: words.contains(r)
     tested = lambda n: F.when(n["choose"], F.forall(n["runs"], holds)).otherwise(F.exists(n["runs"], holds))
     possible = F.filter(names, (lambda n: n["is_url"] | tested(n)) if domains else tested)
     return F.transform(F.array_distinct(possible) if domains else possible, lambda n: F.struct(
@@ -155,8 +176,12 @@ def _if_any(names: Column) -> Column:
     return F.explode(F.filter(F.array(names), lambda x: F.size(x) > 0))
 
 
-def _gram_texts(low: Column) -> Column:
-    return F.concat(F.array(F.lit("")), F.regexp_extract_all(low, F.lit(_GRAMS), F.lit(1)))
+def _gram_texts(words: Column) -> Column:
+    return F.concat(F.array(F.lit("")), F.regexp_extract_all(words, F.lit(_GRAMS), F.lit(1)))
+
+
+def _few(lists: DataFrame) -> bool:
+    return (lists.agg(F.max(F.size("heads"))).first()[0] or 0) <= FEW_HEADS
 
 
 def with_candidates(texts: DataFrame, terms: DataFrame, keys: list[str], text: Column) -> DataFrame:
@@ -165,9 +190,11 @@ def with_candidates(texts: DataFrame, terms: DataFrame, keys: list[str], text: C
     A row comes once for each list of its group that has such a name.  Every name that occurs in the text at all is among them.
     """
     lists = _lists(terms, keys, False).select(*keys, "heads", "named")
-    placed = texts.withColumn("__low", F.lower(text)).withColumn("__heads", _gram_texts(F.col("__low")))
-    found = _looked_up(F.col("__low"), F.col("__heads"), False)
-    return placed.join(lists, keys).withColumn("terms", _if_any(found)).drop("heads", "named", "__low", "__heads")
+    few = _few(lists)
+    placed = texts.withColumn("__words", _words(F.lower(text)))
+    placed = placed.withColumn("__heads", F.array(F.lit("")) if few else _gram_texts(F.col("__words")))
+    found = _looked_up(F.col("__words"), F.col("__heads"), False, few)
+    return placed.join(lists, keys).withColumn("terms", _if_any(found)).drop("heads", "named", "__words", "__heads")
 
 
 def candidate_pairs(answers: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
@@ -188,9 +215,10 @@ def domain_spans(text: Column, urls: Column, term: Column, pattern: Column) -> C
     ))
 
     def with_plain(found: Column) -> Column:
-        plain = F.filter(TX.hits(text, pattern), lambda p: ~F.exists(
-            found, lambda m: (m["pos"] <= p["pos"]) & (m["pos"] + m["len"] >= p["pos"] + p["len"])
-        ))
+        ends = F.transform(found, lambda m: F.struct(m["pos"].alias("pos"), (m["pos"] + m["len"]).alias("end")))
+        plain = TX.bind(ends, lambda e: F.filter(TX.hits(text, pattern), lambda p: ~TX.bind(
+            p["pos"] + p["len"], lambda end: F.exists(e, lambda m: (m["pos"] <= p["pos"]) & (m["end"] >= end))
+        )))
         return F.array_sort(F.concat(found, plain))
 
     return TX.bind(matched, with_plain)
@@ -205,8 +233,10 @@ def _possessive(term: Column) -> Column:
     return TX.word_bounded(F.concat(term, F.lit("'s")))
 
 
-def _has_possessive(text: Column, term: Column) -> Column:
-    return (F.length(term) > 3) & ~term.contains(".") & text.contains(F.concat(term, F.lit("'s")))
+def _has_possessive(text: Column, term: Column, any_: Column | None = None) -> Column:
+    """``any_`` tells whether the text has a possessive form of anything."""
+    own = (F.length(term) > 3) & ~term.contains(".") & text.contains(F.concat(term, F.lit("'s")))
+    return own if any_ is None else any_ & own
 
 
 def _with_extra(hits: Column, possessive: Column) -> Column:
@@ -223,14 +253,14 @@ def name_hits(text: Column, term: Column, pattern: Column) -> Column:
     return F.when(_has_possessive(text, term), TX.bind(main, extra)).otherwise(main)
 
 
-def first_name_hits(text: Column, term: Column, pattern: Column, k: int) -> Column:
+def first_name_hits(text: Column, term: Column, pattern: Column, k: int, any_: Column | None = None) -> Column:
     """The first ``k`` of ``name_hits``, found without the rest.
 
     A possessive form holds the name, so a hit lies in or over each; up to the k-th hit there are at most two for every one.
     """
     main = TX.first_hits(text, pattern, k)
     extra = lambda hits: F.slice(_with_extra(hits, TX.first_hits(text, _possessive(term), 2 * k + 2)), 1, k)
-    return F.when(_has_possessive(text, term), TX.bind(main, extra)).otherwise(main)
+    return F.when(_has_possessive(text, term, any_), TX.bind(main, extra)).otherwise(main)
 
 
 def _searched(answers: DataFrame, entities: DataFrame, whole_word: bool) -> DataFrame:
@@ -241,46 +271,62 @@ def _searched(answers: DataFrame, entities: DataFrame, whole_word: bool) -> Data
     domains, plain = (bool(x) for x in lists.agg(F.max("domains"), F.max("plain")).first())
     placed = answers.select(*S.SNAPSHOT, "model_id", "answer_id", "text", F.lower("text").alias("low"))
     placed = placed.withColumn("urls", url_table(F.col("low")) if domains else F.lit(None))
-    heads = _gram_texts(F.col("low")) if plain else F.array(F.lit(""))
+    placed = placed.withColumn("__words", _words(F.col("low")))
+    few = plain and _few(lists)
+    heads = _gram_texts(F.col("__words")) if plain and not few else F.array(F.lit(""))
     if domains:
         hosts = F.transform("urls", lambda u: F.substring_index(u["url"], "/", 1))
-        heads = F.concat(heads, hosts, _label_heads(F.col("low")))
+        heads = F.concat(heads, hosts, _label_heads(F.col("__words")))
     met = placed.withColumn("__heads", heads).join(lists.drop("domains", "plain"), keys)
-    met = met.withColumn("terms", _if_any(_looked_up(F.col("low"), F.col("__heads"), True)))
+    met = met.withColumn("terms", _if_any(_looked_up(F.col("__words"), F.col("__heads"), domains, few)))
     return met.withColumn("masked", F.when(F.exists("terms", lambda t: ~t["is_url"]), TX.mask_link_urls(F.col("low")))).select(
         *S.SNAPSHOT, "model_id", "answer_id", "text", "low", "masked", "urls", "terms"
     )
 
 
-def match_entities(answers: DataFrame, entities: DataFrame, whole_word: bool = False) -> DataFrame:
-    """(answer, term) pairs with mentions > 0: number of hits and offset of the first.
-
-    All names of a list are measured on the row of the text, which never multiplies by them.
-    For the all-questions level pass answers and entities whose ``question_id`` is the combined
-    one (see ``entities.combine_questions``).
-    """
-    rows = _searched(answers, entities, whole_word)
+def _counted(rows: DataFrame, whole_word: bool):
+    """Function of a name and whether the text has possessives: struct(mentions, pos) of the name in a row of ``_searched``."""
     domains = rows.schema["urls"].dataType.typeName() == "array"
     low, masked = F.col("low"), F.col("masked")
     listed = lambda spans: F.struct(F.size(spans).alias("mentions"), F.get(spans, F.lit(0))["pos"].alias("pos"))
 
-    def of_name(t: Column) -> Column:
-        first = F.length(F.get(F.split(masked, t["pattern"], 2), F.lit(0))) + 1
-        counted = TX.bind(F.regexp_count(masked, t["pattern"]), lambda n: F.struct(
-            n.alias("mentions"), F.when(n > 0, first).alias("pos")
+    def first(t: Column, found: Column) -> Column:
+        # Without boundaries a name is found wherever the text of its first match stands.
+        if not whole_word:
+            return F.instr(masked, F.get(found, F.lit(0)))
+        return F.length(F.get(F.split(masked, t["pattern"], 2), F.lit(0))) + 1
+
+    def of_name(t: Column, any_: Column) -> Column:
+        counted = TX.bind(F.regexp_extract_all(masked, t["pattern"], F.lit(0)), lambda found: F.struct(
+            F.size(found).alias("mentions"), F.when(F.size(found) > 0, first(t, found)).alias("pos")
         ))
         return F.when(
-            _has_possessive(masked, t["term"]), TX.bind(name_hits(masked, t["term"], t["pattern"]), listed)
+            _has_possessive(masked, t["term"], any_), TX.bind(name_hits(masked, t["term"], t["pattern"]), listed)
         ).otherwise(counted)
 
-    def measured(t: Column) -> Column:
-        of_domain = TX.bind(domain_spans(low, F.col("urls"), t["term"], t["pattern"]), listed) if domains else None
-        found = F.when(t["is_url"], of_domain).otherwise(of_name(t)) if domains else of_name(t)
-        return TX.bind(found, lambda f: F.struct(
-            t["term"].alias("term"), f["mentions"].cast("long").alias("mentions"), f["pos"].cast("long").alias("pos")
-        ))
+    def of_any(t: Column, any_: Column) -> Column:
+        if not domains:
+            return of_name(t, any_)
+        of_domain = TX.bind(domain_spans(low, F.col("urls"), t["term"], t["pattern"]), listed)
+        return F.when(t["is_url"], of_domain).otherwise(of_name(t, any_))
+
+    return of_any
+
 
-    found = F.filter(F.transform("terms", measured), lambda f: f["mentions"] > 0)
+def match_entities(answers: DataFrame, entities: DataFrame, whole_word: bool = False) -> DataFrame:
+    """(answer, term) pairs with mentions > 0: number of hits and offset of the first.
+
+    All names of a list are measured on the row of the text, which never multiplies by them.
+    For the all-questions level pass answers and entities whose ``question_id`` is the combined
+    one (see ``entities.combine_questions``).
+    """
+    rows = _searched(answers, entities, whole_word)
+    counted = _counted(rows, whole_word)
+    measured = lambda any_: lambda t: TX.bind(counted(t, any_), lambda f: F.struct(
+        t["term"].alias("term"), f["mentions"].cast("long").alias("mentions"), f["pos"].cast("long").alias("pos")
+    ))
+    each = TX.bind(F.col("masked").contains("'s"), lambda any_: F.transform("terms", measured(any_)))
+    found = F.filter(each, lambda f: f["mentions"] > 0)
     return rows.select(*S.SNAPSHOT, "model_id", "answer_id", F.explode(found).alias("f")).select(
         *S.SNAPSHOT, "model_id", "answer_id", "f.term", "f.mentions", "f.pos"
     )
@@ -300,6 +346,36 @@ def hit_spans(answers: DataFrame, entities: DataFrame, whole_word: bool = False)
     )
 
 
+def _cut(rows: DataFrame, k: int, context: int):
+    """Function of a name and what is known of the text: its first ``k`` hits in a row of ``_searched``, cut out of the text."""
+    domains = rows.schema["urls"].dataType.typeName() == "array"
+    text = F.col("text")
+
+    def found(t: Column, any_: Column) -> Column:
+        names = first_name_hits(F.col("masked"), t["term"], t["pattern"], k, any_)
+        if not domains:
+            return names
+        return F.when(t["is_url"], F.slice(domain_spans(F.col("low"), F.col("urls"), t["term"], t["pattern"]), 1, k)).otherwise(names)
+
+    cut = lambda of: lambda h: F.struct(
+        h["pos"].cast("long").alias("pos"), TX.excerpt(text, h["pos"], h["len"], context).alias("excerpt"),
+        TX.line_and_column(of, h["pos"]).alias("at"),
+    )
+    return lambda t, w: F.transform(found(t, w["any"]), cut(w["layout"]))
+
+
+def _whole() -> Column:
+    """What is found out once for all names of a text: its lines, and whether it has possessives."""
+    return F.struct(TX.layout(F.col("text")).alias("layout"), F.col("masked").contains("'s").alias("any"))
+
+
+def _each_hit(listed: DataFrame) -> DataFrame:
+    return listed.select(*S.SNAPSHOT, "model_id", "answer_id", "term", F.posexplode("hits").alias("i", "h")).select(
+        *S.SNAPSHOT, "model_id", "answer_id", "term", (F.col("i") + 1).cast("long").alias("hit_no"),
+        "h.pos", "h.excerpt", "h.at.line", "h.at.col",
+    )
+
+
 def excerpts(
     answers: DataFrame,
     entities: DataFrame,
@@ -311,23 +387,33 @@ def excerpts(
     Hits of a name are stepped through and end with the k-th, however many there are.
     """
     rows = _searched(answers, entities, False)
-    domains = rows.schema["urls"].dataType.typeName() == "array"
-    text = F.col("text")
+    cut = _cut(rows, k, context)
+    each = TX.bind(_whole(), lambda w: F.transform("terms", lambda t: F.struct(t["term"].alias("term"), cut(t, w).alias("hits"))))
+    return _each_hit(rows.select(*S.SNAPSHOT, "model_id", "answer_id", F.explode(each).alias("e")).select(
+        *S.SNAPSHOT, "model_id", "answer_id", "e.term", "e.hits"
+    ))
 
-    def found(t: Column) -> Column:
-        names = first_name_hits(F.col("masked"), t["term"], t["pattern"], k)
-        if not domains:
-            return names
-        return F.when(t["is_url"], F.slice(domain_spans(F.col("low"), F.col("urls"), t["term"], t["pattern"]), 1, k)).otherwise(names)
 
-    cut = lambda h: F.struct(
-        h["pos"].cast("long").alias("pos"), TX.excerpt(text, h["pos"], h["len"], context).alias("excerpt"),
-        TX.line_no(text, h["pos"]).cast("long").alias("line"), TX.column_no(text, h["pos"]).cast("long").alias("col"),
-    )
-    each = F.transform("terms", lambda t: F.struct(t["term"].alias("term"), F.transform(found(t), cut).alias("hits")))
-    return rows.select(*S.SNAPSHOT, "model_id", "answer_id", F.explode(each).alias("e")).select(
-        *S.SNAPSHOT, "model_id", "answer_id", "e.term", F.posexplode("e.hits").alias("i", "h")
-    ).select(
-        *S.SNAPSHOT, "model_id", "answer_id", "term", (F.col("i") + 1).cast("long").alias("hit_no"),
-        "h.pos", "h.excerpt", "h.line", "h.col",
-    )
+def matches_and_excerpts(
+    answers: DataFrame,
+    entities: DataFrame,
+    k: int = TX.EXCERPTS_PER_ANSWER,
+    context: int = TX.EXCERPT_CONTEXT,
+) -> tuple[DataFrame, DataFrame]:
+    """``match_entities`` and ``excerpts`` from one reading of the texts, whose result is written."""
+    rows = _searched(answers, entities, False)
+    counted, cut = _counted(rows, False), _cut(rows, k, context)
+    # Two columns, since lambdas in one are resolved a level at a time.
+    measured = lambda any_: lambda t: TX.bind(counted(t, any_), lambda f: F.struct(
+        t["term"].alias("term"), t["is_url"].alias("is_url"), t["pattern"].alias("pattern"),
+        f["mentions"].cast("long").alias("mentions"), f["pos"].cast("long").alias("pos"),
+    ))
+    each = TX.bind(F.col("masked").contains("'s"), lambda any_: F.transform("terms", measured(any_)))
+    rows = rows.withColumn("found", F.filter(each, lambda f: f["mentions"] > 0))
+    listed = TX.bind(_whole(), lambda w: F.transform("found", lambda t: F.struct(
+        t["term"].alias("term"), t["mentions"].alias("mentions"), t["pos"].alias("pos"), cut(t, w).alias("hits")
+    )))
+    listed = materialize(rows.select(*S.SNAPSHOT, "model_id", "answer_id", F.explode(listed).alias("f")).select(
+        *S.SNAPSHOT, "model_id", "answer_id", "f.*"
+    ))
+    return listed.drop("hits"), _each_hit(listed)

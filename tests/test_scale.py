@@ -261,3 +261,32 @@ def test_links_of_sentences_are_cleaned_once_for_all_names(spark):
 
     i = Inputs(spark, "/root/testdata/sf0.001")
     assert _planned(A.answer_sources(_responses(i), i.entities), "try_url_decode") < 40
+
+
+def test_texts_are_searched_in_linear_time(spark):
+    """Long runs without a dot, and many hits far behind in a long text: no step starts anew at every letter or hit."""
+    texts = ["b" * 60_000, ("word " * 20 + "\n") * 3_000 + "acme.com " + "Acme Corp! " * 5]
+    answers, entities = answers_of(spark, texts), names_of(spark, ["acme.com", *[f"acme{'-' * k}corp" for k in range(1, 40)]])
+    MA.excerpts(answers.limit(0), entities).count()
+    start = time.perf_counter()
+    rows = MA.excerpts(answers, entities).filter("term = 'acme-corp'").orderBy("hit_no").collect()
+    assert time.perf_counter() - start < 25
+    assert [(r.pos, r.line, r.col) for r in rows] == [(303_010 + 11 * k, 3_001, 10 + 11 * k) for k in range(5)]
+
+
+def test_hits_of_texts_that_hold_the_mark(spark):
+    """A text is cut at marks set round its matches, and by two scans where it holds the mark itself."""
+    rows = [("a.bc  a.bc", "bc"), ("", ""), ("a", "a"), ("", "a"), ("aa", "a")]
+    df = spark.createDataFrame(rows, "t string, p string").select(TX.hits(F.col("t"), F.col("p")).alias("h"))
+    got = [[(h.pos, h.len) for h in r.h] for r in df.collect()]
+    assert got == [[(3, 2), (10, 2)], [(1, 1), (2, 1)], [(2, 1)], [], [(1, 1), (2, 1)]]
+
+
+def test_one_reading_gives_matches_and_excerpts(spark):
+    """Counts and excerpts of one reading equal those of two, for few heads and for many."""
+    texts = ["Acme's acme, ACME at acme.org and https://acme.org/a", "the other's (acme)", "éa 中文", "", None]
+    for names in (["Acme", "acme.org", "the other", "中文"], ["Acme", "acme.org", "the other", *[f"{a}{b}x" for a in "abcdefghijklm" for b in "abcdefghijklm"]]):
+        answers, entities = answers_of(spark, texts), names_of(spark, names)
+        both = MA.matches_and_excerpts(answers, entities)
+        for got, want in zip(both, (MA.match_entities(answers, entities), MA.excerpts(answers, entities))):
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
