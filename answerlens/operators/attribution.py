@@ -197,21 +197,25 @@ def _searched_text() -> Column:
     )
 
 
-def _pairs(responses: DataFrame, entities: DataFrame) -> DataFrame:
-    """One row per answer and list of names with what the strategies need; ``terms`` are the names it may hold."""
+def _named_sentences(responses: DataFrame, entities: DataFrame, searched: Column) -> DataFrame:
+    """One row per answer and list of names with ``sents``, its sentences (text, low), and ``terms``, the names ``searched`` may hold."""
     keys = _group_keys(responses, entities)
     named = entities.withColumn("section", F.lit("name"))  # links are matched by their full text here
     sents = F.transform(TX.split_sentences(F.coalesce("content", F.lit(""))), lambda s: F.struct(s.alias("text"), F.lower(s).alias("low")))
+    found = with_candidates(responses, search_terms(named, keys), keys, searched)
+    return found.withColumn("sents", sents).withColumn("terms", F.array_distinct(F.transform("terms", lambda t: t["term"])))
+
+
+def _pairs(responses: DataFrame, entities: DataFrame) -> DataFrame:
+    """``_named_sentences`` with the links of the sentences and all else that the strategies need."""
     linked = lambda x: x["text"].rlike(r"\[\d+\]|\]\(|https?://")
     marked = F.transform("sents", lambda x: x.withField("marks", F.when(linked(x), _marks(x["text"], F.col("citations")))))
     return (
-        with_candidates(responses, search_terms(named, keys), keys, _searched_text())
-        .withColumn("sents", sents)
+        _named_sentences(responses, entities, _searched_text())
         .withColumn("leads", _leading_lists(F.col("sents")))
         .withColumn("places", _leading_places(F.col("sents"), F.col("leads")))
         .withColumn("sents", marked)
-        .select(*S.SNAPSHOT, "model_id", "answer_id", "sents", "leads", "places", "citations", "annotations",
-                F.array_distinct(F.transform("terms", lambda t: t["term"])).alias("terms"))
+        .select(*S.SNAPSHOT, "model_id", "answer_id", "sents", "leads", "places", "citations", "annotations", "terms")
     )
 
 
@@ -293,19 +297,20 @@ def attribute_sources(
 
 def context_windows(responses: DataFrame, entities: DataFrame, radius: int = 2) -> DataFrame:
     """Text of the sentences round each sentence with the name; each range once."""
-    term = F.col("term")
     n = F.size("sents")
     index = F.when(n > 0, F.sequence(F.lit(1), n))
-    ranges = F.array_distinct(F.transform(
-        F.filter(index, lambda i: F.element_at("sents", i)["low"].contains(term)),
-        lambda i: F.struct(F.greatest(F.lit(1), i - radius).alias("first"), F.least(n, i + radius).alias("last")),
-    ))
-    return _pairs(responses, entities).withColumn("term", F.explode("terms")).select(
-        *S.SNAPSHOT, "model_id", "answer_id", "term", "sents", F.explode(ranges).alias("r")
-    ).select(
-        *S.SNAPSHOT, "model_id", "answer_id", "term",
-        F.col("r.first").cast("long").alias("first_sentence"), F.col("r.last").cast("long").alias("last_sentence"),
-        F.array_join(F.transform(
-            F.slice("sents", F.col("r.first"), F.col("r.last") - F.col("r.first") + 1), lambda x: x["text"]
-        ), " ").alias("context"),
-    )
+    def ranges(term: Column) -> Column:
+        holding = F.filter(index, lambda i: F.element_at("sents", i)["low"].contains(term))
+        return F.array_distinct(F.transform(holding, lambda i: F.struct(
+            F.greatest(F.lit(1), i - radius).alias("first"), F.least(n, i + radius).alias("last")
+        )))
+
+    # Contexts are cut on the answer's row, which multiplies by neither names nor ranges.
+    cut = lambda r: F.array_join(F.transform(F.slice("sents", r["first"], r["last"] - r["first"] + 1), lambda x: x["text"]), " ")
+    each = F.flatten(F.transform("terms", lambda t: F.transform(ranges(t), lambda r: F.struct(
+        t.alias("term"), r["first"].cast("long").alias("first_sentence"), r["last"].cast("long").alias("last_sentence"),
+        cut(r).alias("context"),
+    ))))
+    return _named_sentences(responses, entities, F.col("content")).select(
+        *S.SNAPSHOT, "model_id", "answer_id", F.explode(each).alias("c")
+    ).select(*S.SNAPSHOT, "model_id", "answer_id", "c.*")

@@ -126,6 +126,12 @@ def test_context_windows(frames):
     assert [(r.first_sentence, r.last_sentence, r.context) for r in rows] == [(1, 3, "Nothing. Acme ok! Really?")]
 
 
+def test_context_windows_leave_links_alone(frames):
+    """Contexts are cut on the answer's row: its sentences are exploded by no name, and no link is looked for."""
+    plan = A.context_windows(*frames)._jdf.queryExecution().optimizedPlan().toString()
+    assert "https?:" not in plan and plan.count("Generate explode") <= 2
+
+
 def test_annotate_text(spark):
     texts = spark.createDataFrame([("p", "q", 1, "<p>Acme Inc and acme</p><code>acme</code> Acme <a href='#'>Acme</a>")],
                                   "project string, question_id string, answer_id long, text string")
