@@ -193,7 +193,8 @@ from entities e join ex x on x.project = e.project and x.question_id = e.questio
 where e.section <> 'links'""")
 def _fact_excerpts(i):
     named = i.entities.filter("section <> 'links'")
-    found = M.with_excerpts(M.mention_hits(i.answers, named), MA.excerpts(i.answers, i.entities)).filter("excerpts is not null")
+    matched, excerpts = MA.matches_and_excerpts(i.answers, i.entities)
+    found = M.with_excerpts(M.mention_hits(i.answers, named, matched), excerpts).filter("excerpts is not null")
     return found.select(
         "project", "question_id", "date", "section", "entity", "model_id", "part_no",
         F.array_join(F.transform("excerpts", lambda e: F.concat_ws(

@@ -23,11 +23,14 @@ DEFAULT_WEIGHT = 0.5
 ANSWERS_PER_LIST = 64
 
 
-def mention_hits(answers: DataFrame, entities: DataFrame) -> DataFrame:
-    """Sparse facts: hits summed over the answers of a snapshot, and the earliest position."""
+def mention_hits(answers: DataFrame, entities: DataFrame, matched: DataFrame | None = None) -> DataFrame:
+    """Sparse facts: hits summed over the answers of a snapshot, and the earliest position.
+
+    ``matched`` are the matches of these entities, and maybe of more, where they are known.
+    """
     keys = matching._group_keys(answers, entities)
     by_term = (
-        matching.match_entities(answers, entities)
+        (matching.match_entities(answers, entities) if matched is None else matched)
         .groupBy(*S.SNAPSHOT, "model_id", "term")
         .agg(F.sum("mentions").alias("mentions"), F.min("pos").alias("pos"))
     )
