@@ -19,21 +19,23 @@ from answerlens.operators.scale import materialize
 def measure(
     answers: DataFrame, entities: DataFrame, all_answers: DataFrame | None = None, all_entities: DataFrame | None = None
 ) -> dict[str, DataFrame]:
-    """What has to be read from the texts of a snapshot: ``links``, ``hits`` and ``excerpts``, lazily.
+    """What has to be read from the texts of a snapshot: ``links``, ``hits`` and ``excerpts``, from written links and matches.
 
     ``all_answers`` and ``all_entities`` are the all-questions level, measured beside the questions.
     """
-    links = L.extract_links(answers)
+    # Written, since the names to look for are gathered from them in several steps, each of which would read the texts anew.
+    links = materialize(L.extract_links(answers))
     found = links.select(
         *S.SNAPSHOT, F.lit("links").alias("section"), F.col("link").alias("entity"),
         F.lit(0).cast("long").alias("ord"),
     )
     keys = [c for c in S.SNAPSHOT if c in entities.columns]
     given = entities.select(*keys, "section", "entity", "ord")
-    hits = M.mention_hits(answers, given).unionByName(M.mention_hits(answers, found))
+    matched, excerpts = matching.matches_and_excerpts(answers, given)
+    hits = M.mention_hits(answers, given, matched).unionByName(M.mention_hits(answers, found))
     if all_answers is not None:
         hits = hits.unionByName(M.mention_hits(all_answers, all_entities))
-    return {"links": links, "hits": hits, "excerpts": matching.excerpts(answers, given)}
+    return {"links": links, "hits": hits, "excerpts": excerpts}
 
 
 def derive(
@@ -91,7 +93,7 @@ def build(
     """
     level = (E.combined_answers(answers), E.combine_questions(entities)) if combined else (None, None)
     parts = measure(answers, entities, *level)
-    tables = derive(parts["hits"], parts["links"], materialize(parts["excerpts"]), models, patterns)
+    tables = derive(parts["hits"], parts["links"], parts["excerpts"], models, patterns)
     if responses is not None:
         dates = answers.select("project", "question_id", "date").distinct()
         named = entities.select("project", "question_id", "section", "entity").distinct()

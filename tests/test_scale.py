@@ -14,6 +14,7 @@ from answerlens.operators import matching as MA
 from answerlens.operators import mentions as M
 from answerlens.operators import reports as R
 from answerlens.operators import scale
+from answerlens.plans.build import measure
 
 SF = "/root/testdata/sf0.001"
 
@@ -290,3 +291,12 @@ def test_one_reading_gives_matches_and_excerpts(spark):
         both = MA.matches_and_excerpts(answers, entities)
         for got, want in zip(both, (MA.match_entities(answers, entities), MA.excerpts(answers, entities))):
             assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_texts_are_read_once_for_links_and_excerpts(spark):
+    """What a build measures reads no text any more beyond the links' own names."""
+    answers, entities = answers_of(spark, ["Acme https://acme.org/a"]), names_of(spark, ["Acme"])
+    parts = measure(answers, entities)
+    for name in ("links", "excerpts"):
+        plan = parts[name]._jdf.queryExecution().executedPlan().toString()
+        assert "Scan ExistingRDD" not in plan and "FileScan parquet" in plan
