@@ -8,19 +8,17 @@ from answerlens.catalog.registry import query
 from answerlens.operators.scale import new_folder
 from answerlens.sources import ingest as I
 from answerlens.sources import stores as ST
+from answerlens.sources.files import write_files
 
 _KEYS = ["project", "question_id", "date", "model_id"]
-_NO_CHECKSUMS = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 
 @query("read_answers", ["answers", "models"], """
 select project, question_id, date, model_id, coalesce(text, '') || chr(10) as text from answers where model_id <> 'src2'""")
 def _answers(i):
     path = new_folder(i.spark)
-    # A file for each document; a cell has as many as it has documents.  On a local disk Hadoop starts a process for every
-    # file to set its mode, so the checksum files that it would put beside them are left out there.
-    rows = i.answers.select(*_KEYS, "text").repartition(*_KEYS)
-    rows.write.options(**_NO_CHECKSUMS).option("maxRecordsPerFile", 1).partitionBy(*_KEYS).text(path)
+    # A file for each document; a cell has as many as it has documents.
+    write_files(i.answers, path, _KEYS)
     models = i.models.filter("model_id <> 'src2'").select("project", F.upper("model_id").alias("model_id"))
     return I.read_answers(i.spark, path, models, "part-*").drop("answer_id")
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from answerlens import schemas as S
-from answerlens.operators.scale import ranked, ranked_evenly, running_max
+from answerlens.operators.scale import materialize, ranked, ranked_evenly, running_max
+from answerlens.sources.files import list_files, read_texts
 
 _BLOCK = 1024  # rows numbered together in one task
 MIN_ANSWER = 200  # fixed value: bytes, and characters once trimmed
@@ -16,8 +17,12 @@ _ANSWER_PATH = (
 )
 
 
-def _path_keys(df: DataFrame) -> DataFrame:
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+def _file_path() -> Column:
+    """Path of the file that a row was read from."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
+def _path_keys(df: DataFrame, path: Column) -> DataFrame:
     part = lambda n: F.regexp_extract(path, _ANSWER_PATH, n)
     return df.select(
         "*", part(1).alias("project"), part(2).alias("question_id"),
@@ -29,18 +34,27 @@ def _path_keys(df: DataFrame) -> DataFrame:
 def read_answers(spark: SparkSession, path: str, models: DataFrame | None = None, name: str = "answer.md") -> DataFrame:
     """One row per answer file of a name pattern below ``path``; with ``models`` only those of the project.
 
-    Model ids are compared ignoring case.
+    Model ids are compared ignoring case.  On a local disk the files are listed and read by the tasks, and the models are
+    compared by path before a file is opened.
     """
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(
-        path, wholetext=True
-    )
-    answers = _path_keys(files).withColumnRenamed("value", "text").select(*S.SNAPSHOT, "model_id", "answer_id", "text")
-    return keep_models(answers, models) if models is not None else answers
+    kept = lambda answers: keep_models(answers, models) if models is not None else answers
+    columns = [*S.SNAPSHOT, "model_id", "answer_id", "text"]
+    paths = list_files(spark, path, name)
+    if paths is None:
+        files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(
+            path, wholetext=True
+        )
+        return kept(_path_keys(files, _file_path()).withColumnRenamed("value", "text").select(columns))
+    files = _path_keys(paths, F.concat(F.lit("file:"), F.col("path").cast("string")))
+    return read_texts(kept(files), paths.count()).select(columns)
 
 
 def keep_models(answers: DataFrame, models: DataFrame) -> DataFrame:
-    """Rows of the project's models, ids compared ignoring case."""
-    allowed = models.select("project", F.lower("model_id").alias("__id")).distinct()
+    """Rows of the project's models, ids compared ignoring case.
+
+    The models are written first, so that Spark knows how few they are and leaves the answers where they lie.
+    """
+    allowed = materialize(models.select("project", F.lower("model_id").alias("__id")).distinct())
     return answers.withColumn("__id", F.lower("model_id")).join(
         allowed, ["project", "__id"], "left_semi"
     ).drop("__id")
@@ -53,7 +67,7 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
         .option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
         .option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
     )
-    return responses_with_choice(_path_keys(files))
+    return responses_with_choice(_path_keys(files, _file_path()))
 
 
 def responses_with_choice(df: DataFrame) -> DataFrame:
